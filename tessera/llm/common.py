@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
 import uuid
 
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-TABLES = ("documents", "embeddings", "pages")
+
+def ship(module: str) -> None:
+    """Sends the functions of a module along with the tasks that call them, so workers need no copy of the package."""
+    cloudpickle.register_pickle_by_value(sys.modules[module])
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,20 +64,22 @@ def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
 
-def ranked(df: DataFrame, group: list[str], order: list[str], rank: str, salts: int = 64) -> DataFrame:
-    """Adds a gapless rank from 0 within each group, long, by a salt of `order`; no task gets a whole group.
+def cumulated(df: DataFrame, group: list[str], order: list[str], weight: str | None, before: str, salts: int = 64) -> DataFrame:
+    """Adds, as a long, the sum of `weight` (rows, where it is None) over what goes before a row in its group.
 
-    `order` must tell rows apart for the ranks to be the same on every run. Rows go by (salt, order): the salt's
-    first rank comes from the counts of (group, salt), of which there are at most salts x groups.
+    Rows go by (salt, order), the salt being a hash of `order`; `order` must tell rows apart for the same sums on every
+    run. No task gets a whole group: a salt's first sum comes from the sums of (group, salt), at most groups x salts.
     """
+    n = F.lit(1) if weight is None else F.col(weight)
     salted = df.withColumn("__salt", F.pmod(F.xxhash64(*order), F.lit(salts)).cast("int"))
-    counts = salted.groupBy(*group, "__salt").agg(F.count(F.lit(1)).alias("__n"))
-    before = Window.partitionBy(*group).orderBy("__salt").rowsBetween(Window.unboundedPreceding, -1)
-    first = counts.select(*group, "__salt", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__first"))
-    within = Window.partitionBy(*group, "__salt").orderBy(*order)
-    numbered = salted.withColumn("__row", F.row_number().over(within) - 1)
-    return (
-        numbered.join(first, [*group, "__salt"])
-        .withColumn(rank, (F.col("__first") + F.col("__row")).cast("long"))
-        .drop("__salt", "__first", "__row")
-    )
+    sums = salted.groupBy(*group, "__salt").agg(F.sum(n).alias("__n"))
+    earlier = Window.partitionBy(*group).orderBy("__salt").rowsBetween(Window.unboundedPreceding, -1)
+    first = sums.select(*group, "__salt", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__first"))
+    within = Window.partitionBy(*group, "__salt").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    summed = salted.withColumn("__own", F.coalesce(F.sum(n).over(within), F.lit(0)))
+    return summed.join(first, [*group, "__salt"]).withColumn(before, (F.col("__first") + F.col("__own")).cast("long")).drop("__salt", "__first", "__own")
+
+
+def salts_for(rows: int) -> int:
+    """So many salts that a group of all rows falls into parts of a million at most, and 64 at least."""
+    return max(64, rows // 1_000_000)

@@ -1,15 +1,18 @@
 """The queries and SQL of this subpackage; __spark_entry__.py adds them where the subpackage can be imported."""
 
-from tessera.llm import urlfilter
+from tessera.llm import sharding, urlfilter, warc
 
 
 def queries() -> dict:
     return {
+        "op6_warc": warc.op6_warc,
+        "op9_sharding": sharding.op9_sharding,
         "op10_url_filter": urlfilter.op10_url_filter,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op6_warc": warc.oracle(),
         "op10_url_filter": urlfilter.oracle(),
     }
