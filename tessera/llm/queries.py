@@ -1,11 +1,12 @@
 """The queries and SQL of this subpackage; __spark_entry__.py adds them where the subpackage can be imported."""
 
-from tessera.llm import sharding, urlfilter, warc
+from tessera.llm import secrets, sharding, urlfilter, warc
 
 
 def queries() -> dict:
     return {
         "op6_warc": warc.op6_warc,
+        "op7_secrets": secrets.op7_secrets,
         "op9_sharding": sharding.op9_sharding,
         "op10_url_filter": urlfilter.op10_url_filter,
     }
