@@ -1,10 +1,11 @@
 """The queries and SQL of this subpackage; __spark_entry__.py adds them where the subpackage can be imported."""
 
-from tessera.llm import langid, secrets, sharding, urlfilter, warc
+from tessera.llm import embeddings, langid, secrets, sharding, urlfilter, warc
 
 
 def queries() -> dict:
     return {
+        "op1_embedding_dedup": embeddings.op1_embedding_dedup,
         "op5_langid": langid.op5_langid,
         "op6_warc": warc.op6_warc,
         "op7_secrets": secrets.op7_secrets,
@@ -15,7 +16,7 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     return {
-        "op5_langid": langid.op5_langid,
+        "op1_embedding_dedup": embeddings.oracle(),
         "op6_warc": warc.oracle(),
         "op10_url_filter": urlfilter.oracle(),
     }
