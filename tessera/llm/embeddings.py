@@ -92,6 +92,22 @@ def cosine_links(found: DataFrame, least: float):
     return verify
 
 
+def near_blocks(least: float):
+    """near() for linked_components: the links between two blocks (label, vector)."""
+
+    def near(left: pa.Table, right: pa.Table) -> np.ndarray:
+        left, right = left.combine_chunks().to_batches()[0], right.combine_chunks().to_batches()[0]
+        out = np.zeros((left.num_rows, right.num_rows), bool)
+        for i, a in _by_length(left, 1):
+            for j, b in _by_length(right, 1):
+                if a.shape[1] == b.shape[1]:
+                    out[np.ix_(i, j)] = a @ b.T >= least
+        labels = np.array(left.column(0)), np.array(right.column(0))
+        return out & (labels[0][:, None] == labels[1][None, :])
+
+    return near
+
+
 def count_links(members: DataFrame, least: float, block: int = BLOCK) -> DataFrame:
     """(id, others): linked vectors in other classes, for members (component, id, copies, label, vector).
 
@@ -150,8 +166,7 @@ def near_embeddings(vectors: DataFrame, least: float = 0.93, tables: int = TABLE
     scratch = Scratch(spark, "embeddings")
     vectors = vectors.select("id", "label", "vector")
     found = scratch.put(classes(vectors), "classes")
-    parts, _ = linked_components(buckets(found, tables, signs), cosine_links(found, least), scratch)
-    parts = scratch.put(parts, "parts")
+    parts = linked_components(buckets(found, tables, signs), found.select("id", "label", "vector"), cosine_links(found, least), near_blocks(least), scratch)
     others = scratch.put(count_links(parts.join(found, "id").select("component", "id", "copies", "label", "vector"), least), "others")
     summed = found.join(parts, "id", "left").join(others, "id", "left")
     summed = scratch.put(summed.select("label", "vector", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), F.coalesce("component", "id").alias("component_id")), "summed")

@@ -1,8 +1,9 @@
 """Verified links from buckets of candidates, and connected components, as joins and aggregations.
 
-A bucket holds the ids that some hash puts together. Its smallest id is its leader: leader and member are compared
-first, so a bucket of any size costs a comparison a member. What that leaves in more than one component is compared
-pair by pair, but only across components, so no link between different classes is lost and no group emits all pairs.
+A bucket holds the ids that some hash puts together. The one that meets most ids over all buckets leads it: leader and
+member are compared first, so a bucket of any size costs a comparison a member. Where that leaves a bucket with more than
+one component, blocks of ids are compared inside tasks, across components only, so no link between components is lost
+and no group emits all its pairs.
 """
 
 from __future__ import annotations
@@ -12,10 +13,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Scratch
+from tessera.llm.common import Scratch, ship
+
+ship(__name__)
 
 #: Rounds of components() before it gives up; each at least halves the longest path that is left.
 ROUNDS = 60
+#: Ids, and bytes of payload, in a block of ids that a task compares with another; about, as a hash deals them out.
+BLOCK, BLOCK_BYTES = 256, 16_000_000
 
 
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
@@ -48,32 +53,103 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     return now.select(F.col("a").alias("id"), F.col("b").alias("component")).unionByName(now.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct())
 
 
-def linked_components(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame], scratch: Scratch) -> tuple[DataFrame, DataFrame]:
-    """Components of the ids in buckets (bucket, id), and the verified links (a, b) that made them.
+def linked_components(buckets: DataFrame, payload: DataFrame, verify: Callable[[DataFrame], DataFrame], near: Callable, scratch: Scratch, weight: str | None = None) -> DataFrame:
+    """(id, component) of the ids in buckets (bucket, id) that have a link, by verified links only.
 
-    verify takes distinct pairs (a, b), a < b, and returns those that are links.
+    payload (id, ...) holds what is compared. verify takes distinct pairs (a, b) and returns those that are links. near
+    takes the payload columns of two blocks as Arrow tables and returns their matrix of links. weight is a payload column
+    with the bytes of a row, where they differ much.
     """
     buckets = scratch.put(buckets.select("bucket", "id"), "buckets")
-    leaders = buckets.groupBy("bucket").agg(F.min("id").alias("leader"), F.max("id").alias("last")).filter("leader < last").select("bucket", "leader")
-    shared = scratch.put(buckets.join(scratch.put(leaders, "leaders"), "bucket"), "shared")
-    scratch.drop(buckets)
-    pairs = scratch.put(shared.filter("id > leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct(), "star-pairs")
+    sizes = scratch.put(buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("low"), F.max("id").alias("high")).filter("low < high").select("bucket", "n"), "sizes")
+    shared = scratch.put(buckets.join(sizes, "bucket"), "shared")
+    scratch.drop(buckets, sizes)
+    centre = scratch.put(shared.groupBy("id").agg(F.sum("n").alias("met")), "centre")
+    shared = scratch.put(shared.join(centre, "id").select("bucket", "id", "met"), "shared")
+    leaders = scratch.put(shared.groupBy("bucket").agg(F.max(F.struct("met", (-F.col("id")).alias("minus"))).alias("top")).select("bucket", F.col("top.met").alias("top"), (-F.col("top.minus")).alias("leader")), "leaders")
+    led = scratch.put(shared.select("bucket", "id").join(leaders, "bucket"), "led")
+    scratch.drop(shared, centre, leaders)
+    pairs = scratch.put(led.filter("id <> leader").select(F.least("leader", "id").alias("a"), F.greatest("leader", "id").alias("b")).distinct(), "star-pairs")
     links = scratch.put(verify(pairs), "star-links")
     found = scratch.put(components(links, scratch), "components")
 
-    # Buckets that still hold several components. Ids without links are components of their own.
-    named = shared.join(found, "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("component"))
-    named = scratch.put(named, "named")
-    mixed = named.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("bucket")
-    named = scratch.put(named.join(scratch.put(mixed, "mixed"), "bucket"), "named")
-    groups = scratch.put(named.select("bucket", "component").distinct(), "groups")
-    across = groups.select("bucket", F.col("component").alias("ca")).join(groups.select("bucket", F.col("component").alias("cb")), "bucket").filter("ca < cb")
-    left, right = (named.select("bucket", F.col("component").alias(f"c{x}"), F.col("id").alias(x)) for x in "ab")
-    rest = across.join(left, ["bucket", "ca"]).join(right, ["bucket", "cb"]).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    rest = scratch.put(rest.join(pairs, ["a", "b"], "left_anti"), "rest-pairs")
-    more = scratch.put(verify(rest), "rest-links")
-    scratch.drop(shared, named)
+    named = scratch.put(led.join(found, "id", "left").select("bucket", "id", "component", "top", "leader"), "named")
+    scratch.drop(led, pairs)
+    own = F.coalesce("component", "id")
+    mixed = scratch.put(named.groupBy("bucket").agg(F.min(own).alias("low"), F.max(own).alias("high")).filter("low < high").select("bucket"), "mixed")
+    more = scratch.put(_across(named.join(mixed, "bucket"), payload, near, scratch, weight), "more-links")
+    scratch.drop(named, mixed)
     if more.isEmpty():
-        return found, links
-    all_links = links.unionByName(more)
-    return scratch.put(components(all_links, scratch), "components"), all_links
+        return found
+    return scratch.put(components(links.unionByName(more), scratch), "components")
+
+
+def _across(named: DataFrame, payload: DataFrame, near: Callable, scratch: Scratch, weight: str | None) -> DataFrame:
+    """Links (a, b) between components of the ids that share a bucket, in named (bucket, id, component, top, leader).
+
+    Ids fall into blocks by the leader that most ids meet, by component (or none) and a hash. Two blocks meet where a
+    bucket holds ids of both, unless they are of one component; a task compares them and returns links that join the
+    components in it, at most one for each id.
+    """
+    home = F.max(F.struct("top", (-F.col("leader")).alias("minus")))["minus"]
+    ids = named.groupBy("id").agg(home.alias("home"), F.first("component").alias("component"))
+    sized = scratch.put(ids.join(payload.select("id", (F.lit(1) if weight is None else F.col(weight)).alias("bytes")), "id"), "homes")
+    parts = sized.groupBy("home", "component").agg(F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("bytes") / BLOCK_BYTES)).cast("int").alias("parts"))
+    part = F.pmod(F.xxhash64("id"), F.col("parts"))
+    same = F.expr("a.home = b.home AND a.component <=> b.component")
+    blocks = sized.alias("a").join(parts.alias("b"), same).select("id", "a.component", F.xxhash64("a.home", F.coalesce("a.component", F.lit(-1)), part).alias("block"))
+    blocks = scratch.put(blocks, "blocks")
+    in_bucket = scratch.put(named.select("bucket", "id").join(blocks, "id").select("bucket", "block", "component").distinct(), "bucket-blocks")
+    other = in_bucket.select("bucket", F.col("block").alias("other"), F.col("component").alias("others"))
+    cells = in_bucket.join(other, "bucket").filter("block <= other AND NOT coalesce(component = others, false)").select("block", "other").distinct()
+    cells = scratch.put(cells.withColumn("cell", F.xxhash64("block", "other")), "cells")
+    sides = cells.select("cell", F.lit(0).alias("side"), "block").unionByName(cells.filter("block <> other").select("cell", F.lit(1).alias("side"), F.col("other").alias("block")))
+    rows = sides.join(blocks, "block").join(payload, "id").withColumn("own", F.coalesce("component", "id"))
+    columns = [c for c in payload.columns if c not in ("id", weight)]
+    rows = rows.select("cell", "side", "id", "own", *columns).repartition("cell").sortWithinPartitions("cell", "side")
+    return rows.mapInArrow(_joining(near), "a long, b long")
+
+
+def _joining(near: Callable):
+    import numpy as np
+    import pyarrow as pa
+
+    def links(t: pa.Table) -> pa.RecordBatch:
+        side, ids, own = (np.array(t.column(k)) for k in (1, 2, 3))
+        left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        right = right if len(right) else left
+        data = t.select(range(4, t.num_columns))
+        found = near(data.take(pa.array(left)), data.take(pa.array(right)))
+        found &= own[left][:, None] != own[right][None, :]
+        root: dict[int, int] = {}
+
+        def top(x: int) -> int:
+            while root.get(x, x) != x:
+                root[x] = x = root.get(root[x], root[x])
+            return x
+
+        out = []
+        for i, j in zip(*(x.tolist() for x in np.nonzero(found)), strict=True):
+            a, b = top(int(own[left[i]])), top(int(own[right[j]]))
+            if a != b:
+                root[max(a, b)] = min(a, b)
+                out.append(sorted((int(ids[left[i]]), int(ids[right[j]]))))
+        return pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+    def run(batches):
+        key, held = None, []
+        for batch in batches:
+            keys = np.array(batch.column(0))
+            cuts = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist(), len(keys)]
+            for a, b in zip(cuts, cuts[1:]):
+                if a == b:
+                    continue
+                if key is not None and keys[a] != key:
+                    yield links(pa.Table.from_batches(held))
+                    held = []
+                key = keys[a]
+                held.append(batch.slice(a, b - a))
+        if held:
+            yield links(pa.Table.from_batches(held))
+
+    return run
