@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import sys
 import tempfile
+import types
 import uuid
 
 from pyspark import cloudpickle
@@ -30,6 +31,11 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def worker_cache() -> dict:
+    """A dictionary that lasts as long as a Python worker; tasks that it serves one after another share it."""
+    return vars(sys.modules.setdefault("_tessera_worker", types.ModuleType("_tessera_worker")))
+
+
 class Scratch:
     """Written tables of one run of an operator, in a folder of their own under shared_dir.
 
@@ -83,3 +89,6 @@ def cumulated(df: DataFrame, group: list[str], order: list[str], weight: str | N
 def salts_for(rows: int) -> int:
     """So many salts that a group of all rows falls into parts of a million at most, and 64 at least."""
     return max(64, rows // 1_000_000)
+
+
+ship(__name__)

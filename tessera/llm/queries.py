@@ -1,6 +1,6 @@
 """The queries and SQL of this subpackage; __spark_entry__.py adds them where the subpackage can be imported."""
 
-from tessera.llm import embeddings, langid, minhash, secrets, sharding, urlfilter, warc
+from tessera.llm import embeddings, langid, minhash, packing, secrets, sharding, urlfilter, warc
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op5_langid": langid.op5_langid,
         "op6_warc": warc.op6_warc,
         "op7_secrets": secrets.op7_secrets,
+        "op8_packing": packing.op8_packing,
         "op9_sharding": sharding.op9_sharding,
         "op10_url_filter": urlfilter.op10_url_filter,
     }
