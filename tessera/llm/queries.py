@@ -1,6 +1,6 @@
 """The queries and SQL of this subpackage; __spark_entry__.py adds them where the subpackage can be imported."""
 
-from tessera.llm import embeddings, langid, minhash, packing, secrets, sharding, urlfilter, warc, webp
+from tessera.llm import bytebpe, embeddings, langid, minhash, packing, secrets, sharding, urlfilter, warc, webp
 
 
 def queries() -> dict:
@@ -8,6 +8,7 @@ def queries() -> dict:
         "op1_embedding_dedup": embeddings.op1_embedding_dedup,
         "op2_minhash_dedup": minhash.op2_minhash_dedup,
         "op3_webp": webp.op3_webp,
+        "op4_byte_bpe": bytebpe.op4_byte_bpe,
         "op5_langid": langid.op5_langid,
         "op6_warc": warc.op6_warc,
         "op7_secrets": secrets.op7_secrets,
