@@ -19,9 +19,9 @@ from tessera.llm.links import linked_components
 
 ship(__name__)
 
-#: At a cosine of 0.93 a sign agrees with probability 0.880, so that a pair meets in one of 64 tables of 14 signs with
-#: probability 0.99999; unrelated vectors meet in a table once in 16,384. More signs and tables suit larger corpora.
-TABLES, SIGNS, SEED = 64, 14, 20_240_501
+#: At a cosine of 0.93 a sign agrees with probability 0.880, so that a pair meets in one of 112 tables of 18 signs with
+#: probability 0.99999; unrelated vectors meet in a table once in 262,144. Labels of many millions want more signs.
+TABLES, SIGNS, SEED = 112, 18, 20_240_501
 #: Classes of a component that a task compares with as many others at once.
 BLOCK = 512
 
