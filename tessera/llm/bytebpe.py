@@ -25,10 +25,11 @@ ship(__name__)
 #: Java's form of the pattern that parts words: its \s knows ASCII only.
 SPACES = r"\p{IsWhite_Space}"
 #: Words of one batch, and the documents whose words are folded beforehand and sent to all tasks; others are folded in place.
-BATCH_WORDS, KNOWN_DOCS = 6_000_000, 2_000
-#: Words of more bytes keep their pairs' ranks from step to step.
-LONG_WORD = 48
-NONE, OFFSET, FACTOR, BUCKETS = 1 << 30, 1 << 20, 40_503, 1 << 17
+BATCH_WORDS, KNOWN_DOCS = 1_500_000, 2_000
+#: Ids have 16 bits, places of a word 29 and ranks, at least OFFSET to be no ids, what is above.
+PLACE, OFFSET = 45, 1 << 16
+IDS, PLACES, NONE = (1 << 16) - 1, ((1 << 29) - 1) << 16, 2 * OFFSET << PLACE
+FACTOR, BUCKETS = 40_503, 1 << 17
 
 def read_ranks(path: str) -> dict[bytes, int]:
     with open(path, "rb") as f:
@@ -50,56 +51,56 @@ class Merges:
             for k in range(1, len(token)):
                 left, right = ranks.get(token[:k]), ranks.get(token[k:])
                 if left is not None and right is not None:
-                    buckets[(left * FACTOR ^ right) % BUCKETS] += [left, rank + OFFSET]
+                    buckets[(left * FACTOR ^ right) % BUCKETS] += [left, (rank + OFFSET) << PLACE]
         literal = lambda x, kind: F.from_json(F.lit(json.dumps(x)), kind)  # noqa: E731  folded to a literal once
-        self.buckets = literal(buckets, "array<array<int>>")
-        self.bytes = literal([ranks[bytes([b])] for b in range(256)], "array<int>")
+        self.buckets = literal(buckets, "array<array<bigint>>")
+        self.bytes = literal([ranks[bytes([b])] for b in range(256)], "array<bigint>")
         pieces = {rank: base64.b64encode(token).decode() for token, rank in ranks.items()}
         self.pieces = literal([pieces.get(k) for k in range(max(pieces) + 1)], "array<binary>")
 
-    def rank(self, left: Column, right: Column) -> Column:
-        """The merge's rank + OFFSET, or NONE. As right < 2**16, bucket and left tell right; ranks + OFFSET are no lefts."""
-        bucket = F.get(self.buckets, (left * FACTOR).bitwiseXOR(right).bitwiseAND(F.lit(BUCKETS - 1)))
+    @staticmethod
+    def rank(buckets: Column, left: Column, right: Column) -> Column:
+        """(rank + OFFSET) << PLACE of the merge, or NONE. As right < 2**16, bucket and left tell right; ranks are no lefts."""
+        bucket = F.get(buckets, (left * FACTOR).bitwiseXOR(right).bitwiseAND(F.lit(BUCKETS - 1)).cast("int"))
         return F.get(bucket, F.array_position(bucket, left))
 
-    def fold(self, word: Column) -> Column:
-        """The ids of a word, an array of its bytes as integers."""
-        start = F.transform(word, lambda b: F.get(self.bytes, b))
-        steps = F.sequence(F.lit(1), F.size(word) - 1)
-        let = lambda x, f: F.transform(F.array(x), f)[0]
-        pairs = lambda ids: F.zip_with(F.slice(ids, 1, F.size(ids) - 1), F.slice(ids, 2, F.size(ids) - 1), self.rank)
-        merged = lambda ids, at, new: F.concat(F.slice(ids, 1, at - 1), F.array(new), F.slice(ids, at + 2, F.size(ids)))
-
-        def short(ids: Column, _: Column) -> Column:
-            def one(ranks: Column) -> Column:
-                least = F.array_min(ranks)
-                return F.when(least < NONE, merged(ids, F.array_position(ranks, least).cast("int"), least - OFFSET)).otherwise(ids)
+    def folded(self, words: Column) -> Column:
+        """The ids of words, each an array of its bytes as integers. The literal of the ranks stands once in the plan: every
+        place of it would be one more copy on the driver and in each task's binary."""
+        return F.transform(F.array(self.buckets), lambda buckets: F.transform(words, lambda word: self._fold(word, buckets)))[0]
 
-            return F.when(F.size(ids) < 2, ids).otherwise(let(pairs(ids), one))
+    def _fold(self, word: Column, buckets: Column) -> Column:
+        """The word is an array of numbers, one for each piece: the rank of its merge with the next piece, where it began,
+        and its id, from the highest bits to the lowest. So the least number is the leftmost merge of the lowest rank; a
+        step replaces it and what follows it, and ranks its neighbours anew."""
+        let = lambda x, f: F.transform(F.array(x), f)[0]
+        id_of = lambda piece: piece.bitwiseAND(F.lit(IDS))
+        ranked = lambda left, right: F.when(right.isNull(), F.lit(NONE)).otherwise(self.rank(buckets, id_of(left), id_of(right)))
 
-        def long(acc: Column, _: Column) -> Column:
-            ids, ranks = acc["ids"], acc["ranks"]
+        def start(ids: Column) -> Column:
+            rank = F.when(F.size(ids) > 1, F.concat(F.zip_with(F.slice(ids, 1, F.size(ids) - 1), F.slice(ids, 2, F.size(ids)), lambda x, y: self.rank(buckets, x, y)), F.array(F.lit(NONE)))).otherwise(F.array(F.lit(NONE)))
+            return F.transform(F.arrays_zip(rank.alias("rank"), ids.alias("id")), lambda x, i: x["rank"] + F.shiftleft(i.cast("bigint"), 16) + x["id"])
 
-            def one(at: Column) -> Column:
-                new = F.get(ranks, at - 1) - OFFSET
-                none = F.array().cast("array<int>")
-                left = F.when(at > 1, F.array(self.rank(F.get(ids, at - 2), new))).otherwise(none)
-                right = F.when(at + 1 < F.size(ids), F.array(self.rank(new, F.get(ids, at + 1)))).otherwise(none)
-                beside = F.concat(F.slice(ranks, 1, F.greatest(at - 2, F.lit(0))), left, right, F.slice(ranks, at + 2, F.size(ranks)))
-                return F.struct(merged(ids, at, new).alias("ids"), beside.alias("ranks"))
+        def step(pieces: Column, _: Column) -> Column:
+            def merged(at: Column) -> Column:
+                here = F.get(pieces, at - 1)
+                own = here.bitwiseAND(F.lit(PLACES)) + F.shiftright(here, PLACE) - OFFSET
+                new = F.array(own + ranked(own, F.get(pieces, at + 1)))
+                before = F.get(pieces, at - 2)
+                left = F.array(before.bitwiseAND(F.lit(PLACES + IDS)) + ranked(before, own))
+                return F.when(at > 1, F.concat(F.slice(pieces, 1, at - 2), left, new, F.slice(pieces, at + 2, F.size(pieces)))).otherwise(F.concat(new, F.slice(pieces, 3, F.size(pieces))))
 
-            return F.when(F.array_min(ranks) < NONE, let(F.array_position(ranks, F.array_min(ranks)).cast("int"), one)).otherwise(acc)
+            return let(F.array_min(pieces), lambda least: F.when(least < NONE, let(F.array_position(pieces, least).cast("int"), merged)).otherwise(pieces))
 
-        kept = F.aggregate(steps, F.struct(start.alias("ids"), pairs(start).alias("ranks")), long, lambda acc: acc["ids"])
-        return F.when(F.size(word) < 2, start).when(F.size(word) <= LONG_WORD, F.aggregate(steps, start, short)).otherwise(kept)
+        whole = F.aggregate(F.sequence(F.lit(1), F.size(word) - 1), start(F.transform(word, lambda b: F.get(self.bytes, b))), step)
+        return F.when(F.size(word) < 2, F.transform(word, lambda b: F.get(self.bytes, b).cast("int"))).otherwise(F.transform(whole, lambda x: id_of(x).cast("int")))
 
     def decode(self, ids: Column) -> Column:
         return F.aggregate(ids, F.lit(b""), lambda acc, k: F.concat(acc, F.get(self.pieces, k)))
 
     def found(self, words: Column) -> Column:
         """For words, an array of arrays of bytes: their ids and what those decode to."""
-        ids = F.transform(words, self.fold)
-        return F.transform(ids, lambda x: F.struct(x.alias("ids"), self.decode(x).alias("raw")))
+        return F.transform(self.folded(words), lambda x: F.struct(x.alias("ids"), self.decode(x).alias("raw")))
 
 
 def _bytes_of(words: pa.StringArray) -> pa.ListArray:
@@ -114,7 +115,7 @@ def known_words(docs: DataFrame, merges: Merges, pattern: str, limit: int, scrat
     chosen = docs.filter(F.pmod(F.xxhash64(text_or_empty(), F.lit("bytebpe")), F.lit(1 << 30)) < int(share * (1 << 30)) + 1)
     words = scratch.put(chosen.select(F.explode(F.regexp_extract_all(text_or_empty(), F.lit(pattern), F.lit(0))).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "words")
     raw = F.transform(F.split(F.hex(F.encode("word", "utf-8")), "(?<=\\G..)"), lambda h: F.conv(h, 16, 10).cast("int"))
-    found = words.select("word", merges.fold(F.filter(raw, lambda b: b.isNotNull())).alias("ids"))
+    found = words.select("word", merges.folded(F.array(F.filter(raw, lambda b: b.isNotNull())))[0].alias("ids"))
     return {r.word: (" ".join(map(str, r.ids)), len(r.ids), bytes(r.raw)) for r in found.select("word", "ids", merges.decode(F.col("ids")).alias("raw")).collect()}
 
 
@@ -123,7 +124,7 @@ def encode_decode(docs: DataFrame, path: str, pattern: str, known_docs: int = KN
 
     Each match of `pattern` is encoded by the ranks in `path`, without special tokens; the ids are joined, hashed and
     decoded. A null text is as an empty one, without tokens; equal texts have equal values; rows that repeat an id are
-    encoded each; no rows give no rows. A word of n bytes takes up to n steps of n look-ups, long ones n steps.
+    encoded each; no rows give no rows. A word of n bytes takes n - 1 steps of two look-ups.
     """
     merges, spark = Merges(read_ranks(path)), docs.sparkSession
     pattern = word_pattern(pattern)
