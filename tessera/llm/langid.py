@@ -26,7 +26,7 @@ LETTERS = 120
 #: A text is parsed in blocks of so many symbols; each begins a phrase.
 BLOCK = 2048
 #: Characters that a task parses side by side.
-SIDE_BY_SIDE = 6_000_000
+SIDE_BY_SIDE = 3_000_000
 #: Bits a symbol from which reject() takes a text for no known language: random letters need 11, foreign words of a
 #: known language 6, texts like the learned ones 2 to 5.
 REJECT_BITS = 9.0

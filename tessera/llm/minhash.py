@@ -24,7 +24,7 @@ WORDS, LEAST = 5, 0.8
 #: 32 bands of 5 registers: a pair of similarity 0.8 shares a band with probability 0.999997, one of 0.4 with 0.28.
 BANDS, ROWS = 32, 5
 #: Characters that a task shingles at once.
-AT_ONCE = 4_000_000
+AT_ONCE = 1_500_000
 
 MIX_1, MIX_2, STEP = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 
