@@ -1,9 +1,9 @@
 """Packing of tokenised documents into sequences of a fixed length, by a configuration linear program.
 
 A configuration is a multiset of lengths that fits a sequence. The program asks for the fewest configurations that
-cover the histogram of lengths; multiplicative weights solve it, a knapsack over the lengths' prices finding the next
-configuration; the solution is scaled and rounded down, what is left of the histogram is packed by decreasing length, and
-the scale with the fewest sequences is taken. The histogram has at most one entry a length, so the program's size depends on the sequence length and not on the corpus.
+cover the histogram of lengths; multiplicative weights solve it in whole numbers, a knapsack over the lengths' prices
+finding the next configurations, until every piece is covered; the solution is scaled and rounded down, what that leaves
+of the histogram is packed by decreasing length, and the scale with the fewest sequences is taken. The histogram has at most one entry a length, so the program's size depends on the sequence length and not on the corpus.
 """
 
 from __future__ import annotations
@@ -23,7 +23,8 @@ from tessera.llm.common import Scratch, cumulated, salts_for, ship, table, text_
 ship(__name__)
 
 LENGTH, END = 4096, 1
-#: Rounds of multiplicative weights, the part of the smallest demand that a round covers, and the rate of the prices.
+#: Rounds of multiplicative weights with short steps, the part of a configuration's room that such a step takes, and the
+#: rate of the prices.
 ROUNDS, STEP, RATE = 60, 0.5, 6.0
 #: Parts of the program's solution that are tried in rounding.
 SCALES = (1.0, 0.75, 0.5, 0.25, 0.0)
@@ -206,57 +207,79 @@ def _parts(batch: pa.RecordBatch, sizes: np.ndarray, most: int) -> Iterator[pa.R
 # --- the program
 
 
-def best_configuration(lengths: np.ndarray, prices: np.ndarray, capacity: int) -> dict[int, int]:
-    """The multiset of lengths (ascending) within capacity whose prices sum highest: an unbounded knapsack."""
-    value = np.zeros(capacity + 1)
-    taken = np.full(capacity + 1, -1, np.int64)
-    fits = np.searchsorted(lengths, np.arange(capacity + 1), side="right")
-    for c in range(int(lengths[0]), capacity + 1):
-        n = fits[c]
-        options = value[c - lengths[:n]] + prices[:n]
-        k = int(options.argmax())
-        if options[k] > value[c - 1]:
-            value[c], taken[c] = options[k], k
-        else:
-            value[c] = value[c - 1]
-    out: dict[int, int] = {}
-    c = capacity
-    while c > 0:
-        if taken[c] < 0:
-            c -= 1
-            continue
-        out[int(taken[c])] = out.get(int(taken[c]), 0) + 1
-        c -= int(lengths[taken[c]])
+def best_configurations(lengths: np.ndarray, prices: np.ndarray, left: np.ndarray, capacity: int) -> list[dict[int, int]]:
+    """Multisets of places in `lengths` (ascending) within capacity and within `left`, whose prices sum highest.
+
+    A knapsack of bounded multiplicities: the first is the best of all, the others the best ones around one piece of each
+    length that is left, by falling price. These may hold one piece more of that length than is left. Among equal prices
+    the longer pieces go first.
+    """
+    rows, sizes, own, value = [], [], [], np.zeros(capacity + 1)
+    for k in np.flatnonzero(left > 0)[::-1].tolist():
+        length, many, part = int(lengths[k]), int(min(left[k], capacity // lengths[k])), 1
+        while many:
+            part = min(part, many)
+            many -= part
+            with_it = value[: capacity + 1 - part * length] + part * prices[k]
+            better = with_it > value[part * length :]
+            np.maximum(value[part * length :], with_it, out=value[part * length :])
+            row = np.zeros(capacity + 1, bool)
+            row[part * length :] = better
+            rows.append(row)
+            sizes.append(part * length)
+            own.append((k, part))
+            part *= 2
+    seeds = np.flatnonzero(left > 0)
+    seeds = seeds[np.argsort(-(value[capacity - lengths[seeds]] + prices[seeds]), kind="stable")].tolist()
+    room = np.array([capacity, *(capacity - lengths[seeds])])
+    out: list[dict[int, int]] = [{}, *({k: 1} for k in seeds)]
+    for row, size, (k, part) in zip(reversed(rows), reversed(sizes), reversed(own), strict=True):
+        taken = row[room]
+        if taken.any():
+            for j in np.flatnonzero(taken).tolist():
+                out[j][k] = out[j].get(k, 0) + part
+            room[taken] -= size
     return out
 
 
+def program(lengths: np.ndarray, demand: np.ndarray, capacity: int, rounds: int = ROUNDS) -> list[tuple[tuple[tuple[int, int], ...], int]]:
+    """[(configuration ((place in lengths, how many), ...), how often)] that covers the demand, every piece once.
+
+    Each round prices the lengths by their size and by how little of their demand is covered, and takes the knapsack's
+    configurations, best first, each as often as half of its scarcest length's rest allows, once at least, where that rest
+    holds it. After `rounds` rounds the whole rest is allowed. A round takes its best configuration at least, so it ends.
+    """
+    left, amounts = demand.copy(), {}
+    done = 0
+    while left.any():
+        prices = lengths * np.exp(-RATE * (1 - left / demand))
+        step = STEP if done < rounds else 1.0
+        for found in best_configurations(lengths, prices, left, capacity):
+            often = min(int(left[k]) // n for k, n in found.items())
+            if often:
+                often = max(1, int(step * often))
+                key = tuple(sorted(found.items()))
+                amounts[key] = amounts.get(key, 0) + often
+                for k, n in found.items():
+                    left[k] -= often * n
+        done += 1
+    return sorted(amounts.items(), key=lambda x: (-x[1], x[0]))
+
+
 def solve(histogram: dict[int, int], capacity: int = LENGTH, rounds: int = ROUNDS) -> list[tuple[dict[int, int], int]]:
     """[(configuration {length: how many}, how often)] that covers a histogram {length: count} exactly.
 
-    Lengths of the whole capacity need no program. The rest: each round prices the lengths by how little of their count
-    is covered, takes the best configuration as often as half of its scarcest length allows, and lowers the prices. Of
-    SCALES times the sums, rounded down and followed by the packed remainder, the plan of the fewest sequences is taken,
-    the larger scale among equals; at scale 0 all is remainder, so no plan is worse than packing by decreasing length.
+    Lengths of the whole capacity need no program. For the rest, of SCALES times the program's amounts, rounded down and
+    followed by the packed remainder, the plan of the fewest sequences is taken, the larger scale among equals; at scale 1
+    all is the program's, at scale 0 all is remainder, so no plan is worse than packing by decreasing length.
     """
     out = [({capacity: 1}, histogram[capacity])] if histogram.get(capacity) else []
     lengths = np.array(sorted(x for x, n in histogram.items() if n and x < capacity), np.int64)
     if not len(lengths):
         return out
-    left = np.array([histogram[x] for x in lengths.tolist()], np.int64)
-    demand, covered = left.astype(float), np.zeros(len(lengths))
-    amounts: dict[tuple[tuple[int, int], ...], float] = {}
-    for _ in range(rounds):
-        if covered.min() >= 1:
-            break
-        prices = lengths * np.exp(-RATE * covered) * (covered < 1)
-        found = best_configuration(lengths, prices, capacity)
-        amount = max(1.0, STEP * min(demand[k] / n for k, n in found.items()))
-        key = tuple(sorted(found.items()))
-        amounts[key] = amounts.get(key, 0.0) + amount
-        for k, n in found.items():
-            covered[k] += amount * n / demand[k]
-    ranked = sorted(amounts.items(), key=lambda x: (-x[1], x[0]))
-    return out + min((_rounded(lengths, left, ranked, scale, capacity) for scale in SCALES), key=lambda plan: sum(times for _, times in plan))
+    demand = np.array([histogram[x] for x in lengths.tolist()], np.int64)
+    ranked = program(lengths, demand, capacity, rounds)
+    return out + min((_rounded(lengths, demand, ranked, scale, capacity) for scale in SCALES), key=lambda plan: sum(times for _, times in plan))
 
 
 def _rounded(lengths: np.ndarray, demand: np.ndarray, amounts: list, scale: float, capacity: int) -> list[tuple[dict[int, int], int]]:

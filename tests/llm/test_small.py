@@ -266,6 +266,21 @@ def test_packing_program():
     assert sum(t for _, t in packing.solve({60: 2, 40: 2}, 100)) == 2 and packing.solve({}, 100) == []
 
 
+def test_packing_program_places_all_of_many_lengths():
+    rng = np.random.default_rng(1)
+    one, two = rng.integers(1100, 1900, 3000), rng.integers(1100, 1500, 3000)
+    histogram = collections.Counter(np.concatenate([one, two, 4096 - one - two]).tolist())  # 3000 full sequences
+    lengths = np.array(sorted(histogram))
+    demand = np.array([histogram[x] for x in lengths.tolist()])
+    plan = packing.solve(histogram)
+    assert sum(times for _, times in plan) <= 3030 < 3150 < sum(times for _, times in packing.decreasing(lengths, demand, 4096))
+    used = np.zeros(len(lengths), int)
+    for found, times in packing.program(lengths, demand, 4096):
+        for k, n in found:
+            used[k] += n * times
+    assert (used == demand).all()
+
+
 def test_packing_of_documents(spark):
     public_tokenizers = pytest.importorskip("public_tokenizers")
     from tokenizers import Tokenizer
