@@ -19,8 +19,10 @@ from tessera.llm.common import ship, table
 
 ship(__name__)
 
-#: Bounds of the labelled sample of each language: rows, characters of a row, and characters in all.
+#: Bounds of the labelled sample of each language: texts, characters of a text, and characters in all.
 SAMPLE_ROWS, SAMPLE_ROW_CHARS, SAMPLE_CHARS = 80, 4000, 30_000
+#: Parts of a language that are ranked each before the whole.
+SALTS = 64
 #: Letters that get a symbol of their own, at most; others match nothing.
 LETTERS = 120
 #: A text is parsed in blocks of so many symbols; each begins a phrase.
@@ -37,22 +39,20 @@ def held_out(doc_id: Column) -> Column:
 
 
 def labelled_sample(docs: DataFrame, rows: int = SAMPLE_ROWS, row_chars: int = SAMPLE_ROW_CHARS) -> dict[str, list[str]]:
-    """At most `rows` whole texts of each language, chosen by a hash of the text from docs (text, lang).
+    """The first `row_chars` characters of at most `rows` different texts of each language of docs (text, lang).
 
-    The rows of a language are counted first, so that a threshold on the hash leaves a few times `rows` to be ranked,
-    however many there are.
+    Texts go by a salted hash: each of SALTS parts of a language keeps its `rows` smallest marks, and the smallest of
+    those are taken. Copies count once, and a language of any number of rows or length of texts gives `rows` of them, or
+    all that it has.
     """
-    counts = {r.lang: r.n for r in docs.filter("lang is not null").groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
-    if not counts:
-        return {}
-    mark = F.pmod(F.xxhash64("text", F.lit("langid")), F.lit(1 << 30))
-    share = F.lit(0)
-    for lang, n in counts.items():
-        share = F.when(F.col("lang") == lang, int(min(1.0, 8 * rows / n) * (1 << 30))).otherwise(share)
-    chosen = docs.select("lang", "text", mark.alias("mark")).filter(F.col("mark") < share).filter(F.length("text").between(1, row_chars))
-    first = Window.partitionBy("lang").orderBy("mark", "text")
+    own = docs.filter("lang is not null and length(text) > 0").select("lang", "text", F.xxhash64("text", F.lit("langid")).alias("mark"))
+    marks = own.select("lang", "mark").distinct().withColumn("salt", F.pmod("mark", F.lit(SALTS)))
+    for part in (["lang", "salt"], ["lang"]):
+        marks = marks.withColumn("k", F.row_number().over(Window.partitionBy(*part).orderBy("mark"))).filter(F.col("k") <= rows)
+    # Texts are read again for the chosen marks, as many as languages times `rows`; none is shuffled but these.
+    chosen = own.join(F.broadcast(marks.select("lang", "mark", "k")), ["lang", "mark"]).groupBy("lang", "k").agg(F.min(F.substring("text", 1, row_chars)).alias("text"))
     out: dict[str, list[str]] = {}
-    for r in chosen.dropDuplicates(["lang", "text"]).withColumn("k", F.row_number().over(first)).filter(F.col("k") <= rows).orderBy("lang", "k").collect():
+    for r in chosen.orderBy("lang", "k").collect():
         out.setdefault(r.lang, []).append(r.text)
     return out
 

@@ -172,6 +172,15 @@ def test_language_edges(spark):
     assert langid.identify(rows.limit(0), model).count() == 0
 
 
+def test_every_labelled_language_is_sampled(spark):
+    rows = [("long", f"{k} " + "long words " * 500) for k in range(5)] + [("copies", f"copy {k % 20}") for k in range(4000)] + [("many", f"text {k}") for k in range(3000)] + [(None, "x"), ("none", None), ("none", "")]
+    docs = spark.createDataFrame(rows, "lang string, text string")
+    got = langid.labelled_sample(docs, rows=20)
+    assert {k: len(v) for k, v in got.items()} == {"long": 5, "copies": 20, "many": 20}
+    assert all(len(set(v)) == len(v) for v in got.values()) and {len(t) for t in got["long"]} == {langid.SAMPLE_ROW_CHARS}
+    assert got == langid.labelled_sample(docs.repartition(3), rows=20)
+
+
 def test_phrases_by_plain_search():
     train, probe = "the cat sat on the mat and the hat ", "that cat and the rat sat"
     model = langid.Model({"aa": [train]})
