@@ -20,7 +20,8 @@ ORACLE_SQL = None
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that the labelled documents among them teach; those without letters or language go."""
-    return langid.reject(langid.identify(docs.select(*COLUMNS), langid.learn(docs))).select(*COLUMNS)
+    model = langid.learn(docs)
+    return langid.reject(langid.identify(docs.select(*COLUMNS), model), model.limits).select(*COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

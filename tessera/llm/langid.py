@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tessera.llm.common import ship, table
+from tessera.llm.common import ship, table, worker_cache
 
 ship(__name__)
 
@@ -23,15 +23,13 @@ ship(__name__)
 SAMPLE_ROWS, SAMPLE_ROW_CHARS, SAMPLE_CHARS = 80, 4000, 30_000
 #: Parts of a language that are ranked each before the whole.
 SALTS = 64
-#: Letters that get a symbol of their own, at most; others match nothing.
-LETTERS = 120
 #: A text is parsed in blocks of so many symbols; each begins a phrase.
 BLOCK = 2048
 #: Characters that a task parses side by side.
 SIDE_BY_SIDE = 3_000_000
 #: Bits a symbol from which reject() takes a text for no known language: random letters need 11, foreign words of a
-#: known language 6, texts like the learned ones 2 to 5.
-REJECT_BITS = 9.0
+#: known language 6, texts like the learned ones 2 to 5. A language whose own texts need more has so many times their bits.
+REJECT_BITS, OWN_TIMES = 9.0, 2.0
 
 
 def held_out(doc_id: Column) -> Column:
@@ -57,31 +55,44 @@ def labelled_sample(docs: DataFrame, rows: int = SAMPLE_ROWS, row_chars: int = S
     return out
 
 
-def symbol_table(texts: list[str], letters: int = LETTERS) -> np.ndarray:
-    """Symbols of the code points below 65,536: 0 for what is no letter, 2 and up for common letters, 1 for the others."""
-    seen = np.unique(np.frombuffer("".join(texts).lower().encode("utf-32-le"), np.uint32), return_counts=True)
-    ranked = sorted((-n, c) for c, n in zip(*map(np.ndarray.tolist, seen), strict=True) if chr(c).isalpha() and c < 65_536)
-    out = np.fromiter((chr(c).isalpha() for c in range(65_536)), np.uint8, 65_536)
-    for k, (_, c) in enumerate(ranked[:letters]):
-        out[c] = k + 2
-    return out
+def letters() -> np.ndarray:
+    """Whether a code point is a letter; kept as long as the process."""
+    cache = worker_cache()
+    if "letters" not in cache:
+        cache["letters"] = np.fromiter((chr(c).isalpha() for c in range(0x110000)), bool, 0x110000)
+    return cache["letters"]
 
 
-def symbols(texts: list[str], codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """All symbols of lower-cased texts end to end, and their number in each; runs of non-letters are one 0, none leads."""
+def lettered(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """UTF-8 bytes of lower-cased texts end to end, and their number in each; runs of non-letters are one space, none leads."""
     low = [t.lower() for t in texts]
     points = np.frombuffer("".join(low).encode("utf-32-le", "replace"), np.uint32)
     sizes = np.fromiter(map(len, low), np.int64, len(low))
-    out = codes[np.minimum(points, 65_535)]
-    for at in np.flatnonzero(points > 65_535):
-        out[at] = chr(points[at]).isalpha()
-    before = np.empty_like(out)
-    before[1:] = out[:-1]
+    own = letters()[points]
+    before = np.empty_like(own)
+    before[1:] = own[:-1]
     starts = np.cumsum(sizes) - sizes
-    before[starts[sizes > 0]] = 0
-    keep = (out > 0) | (before > 0)
-    kept = np.concatenate([[0], np.cumsum(keep)])
-    return out[keep], kept[starts + sizes] - kept[starts]
+    before[starts[sizes > 0]] = False
+    points = np.where(own, points, 32)
+    width = np.where(own | before, 1 + (points >= 0x80).astype(np.int64) + (points >= 0x800) + (points >= 0x10000), 0)
+    upto = np.concatenate([[0], np.cumsum(width)])
+    raw = points[own | before].astype("<u4").tobytes().decode("utf-32-le").encode()
+    return np.frombuffer(raw, np.uint8), upto[starts + sizes] - upto[starts]
+
+
+def symbol_table(texts: list[str]) -> np.ndarray:
+    """Symbols of bytes: 0 for the space that parts words, 2 and up for bytes of letters of the texts, 1 for the others."""
+    out = np.ones(256, np.uint8)
+    seen = np.unique(lettered(texts)[0])
+    out[seen] = np.arange(2, len(seen) + 2)
+    out[32] = 0
+    return out
+
+
+def symbols(texts: list[str], codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All symbols of lettered() texts, and their number in each."""
+    raw, sizes = lettered(texts)
+    return codes[raw], sizes
 
 
 def suffix_automaton(seq: list[int]) -> list[dict[int, int]]:
@@ -117,8 +128,9 @@ def suffix_automaton(seq: list[int]) -> list[dict[int, int]]:
 class Model:
     """Transitions of all languages in one array: at (row + symbol) the next row, complemented where a phrase begins."""
 
-    def __init__(self, sample: dict[str, list[str]], chars: int = SAMPLE_CHARS):
+    def __init__(self, sample: dict[str, list[str]], chars: int = SAMPLE_CHARS, limits: bool = True):
         self.langs = sorted(sample)
+        self.limits = {lang: max(REJECT_BITS, OWN_TIMES * own_bits(sample[lang], chars)) for lang in self.langs} if limits else {}
         self.codes = symbol_table([t for texts in sample.values() for t in texts])
         self.width = int(self.codes.max(initial=1)) + 1
         tables, self.start, self.price, rows = [], [], [], 0
@@ -187,6 +199,13 @@ class Model:
         return langs, score, bits
 
 
+def own_bits(texts: list[str], chars: int = SAMPLE_CHARS) -> float:
+    """The median of bits a symbol of every second text by the others' automaton; a lone text is cut in two."""
+    if len(texts) == 1:
+        texts = [texts[0][: len(texts[0]) // 2], texts[0][len(texts[0]) // 2 :]]
+    return float(np.median(Model({"": texts[::2]}, chars, limits=False).predict(texts[1::2])[2])) if texts else 0.0
+
+
 def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """Adds lang_pred, score and bits to docs; columns of these names are replaced.
 
@@ -221,9 +240,13 @@ def learn(docs: DataFrame) -> Model:
     return Model(labelled_sample(docs.filter(~held_out(F.col("doc_id"))).select("text", "lang")))
 
 
-def reject(docs: DataFrame, limit: float = REJECT_BITS) -> DataFrame:
-    """The documents (with lang_pred and bits) that are in some learned language: not und, and below `limit` bits a symbol."""
-    return docs.filter((F.col("lang_pred") != "und") & (F.col("bits") < limit))
+def reject(docs: DataFrame, limits: dict[str, float]) -> DataFrame:
+    """The documents (with lang_pred and bits) that are in some learned language: below the `limits` of bits a symbol of
+    the language, a model's `limits`; und has none."""
+    limit = F.lit(None).cast("double")
+    for lang, most in limits.items():
+        limit = F.when(F.col("lang_pred") == lang, most).otherwise(limit)
+    return docs.filter(F.col("bits") < limit)
 
 
 def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:

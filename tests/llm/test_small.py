@@ -172,6 +172,19 @@ def test_language_edges(spark):
     assert langid.identify(rows.limit(0), model).count() == 0
 
 
+def test_languages_of_many_letters(spark):
+    rng = np.random.default_rng(4)
+    sample, probe = {}, {}
+    for lang, base in (("ja", 0x4E00), ("ko", 0xAC00), ("zh", 0x6000), ("deseret", 0x10400)):
+        words = ["".join(chr(base + int(k)) for k in rng.integers(0, 40 if lang == "deseret" else 900, 3)) for _ in range(250)]
+        texts = [" ".join(rng.choice(words, 60)) for _ in range(30)]
+        sample[lang], probe[lang] = texts[:25], texts[25:]
+    model = langid.Model(sample)
+    rows = spark.createDataFrame([(t, lang) for lang, texts in probe.items() for t in texts], "text string, want string")
+    got = langid.reject(langid.identify(rows, model), model.limits).collect()
+    assert len(got) == 20 and all(r.lang_pred == r.want and r.score > 0.3 for r in got)
+
+
 def test_every_labelled_language_is_sampled(spark):
     rows = [("long", f"{k} " + "long words " * 500) for k in range(5)] + [("copies", f"copy {k % 20}") for k in range(4000)] + [("many", f"text {k}") for k in range(3000)] + [(None, "x"), ("none", None), ("none", "")]
     docs = spark.createDataFrame(rows, "lang string, text string")
