@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -12,10 +14,11 @@ from tessera.operators.grid import canvas_ratio
 STRIP = 4096
 
 
-def mosaic(tiles: DataFrame, strip: int = STRIP) -> DataFrame:
+def mosaic(tiles: DataFrame, strip: int = STRIP, digest: bool = False) -> DataFrame:
     """(image_id, strip, width, height, data) from tiles (image_id, width, height, px, py, tile_w, tile_h, data).
 
-    data are 8-bit RGB rows, of tiles and of the result. Later tiles, by (py, px), cover earlier ones. An image is cut into
+    data are 8-bit RGB rows, of tiles and of the result; a tile of one colour may be its one pixel. With `digest` there is
+    checksum, the SHA-256 of the result's data in hex, instead of data. Later tiles, by (py, px), cover earlier ones. An image is cut into
     strips of `strip` rows, a task paints one at a time, so no image has to fit a task whole. Tiles over a cut go to both.
     """
     ends = F.floor((F.col("py") + F.greatest(F.col("tile_h"), F.lit(1)) - 1) / F.lit(float(strip))).cast("int")
@@ -28,13 +31,16 @@ def mosaic(tiles: DataFrame, strip: int = STRIP) -> DataFrame:
         width, height = int(first.width), min(strip, int(first.height) - top)
         canvas = np.zeros((max(height, 0), width, 3), np.uint8)
         for t in group.itertuples():
-            pixels = np.frombuffer(t.data, np.uint8).reshape(t.tile_h, t.tile_w, 3)
+            pixels = np.frombuffer(t.data, np.uint8)
+            pixels = np.broadcast_to(pixels, (t.tile_h, t.tile_w, 3)) if len(pixels) == 3 else pixels.reshape(t.tile_h, t.tile_w, 3)
             y0, y1, x1 = max(t.py, top), min(t.py + t.tile_h, top + height), min(t.px + t.tile_w, width)
             if y1 > y0 and x1 > t.px:
                 canvas[y0 - top : y1 - top, t.px : x1] = pixels[y0 - t.py : y1 - t.py, : x1 - t.px]
-        return pd.DataFrame([(first.image_id, int(first.strip), width, canvas.shape[0], canvas.tobytes())], columns=["image_id", "strip", "width", "height", "data"])
+        result = hashlib.sha256(canvas).hexdigest() if digest else canvas.tobytes()
+        return pd.DataFrame([(first.image_id, int(first.strip), width, canvas.shape[0], result)], columns=["image_id", "strip", "width", "height", last])
 
-    return cut.groupBy("image_id", "strip").applyInPandas(paint, "image_id long, strip int, width int, height int, data binary")
+    last, kind = ("checksum", "string") if digest else ("data", "binary")
+    return cut.groupBy("image_id", "strip").applyInPandas(paint, f"image_id long, strip int, width int, height int, {last} {kind}")
 
 
 def scaled_places(tiles: DataFrame) -> DataFrame:

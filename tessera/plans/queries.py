@@ -356,16 +356,14 @@ def run_progress(spark, sf_dir):
 
 @query()
 def mosaic_checksum(spark, sf_dir):
-    """One-coloured tiles of small images painted and summed."""
+    """One-coloured tiles of all images painted and summed."""
     from tessera.operators.mosaic import mosaic
 
-    small = images(spark, sf_dir).filter("width < 900 and height < 900")
-    tiles = grid.plan_tiles(small.withColumn("overlap", F.lit(1)))
+    tiles = grid.plan_tiles(images(spark, sf_dir).withColumn("overlap", F.lit(1)))
     sides = [F.least(F.col("tile_size") + 1, F.col(s) - F.col(p)).cast("int") for s, p in (("width", "px"), ("height", "py"))]
     colour = F.unhex(F.lpad(F.hex(F.col("image_id") * 31 + F.col("tile_index") * 7), 6, "0"))
-    tiles = tiles.withColumns({"tile_w": sides[0], "tile_h": sides[1]}).withColumn("data", F.unhex(F.repeat(F.hex(colour), F.col("tile_w") * F.col("tile_h"))))
-    painted = mosaic(tiles.select("image_id", F.col("width").cast("int"), F.col("height").cast("int"), "px", "py", "tile_w", "tile_h", "data"))
-    return painted.select("image_id", "strip", "width", "height", F.sha2("data", 256).alias("checksum"))
+    tiles = tiles.withColumns({"tile_w": sides[0], "tile_h": sides[1]}).withColumn("data", colour)
+    return mosaic(tiles.select("image_id", F.col("width").cast("int"), F.col("height").cast("int"), "px", "py", "tile_w", "tile_h", "data"), digest=True)
 
 
 def queries() -> dict:

@@ -89,3 +89,22 @@ def test_fetch_is_off_and_retries(spark):
     rows = {r.url: r for r in fetch(requests, get, per_second=1000, attempts=3, enabled=True).collect()}
     assert rows["http://h/a"].attempts == 1 and bytes(rows["http://h/a"].data) == b"http://h/a"
     assert rows["http://h/b"].attempts == 3 and rows["http://h/b"].error == "no"
+
+
+def test_mosaic_checksum_paints_every_image(spark):
+    import hashlib
+
+    from tessera.plans.queries import images, mosaic_checksum
+
+    sf = "/root/testdata/sf0.001"
+    got = {(r.image_id, r.strip): (r.width, r.height, r.checksum) for r in mosaic_checksum(spark, sf).collect()}
+    rows = images(spark, sf).collect()
+    assert set(got) == {(r.image_id, 0) for r in rows}  # no image is higher than a strip
+    for r in sorted(rows, key=lambda r: -r.width * r.height)[:3] + sorted(rows, key=lambda r: r.width * r.height)[:20]:
+        canvas, k = np.zeros((r.height, r.width, 3), np.uint8), 0
+        for y in range(0, r.height, 256):
+            for x in range(0, r.width, 256):
+                px, py = max(0, x - 1), max(0, y - 1)
+                canvas[py : y + 256, px : x + 256] = list((r.image_id * 31 + k * 7).to_bytes(3, "big"))
+                k += 1
+        assert got[r.image_id, 0] == (r.width, r.height, hashlib.sha256(canvas).hexdigest())
