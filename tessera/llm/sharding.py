@@ -1,4 +1,4 @@
-"""Shards by balanced label propagation: linked documents move towards their neighbours' shards under quotas."""
+"""Shards by balanced label propagation: linked documents move towards their neighbours' shards by swaps under quotas."""
 
 from __future__ import annotations
 
@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import Scratch, cumulated, salts_for, table, text_or_empty
 
-ROUNDS = 12
+#: Rounds that must take a hundredth of the cut together, for more to follow.
+ROUNDS = 4
 
 
 def _by_range(bounds: list[tuple[int, int, int]], at: Column) -> Column:
@@ -33,22 +34,80 @@ def _sizes(blocks: DataFrame, shards: int) -> list[int]:
     return [found.get(s, 0) for s in range(shards)]
 
 
-def _propagate(blocks: DataFrame, room: list[int], salts: int) -> DataFrame:
-    """One round over blocks (hub, shard, n): n documents of a hub, all alike, that are in a shard.
+def _granted(asked: list[list[int]], room: list[int]) -> list[list[int]]:
+    """How many documents of those `asked` from shard to shard may go, so that none grows by more than its room.
+
+    Flows go around cycles of shards, the shortest first, so pairs swap equal numbers; room is a cycle through a place that
+    takes from no shard more than its room gives and gives any shard any number. A cycle uses up a flow, so as many
+    cycles as pairs of shards are looked for at most.
+    """
+    n = len(room)
+    free = [[*row, 0] for row in asked] + [[1 << 62] * n + [0]]
+    for s in range(n):
+        free[s][n], free[s][s] = max(0, room[s]), 0
+    out = [[0] * n for _ in range(n)]
+    for size in range(2, n + 2):
+        for start in range(n + 1):
+            while (cycle := _cycle(free, start, size)) is not None:
+                steps = list(zip(cycle, cycle[1:] + cycle[:1], strict=True))
+                m = min(free[a][b] for a, b in steps)
+                for a, b in steps:
+                    free[a][b] -= m
+                    if a < n and b < n:
+                        out[a][b] += m
+    return out
+
+
+def _cycle(free: list[list[int]], start: int, size: int) -> list[int] | None:
+    """A shortest cycle from `start` with at most `size` places; the room alone makes none."""
+    n = len(free) - 1
+    came, ahead = {start: -1}, [start]
+    for _ in range(size - 1):
+        after = []
+        for a in ahead:
+            for b in range(n + 1):
+                if b not in came and free[a][b] > 0:
+                    came[b] = a
+                    after.append(b)
+        for b in after:
+            # From the room to a shard and straight back moves nothing.
+            if free[b][start] > 0 and not (n in (b, start) and came[b] == start):
+                out = [b]
+                while came[out[-1]] >= 0:
+                    out.append(came[out[-1]])
+                return out[::-1]
+        ahead = after
+    return None
+
+
+def _propagate(blocks: DataFrame, room: list[int], caps: list[int], salts: int, k: int, scratch: Scratch) -> DataFrame:
+    """Round k over blocks (hub, shard, n): n documents of a hub, all alike, that are in a shard.
 
     The documents of a block see their neighbours' shards by a join on the hub and ask to move to the one with most of
-    them that has room, if more are there than in their own. Requests to a shard are granted until its room is used.
+    them, each block's number raised by a random part that is new in each round, so that ties fall either way. A shard
+    full of one hub is no target. Requests are granted as far as shards swap, or have room.
     """
-    open_to = F.col("shard").isin([s for s, n in enumerate(room) if n > 0])
-    best = blocks.filter(open_to).groupBy("hub").agg(F.max(F.struct("n", -F.col("shard"))).alias("top"))
-    best = best.select("hub", F.col("top.n").alias("there"), (-F.col("top.col2")).alias("target"))
-    asked = blocks.join(best, "hub").filter((F.col("target") != F.col("shard")) & ((F.col("there") > F.col("n")) | ((F.col("there") == F.col("n")) & (F.col("target") < F.col("shard")))))
-    asked = cumulated(asked, ["target"], ["hub", "shard"], "n", "before", salts)
-    free = F.element_at(F.array(*[F.lit(int(n)).cast("long") for n in room]), F.col("target") + 1)
+    shards = len(room)
+    cap, cut = _numbers(caps, F.col("shard")), blocks.join(blocks.groupBy("hub").agg(F.count(F.lit(1)).alias("__parts")).filter("__parts > 1").select("hub"), "hub")
+    luck = F.pmod(F.xxhash64("hub", "shard", F.lit(k)), F.lit(1000)) * (1 if k % 2 else 3)
+    best = cut.filter(F.col("n") < cap).groupBy("hub").agg(F.max(F.struct(F.col("n") * (1000 + luck), "shard")).alias("top")).select("hub", F.col("top.shard").alias("target"))
+    asked = scratch.put(cut.join(best, "hub").filter((F.col("target") != F.col("shard")) & (F.col("n") < cap)).select("hub", "shard", "target", "n"), "asked")
+    flows = [[0] * shards for _ in range(shards)]
+    for r in asked.groupBy("shard", "target").agg(F.sum("n").alias("n")).collect():
+        flows[r.shard][r.target] = r.n
+    granted = [x for row in _granted(flows, room) for x in row]
+    asked = cumulated(asked, ["shard", "target"], ["hub"], "n", "before", salts)
+    free = _numbers(granted, F.col("shard") * shards + F.col("target"))
     moved = asked.withColumn("m", F.least(F.col("n"), F.greatest(F.lit(0), free - F.col("before")))).filter("m > 0")
     gone = moved.select("hub", "shard", (-F.col("m")).alias("n"))
     come = moved.select("hub", F.col("target").alias("shard"), F.col("m").alias("n"))
-    return blocks.unionByName(gone).unionByName(come).groupBy("hub", "shard").agg(F.sum("n").alias("n")).filter("n > 0")
+    out = scratch.put(blocks.unionByName(gone).unionByName(come).groupBy("hub", "shard").agg(F.sum("n").alias("n")).filter("n > 0"), "blocks")
+    scratch.drop(blocks)
+    return out
+
+
+def _numbers(values: list[int], at: Column) -> Column:
+    return F.get(F.split(F.lit(" ".join(map(str, values))), " ").cast("array<bigint>"), at)
 
 
 def _trim(blocks: DataFrame, caps: list[int], sizes: list[int], salts: int) -> DataFrame:
@@ -81,16 +140,15 @@ def shard_rows(docs: DataFrame, shards: int, rounds: int = ROUNDS) -> DataFrame:
     caps = [total // shards + (s < total % shards) for s in range(shards)]
     blocks = scratch.put(hubs.join(linked, "hub").select("hub", "shard", "n"), "blocks")
     sizes = _sizes(blocks, shards)
-    for _ in range(rounds):
-        room = [c - s for c, s in zip(caps, sizes, strict=True)]
-        if not any(n > 0 for n in room):
-            break
-        after = scratch.put(_propagate(blocks, room, salts), "blocks")
-        moved = after.exceptAll(blocks).isEmpty()
-        scratch.drop(blocks)
-        blocks, sizes = after, _sizes(after, shards)
-        if moved:
+    # The cut is the blocks beyond one of each hub; rounds end where the last `rounds` took less than a hundredth of it.
+    hubs_linked, cuts, k = linked.count(), [], 0
+    while True:
+        cuts.append(blocks.count() - hubs_linked)
+        if not cuts[-1] or (k >= rounds and cuts[-1 - rounds] - cuts[-1] <= cuts[-1] / 100):
             break
+        room = [c - s for c, s in zip(caps, sizes, strict=True)]
+        blocks = _propagate(blocks, room, caps, salts, k, scratch)
+        sizes, k = _sizes(blocks, shards), k + 1
     if any(s > c for s, c in zip(sizes, caps, strict=True)):
         after = scratch.put(_trim(blocks, caps, sizes, salts), "blocks")
         scratch.drop(blocks)
