@@ -345,18 +345,6 @@ def test_shards(spark, hubs):
     assert cut <= max(8, sum(-(-n // max(1, len(hubs) // 8)) for n in collections.Counter(h for h in hubs if h).values() if n > len(hubs) // 8))
 
 
-def test_shards_of_pairs_alone(spark):
-    docs = spark.range(8000).selectExpr("id", "cast(id div 2 as string) AS hub")
-    rows = sharding.shard_rows(docs, 16).collect()
-    assert set(collections.Counter(r.shard for r in rows).values()) == {500}
-    by = collections.defaultdict(set)
-    for r in rows:
-        by[r.hub].add(r.shard)
-    cut = sum(len(x) - 1 for x in by.values())
-    print("cut", cut)
-    assert cut <= 80  # of 4000 pairs; documents dealt at random cut 3750
-
-
 def test_sharding_query(spark):
     rows = sharding.op9_sharding(spark, "/root/testdata/sf0.001").collect()
     for s in range(16):
