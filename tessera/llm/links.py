@@ -1,9 +1,10 @@
 """Verified links from buckets of candidates, and connected components, as joins and aggregations.
 
 A bucket holds the ids that some hash puts together. The one that meets most ids over all buckets leads it: leader and
-member are compared first, so a bucket of any size costs a comparison a member. Where that leaves a bucket with more than
-one component, blocks of ids are compared inside tasks, across components only, so no link between components is lost
-and no group emits all its pairs.
+member are compared first, so a bucket of any size costs a comparison a member. Ids in buckets that this leaves with more
+than one component are put in finer buckets by an exact filter, where there is one, and meet further leaders. What still
+is in several components is compared in blocks inside tasks, across components only, so no link between components is
+lost and no group emits all its pairs.
 """
 
 from __future__ import annotations
@@ -21,6 +22,8 @@ ship(__name__)
 ROUNDS = 60
 #: Ids, and bytes of payload, in a block of ids that a task compares with another; about, as a hash deals them out.
 BLOCK, BLOCK_BYTES = 256, 16_000_000
+#: Leaders of a bucket, one after another, before its rest is compared in blocks.
+LEADERS = 3
 
 
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
@@ -53,35 +56,74 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     return now.select(F.col("a").alias("id"), F.col("b").alias("component")).unionByName(now.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct())
 
 
-def linked_components(buckets: DataFrame, payload: DataFrame, verify: Callable[[DataFrame], DataFrame], near: Callable, scratch: Scratch, weight: str | None = None) -> DataFrame:
+def linked_components(buckets: DataFrame, payload: DataFrame, verify: Callable[[DataFrame], DataFrame], near: Callable, scratch: Scratch, weight: str | None = None, narrow: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """(id, component) of the ids in buckets (bucket, id) that have a link, by verified links only.
 
     payload (id, ...) holds what is compared. verify takes distinct pairs (a, b) and returns those that are links. near
     takes the payload columns of two blocks as Arrow tables and returns their matrix of links. weight is a payload column
-    with the bytes of a row, where they differ much.
+    with the bytes of a row, where they differ much. narrow takes ids and returns buckets (bucket, id) of which every two
+    linked ids share one: an exact filter for the ids that the first leaders leave in several components.
+    """
+    found, mixed = _by_leaders(buckets, None, verify, scratch, LEADERS if narrow is None else 1)
+    if mixed is not None and narrow is not None:
+        finer = narrow(mixed.select("id").distinct())
+        scratch.drop(mixed)
+        found, mixed = _by_leaders(finer, found, verify, scratch, LEADERS)
+    if mixed is None:
+        return found
+    more = scratch.put(_across(mixed, payload, near, scratch, weight), "more-links")
+    scratch.drop(mixed)
+    return found if more.isEmpty() else _merged(found, more, scratch)
+
+
+def _by_leaders(buckets: DataFrame, found: DataFrame | None, verify: Callable, scratch: Scratch, rounds: int) -> tuple[DataFrame, DataFrame | None]:
+    """Components (id, component) after `rounds` rounds, and what is left: (bucket, id, component, top, leader), or None.
+
+    A round compares each bucket's leader with the members of other components, a comparison a member at most. The leader
+    then leaves the bucket, as no link of its own can be missing there, and buckets of one component leave altogether.
     """
     buckets = scratch.put(buckets.select("bucket", "id"), "buckets")
     sizes = scratch.put(buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("low"), F.max("id").alias("high")).filter("low < high").select("bucket", "n"), "sizes")
     shared = scratch.put(buckets.join(sizes, "bucket"), "shared")
     scratch.drop(buckets, sizes)
     centre = scratch.put(shared.groupBy("id").agg(F.sum("n").alias("met")), "centre")
-    shared = scratch.put(shared.join(centre, "id").select("bucket", "id", "met"), "shared")
-    leaders = scratch.put(shared.groupBy("bucket").agg(F.max(F.struct("met", (-F.col("id")).alias("minus"))).alias("top")).select("bucket", F.col("top.met").alias("top"), (-F.col("top.minus")).alias("leader")), "leaders")
-    led = scratch.put(shared.select("bucket", "id").join(leaders, "bucket"), "led")
-    scratch.drop(shared, centre, leaders)
-    pairs = scratch.put(led.filter("id <> leader").select(F.least("leader", "id").alias("a"), F.greatest("leader", "id").alias("b")).distinct(), "star-pairs")
-    links = scratch.put(verify(pairs), "star-links")
-    found = scratch.put(components(links, scratch), "components")
-
-    named = scratch.put(led.join(found, "id", "left").select("bucket", "id", "component", "top", "leader"), "named")
-    scratch.drop(led, pairs)
+    now = scratch.put(shared.join(centre, "id").select("bucket", "id", "met"), "shared")
+    scratch.drop(shared, centre)
     own = F.coalesce("component", "id")
-    mixed = scratch.put(named.groupBy("bucket").agg(F.min(own).alias("low"), F.max(own).alias("high")).filter("low < high").select("bucket"), "mixed")
-    more = scratch.put(_across(named.join(mixed, "bucket"), payload, near, scratch, weight), "more-links")
-    scratch.drop(named, mixed)
-    if more.isEmpty():
-        return found
-    return scratch.put(components(links.unionByName(more), scratch), "components")
+    for k in range(rounds):
+        named = (now.withColumn("component", F.lit(None).cast("long")) if found is None else now.select("bucket", "id", "met").join(found, "id", "left")).select("bucket", "id", "met", "component")
+        if found is not None:
+            named = scratch.put(named, "named")
+            mixed = named.groupBy("bucket").agg(F.min(own).alias("low"), F.max(own).alias("high")).filter("low < high").select("bucket")
+            left = scratch.put(named.join(mixed, "bucket"), "mixed")
+            scratch.drop(now, named)
+            now = named = left
+            if now.isEmpty():
+                scratch.drop(now)
+                return found, None
+        leaders = scratch.put(named.groupBy("bucket").agg(F.max(F.struct("met", (-F.col("id")).alias("minus"), own.alias("own"))).alias("top")).select("bucket", F.col("top.met").alias("top"), (-F.col("top.minus")).alias("leader"), F.col("top.own").alias("leads")), "leaders")
+        led = scratch.put(named.join(leaders, "bucket").filter(F.col("id") != F.col("leader")), "led")
+        pairs = scratch.put(led.filter(own != F.col("leads")).select(F.least("leader", "id").alias("a"), F.greatest("leader", "id").alias("b")).distinct(), "star-pairs")
+        links = scratch.put(verify(pairs), "star-links")
+        found = scratch.put(components(links, scratch), "components") if found is None else _merged(found, links, scratch)
+        scratch.drop(now, leaders, pairs, links)
+        now = led
+    named = scratch.put(now.select("bucket", "id", "top", "leader").join(found, "id", "left"), "named")
+    mixed = named.groupBy("bucket").agg(F.min(own).alias("low"), F.max(own).alias("high")).filter("low < high").select("bucket")
+    left = scratch.put(named.join(mixed, "bucket").select("bucket", "id", "component", "top", "leader"), "mixed")
+    scratch.drop(now, named)
+    return found, None if left.isEmpty() else left
+
+
+def _merged(found: DataFrame, links: DataFrame, scratch: Scratch) -> DataFrame:
+    """Components after further links (a, b): those of found (id, component) are joined as wholes."""
+    ends = [found.select(F.col("id").alias(x), F.col("component").alias(f"c{x}")) for x in "ab"]
+    edges = links.join(ends[0], "a", "left").join(ends[1], "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+    moved = scratch.put(components(edges, scratch), "moved")
+    to = moved.select(F.col("id").alias("component"), F.col("component").alias("to"))
+    after = found.join(to, "component", "left").select("id", F.coalesce("to", "component").alias("component"))
+    alone = moved.join(found.select("id"), "id", "left_anti").select("id", "component")
+    return scratch.put(after.unionByName(alone), "components")
 
 
 def _across(named: DataFrame, payload: DataFrame, near: Callable, scratch: Scratch, weight: str | None) -> DataFrame:

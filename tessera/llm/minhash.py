@@ -12,8 +12,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tessera.llm.common import Scratch, ship, table
 from tessera.llm.links import linked_components
@@ -138,7 +139,7 @@ def _parts(sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
 
 
 def signatures(docs: DataFrame, size: int = WORDS, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """(id, key, bands) for docs (id, text). key tells different word sequences apart, or texts where there are no words.
+    """(id, mark, key, bands) for docs (id, text, mark). key tells different word sequences apart, or texts where there are no words.
 
     The bands of a text without words are empty, as are those of a null text, whose key is null.
     """
@@ -161,9 +162,9 @@ def signatures(docs: DataFrame, size: int = WORDS, bands: int = BANDS, rows: int
                 codes = mix((signed.reshape(n, bands, rows) * factors).sum(axis=2, dtype=np.uint64) + np.arange(bands, dtype=np.uint64) * STEP).astype(np.int64)
                 some = counts > 0
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(some * bands)]), pa.int32()), pa.array(codes[some].ravel()))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(keys, pa.binary()), lists], ["id", "key", "bands"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(keys, pa.binary()), lists], ["id", "mark", "key", "bands"])
 
-    return docs.select("id", "text").mapInArrow(run, "id long, key binary, bands array<long>")
+    return docs.select("id", "text", "mark").mapInArrow(run, "id long, mark long, key binary, bands array<long>")
 
 
 def _sets(texts: list[str], is_word: np.ndarray, size: int) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -226,6 +227,39 @@ def text_links(texts: DataFrame, size: int, least: float):
     return verify
 
 
+def rare_shingles(texts: DataFrame, size: int, least: float, scratch: Scratch):
+    """narrow() for linked_components: the rarest shingles of each text, up to a share of 1 - `least` of its weight.
+
+    Shingles are ordered by the number of these texts that hold them, then by their hash. A shared shingle wins a register
+    of a text with the share of the text's weight that it has, so texts of similarity `least` share that much of either's
+    weight at least; of what they share the first in the order has at most 1 - `least` before it in both texts, and is
+    among the rare ones of both. Shingles that no other of these texts holds count in the shares, but make no bucket.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        is_word = word_characters()
+        for batch in batches:
+            for at, n in _parts(np.array(pc.binary_length(batch.column(1))), AT_ONCE):
+                part = batch.slice(at, n)
+                words, counts = words_of(part.column(1).to_pylist(), is_word)
+                text, shingle, weight = shingles_of(words, counts, size)
+                share = weight / np.bincount(text, weight, n)[text]
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(text)), pa.array(shingle.astype(np.int64)), pa.array(share)], ["id", "shingle", "share"])
+
+    def narrow(ids: DataFrame) -> DataFrame:
+        each = scratch.put(texts.join(ids, "id").select("id", "text").mapInArrow(run, "id long, shingle long, share double"), "shingles")
+        held = each.groupBy("shingle").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+        ranked = scratch.put(each.join(held, "shingle"), "held-shingles")
+        own = Window.partitionBy("id")
+        ahead = F.coalesce(F.sum("share").over(own.orderBy("n", "shingle").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+        before = ranked.select("id", "shingle", (1 - F.sum("share").over(own) + ahead).alias("before"))
+        rare = scratch.put(before.filter(F.col("before") <= 1 - least + 1e-9).select(F.col("shingle").alias("bucket"), "id"), "rare")
+        scratch.drop(each, ranked)
+        return rare
+
+    return narrow
+
+
 def block_links(size: int, least: float):
     def near(left: pa.Table, right: pa.Table) -> np.ndarray:
         return near_texts(left.column(0).to_pylist(), right.column(0).to_pylist(), word_characters(), size, least)
@@ -233,34 +267,46 @@ def block_links(size: int, least: float):
     return near
 
 
+def text_mark() -> Column:
+    """Tells rows of one id apart by their texts."""
+    return F.xxhash64("text")
+
+
 def near_documents(docs: DataFrame, size: int = WORDS, least: float = LEAST, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """(id, component_id, kept) for docs (id long, text), one row for each row.
+    """(id, mark, component_id, kept, group) for docs (id long, text), one row for each row; other columns are left out.
 
     Documents link where the probability Jaccard of their shingles, weighted by their counts, is at least `least`;
     shingles are `size` lower-cased words, or all words of a shorter text. Texts without words link with equal texts
     only, empty ones among them; null texts with nothing. component_id is the smallest id that links reach, kept tells
-    whether it is the row's own; rows that repeat an id get equal rows. Equal word sequences are one class from the
-    start, so copies meet no comparison; of classes, a pair of similarity `least` becomes a candidate with probability
-    1 - (1 - least**rows)**bands, and every candidate is decided by its exact similarity. No rows give no rows.
+    whether it is the row's own, group is a number of the group, null for a null text. Rows that repeat an id are told
+    apart by mark, text_mark() of their text: each is in the group of its own text. Equal word sequences are one class
+    from the start, so copies meet no comparison; of classes, a pair of similarity `least` becomes a candidate with
+    probability 1 - (1 - least**rows)**bands, and every candidate is decided by its exact similarity. A text of any
+    length is one row, shingled whole. No rows give no rows.
     """
     scratch = Scratch(docs.sparkSession, "minhash")
-    docs = docs.select("id", "text")
+    docs = docs.select("id", "text", text_mark().alias("mark"))
     signed = scratch.put(signatures(docs, size, bands, rows), "signatures")
-    firsts = scratch.put(signed.filter("key is not null").groupBy("key").agg(F.min("id").alias("rep")), "classes")
-    led = signed.join(firsts, "key").filter("id = rep and size(bands) > 0").dropDuplicates(["id"])
-    buckets = led.select("id", F.posexplode("bands").alias("band", "code")).select(F.xxhash64("band", "code").alias("bucket"), "id")
+    firsts = signed.filter("key is not null").groupBy("key").agg(F.min(F.struct("id", "mark")).alias("first"))
+    firsts = scratch.put(firsts.select("key", "first.id", "first.mark", F.monotonically_increasing_id().alias("class")), "classes")
+    led = signed.filter("size(bands) > 0").join(firsts, ["key", "id", "mark"]).groupBy("class").agg(F.first("bands").alias("bands"))  # equal for all rows of a class
+    buckets = led.select(F.col("class").alias("id"), F.posexplode("bands").alias("band", "code")).select(F.xxhash64("band", "code").alias("bucket"), "id")
     buckets = scratch.put(buckets, "all-buckets")
     several = buckets.groupBy("bucket").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low < high").select("bucket")
     met = scratch.put(buckets.join(several, "bucket"), "met")
     scratch.drop(buckets)
-    wanted = scratch.put(met.select("id").distinct(), "wanted")
-    texts = scratch.put(docs.join(wanted, "id").dropDuplicates(["id"]).select("id", "text", F.octet_length("text").alias("bytes")), "texts")
-    parts = linked_components(met, texts, text_links(texts, size, least), block_links(size, least), scratch, "bytes")
-    by_key = scratch.put(firsts.join(parts.withColumnRenamed("id", "rep"), "rep", "left").select("key", F.coalesce("component", "rep").alias("component_id")), "by-key")
-    out = signed.select("id", "key").join(by_key, "key", "left").withColumn("component_id", F.coalesce("component_id", "id"))
-    return out.select("id", "component_id", (F.col("id") == F.col("component_id")).alias("kept"))
+    wanted = scratch.put(met.select(F.col("id").alias("class")).distinct().join(firsts, "class").select("class", "id", "mark"), "wanted")
+    texts = docs.join(wanted, ["id", "mark"]).select(F.col("class").alias("id"), "text", F.octet_length("text").alias("bytes")).dropDuplicates(["id"])  # equal for all rows of a class
+    texts = scratch.put(texts, "texts")
+    parts = linked_components(met, texts, text_links(texts, size, least), block_links(size, least), scratch, "bytes", rare_shingles(texts, size, least, scratch))
+    parts = parts.withColumnRenamed("id", "class")
+    grouped = scratch.put(firsts.join(parts, "class", "left").select("key", "id", F.coalesce("component", "class").alias("group")), "groups")
+    least_ids = grouped.groupBy("group").agg(F.min("id").alias("component_id"))
+    by_key = scratch.put(grouped.select("key", "group").join(least_ids, "group"), "by-key")
+    out = signed.select("id", "mark", "key").join(by_key, "key", "left").withColumn("component_id", F.coalesce("component_id", "id"))
+    return out.select("id", "mark", "component_id", (F.col("id") == F.col("component_id")).alias("kept"), "group")
 
 
 def op2_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("id"), "text")
-    return near_documents(docs).withColumnRenamed("id", "doc_id")
+    return near_documents(docs).select(F.col("id").alias("doc_id"), "component_id", "kept")
