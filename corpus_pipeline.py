@@ -25,12 +25,24 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest doc_id of each group of near-duplicates, once. Rows without a doc_id all stay."""
+    """One document of each group of near-duplicates, that of the smallest doc_id.
+
+    Rows that repeat a doc_id are judged each by its own text; where several rows of a group have its smallest doc_id, that
+    of the smallest mark of its text stays, and of rows with equal texts the first by lang, source and n_chars. Rows
+    without a doc_id or a text all stay. Texts of any length are compared whole; ties in similarity can't matter, as
+    groups are what links reach. No rows give no rows.
+    """
     docs = docs.select(*COLUMNS)
+    scratch = Scratch(spark, "near-duplicates")
     named = docs.filter("doc_id is not null")
-    groups = minhash.near_documents(named.select(F.col("doc_id").cast("long").alias("id"), "text"))
-    kept = groups.filter("kept").select(F.col("id").alias("doc_id")).distinct()
-    return named.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).unionByName(docs.filter("doc_id is null"))
+    groups = scratch.put(minhash.near_documents(named.select(F.col("doc_id").cast("long").alias("id"), "text")), "groups")
+    kept = groups.filter("group is not null").groupBy("group").agg(F.min(F.struct("id", "mark")).alias("top")).select(F.col("top.id").alias("doc_id"), F.col("top.mark").alias("__mark"))
+    stays = named.filter("text is not null").withColumn("__mark", minhash.text_mark()).join(kept, ["doc_id", "__mark"], "left_semi")
+    again = groups.filter("group is not null").groupBy(F.col("id").alias("doc_id"), F.col("mark").alias("__mark")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("doc_id", "__mark")
+    once = stays.join(again, ["doc_id", "__mark"], "left_anti")
+    rest = stays.join(again, ["doc_id", "__mark"], "left_semi").groupBy("doc_id", "__mark").agg(F.min(F.struct("lang", "source", "n_chars", "text")).alias("first"))
+    rest = rest.select("doc_id", "first.text", "first.lang", "first.source", "first.n_chars")
+    return once.select(*COLUMNS).unionByName(rest.select(*COLUMNS)).unionByName(docs.filter("doc_id is null or text is null"))
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
