@@ -30,89 +30,85 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """(id, component) of every id in edges (a, b): component is the smallest id that links reach.
 
     Each round hangs every neighbour of an id, and the id itself, from the smallest of them (larger ones first, then
-    smaller ones), until no round changes the edges. A hub of any degree is a row for each of its edges and is
-    aggregated before it is shuffled; rounds grow with the logarithm of the longest path.
+    smaller ones), until every id hangs from one id that hangs from none. A hub of any degree is a row for each of its
+    edges and is aggregated before it is shuffled; rounds grow with the logarithm of the longest path.
     """
     now = scratch.put(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    count = None
     for _ in range(ROUNDS):
+        roles = now.select(F.col("a").alias("id"), F.lit(1).alias("hangs"), F.lit(0).alias("holds")).unionByName(now.select(F.col("b").alias("id"), F.lit(0).alias("hangs"), F.lit(1).alias("holds")))
+        if roles.groupBy("id").agg(F.sum("hangs").alias("hangs"), F.max("holds").alias("holds")).filter("hangs > 1 or hangs > 0 and holds > 0").isEmpty():
+            return now.select(F.col("a").alias("id"), F.col("b").alias("component")).unionByName(now.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct())
         # Large star: neighbours above an id hang from its smallest neighbour.
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = scratch.put(both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m")), "least")
+        least = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
         large = scratch.put(both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), "large")
         # Small star: an id and its smaller neighbours hang from the smallest of them.
-        least_below = scratch.put(large.groupBy("a").agg(F.min("b").alias("m")), "least")
-        small = large.join(least_below, "a")
-        after = small.filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least_below.select("a", F.col("m").alias("b"))).distinct()
-        after = scratch.put(after, "edges")
-        sums = after.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        scratch.drop(now, least, large, least_below)
+        below = large.groupBy("a").agg(F.min("b").alias("m"))
+        small = large.join(below, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        after = scratch.put(small.unionByName(below.select("a", F.col("m").alias("b"))).distinct(), "edges")
+        scratch.drop(now, large)
         now = after
-        if tuple(sums) == count:
-            break
-        count = tuple(sums)
-    else:
-        raise RuntimeError(f"components did not settle in {ROUNDS} rounds")
-    return now.select(F.col("a").alias("id"), F.col("b").alias("component")).unionByName(now.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct())
+    raise RuntimeError(f"components did not settle in {ROUNDS} rounds")
+
+
+def shared_buckets(buckets: DataFrame, scratch: Scratch) -> DataFrame:
+    """(bucket, id, met): the buckets (bucket, id) that hold several ids; met is how many ids an id meets in all of them."""
+    sizes = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("low"), F.max("id").alias("high")).filter("low < high").select("bucket", "n")
+    shared = scratch.put(buckets.join(sizes, "bucket").select("bucket", "id", "n"), "shared")
+    met = scratch.put(shared.join(shared.groupBy("id").agg(F.sum("n").alias("met")), "id").select("bucket", "id", "met"), "met")
+    scratch.drop(shared)
+    return met
 
 
-def linked_components(buckets: DataFrame, payload: DataFrame, verify: Callable[[DataFrame], DataFrame], near: Callable, scratch: Scratch, weight: str | None = None, narrow: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
-    """(id, component) of the ids in buckets (bucket, id) that have a link, by verified links only.
+def linked_components(shared: DataFrame, payload: DataFrame, verify: Callable[[DataFrame], DataFrame], near: Callable, scratch: Scratch, weight: str | None = None, narrow: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """(id, component) of the ids in shared_buckets() that have a link, by verified links only.
 
     payload (id, ...) holds what is compared. verify takes distinct pairs (a, b) and returns those that are links. near
     takes the payload columns of two blocks as Arrow tables and returns their matrix of links. weight is a payload column
     with the bytes of a row, where they differ much. narrow takes ids and returns buckets (bucket, id) of which every two
     linked ids share one: an exact filter for the ids that the first leaders leave in several components.
     """
-    found, mixed = _by_leaders(buckets, None, verify, scratch, LEADERS if narrow is None else 1)
+    found, mixed = _by_leaders(shared, None, verify, scratch, LEADERS if narrow is None else 1)
     if mixed is not None and narrow is not None:
         finer = narrow(mixed.select("id").distinct())
-        scratch.drop(mixed)
-        found, mixed = _by_leaders(finer, found, verify, scratch, LEADERS)
+        found, mixed = _by_leaders(shared_buckets(finer, scratch), found, verify, scratch, LEADERS)
+        scratch.drop(finer)
     if mixed is None:
         return found
     more = scratch.put(_across(mixed, payload, near, scratch, weight), "more-links")
-    scratch.drop(mixed)
     return found if more.isEmpty() else _merged(found, more, scratch)
 
 
-def _by_leaders(buckets: DataFrame, found: DataFrame | None, verify: Callable, scratch: Scratch, rounds: int) -> tuple[DataFrame, DataFrame | None]:
-    """Components (id, component) after `rounds` rounds, and what is left: (bucket, id, component, top, leader), or None.
+def _by_leaders(now: DataFrame, found: DataFrame | None, verify: Callable, scratch: Scratch, rounds: int) -> tuple[DataFrame, DataFrame | None]:
+    """Components (id, component) after at most `rounds` rounds, and what is left: (bucket, id, component, top, leader), or None.
 
     A round compares each bucket's leader with the members of other components, a comparison a member at most. The leader
-    then leaves the bucket, as no link of its own can be missing there, and buckets of one component leave altogether.
+    then leaves the bucket, as no link of its own can be missing there, and buckets of one component leave altogether. A
+    round without links is the last.
     """
-    buckets = scratch.put(buckets.select("bucket", "id"), "buckets")
-    sizes = scratch.put(buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("low"), F.max("id").alias("high")).filter("low < high").select("bucket", "n"), "sizes")
-    shared = scratch.put(buckets.join(sizes, "bucket"), "shared")
-    scratch.drop(buckets, sizes)
-    centre = scratch.put(shared.groupBy("id").agg(F.sum("n").alias("met")), "centre")
-    now = scratch.put(shared.join(centre, "id").select("bucket", "id", "met"), "shared")
-    scratch.drop(shared, centre)
     own = F.coalesce("component", "id")
-    for k in range(rounds):
-        named = (now.withColumn("component", F.lit(None).cast("long")) if found is None else now.select("bucket", "id", "met").join(found, "id", "left")).select("bucket", "id", "met", "component")
-        if found is not None:
-            named = scratch.put(named, "named")
-            mixed = named.groupBy("bucket").agg(F.min(own).alias("low"), F.max(own).alias("high")).filter("low < high").select("bucket")
-            left = scratch.put(named.join(mixed, "bucket"), "mixed")
-            scratch.drop(now, named)
-            now = named = left
-            if now.isEmpty():
-                scratch.drop(now)
-                return found, None
-        leaders = scratch.put(named.groupBy("bucket").agg(F.max(F.struct("met", (-F.col("id")).alias("minus"), own.alias("own"))).alias("top")).select("bucket", F.col("top.met").alias("top"), (-F.col("top.minus")).alias("leader"), F.col("top.own").alias("leads")), "leaders")
-        led = scratch.put(named.join(leaders, "bucket").filter(F.col("id") != F.col("leader")), "led")
-        pairs = scratch.put(led.filter(own != F.col("leads")).select(F.least("leader", "id").alias("a"), F.greatest("leader", "id").alias("b")).distinct(), "star-pairs")
+
+    def mixed(rows: DataFrame) -> DataFrame:
+        several = rows.groupBy("bucket").agg(F.min(own).alias("low"), F.max(own).alias("high")).filter("low < high").select("bucket")
+        return rows.join(several, "bucket")
+
+    now = now.withColumn("component", F.lit(None).cast("long")) if found is None else scratch.put(mixed(now.join(found, "id", "left").select("bucket", "id", "met", "component")), "mixed")
+    for _ in range(rounds):
+        leaders = now.groupBy("bucket").agg(F.max(F.struct("met", (-F.col("id")).alias("minus"), own.alias("own"))).alias("top"))
+        leaders = leaders.select("bucket", F.col("top.met").alias("top"), (-F.col("top.minus")).alias("leader"), F.col("top.own").alias("leads"))
+        led = scratch.put(now.select("bucket", "id", "met", "component").join(leaders, "bucket").filter(F.col("id") != F.col("leader")), "led")
+        pairs = led.filter(own != F.col("leads")).select(F.least("leader", "id").alias("a"), F.greatest("leader", "id").alias("b")).distinct()
         links = scratch.put(verify(pairs), "star-links")
-        found = scratch.put(components(links, scratch), "components") if found is None else _merged(found, links, scratch)
-        scratch.drop(now, leaders, pairs, links)
-        now = led
-    named = scratch.put(now.select("bucket", "id", "top", "leader").join(found, "id", "left"), "named")
-    mixed = named.groupBy("bucket").agg(F.min(own).alias("low"), F.max(own).alias("high")).filter("low < high").select("bucket")
-    left = scratch.put(named.join(mixed, "bucket").select("bucket", "id", "component", "top", "leader"), "mixed")
-    scratch.drop(now, named)
-    return found, None if left.isEmpty() else left
+        none = links.isEmpty()
+        if found is None:
+            found = scratch.put(components(links, scratch), "components")
+        elif not none:
+            found = _merged(found, links, scratch)
+        now = scratch.put(mixed(led.drop("component").join(found, "id", "left")), "mixed")
+        scratch.drop(led, links)
+        if none:
+            break
+    return found, None if now.isEmpty() else now.select("bucket", "id", "component", "top", "leader")
 
 
 def _merged(found: DataFrame, links: DataFrame, scratch: Scratch) -> DataFrame:

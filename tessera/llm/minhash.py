@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessera.llm.common import Scratch, ship, table
-from tessera.llm.links import linked_components
+from tessera.llm.links import linked_components, shared_buckets
 
 ship(__name__)
 
@@ -249,12 +249,12 @@ def rare_shingles(texts: DataFrame, size: int, least: float, scratch: Scratch):
     def narrow(ids: DataFrame) -> DataFrame:
         each = scratch.put(texts.join(ids, "id").select("id", "text").mapInArrow(run, "id long, shingle long, share double"), "shingles")
         held = each.groupBy("shingle").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-        ranked = scratch.put(each.join(held, "shingle"), "held-shingles")
+        ranked = each.join(held, "shingle")
         own = Window.partitionBy("id")
         ahead = F.coalesce(F.sum("share").over(own.orderBy("n", "shingle").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
         before = ranked.select("id", "shingle", (1 - F.sum("share").over(own) + ahead).alias("before"))
         rare = scratch.put(before.filter(F.col("before") <= 1 - least + 1e-9).select(F.col("shingle").alias("bucket"), "id"), "rare")
-        scratch.drop(each, ranked)
+        scratch.drop(each)
         return rare
 
     return narrow
@@ -291,14 +291,12 @@ def near_documents(docs: DataFrame, size: int = WORDS, least: float = LEAST, ban
     firsts = scratch.put(firsts.select("key", "first.id", "first.mark", F.monotonically_increasing_id().alias("class")), "classes")
     led = signed.filter("size(bands) > 0").join(firsts, ["key", "id", "mark"]).groupBy("class").agg(F.first("bands").alias("bands"))  # equal for all rows of a class
     buckets = led.select(F.col("class").alias("id"), F.posexplode("bands").alias("band", "code")).select(F.xxhash64("band", "code").alias("bucket"), "id")
-    buckets = scratch.put(buckets, "all-buckets")
-    several = buckets.groupBy("bucket").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low < high").select("bucket")
-    met = scratch.put(buckets.join(several, "bucket"), "met")
-    scratch.drop(buckets)
-    wanted = scratch.put(met.select(F.col("id").alias("class")).distinct().join(firsts, "class").select("class", "id", "mark"), "wanted")
+    buckets = scratch.put(buckets, "buckets")
+    shared = shared_buckets(buckets, scratch)
+    wanted = shared.select(F.col("id").alias("class")).distinct().join(firsts, "class").select("class", "id", "mark")
     texts = docs.join(wanted, ["id", "mark"]).select(F.col("class").alias("id"), "text", F.octet_length("text").alias("bytes")).dropDuplicates(["id"])  # equal for all rows of a class
     texts = scratch.put(texts, "texts")
-    parts = linked_components(met, texts, text_links(texts, size, least), block_links(size, least), scratch, "bytes", rare_shingles(texts, size, least, scratch))
+    parts = linked_components(shared, texts, text_links(texts, size, least), block_links(size, least), scratch, "bytes", rare_shingles(texts, size, least, scratch))
     parts = parts.withColumnRenamed("id", "class")
     grouped = scratch.put(firsts.join(parts, "class", "left").select("key", "id", F.coalesce("component", "class").alias("group")), "groups")
     least_ids = grouped.groupBy("group").agg(F.min("id").alias("component_id"))

@@ -54,6 +54,22 @@ def test_embeddings_against_all_pairs(spark):
         assert (got[k].n_links, got[k].component_id, got[k].kept) == (degree[k], root[k], root[k] == k), k
 
 
+def test_embeddings_that_repeat_an_id(spark):
+    rows = [(1, 0, [1.0, 0.0], "x"), (1, 0, [0.0, 1.0], "x"), (2, 0, [1.0, 0.01], "x"), (3, 0, [0.01, 1.0], "x"), (None, 0, [-1.0, 0.0], "x"), (7, 0, [-1.0, 0.01], "x")]
+    got = sorted((r.id or 0, r.n_links, r.component_id, r.kept) for r in embeddings.near_embeddings(spark.createDataFrame(rows, "id long, label int, vector array<float>, component string")).collect())
+    assert got == [(0, 1, 7, False), (1, 1, 1, True), (1, 1, 1, True), (2, 1, 1, False), (3, 1, 1, False), (7, 1, 7, True)]
+
+
+def test_large_labels_take_more_signs():
+    agree = 1 - np.arccos(0.93) / np.pi
+    for signs in (18, 21, 26):
+        assert (1 - agree**signs) ** embeddings.tables_for(signs, 0.93) < 1e-5
+    a = np.random.default_rng(0).standard_normal((40, 8))
+    a /= np.sqrt((a * a).sum(axis=1, keepdims=True))
+    least = float((a[3] * a[5]).sum())  # a pair at the threshold itself
+    assert embeddings.linked(a, a, least)[3, 5] and embeddings.linked(a, a, least)[5, 3] and embeddings.pairwise(a[[3]], a[[5]], least)[0]
+
+
 def test_embeddings_empty(spark):
     assert embeddings.near_embeddings(spark.createDataFrame([], "id long, label int, vector array<float>")).count() == 0
 
