@@ -23,9 +23,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where that is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir; a local one where that is unset and Spark is local."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = getattr(shared_dir, "own", None) or "file://" + tempfile.mkdtemp(prefix="tessera-")
         shared_dir.own = found
     return found.rstrip("/")
@@ -73,11 +75,12 @@ def text_or_empty(name: str = "text") -> Column:
 def cumulated(df: DataFrame, group: list[str], order: list[str], weight: str | None, before: str, salts: int = 64) -> DataFrame:
     """Adds, as a long, the sum of `weight` (rows, where it is None) over what goes before a row in its group.
 
-    Rows go by (salt, order), the salt being a hash of `order`; `order` must tell rows apart for the same sums on every
-    run. No task gets a whole group: a salt's first sum comes from the sums of (group, salt), at most groups x salts.
+    Rows go by (salt, order), the salt being a hash of `order` with a seed of its own, as groups may come from a hash of
+    `order` too; `order` must tell rows apart for the same sums on every run. No task gets a whole group: a salt's first
+    sum comes from the sums of (group, salt), at most groups x salts.
     """
     n = F.lit(1) if weight is None else F.col(weight)
-    salted = df.withColumn("__salt", F.pmod(F.xxhash64(*order), F.lit(salts)).cast("int"))
+    salted = df.withColumn("__salt", F.pmod(F.xxhash64(F.lit("salt"), *order), F.lit(salts)).cast("int"))
     sums = salted.groupBy(*group, "__salt").agg(F.sum(n).alias("__n"))
     earlier = Window.partitionBy(*group).orderBy("__salt").rowsBetween(Window.unboundedPreceding, -1)
     first = sums.select(*group, "__salt", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__first"))

@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import Scratch, cumulated, salts_for, table, text_or_empty
 
+#: Rounds of propagation at most; what is left then is split over the rooms that are left.
 ROUNDS = 12
+#: Groups of more than a shard's capacity over LARGE, at most LARGE times the shards, find their shards first.
+LARGE = 8
 
 
 def _by_range(bounds: list[tuple[int, int, int]], at: Column) -> Column:
@@ -27,88 +30,117 @@ def _ranges(rooms: list[int]) -> list[tuple[int, int, int]]:
     return out
 
 
-def _sizes(blocks: DataFrame, shards: int) -> list[int]:
-    """Linked documents in each shard; as many numbers as shards."""
-    found = {r.shard: r.n for r in blocks.groupBy("shard").agg(F.sum("n").alias("n")).collect()}
-    return [found.get(s, 0) for s in range(shards)]
+def _large(groups: dict[str, dict[int, int]], room: list[int]) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
+    """(hub, shard, n) for a few large groups {hub: {shard: n}}, the largest first, and for what is left of them.
+
+    Their places are taken from `room`.
+
+    A group of more than a shard goes to whole shards as long as it fills them. Each takes the shard that has room for it
+    and most of its documents; a rest that fits nowhere is left to the rounds.
+    """
+    out, left, most = [], [], max(room)
+    for hub, there in sorted(groups.items(), key=lambda x: (-sum(x[1].values()), x[0])):
+        rest = sum(there.values())
+        while rest:
+            n = min(rest, max(room)) if rest > most else rest
+            fits = [s for s, free in enumerate(room) if free >= n > 0]
+            if not fits:
+                left.append((hub, 0, rest))
+                break
+            shard = max(fits, key=lambda s: (there.get(s, 0), -s))
+            out.append((hub, shard, n))
+            room[shard] -= n
+            rest -= n
+    return out, left
 
 
 def _propagate(blocks: DataFrame, room: list[int], salts: int) -> DataFrame:
-    """One round over blocks (hub, shard, n): n documents of a hub, all alike, that are in a shard.
+    """(hub, target, all) that a round grants, for blocks (hub, shard, n): n documents of a hub, all alike, in a shard.
 
-    The documents of a block see their neighbours' shards by a join on the hub and ask to move to the one with most of
-    them that has room, if more are there than in their own. Requests to a shard are granted until its room is used.
+    The documents of a hub see their neighbours' shards by a join and ask to move together to the one with most of them
+    among those that have room for all; where none has, to a shard with room by a hash. Requests to a shard are granted
+    as long as its room lasts.
     """
-    open_to = F.col("shard").isin([s for s, n in enumerate(room) if n > 0])
-    best = blocks.filter(open_to).groupBy("hub").agg(F.max(F.struct("n", -F.col("shard"))).alias("top"))
-    best = best.select("hub", F.col("top.n").alias("there"), (-F.col("top.col2")).alias("target"))
-    asked = blocks.join(best, "hub").filter((F.col("target") != F.col("shard")) & ((F.col("there") > F.col("n")) | ((F.col("there") == F.col("n")) & (F.col("target") < F.col("shard")))))
-    asked = cumulated(asked, ["target"], ["hub", "shard"], "n", "before", salts)
-    free = F.element_at(F.array(*[F.lit(int(n)).cast("long") for n in room]), F.col("target") + 1)
-    moved = asked.withColumn("m", F.least(F.col("n"), F.greatest(F.lit(0), free - F.col("before")))).filter("m > 0")
-    gone = moved.select("hub", "shard", (-F.col("m")).alias("n"))
-    come = moved.select("hub", F.col("target").alias("shard"), F.col("m").alias("n"))
-    return blocks.unionByName(gone).unionByName(come).groupBy("hub", "shard").agg(F.sum("n").alias("n")).filter("n > 0")
-
-
-def _trim(blocks: DataFrame, caps: list[int], sizes: list[int], salts: int) -> DataFrame:
-    """Moves what a shard has above its capacity to shards with room, block by block, splitting the last."""
-    cap = F.element_at(F.array(*[F.lit(int(n)).cast("long") for n in caps]), F.col("shard") + 1)
-    cut = cumulated(blocks, ["shard"], ["hub"], "n", "before", salts).withColumn("keep", F.least(F.col("n"), F.greatest(F.lit(0), cap - F.col("before"))))
-    kept = cut.filter("keep > 0").select("hub", "shard", F.col("keep").alias("n"))
-    over = cut.filter("n > keep").select(F.lit(0).alias("all"), "hub", "shard", (F.col("n") - F.col("keep")).alias("n"))
-    over = cumulated(over, ["all"], ["hub", "shard"], "n", "before", salts)
-    rooms = _ranges([max(0, c - s) for c, s in zip(caps, sizes, strict=True)])
-    to = F.array(*[F.struct(F.lit(s).alias("shard"), F.lit(a).cast("long").alias("a"), F.lit(b).cast("long").alias("b")) for s, a, b in rooms])
-    parts = over.select("hub", "n", "before", F.explode(to).alias("to")).select("hub", F.col("to.shard").alias("shard"), (F.least(F.col("to.b"), F.col("before") + F.col("n")) - F.greatest(F.col("to.a"), F.col("before"))).alias("n")).filter("n > 0")
-    return kept.unionByName(parts).groupBy("hub", "shard").agg(F.sum("n").alias("n"))
+    free = F.array(*[F.struct(F.lit(s).alias("shard"), F.lit(int(n)).cast("long").alias("room")) for s, n in enumerate(room)])
+    sizes = blocks.groupBy("hub").agg(F.sum("n").alias("all"))
+    seen = blocks.join(sizes, "hub").filter(F.get(free, F.col("shard"))["room"] >= F.col("all"))
+    best = seen.groupBy("hub").agg(F.max(F.struct("n", (-F.col("shard")).alias("minus"))).alias("top")).select("hub", (-F.col("top.minus")).alias("near"))
+    fits = F.filter(free, lambda s: s["room"] >= F.col("all"))
+    other = F.get(fits, F.pmod(F.xxhash64("hub"), F.greatest(F.size(fits), F.lit(1))).cast("int"))["shard"]
+    asked = sizes.join(best, "hub", "left").select("hub", "all", F.coalesce("near", other).alias("target")).filter("target is not null")
+    asked = cumulated(asked, ["target"], ["hub"], "all", "before", salts)
+    return asked.filter(F.col("before") + F.col("all") <= F.get(free, F.col("target"))["room"]).select("hub", "target", "all")
+
+
+def _split(groups: DataFrame, room: list[int], salts: int) -> DataFrame:
+    """(hub, shard, n) for groups (hub, all) that fit no shard whole: they fill the rooms one after another, largest first."""
+    over = cumulated(groups.withColumn("whole", F.lit(0)), ["whole"], ["hub"], "all", "before", salts)
+    order = sorted(range(len(room)), key=lambda s: (-room[s], s))
+    ranges = dict(zip(order, _ranges([room[s] for s in order]), strict=True))
+    to = F.array(*[F.struct(F.lit(s).alias("shard"), F.lit(a).cast("long").alias("a"), F.lit(b).cast("long").alias("b")) for s, (_, a, b) in ranges.items()])
+    parts = over.select("hub", "all", "before", F.explode(to).alias("to")).select("hub", F.col("to.shard").alias("shard"), (F.least(F.col("to.b"), F.col("before") + F.col("all")) - F.greatest(F.col("to.a"), F.col("before"))).alias("n"))
+    return parts.filter("n > 0")
 
 
 def shard_rows(docs: DataFrame, shards: int, rounds: int = ROUNDS) -> DataFrame:
     """Adds `shard` (0 to shards - 1) to docs (id, hub, ...): counts at most one apart, documents of a hub together.
 
-    Documents with the same non-null hub are linked. The state is a row for each hub and shard, so a hub of any size
-    has `shards` rows at most; documents are only touched once, at the end. Documents without links fill the shards up.
-    A hub is cut where its next shard is full, as one larger than a shard must be. Null hubs have no links; repeated
-    rows count each; fewer documents than shards leave the last shards empty; no rows give no rows.
+    Documents with the same non-null hub are linked and begin on shards by a hash of their id. The state is a row for each
+    hub and shard, so a hub of any size has `shards` rows at most. In each round the hubs that have no place yet move to
+    the shard with most of their documents that has room for all; a hub is cut only if it is larger than a shard, or if
+    after the rounds no shard has room for it. Hubs of more than an eighth of a shard, at most eight times the shards, go
+    first. Documents are only touched once, at the end; those without links fill the shards up. Null hubs have no links;
+    repeated rows count each, null ids too; fewer documents than shards leave the last shards empty; no rows give no
+    rows. Texts aren't looked at. Other columns are kept, but for `shard`, which is replaced; no name is reserved.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "shards")
-    hubs = docs.filter("hub is not null").groupBy("hub", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int").alias("shard")).agg(F.count(F.lit(1)).alias("n"))
+    names = [c for c in docs.columns if c != "shard"]
+    inner = docs.select(F.col("id").alias("__id"), F.col("hub").alias("hub"), F.struct(*[F.col(f"`{c}`") for c in names]).alias("__row"))
+    hubs = inner.filter("hub is not null").groupBy("hub", F.pmod(F.xxhash64("__id"), F.lit(shards)).cast("int").alias("shard")).agg(F.count(F.lit(1)).alias("n"))
     linked = hubs.groupBy("hub").agg(F.sum("n").alias("all")).filter("all > 1").select("hub")
     total = docs.count()
     salts = salts_for(total)
-    caps = [total // shards + (s < total % shards) for s in range(shards)]
+    room = [total // shards + (s < total % shards) for s in range(shards)]
     blocks = scratch.put(hubs.join(linked, "hub").select("hub", "shard", "n"), "blocks")
-    sizes = _sizes(blocks, shards)
+    least = max(1, total // shards // LARGE)
+    large: dict[str, dict[int, int]] = {}
+    for r in blocks.join(blocks.groupBy("hub").agg(F.sum("n").alias("all")).filter(F.col("all") > least).select("hub"), "hub").collect():  # at most LARGE * shards hubs
+        large.setdefault(r.hub, {})[r.shard] = r.n
+    first, left = _large(large, room)
+    kind = "hub string, shard int, n long"
+    placed = [spark.createDataFrame(first, kind)]
+    open_ = blocks.join(spark.createDataFrame([(h,) for h in large], "hub string"), "hub", "left_anti")
+    open_ = scratch.put(open_.unionByName(spark.createDataFrame(left, kind)), "open")
     for _ in range(rounds):
-        room = [c - s for c, s in zip(caps, sizes, strict=True)]
-        if not any(n > 0 for n in room):
-            break
-        after = scratch.put(_propagate(blocks, room, salts), "blocks")
-        moved = after.exceptAll(blocks).isEmpty()
-        scratch.drop(blocks)
-        blocks, sizes = after, _sizes(after, shards)
-        if moved:
+        granted = scratch.put(_propagate(open_, room, salts), "granted")
+        taken = {r.target: r.n for r in granted.groupBy("target").agg(F.sum("all").alias("n")).collect()}
+        if not taken:
             break
-    if any(s > c for s, c in zip(sizes, caps, strict=True)):
-        after = scratch.put(_trim(blocks, caps, sizes, salts), "blocks")
-        scratch.drop(blocks)
-        blocks, sizes = after, _sizes(after, shards)
-
-    # Where a hub's documents go: its shards with the ranks of the documents that each takes.
-    order = F.array_sort(F.collect_list(F.struct("shard", "n")))
-    places = scratch.put(blocks.groupBy("hub").agg(order.alias("parts")), "places")
-    placed = docs.join(places, "hub", "left")
-    whole = placed.filter("size(parts) = 1").withColumn("shard", F.col("parts")[0]["shard"])
-    split = cumulated(placed.filter("size(parts) > 1"), ["hub"], ["id"], None, "rank", salts)
-    step = lambda acc, p: F.struct((acc["end"] + p["n"]).alias("end"), F.when(acc["shard"].isNull() & (F.col("rank") < acc["end"] + p["n"]), p["shard"]).otherwise(acc["shard"]).alias("shard"))
+        room = [n - taken.get(s, 0) for s, n in enumerate(room)]
+        placed.append(granted.select("hub", F.col("target").alias("shard"), F.col("all").alias("n")))
+        after = scratch.put(open_.join(granted.select("hub"), "hub", "left_anti"), "open")
+        scratch.drop(open_)
+        open_ = after
+    split = scratch.put(_split(open_.groupBy("hub").agg(F.sum("n").alias("all")), room, salts), "split")
+    taken = {r.shard: r.n for r in split.groupBy("shard").agg(F.sum("n").alias("n")).collect()}
+    room = [n - taken.get(s, 0) for s, n in enumerate(room)]
+    every = split
+    for p in placed:
+        every = every.unionByName(p)
+
+    # Where a hub's documents go: its shards with the number of documents that each takes.
+    summed = every.groupBy("hub", "shard").agg(F.sum("n").alias("n"))
+    places = scratch.put(summed.groupBy("hub").agg(F.array_sort(F.collect_list(F.struct("shard", "n"))).alias("__parts")), "places")
+    rows = inner.join(places, "hub", "left")
+    one = rows.filter("size(__parts) = 1").select("__row", F.col("__parts")[0]["shard"].alias("shard"))
+    cut = cumulated(rows.filter("size(__parts) > 1"), ["hub"], ["__id"], None, "__rank", salts)
+    step = lambda acc, p: F.struct((acc["end"] + p["n"]).alias("end"), F.when(acc["shard"].isNull() & (F.col("__rank") < acc["end"] + p["n"]), p["shard"]).otherwise(acc["shard"]).alias("shard"))
     start = F.struct(F.lit(0).cast("long").alias("end"), F.lit(None).cast("int").alias("shard"))
-    split = split.withColumn("shard", F.aggregate("parts", start, step)["shard"]).drop("rank")
-    rest = [c - s for c, s in zip(caps, sizes, strict=True)]
-    alone = cumulated(placed.filter("parts is null").withColumn("one", F.lit(0)), ["one"], ["id"], None, "rank", salts)
-    alone = alone.withColumn("shard", _by_range(_ranges(rest), F.col("rank"))).drop("rank", "one")
-    return whole.unionByName(split).unionByName(alone).drop("parts")
+    cut = cut.select("__row", F.aggregate("__parts", start, step)["shard"].alias("shard"))
+    alone = cumulated(rows.filter("__parts is null").withColumn("__all", F.lit(0)), ["__all"], ["__id"], None, "__rank", salts)
+    alone = alone.select("__row", _by_range(_ranges(room), F.col("__rank")).alias("shard"))
+    return one.unionByName(cut).unionByName(alone).select(*[F.col(f"__row.`{c}`").alias(c) for c in names], "shard")
 
 
 def op9_sharding(spark: SparkSession, sf_dir: str, shards: int = 16) -> DataFrame:

@@ -361,10 +361,35 @@ def test_shards(spark, hubs):
     assert cut <= max(8, sum(-(-n // max(1, len(hubs) // 8)) for n in collections.Counter(h for h in hubs if h).values() if n > len(hubs) // 8))
 
 
+def test_shards_of_many_small_groups(spark):
+    rng = np.random.default_rng(7)
+    hubs = [f"g{k}" for k in range(600) for _ in range(rng.integers(2, 6))]
+    docs = spark.createDataFrame([(k, h, k % 3, "c", None) for k, h in enumerate(hubs)] + [(None, None, 0, "c", 5)], "id long, hub string, rank int, parts string, shard int")
+    rows = sharding.shard_rows(docs, 6).collect()
+    sizes = collections.Counter(r.shard for r in rows)
+    assert len(rows) == len(hubs) + 1 and max(sizes.values()) - min(sizes.values()) <= 1
+    assert all(r.parts == "c" and (r.id is None or r.rank == r.id % 3) for r in rows)
+    assert sum(len({r.shard for r in rows if r.hub == h}) - 1 for h in set(hubs)) <= 6
+
+
 def test_sharding_query(spark):
-    rows = sharding.op9_sharding(spark, "/root/testdata/sf0.001").collect()
+    sf = "/root/testdata/sf0.001"
+    rows = sharding.op9_sharding(spark, sf).collect()
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()}
+    assert sorted(r.doc_id for r in rows) == sorted(texts)
+    for r in rows:
+        raw = (texts[r.doc_id] or "").encode()
+        assert (r.size, r.text_crc32, r.law, r.grown_shard) == (len(raw) + 1, zlib.crc32(raw), "rows", None)
     for s in range(16):
         assert sorted(r.slot for r in rows if r.shard == s) == list(range(sum(r.shard == s for r in rows)))
+    counts = [sum(r.shard == s for r in rows) for s in range(16)]
+    assert max(counts) - min(counts) <= 1
+    together = collections.defaultdict(set)
+    for r in rows:
+        together[texts[r.doc_id]].add(r.shard)
+    most = -(-len(rows) // 16)
+    copies = collections.Counter(texts.values())
+    assert sum(len(v) - 1 for v in together.values()) <= sum(n // most for n in copies.values()) + 2
 
 
 # 10
