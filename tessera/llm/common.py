@@ -72,6 +72,16 @@ def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
 
+def sampled_texts(docs: DataFrame, limit: int, seed: str) -> DataFrame:
+    """(text): at most `limit` different texts of docs (text), those of the smallest hashes; null and empty ones aside.
+
+    Copies count once, so a text of any number of copies brings one row.
+    """
+    own = docs.filter("length(text) > 0").select("text", F.xxhash64("text", F.lit(seed)).alias("__mark"))
+    marks = own.select("__mark").distinct().orderBy("__mark").limit(limit)
+    return own.join(F.broadcast(marks), "__mark").groupBy("__mark").agg(F.min("text").alias("text")).select("text")
+
+
 def cumulated(df: DataFrame, group: list[str], order: list[str], weight: str | None, before: str, salts: int = 64) -> DataFrame:
     """Adds, as a long, the sum of `weight` (rows, where it is None) over what goes before a row in its group.
 

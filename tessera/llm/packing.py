@@ -8,6 +8,7 @@ of the histogram is packed by decreasing length, and the scale with the fewest s
 
 from __future__ import annotations
 
+import json
 import unicodedata
 import zlib
 from collections.abc import Iterator, Sequence
@@ -147,10 +148,13 @@ def encode_words(words: pa.StringArray, tokenizer, ends: np.ndarray, known: dict
 def pieces(docs: DataFrame, tokenizer_path: str, length: int = LENGTH, end: int = END) -> DataFrame:
     """(id, piece, start, length, ids_crc32) for docs (id, text): the ids and `end`, cut where they exceed `length`.
 
-    The tokenizer's file is read on the driver and sent along; a null text is as an empty one, with `end` alone.
+    The tokenizer's file is read on the driver and sent along; a null text is as an empty one, with `end` alone. A text
+    that holds a token of the file's added ones goes to the tokenizer whole, which makes it one id as it does by default.
     """
     with open(tokenizer_path, encoding="utf-8") as f:
-        sent = docs.sparkSession.sparkContext.broadcast(f.read())
+        raw = f.read()
+    sent = docs.sparkSession.sparkContext.broadcast(raw)
+    added = [t["content"] for t in json.loads(raw).get("added_tokens", [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import os
@@ -161,7 +165,6 @@ def pieces(docs: DataFrame, tokenizer_path: str, length: int = LENGTH, end: int
         cache = worker_cache()
         if cache.get("tokenizer_path") != tokenizer_path:
             tokenizer = Tokenizer.from_str(sent.value)
-            tokenizer.encode_special_tokens = True
             cache.update(tokenizer_path=tokenizer_path, tokenizer=tokenizer, ends=word_ends(tokenizer), known={})
 
         def kinds_table() -> np.ndarray:
@@ -169,11 +172,10 @@ def pieces(docs: DataFrame, tokenizer_path: str, length: int = LENGTH, end: int
                 cache["kinds"] = kinds()
             return cache["kinds"]
 
-        def rows_of(ids: list, words: pa.StringArray, counts: np.ndarray) -> pa.RecordBatch:
-            found, per_word = encode_words(words, cache["tokenizer"], cache["ends"], cache["known"])
-            upto = np.concatenate([[0], np.cumsum(per_word)])[np.concatenate([[0], np.cumsum(counts)])].tolist()
+        def rows_of(docs: list, found: np.ndarray, upto: list[int]) -> pa.RecordBatch:
+            """The pieces of documents whose ids are found[upto[k] : upto[k + 1]]."""
             rows = []
-            for k, doc in enumerate(ids):
+            for k, doc in enumerate(docs):
                 own = np.append(found[upto[k] : upto[k + 1]], np.uint32(end)).astype("<u4")
                 for p, start in enumerate(range(0, len(own), length)):
                     cut = own[start : start + length]
@@ -181,18 +183,30 @@ def pieces(docs: DataFrame, tokenizer_path: str, length: int = LENGTH, end: int
             types = {"id": pa.int64(), "piece": pa.int32(), "start": pa.int64(), "length": pa.int64(), "ids_crc32": pa.int64()}
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types.values(), strict=True)], [*types])
 
+        def by_words(docs: list, words: pa.StringArray, counts: np.ndarray) -> pa.RecordBatch:
+            found, per_word = encode_words(words, cache["tokenizer"], cache["ends"], cache["known"])
+            return rows_of(docs, found, np.concatenate([[0], np.cumsum(per_word)])[np.concatenate([[0], np.cumsum(counts)])].tolist())
+
         for batch in batches:
-            split = batch.filter(pc.is_valid(batch.column(1))) if batch.column(1).null_count else batch
+            whole = pc.equal(batch.column(3), True)
+            split = batch.filter(pc.is_valid(batch.column(1)))
             for part in _parts(split, np.array(split.column(1).value_lengths(), np.int64), WORDS_AT_ONCE):
-                yield rows_of(part.column(0).to_pylist(), part.column(1).flatten(), np.array(part.column(1).value_lengths(), np.int64))
-            odd = batch.filter(pc.is_null(batch.column(1))) if batch.column(1).null_count else batch.slice(0, 0)
+                yield by_words(part.column(0).to_pylist(), part.column(1).flatten(), np.array(part.column(1).value_lengths(), np.int64))
+            odd = batch.filter(pc.and_(pc.is_null(batch.column(1)), pc.invert(whole)))
             for part in _parts(odd, np.array(pc.binary_length(odd.column(2)), np.int64), AT_ONCE):
-                yield rows_of(part.column(0).to_pylist(), *split_words(part.column(2).to_pylist(), kinds_table()))
+                yield by_words(part.column(0).to_pylist(), *split_words(part.column(2).to_pylist(), kinds_table()))
+            marked = batch.filter(whole)
+            for k in range(marked.num_rows):
+                ids = np.array(cache["tokenizer"].encode(marked.column(2)[k].as_py(), add_special_tokens=False).ids, np.uint32)
+                yield rows_of([marked.column(0)[k].as_py()], ids, [0, len(ids)])
 
     text = text_or_empty()
-    unsure = text.rlike(UNSURE)
-    words = F.when(~unsure, F.regexp_extract_all(text, F.lit(WORD), F.lit(0)))
-    ready = docs.select("id", words.alias("words"), F.when(unsure, text).alias("text"))
+    whole = F.lit(False)
+    for token in added:
+        whole = whole | text.contains(token)
+    odd = text.rlike(UNSURE) | whole
+    words = F.when(~odd, F.regexp_extract_all(text, F.lit(WORD), F.lit(0)))
+    ready = docs.select("id", words.alias("words"), F.when(odd, text).alias("text"), whole.alias("whole"))
     return ready.mapInArrow(run, "id long, piece int, start long, length long, ids_crc32 long")
 
 
@@ -355,7 +369,8 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, length: int = LENGTH, r
     """(id, piece, start, length, ids_crc32, sequence_id, offset) for docs (id, text).
 
     A null or empty text is its end id; longer documents than `length` are cut, others never; equal documents are pieces
-    each; rows that repeat an id are packed each. No rows give no rows.
+    each; rows that repeat an id are packed each; a text of any length is encoded whole, in one task. Other columns are left
+    out, whatever their names. No rows give no rows.
     """
     scratch = Scratch(docs.sparkSession, "packing")
     return pack(scratch.put(pieces(docs, tokenizer_path, length), "pieces"), length, rounds)

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import table, text_or_empty
+from tessera.llm.common import sampled_texts, table, text_or_empty
 
 #: Fixed patterns of the base rules; Java's (?i) folds ASCII letters only.
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -21,10 +21,13 @@ KINDS = ("assign", "access", "hex", "markov")
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-="
 MARKOV_MIN = 20
 RUN = r"[A-Za-z0-9+/_=-]{%d,}"
-#: A run is reported whose mean log-likelihood ratio a character (nats, random over ordinary) is at least this, and that has letters and digits.
-THRESHOLD = 0.9
+#: A run is reported whose mean log-likelihood ratio a character (nats, random over ordinary) is at least this: the second
+#: for runs that lack letters or lack digits, as long words do. Of random letters in either case 99 in 100 reach it at 20.
+THRESHOLD, PLAIN_THRESHOLD = 0.9, 1.4
 #: Bounds of the labelled samples: documents whose words are ordinary identifiers, and generated random strings.
 SAMPLE_DOCS, SAMPLE_WORDS, SAMPLE_RANDOM = 120, 300, 1500
+#: Characters of a line of one sign among the ordinary strings.
+SIGNS = 200
 
 SPAN = "struct<kind:int,start:int,end:int>"
 
@@ -66,14 +69,14 @@ def random_strings(spark: SparkSession, n: int) -> DataFrame:
 
 
 def ordinary_strings(docs: DataFrame, limit: int) -> DataFrame:
-    """Labelled ordinary identifiers: the words of at most about `limit` documents outside their base spans, alone and joined.
+    """Labelled ordinary identifiers: the words of at most `limit` documents outside their base spans, alone and joined.
 
-    Documents are chosen by a hash of the text, whatever their order or number, and give up to SAMPLE_WORDS words each; words
-    that hold digits are left out, and pairs of neighbours give compound identifiers, with and without a number.
+    Different texts are chosen by a hash, whatever their order or number, and give up to SAMPLE_WORDS words each; words
+    that hold digits are left out, and pairs of neighbours give compound identifiers, with and without a number. Lines of
+    one sign are ordinary too.
     """
-    rows = docs.count()
-    share = min(1.0, limit / max(1, rows))
-    chosen = docs.select(text_or_empty().alias("text")).filter(F.pmod(F.xxhash64("text", F.lit("secrets")), F.lit(1_000_000)) < int(share * 1_000_000) + 1)
+    plain = docs.sparkSession.createDataFrame([(c * SIGNS,) for c in ALPHABET], "word string")
+    chosen = sampled_texts(docs, limit, "secrets")
     clear = F.regexp_replace(F.regexp_replace(F.col("text"), ASSIGN, " "), f"{ACCESS}|[0-9a-f]{{32,}}", " ")
     words = F.filter(F.split(clear, r"[^A-Za-z_-]+"), lambda w: F.length(w).between(2, 40))
     words = F.slice(words, 1, SAMPLE_WORDS)
@@ -87,7 +90,7 @@ def ordinary_strings(docs: DataFrame, limit: int) -> DataFrame:
         lambda a, b: F.concat(F.upper(a), F.lit("_"), F.upper(b), F.lit("_"), number(a)),
     ]
     joined = [F.zip_with(words, F.slice(words, 2, SAMPLE_WORDS), shape) for shape in shapes]
-    return chosen.select(F.explode(F.concat(words, *joined)).alias("word")).filter("word is not null")
+    return chosen.select(F.explode(F.concat(words, *joined)).alias("word")).filter("word is not null").unionByName(plain)
 
 
 def bigram_counts(words: DataFrame) -> DataFrame:
@@ -128,9 +131,10 @@ def likelihood_ratio(word: Column, model: list[float]) -> Column:
 
 
 def markov_spans(text: Column, model: list[float], least: int = MARKOV_MIN, threshold: float = THRESHOLD) -> Column:
-    """The runs that look random; runs without a letter and a digit aren't scored."""
+    """The runs that look random: every run of `least` characters or more is scored."""
     run = RUN % least
-    keep = lambda m: m.rlike("[0-9]") & m.rlike("[A-Za-z]") & (likelihood_ratio(m, model) >= threshold)
+    needed = lambda m: F.when(m.rlike("[0-9]") & m.rlike("[A-Za-z]"), threshold).otherwise(F.greatest(F.lit(threshold), F.lit(PLAIN_THRESHOLD)))
+    keep = lambda m: likelihood_ratio(m, model) >= needed(m)
     return _matches(text, run, keep, text.rlike(run))
 
 
@@ -138,8 +142,9 @@ def scan(docs: DataFrame, model: list[float] | None = None) -> DataFrame:
     """Adds n_assign, n_access, n_hex, base_spans and all_spans to `docs` (text, ...); columns of these names are replaced.
 
     Spans are struct(kind, start, end), kind a place in KINDS, by start and then kind. The models add runs that overlap no
-    base span; a base span always stays. A null text is as an empty one and has none; equal texts get equal spans; a text
-    of any length is scanned whole, in one row and without a shuffle; no rows give no rows.
+    base span; a base span always stays. Spans of two kinds may overlap and all stay, the kind first in KINDS before
+    others of one start. A null text is as an empty one and has none; equal texts get equal spans; a text of any length is
+    scanned whole, in one row and without a shuffle; no rows give no rows.
     """
     model = train(docs) if model is None else model
     text = text_or_empty()

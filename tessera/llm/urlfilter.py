@@ -8,14 +8,25 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import table
+from tessera.llm.common import ship, table, worker_cache
+
+ship(__name__)
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
+#: The default vocabulary, in English; read_vocabulary() reads another from a file. Words that have a plain meaning beside
+#: the unwanted one are soft, single letters and words of other topics are left out.
 #: One of these in a url rejects it.
-STRICT = ("casino", "porn", "porno", "xxx", "hentai", "camgirls", "spam", "warez", "malware", "phishing")
+STRICT = (
+    "porn", "porno", "pornography", "xxx", "hentai", "camgirl", "camgirls", "milf", "blowjob", "gangbang", "bukkake", "creampie", "fetish", "bdsm", "escorts", "xvideos", "sexcam", "sexcams", "sexchat", "sextoys",
+    "casino", "casinos", "roulette", "blackjack", "sportsbook", "bookmaker", "baccarat", "warez", "keygen", "keygens", "nulled", "cracked", "malware", "phishing", "ransomware", "botnet", "spyware", "spam", "viagra", "cialis", "levitra", "tramadol", "xanax",
+)
 #: SOFT_LIMIT different ones of these reject it.
-SOFT = ("adult", "x", "sex", "free", "bet", "bets", "betting", "win", "winner", "poker", "slots", "jackpot", "bonus", "pills", "loan", "loans", "crack", "keygen", "torrent", "escort", "dating", "nude", "farm", "cheap")
+SOFT = (
+    "adult", "adults", "sex", "sexy", "nude", "nudes", "naked", "erotic", "erotica", "escort", "dating", "hookup", "webcam", "cam", "cams", "amateur", "mature", "teen", "babes", "lingerie", "strip", "swinger",
+    "bet", "bets", "betting", "odds", "poker", "slot", "slots", "jackpot", "lottery", "lotto", "bingo", "gambling", "wager", "bonus", "win", "winner", "prize", "free", "cheap", "discount", "deals", "promo", "coupon",
+    "loan", "loans", "payday", "credit", "debt", "forex", "crypto", "bitcoin", "invest", "profit", "pills", "pill", "pharmacy", "drugs", "steroids", "diet", "weightloss", "crack", "serial", "torrent", "torrents", "download", "hack", "cheats",
+)
 SOFT_LIMIT = 2
 
 #: (verdict, host, path) as the contract of op10 gives them.
@@ -38,27 +49,48 @@ def by_rule(host: Column, path: Column, rules: Sequence[tuple[str, str, str]]) -
     return found
 
 
+def read_vocabulary(path: str) -> tuple[tuple[str, ...], tuple[str, ...]]:
+    """Strict and soft terms of a text file with lines `strict term` or `soft term`; empty lines and lines of # are skipped."""
+    found: dict[str, list[str]] = {"strict": [], "soft": []}
+    with open(path, encoding="utf-8") as f:
+        for line in map(str.strip, f):
+            if line and not line.startswith("#"):
+                kind, _, term = line.partition(" ")
+                found[kind].append(term.strip().translate(str.maketrans(UPPER, LOWER)))
+    return tuple(found["strict"]), tuple(found["soft"])
+
+
+def automaton_of(terms: tuple[tuple[str, ...], tuple[str, ...]]):
+    """The automaton of (strict, soft) terms, built once for each Python worker."""
+    import ahocorasick
+
+    cache = worker_cache()
+    if cache.get("url_terms") != terms:
+        automaton = ahocorasick.Automaton()
+        for kind, own in enumerate(terms):
+            for term in own:
+                automaton.add_word(term, (kind, term))
+        automaton.make_automaton()
+        cache.update(url_terms=terms, url_automaton=automaton)
+    return cache["url_automaton"]
+
+
 def vocabulary_hits(strict: Sequence[str], soft: Sequence[str]):
     """A pandas UDF: struct(strict, soft), the numbers of different strict and soft terms in a lower-cased url.
 
     A term counts only where no ASCII letter or digit stands before or after it.
     """
-    strict, soft = tuple(dict.fromkeys(strict)), tuple(dict.fromkeys(soft))
+    strict = tuple(dict.fromkeys(strict))
+    soft = tuple(t for t in dict.fromkeys(soft) if t not in strict)
 
     @F.pandas_udf("strict int, soft int")
     def hits(urls: pd.Series) -> pd.DataFrame:
-        import ahocorasick
-
-        automaton = ahocorasick.Automaton()
-        for kind, terms in enumerate((strict, soft)):
-            for term in terms:
-                automaton.add_word(term, (kind, term))
-        automaton.make_automaton()
+        automaton = automaton_of((strict, soft))
         word = frozenset("abcdefghijklmnopqrstuvwxyz0123456789")
         rows = []
         for url in urls:
             seen = (set(), set())
-            for end, (kind, term) in automaton.iter(url):
+            for end, (kind, term) in automaton.iter(url) if len(automaton) else ():
                 begin = end - len(term) + 1
                 if (begin == 0 or url[begin - 1] not in word) and (end + 1 == len(url) or url[end + 1] not in word):
                     seen[kind].add(term)
@@ -72,8 +104,9 @@ def judge_urls(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = (), str
     """Adds host, path, rule, verdict, strict_hits and soft_hits to `pages`; columns of these names are replaced.
 
     A fitting rule decides; else the vocabulary: block on one strict term or on soft_limit different soft ones.
-    A null or empty url has empty parts and no hits, so it is allowed; a repeated row is judged each time; an empty
-    table gives an empty result. Nothing is shuffled: the rules and terms are plan literals, their number a parameter.
+    A null or empty url has empty parts and no hits, so it is allowed; a url of any length is searched whole, in linear
+    time; a term that is strict and soft counts as strict; a repeated row is judged each time; an empty table gives an
+    empty result. Nothing is shuffled: the rules and terms are plan literals, their number a parameter.
     """
     host, path = url_parts(F.col(url))
     hits = vocabulary_hits(strict, soft)(F.translate(F.coalesce(F.col(url), F.lit("")), UPPER, LOWER))

@@ -268,9 +268,14 @@ def test_secret_base_spans_against_patterns(spark):
 def test_secret_models(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
     model = secrets.train(docs, limit=60, random=300)
-    words = {"ghp_a8F3kQz91LmN0pXw72bVt5Rc": True, "Xk29dLq0vR8sTz1mPq7w": True, "some_long_function_name_here1": False, "user-profile-image-2024-final": False, "MAX_BUFFER_SIZE_IN_BYTES_64": False}
+    words = {"QzXvKjWpLmTrYbNcHgFd": True, "-" * 40: False, "=" * 30: False, "the_quick_brown_fox_jumps": False, "0" * 24: False, "ghp_a8F3kQz91LmN0pXw72bVt5Rc": True, "Xk29dLq0vR8sTz1mPq7w": True, "some_long_function_name_here1": False, "user-profile-image-2024-final": False, "MAX_BUFFER_SIZE_IN_BYTES_64": False}
     rows = secrets.scan(spark.createDataFrame([(w,) for w in words], "text string"), model).select("text", F.size("all_spans").alias("n")).collect()
     assert {r.text: r.n == 1 for r in rows} == words
+    rng = np.random.default_rng(8)
+    for letters, least in (("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", 0.97), ("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", 0.98), ("abcdefghijklmnopqrstuvwxyz", 0.8)):
+        keys = spark.createDataFrame([("".join(rng.choice(list(letters), 24)),) for _ in range(400)], "text string")
+        assert secrets.scan(keys, model).filter("size(all_spans) > 0").count() >= 400 * least, letters
+    assert secrets.scan(docs.limit(0), model).count() == 0
     clean = secrets.scan(docs, model).filter(F.exists("all_spans", lambda s: s["kind"] == 3)).count()
     assert clean <= 3
 
@@ -325,8 +330,7 @@ def test_packing_of_documents(spark):
 
     path = public_tokenizers.path("word_bpe_49k.json")
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
-    texts = ["it's 'sound' they're we'll ''s !'s don't i'M 'RE '", "Ünïcode Σας ΣΑΣ İstanbul ﬁ é ẛ̣ 12³½ 中文 😀😀 a_b_c\x1c\x85　x", "", " \n ", "'s", "a'll'd 's't'", None, " <|endoftext|> a", text(1, 900), text(2, 900), text(2, 900)]
+    texts = ["it's 'sound' they're we'll ''s !'s don't i'M 'RE '", "Ünïcode Σας ΣΑΣ İstanbul ﬁ é ẛ̣ 12³½ 中文 😀😀 a_b_c\x1c\x85　x", "", " \n ", "'s", "a'll'd 's't'", None, " <|endoftext|> a", "x<|startoftext|>É<|endoftext|>'s <|ENDOFTEXT|>", text(1, 900), text(2, 900), text(2, 900), text(3, 60_000)]
     rows = packing.pack_documents(spark.createDataFrame(list(enumerate(texts)), "id long, text string"), path, length=512).collect()
     for k, t in enumerate(texts):
         ids = tokenizer.encode(t or "", add_special_tokens=False).ids + [1]
@@ -396,9 +400,22 @@ def test_sharding_query(spark):
 
 
 def test_url_verdicts(spark):
-    urls = ["http://A.Example.COM/en/8", "https://x.example.com/en/7?x", "http://example.net/de/8x", "http://h.net/de/1", "http://a.org/es/?", "http://free-bets.example.org/fr/1", "http://notcasinos.org/", "http://casino.io/x", "http://free.io/free", None, "no scheme casino", "http://h.com?x=/en/", "http://xcom/en/1", ""]
+    urls = ["http://A.Example.COM/en/8", "https://x.example.com/en/7?x", "http://example.net/de/8x", "http://h.net/de/1", "http://a.org/es/?", "http://free-bets.example.org/fr/1", "http://notcasinosx.org/", "http://casino.io/x", "http://free.io/free", None, "no scheme casino", "http://h.com?x=/en/", "http://xcom/en/1", ""]
     rows = urlfilter.judge_urls(spark.createDataFrame([(k, u, "clash") for k, u in enumerate(urls)], "page_id int, url string, host string"), urlfilter.OP10_RULES).orderBy("page_id").collect()
     got = [(r.rule, r.verdict) for r in rows]
     assert got[:5] == [("com/en/", "block"), ("example.com/en/7", "allow"), ("example.net/de/8", "block"), ("net/de/", "allow"), ("org/es/", "block")]
     assert got[5:] == [(None, "block"), (None, "allow"), (None, "block"), (None, "allow"), (None, "allow"), (None, "block"), (None, "allow"), (None, "allow"), (None, "allow")]
     assert (rows[0].host, rows[0].path, rows[9].host, rows[11].path) == ("a.example.com", "/en/8", "", "")
+
+
+def test_url_vocabulary(spark, tmp_path):
+    path = tmp_path / "terms.txt"
+    path.write_text("# own terms\nstrict Zap\n\nsoft one\nsoft two\nsoft zap\n")
+    strict, soft = urlfilter.read_vocabulary(str(path))
+    assert (strict, soft) == (("zap",), ("one", "two", "zap"))
+    long = "http://h.org/" + "a/" * 200_000
+    urls = [long + "one/one", long + "one/two", "HTTP://ZAP.org/", "http://zaps.org/", None, "http://zaps.org/"]
+    rows = spark.createDataFrame([(k, u, 1, "v") for k, u in enumerate(urls)], "page_id int, url string, soft_hits int, verdict string")
+    got = urlfilter.judge_urls(rows, (), strict, soft).orderBy("page_id").collect()
+    assert [(r.strict_hits, r.soft_hits, r.verdict) for r in got] == [(0, 1, "allow"), (0, 2, "block"), (1, 0, "block"), (0, 0, "allow"), (0, 0, "allow"), (0, 0, "allow")]
+    assert urlfilter.judge_urls(rows.limit(0), (), strict, soft).count() == 0 and urlfilter.judge_urls(rows, (), (), ()).filter("verdict = 'block'").count() == 0
