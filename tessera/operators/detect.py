@@ -31,7 +31,7 @@ RULES: tuple[tuple[str, tuple[str, ...], tuple[str, ...]], ...] = (
     ("Zoomify", (r"ImageProperties\.xml(\?.*)?\z", r"/TileGroup\d+/\d+-\d+-\d+.jpg\z", r"biblio\.unibe\.ch/web-apps/maps/zoomify\.php", r"bspe-p-pub\.paris\.fr/MDBGED/zoomify-BFS\.aspx", r"ngv\.vic\.gov\.au/explore/collection/work", r"artandarchitecture\.org\.uk/images/zoom"),
      (r"zoomifyImagePath=", r"showImage\(", r"accessnumber=", r"ete-openlayers-src", r"type['\"]?\s*:\s*['\"]zoomifytileservice")),
     ("Seadragon", (r"museodelprado\.es/(?:en/the-collection|coleccion)/(?:art-work|obra-de-arte)/", r"bl\.uk/manuscripts/Viewer\.aspx", r"polona\.pl/item/", r"bibliotheques-specialisees\.paris\.fr/ark", r"nla\.gov\.au/nla\.obj.*/view\z", r"_files/\d+/\d+_\d+.jpg\z", r"dzi\z"),
-     (r"(?i)data-pyr=[\"'][^\"']+[\"'][^>]*\bimg_cache\b|\bimg_cache\b[^>]*data-pyr=", r"dziUrlTemplate", r"(?i)Seadragon\.embed\([^)]*[\"'][^\"']+\.(?:xml|dzi)(?:\?[^\"']*)?[\"']", r"(?i)[^\"'()<>]+\.(?:dzi)", r"schemas\.microsoft\.com/deepzoom", r"zoom(?:\.it|hub.net)/.*\.js", r"\b(dzi|DZI)\b")),
+     (r"(?i)data-pyr=[\"'][^\"']+[\"'][^>]*\bimg_cache\b|\bimg_cache\b[^>]*data-pyr=", r"dziUrlTemplate", r"(?i)Seadragon\.embed\([^)]*[\"'][^\"']+\.(?:xml|dzi)(?:\?[^\"']*)?[\"']", r"(?i)[^\"'()<>]\.dzi", r"schemas\.microsoft\.com/deepzoom", r"zoom(?:\.it|hub.net)/.*\.js", r"\b(dzi|DZI)\b")),
     ("IIPImage", (r"^((?!topview).)*\?FIF=.*$",), (r"\?FIF=",)),
     ("Zoomify PFF", (r"file=.*&requestType=", r"\.pff\z"), (r"zoomifyTileHandlerPath=",)),
     ("XLimage", (r"kbr.be/multi/([\w\d-]+)Viewer", r"\.img.\?cmd=info"), ()),

@@ -11,24 +11,27 @@ from pyspark.sql import functions as F
 
 from tessera.operators.grid import canvas_ratio
 
-STRIP = 4096
+#: Pixels of a strip that a task paints at once.
+PIXELS = 1 << 24
 
 
-def mosaic(tiles: DataFrame, strip: int = STRIP, digest: bool = False) -> DataFrame:
+def mosaic(tiles: DataFrame, strip: int | None = None, digest: bool = False) -> DataFrame:
     """(image_id, strip, width, height, data) from tiles (image_id, width, height, px, py, tile_w, tile_h, data).
 
     data are 8-bit RGB rows, of tiles and of the result; a tile of one colour may be its one pixel. With `digest` there is
     checksum, the SHA-256 of the result's data in hex, instead of data. Later tiles, by (py, px), cover earlier ones. An image is cut into
-    strips of `strip` rows, a task paints one at a time, so no image has to fit a task whole. Tiles over a cut go to both.
+    strips of `strip` rows, or of PIXELS pixels; a task paints one at a time, so no image has to fit a task whole. Tiles over a cut go to both.
     """
-    ends = F.floor((F.col("py") + F.greatest(F.col("tile_h"), F.lit(1)) - 1) / F.lit(float(strip))).cast("int")
-    cut = tiles.withColumn("strip", F.explode(F.sequence(F.floor(F.col("py") / F.lit(float(strip))).cast("int"), ends)))
+    rows = F.lit(strip) if strip else F.greatest(F.lit(1), F.floor(F.lit(PIXELS) / F.greatest(F.col("width"), F.lit(1)).cast("double"))).cast("int")
+    tiles = tiles.withColumn("rows", rows)
+    ends = F.floor((F.col("py") + F.greatest(F.col("tile_h"), F.lit(1)) - 1) / F.col("rows").cast("double")).cast("int")
+    cut = tiles.withColumn("strip", F.explode(F.sequence(F.floor(F.col("py") / F.col("rows").cast("double")).cast("int"), ends)))
 
     def paint(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["py", "px"], kind="stable")
         first = group.iloc[0]
-        top = int(first.strip) * strip
-        width, height = int(first.width), min(strip, int(first.height) - top)
+        top = int(first.strip) * int(first.rows)
+        width, height = int(first.width), min(int(first.rows), int(first.height) - top)
         canvas = np.zeros((max(height, 0), width, 3), np.uint8)
         for t in group.itertuples():
             pixels = np.frombuffer(t.data, np.uint8)

@@ -65,26 +65,37 @@ def topviewer() -> Column:
     return F.replace(F.col("url_template"), F.lit("{tile}"), text(F.col("first_tile") + x + y * F.col("cols")))
 
 
-def krpano() -> Column:
+KRPANO_KEY, GENERIC_KEY = r"%(0*[a-z%])", r"\{\{((?:[XYxy])(?::.\d+)?)\}\}"
+#: Where the template of a format is, and what stands for a value in it.
+TEMPLATES = {"krpano": ("url_template", KRPANO_KEY), "Generic": ("origin", GENERIC_KEY)}
+
+
+def template_parts(column: str, pattern: str) -> Column:
+    """array<struct(gap, key)>: the text before each place of a template and what stands there; the last key is null."""
+    keys = F.regexp_extract_all(F.col(column), F.lit(pattern), F.lit(1))
+    return F.arrays_zip(F.split(F.col(column), pattern, -1).alias("gap"), keys.alias("key"))
+
+
+def with_template_parts(images: DataFrame, name: str) -> DataFrame:
+    """Adds template_parts to descriptors of a format of TEMPLATES, so that a template is split once an image and not for each tile."""
+    return images.withColumn("template_parts", template_parts(*TEMPLATES[name]))
+
+
+def krpano(parts: Column | None = None) -> Column:
     """%h %x %u %c are the column, %v %y %r the row, %l the level, %s the side, %f the frame; zeros before a letter pad.
 
     As many widths as the template uses are filled; %% is a percent sign. Templates with other letters give null.
     """
     x, y = F.col("x"), F.col("y")
     base = F.coalesce(F.col("base_index"), F.lit(1))
-    values = {**dict.fromkeys("hxuc", text(x + base)), **dict.fromkeys("vyr", text(y + base)), "l": text(F.col("level_index")), "s": F.lit("f"), "f": F.lit("1"), "%": F.lit("%")}
-    pattern = r"%(0*[a-z%])"
-    gaps, keys = F.split(F.col("url_template"), pattern, -1), F.regexp_extract_all(F.col("url_template"), F.lit(pattern), F.lit(1))
+    values = F.create_map(*[c for sign, v in {**dict.fromkeys("hxuc", text(x + base)), **dict.fromkeys("vyr", text(y + base)), "l": text(F.col("level_index")), "s": F.lit("f"), "f": F.lit("1"), "%": F.lit("%")}.items() for c in (F.lit(sign), v)])
 
-    def fill(key: Column) -> Column:
-        letter = F.right(key, F.lit(1))
-        value = F.lit(None).cast("string")
-        for sign, v in values.items():
-            value = F.when(letter == sign, v).otherwise(value)
-        return pad_left(value, F.length(key), "0")
+    def fill(acc: Column, p: Column) -> Column:
+        # The width is that of the zeros and the letter.
+        value = pad_left(F.try_element_at(values, F.right(p["key"], F.lit(1))), F.length(p["key"]), "0")
+        return F.concat(acc, p["gap"], F.when(p["key"].isNull(), "").otherwise(value))
 
-    # The width is that of the zeros and the letter.
-    return F.aggregate(F.zip_with(gaps, F.concat(F.transform(keys, fill), F.array(F.lit(""))), lambda a, b: F.concat(a, b)), F.lit(""), lambda acc, s: F.concat(acc, s))
+    return F.aggregate(template_parts(*TEMPLATES["krpano"]) if parts is None else parts, F.lit(""), fill)
 
 
 def iiif() -> Column:
@@ -135,18 +146,17 @@ def from_map() -> Column:
     return F.try_element_at(F.col("tile_map"), F.concat_ws(",", text(x), text(y)))
 
 
-def generic() -> Column:
+def generic(parts: Column | None = None) -> Column:
     """{{X}} and {{Y}}, in either case, with an optional sign and width to pad to: {{X:04}} pads with 0 to 4."""
-    x, y = F.col("x"), F.col("y")
-    pattern = r"\{\{((?:[XYxy])(?::.\d+)?)\}\}"
-    gaps, keys = F.split(F.col("origin"), pattern, -1), F.regexp_extract_all(F.col("origin"), F.lit(pattern), F.lit(1))
+    x, y = text(F.col("x")), text(F.col("y"))
 
-    def fill(key: Column) -> Column:
-        value = F.when(F.lower(F.left(key, F.lit(1))) == "x", text(x)).otherwise(text(y))
-        width = F.coalesce(F.substring(key, 4, 20).try_cast("int"), F.lit(0))
-        return F.when(F.length(key) > 1, pad_left(value, width, F.substring(key, 3, 1))).otherwise(value)
+    def fill(acc: Column, p: Column) -> Column:
+        key = p["key"]
+        value = F.when(F.lower(F.left(key, F.lit(1))) == "x", x).otherwise(y)
+        padded = F.when(F.length(key) > 1, pad_left(value, F.coalesce(F.substring(key, 4, 20).try_cast("int"), F.lit(0)), F.substring(key, 3, 1))).otherwise(value)
+        return F.concat(acc, p["gap"], F.when(key.isNull(), "").otherwise(padded))
 
-    return F.array_join(F.zip_with(gaps, F.concat(F.transform(keys, fill), F.array(F.lit(""))), lambda a, b: F.concat(a, b)), "")
+    return F.aggregate(template_parts(*TEMPLATES["Generic"]) if parts is None else parts, F.lit(""), fill)
 
 
 def mnesys() -> Column:
@@ -233,9 +243,11 @@ def register_format(name: str, builder: Callable[[], Column]) -> None:
 def with_tile_urls(tiles: DataFrame, formats: list[str] | None = None, resolve: bool = True) -> DataFrame:
     """Adds `url` to planned tiles by their `format`, resolved against `origin` where that is set.
 
-    formats limits the expression to those whose columns the tiles have.
+    formats limits the expression to those whose columns the tiles have. with_template_parts() before the tiles are
+    planned saves work for formats with templates.
     """
     url = F.lit(None).cast("string")
     for name in formats or BUILDERS:
-        url = F.when(F.col("format") == name, BUILDERS[name]()).otherwise(url)
+        own = BUILDERS[name](F.col("template_parts")) if name in TEMPLATES and "template_parts" in tiles.columns else BUILDERS[name]()
+        url = F.when(F.col("format") == name, own).otherwise(url)
     return tiles.withColumn("url", F.when(F.col("origin").isNotNull(), resolve_relative(url, F.col("origin"))).otherwise(url) if resolve else url)

@@ -236,14 +236,14 @@ def pnav_crops(spark, sf_dir):
 
 @query(f"WITH {GRID} SELECT image_id, x, y, 'http://h/' || image_id || '/' || lpad(CAST(x AS VARCHAR), 4, '0') || '-' || y || '.jpg?c=' || x AS url FROM tiles")
 def generic_template(spark, sf_dir):
-    tiles = grid.plan_tiles(images(spark, sf_dir)).withColumn("origin", F.concat(F.lit("http://h/"), F.col("image_id").cast("string"), F.lit("/{{X:04}}-{{y}}.jpg?c={{x}}")))
-    return tiles.select("image_id", "x", "y", tileurl.generic().alias("url"))
+    img = described(spark, sf_dir, "Generic", "http://h/").withColumn("origin", F.concat("origin", F.lit("/{{X:04}}-{{y}}.jpg?c={{x}}")))
+    return tileurl.with_tile_urls(grid.plan_tiles(tileurl.with_template_parts(img, "Generic")), ["Generic"], False).select("image_id", "x", "y", "url")
 
 
 @query(f"WITH {GRID} SELECT image_id, x, y, 'l3/' || lpad(CAST(y + 1 AS VARCHAR), 2, '0') || '/p_f_' || CASE WHEN x + 1 < 100 THEN lpad(CAST(x + 1 AS VARCHAR), 3, '0') ELSE CAST(x + 1 AS VARCHAR) END || '%.jpg' AS url FROM tiles")
 def krpano_template(spark, sf_dir):
-    tiles = grid.plan_tiles(images(spark, sf_dir)).withColumns({"url_template": F.lit("l%l/%0v/p_%s_%00h%%.jpg"), "base_index": F.lit(1), "level_index": F.lit(3)})
-    return tiles.select("image_id", "x", "y", tileurl.krpano().alias("url"))
+    img = described(spark, sf_dir, "krpano", None, url_template=F.concat(F.lit("l%l/%0v/p_%s_%00h%%."), F.lit("jpg")), base_index=F.lit(1), level_index=F.lit(3))
+    return tileurl.with_tile_urls(grid.plan_tiles(tileurl.with_template_parts(img, "krpano")), ["krpano"], False).select("image_id", "x", "y", "url")
 
 
 @query("SELECT page_id, replace(replace(replace(replace(regexp_extract(html, '<title>([^<]*)', 1), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&amp;', '&') AS title FROM pages")
