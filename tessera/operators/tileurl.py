@@ -88,12 +88,15 @@ def krpano(parts: Column | None = None) -> Column:
     """
     x, y = F.col("x"), F.col("y")
     base = F.coalesce(F.col("base_index"), F.lit(1))
-    values = F.create_map(*[c for sign, v in {**dict.fromkeys("hxuc", text(x + base)), **dict.fromkeys("vyr", text(y + base)), "l": text(F.col("level_index")), "s": F.lit("f"), "f": F.lit("1"), "%": F.lit("%")}.items() for c in (F.lit(sign), v)])
+    column, row = text(x + base), text(y + base)
+
+    def value(letter: Column) -> Column:
+        return F.when(letter.isin(*"hxuc"), column).when(letter.isin(*"vyr"), row).when(letter == "l", text(F.col("level_index"))).when(letter == "%", "%").when(letter == "s", "f").when(letter == "f", "1")
 
     def fill(acc: Column, p: Column) -> Column:
         # The width is that of the zeros and the letter.
-        value = pad_left(F.try_element_at(values, F.right(p["key"], F.lit(1))), F.length(p["key"]), "0")
-        return F.concat(acc, p["gap"], F.when(p["key"].isNull(), "").otherwise(value))
+        padded = pad_left(value(F.right(p["key"], F.lit(1))), F.length(p["key"]), "0")
+        return F.concat(acc, p["gap"], F.when(p["key"].isNull(), "").otherwise(padded))
 
     return F.aggregate(template_parts(*TEMPLATES["krpano"]) if parts is None else parts, F.lit(""), fill)
 
