@@ -138,18 +138,42 @@ def test_webp_transforms(options):
 
 
 def test_webp_payloads(spark):
-    texts = [None, "", "a" * 64, "é" * 5000, text(1, 3000), "a" * 64, "x"]
-    rows = webp.store_texts(spark.createDataFrame(list(enumerate(texts)), "id long, text string")).orderBy("id").collect()
+    rng = np.random.default_rng(6)
+    texts = [None, "", "a" * 64, "é" * 5000, text(1, 3000), "a" * 64, "x", "ab" * 9000, "0123456789abcdef" * 300, "".join(rng.choice(list("01"), 3000)), "".join(rng.choice(list("acgt"), 9999)), "".join(map(chr, rng.integers(1, 55_000, 5000))), "same line again\n" * 2000]
+    docs = spark.createDataFrame([(k, t, b"own") for k, t in enumerate(texts)], "id long, text string, media binary")
+    stored = Scratch(spark, "webp").put(webp.store_texts(docs), "media")
+    rows = webp.read_media(stored, keep_pixels=True).orderBy("id").collect()
     for r, t in zip(rows, texts, strict=True):
         p = webp.payload_of(t)
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len((t or "").encode()), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-64:]))
-        assert b"".join((webp.decode_stream(f) >> 8 & 255).astype(np.uint8).tobytes() for f in webp.read_file(bytes(r.media))) == p
+        assert b"".join((webp.decode_stream(f) >> 8 & 255).astype(np.uint8).tobytes() for f in webp.read_file(bytes(r.media))) == p == bytes(r.pixels)
         assert r.media_sha256 == hashlib.sha256(r.media).hexdigest() and r.media_bytes == len(r.media)
     assert rows[2].media_sha256 == rows[5].media_sha256 and rows[0].payload_bytes == 64
+    assert rows[12].media_bytes < 2500 and rows[10].media_bytes < 2900  # copies; two bits a letter
+    assert webp.store_texts(docs.limit(0)).count() == 0
     with pytest.raises(ValueError):
         webp.decode_payloads([bytes(rows[4].media[:-900])])
 
 
+def test_webp_of_another_encoder():
+    """The one-pixel lossless file that web pages use to tell whether a browser reads the format."""
+    data = base64.b64decode("UklGRhoAAABXRUJQVlA4TA0AAAAvAAAAEAcQERGIiP4HAA==")
+    (stream,) = webp.read_file(data)
+    pixel = webp.decode_stream(stream)
+    assert pixel.shape == (1, 1) and webp.decode_payloads([data]) == [bytes([int(pixel[0, 0]) >> 8 & 255])]
+
+
+def test_webp_streams_side_by_side():
+    rng = np.random.default_rng(2)
+    images, options = [], [{}, {"copies": False}, {"cache_bits": 5}, {"cache_bits": 3, "subtract_green": True}, {"cross": 0x123457}, {"palette": True}, {"predictor": 11, "cache_bits": 4}, {"meta_bits": 2}]
+    for o in options:
+        for h, w, k in ((1, 1, 1), (9, 13, 4), (20, 33, 90)):
+            images.append((o, rng.integers(0, 2**32, k, dtype=np.uint64).astype(np.int64)[rng.integers(0, k, (h, w))]))
+    files = [webp.write_file([(webp.encode_stream(x, **o), x.shape[1], x.shape[0])]) for o, x in images]
+    got = webp.decode_payloads(files)
+    assert all(g == (x >> 8 & 255).astype(np.uint8).tobytes() for g, (_, x) in zip(got, images, strict=True))
+
+
 # 4
 
 
