@@ -122,7 +122,9 @@ def js_number(x: Column) -> Column:
 
 
 def char_code_sum(text: Column) -> Column:
-    return F.aggregate(F.filter(F.split(text, ""), lambda c: c != ""), F.lit(0).cast("bigint"), lambda acc, c: acc + F.ascii(c))
+    """The sum of the UTF-16 units."""
+    units = F.regexp_extract_all(F.hex(F.encode(text, "UTF-16BE")), F.lit("(.{4})"), F.lit(1))
+    return F.aggregate(units, F.lit(0).cast("bigint"), lambda acc, c: acc + F.conv(c, 16, 10).cast("bigint"))
 
 
 def is_private_ipv4(host: Column) -> Column:

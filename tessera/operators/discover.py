@@ -15,7 +15,6 @@ from tessera.functions.text import decode_entities, encode_uri_component, first_
 from tessera.operators import detect as d
 
 
-
 @dataclass
 class Discovery:
     """direct: the metadata URL, if the URL tells it. hop: another document's URL. found: by page or hop_body. error: if none."""
@@ -26,26 +25,35 @@ class Discovery:
     error: str = "No metadata URL was found."
 
 
+def _let(value: Column, f) -> Column:
+    """f(value), which stands once in the plan however often f uses it."""
+    return F.transform(F.array(value), f)[0]
+
+
+def _resolved(path: Column, base: Column) -> Column:
+    return _let(F.struct(path.alias("path"), base.alias("base")), lambda x: resolve_relative(x["path"], x["base"]))
+
+
 def _properties(path: Column) -> Column:
-    return F.concat(path, F.when(path.endswith("/"), "ImageProperties.xml").otherwise("/ImageProperties.xml"))
+    return _let(path, lambda p: F.concat(p, F.when(p.endswith("/"), "ImageProperties.xml").otherwise("/ImageProperties.xml")))
 
 
 def zoomify() -> Discovery:
     url, page, hop_body = F.col("url"), F.col("page"), F.col("hop_body")
-    base = F.coalesce(resolve_relative(first_match(page, r"(?i)<base\s+[^>]*href\s*=\s*[\"']([^\"']*)"), url), url)
+    base = F.coalesce(_resolved(first_match(page, r"(?i)<base\s+[^>]*href\s*=\s*[\"']([^\"']*)"), url), url)
     pattern = r"zoomifyImagePath=([^'\"&]*)['\"&]|showImage\([^),]*,\s*[\"']([^'\"]*)"
     found = F.regexp_extract_all(page, F.lit(f"({pattern})"), F.lit(1))
     paths = F.filter(F.transform(found, lambda m: F.coalesce(F.nullif(F.regexp_extract(m, pattern, 1), F.lit("")), F.regexp_extract(m, pattern, 2))), lambda p: p != "")
     service = first_match(page, r"(?s)type['\"]?\s*:\s*['\"]zoomifytileservice.*tilesUrl[\"']?\s*:\s*[\"']([^'\"]+)")
-    first = resolve_relative(F.coalesce(F.get(F.array_distinct(paths), 0), service), base)
+    first = _resolved(F.coalesce(F.get(F.array_distinct(paths), 0), service), base)
     access = first_match(page, r"(?i)accessnumber=([^\"&\s']+)")
-    broker = resolve_relative(F.concat(F.lit("/scripts/XMLBroker.new.php?Lang=2&contentType=IMAGES&contentID="), access), url)
-    frame = resolve_relative(first_match(page, r"<iframe[^>]*src=[\"']([^\"']*)"), url)
-    library = F.when(url.contains("biblio.unibe.ch/web-apps/maps/zoomify.php"), resolve_relative(first_match(page, r"url = '([^']*)'"), url))
+    broker = _resolved(F.concat(F.lit("/scripts/XMLBroker.new.php?Lang=2&contentType=IMAGES&contentID="), access), url)
+    frame = _resolved(first_match(page, r"<iframe[^>]*src=[\"']([^\"']*)"), url)
+    library = F.when(url.contains("biblio.unibe.ch/web-apps/maps/zoomify.php"), _resolved(first_match(page, r"url = '([^']*)'"), url))
     layers = first_match(page, r"<[^>]*class=\"ete-openlayers-src\"[^>]*>(.*?)</.*>")
     gallery = F.when(url.contains("ngv.vic.gov.au"), first_match(page, r"var url = '(.*?)'"))
     near = F.coalesce(library, layers, gallery)
-    of_hop = F.coalesce(F.nullif(F.xpath_string(F.when(first.isNull() & access.isNotNull(), hop_body), F.lit("(//imagefile[@format='zoomify'])[1]")), F.lit("")), F.when(access.isNull(), resolve_relative(first_match(hop_body, r"zoomifyImagePath=([^'\"&]*)['\"&]"), frame)))
+    of_hop = F.coalesce(F.nullif(F.xpath_string(F.when(first.isNull() & access.isNotNull(), hop_body), F.lit("(//imagefile[@format='zoomify'])[1]")), F.lit("")), F.when(access.isNull(), _resolved(first_match(hop_body, r"zoomifyImagePath=([^'\"&]*)['\"&]"), frame)))
     fallback = F.when(page.isNotNull(), F.coalesce(first_match(page, r"<url>(.*)</url>"), url))
     tile = first_match(url, r"^(.*)/TileGroup\d+/\d+-\d+-\d+.jpg\z")
     return Discovery(
@@ -82,7 +90,7 @@ def seadragon() -> Discovery:
 
 def iipimage() -> Discovery:
     url, page = F.col("url"), F.col("page")
-    return Discovery(direct=F.when(url.contains("?FIF="), url), found=resolve_relative(first_match(page, r"[\"']([^\"']*?\?FIF=.*?)[\"']"), url), error="No IIPImage-related URL found.")
+    return Discovery(direct=F.when(url.contains("?FIF="), url), found=_resolved(first_match(page, r"[\"']([^\"']*?\?FIF=.*?)[\"']"), url), error="No IIPImage-related URL found.")
 
 
 def zoomify_pff() -> Discovery:
@@ -105,7 +113,7 @@ def topviewer() -> Discovery:
     server, image = first_match(page, d.MEMORIX, 1), first_match(page, d.MEMORIX, 2)
     by_thumb = F.when(server == "rkd", F.concat(F.lit("https://images.rkd.nl/rkd/topviewjson/memorix/"), image)).otherwise(F.concat(F.lit("http://images.memorix.nl/"), server, F.lit("/topviewjson/memorix/"), image))
     quoted = first_match(page, r"[\"']?server[\"']?\s*:\s*[\"']([^\"']+)[\"']")
-    named_server = resolve_relative(F.from_json(F.concat(F.lit('{"u":"'), quoted, F.lit('"}')), "u string")["u"], url)
+    named_server = _resolved(F.from_json(F.concat(F.lit('{"u":"'), quoted, F.lit('"}')), "u string")["u"], url)
     return Discovery(direct=F.when(url.rlike(r"memorix\.nl/.+/topviewjson/memorix"), url), found=F.coalesce(by_thumb, named_server, F.when(page.isNotNull(), url)))
 
 
@@ -118,7 +126,7 @@ def info_url(text: Column, base: Column | None = None) -> Column:
     """The info.json of the first image API URL in a text: absolute, then relative, then a bare root, then a custom element."""
     api = F.coalesce(first_match(text, d.ABSOLUTE_API), first_match(text, d.RELATIVE_API), first_match(text, d.LONDON))
     out = F.coalesce(F.concat(api, F.lit("/info.json")), F.concat(F.lit("https://i.micr.io/"), first_match(text, d.MICRIO_TAG), F.lit("/info.json")))
-    out = out if base is None else resolve_relative(out, base)
+    out = out if base is None else _resolved(out, base)
     return F.regexp_replace(out, r"micrio\.vangoghmuseum\.nl/iiif", "micrio-cdn.vangoghmuseum.nl")
 
 
@@ -207,7 +215,7 @@ def micrio() -> Discovery:
     path = F.when(offset.isNotNull(), F.regexp_replace(path, r"^(.*?)offset=\d+", F.concat(F.lit("$1offset="), offset))).otherwise(path)
     items = F.from_json(hop_body, "setItems array<struct<ObjectNumber:string,TilingUrl:string>>")["setItems"]
     chosen = F.coalesce(F.get(F.filter(items, lambda i: i["ObjectNumber"] == F.regexp_extract(url, wanted, 1)), 0), F.get(items, 0))
-    return Discovery(direct=F.when(url.rlike(r"/api/getTilesInfo\?object_id="), url), hop=F.when(own.isNull(), resolve_relative(path, url)), found=F.coalesce(own, chosen["TilingUrl"], F.when(page.isNotNull() & source.isNull(), url)))
+    return Discovery(direct=F.when(url.rlike(r"/api/getTilesInfo\?object_id="), url), hop=F.when(own.isNull(), _resolved(path, url)), found=F.coalesce(own, chosen["TilingUrl"], F.when(page.isNotNull() & source.isNull(), url)))
 
 
 def arts_culture() -> Discovery:
@@ -236,7 +244,7 @@ def mnesys() -> Discovery:
     playlist = F.when(listed, page).otherwise(hop_body)
     name = F.get(F.xpath(playlist, F.lit("(//playlist)[1]//a/text()")), number)
     base = F.concat(F.xpath_string(playlist, F.lit("(//playlist)[1]/@host")), F.xpath_string(playlist, F.lit("(//playlist)[1]/@basepath")))
-    return Discovery(direct=F.when(url.rlike(r"/p\.xml(\?.*)?\z"), url), hop=F.when(~listed, resolve_relative(value("playlist"), url)), found=F.concat(base, F.regexp_replace(name, r"^([^.]*)\.", "$1_"), F.lit("_/p.xml")), error="Invalid mnesys playlist")
+    return Discovery(direct=F.when(url.rlike(r"/p\.xml(\?.*)?\z"), url), hop=F.when(~listed, _resolved(value("playlist"), url)), found=F.concat(base, F.regexp_replace(name, r"^([^.]*)\.", "$1_"), F.lit("_/p.xml")), error="Invalid mnesys playlist")
 
 
 def itself() -> Discovery:
@@ -253,27 +261,37 @@ DISCOVERIES = {
 def discover(requests: DataFrame, documents: DataFrame, formats: list[str] | None = None) -> DataFrame:
     """Adds meta_url, needs_url and error to requests (request_id, url, format[, page_number]), by documents (url, body).
 
-    Rows whose URL tells the metadata URL are joined with nothing; the others meet their page, and those that need a
-    second document meet that. Both are equi-joins on the URL.
+    Each row is in the result once, whatever its format: rows of a format that has no rules, or of none, are errors. Rows
+    whose URL tells the metadata URL are joined with nothing; the others meet their page, and those that need a second
+    document meet that: two equi-joins for all formats together. Of documents that repeat a URL the least body counts.
     """
-    url = F.col("url")
+    url, null = F.col("url"), F.lit(None).cast("string")
+    rules = {name: DISCOVERIES[name]() for name in formats or DISCOVERIES}
+
+    def chosen(part: str) -> Column:
+        out = null
+        for name, how in rules.items():
+            c = getattr(how, part)
+            if c is not None:
+                out = F.when(F.col("format") == name, c).otherwise(out)
+        # Inside a higher-order function, as compiled code of all formats' rules in one expression grows too large.
+        return F.transform(F.array(F.lit(0)), lambda _: out)[0]
+
+    def met(rows: DataFrame, key: str, name: str) -> DataFrame:
+        asked = rows.select(F.col(key).alias("url")).filter("url is not null").distinct()
+        own = documents.select("url", "body").join(asked, "url", "left_semi").groupBy("url").agg(F.min("body").alias(name))
+        return rows.join(own.withColumnRenamed("url", key), key, "left")
+
     if "page_number" not in requests.columns:
         requests = requests.withColumn("page_number", F.lit(None).cast("int"))
-    requests = requests.select("request_id", "url", "format", "page_number")
-    pages = documents.select(F.col("url").alias("url"), decode_entities(F.col("body")).alias("page"))
-    hops = documents.select(F.col("url").alias("hop"), F.col("body").alias("hop_body"))
-    out = None
-    for name in formats or DISCOVERIES:
-        how = DISCOVERIES[name]()
-        null = F.lit(None).cast("string")
-        given = lambda c, null=null: null if c is None else c
-        own = requests.filter(F.col("format") == name).withColumn("direct", given(how.direct))
-        done = own.filter("direct is not null").withColumn("meta_url", F.col("direct")).withColumns({"needs_url": null, "error": null})
-        rest = own.filter("direct is null").join(pages, "url", "left").withColumn("hop", given(how.hop)).join(hops, "hop", "left").withColumn("meta_url", given(how.found))
-        none = F.col("meta_url").isNull()
-        needs = F.when(none & F.col("hop").isNotNull() & F.col("hop_body").isNull(), F.col("hop")).when(none & F.col("hop").isNull() & F.col("page").isNull(), F.col("url"))
-        rest = rest.withColumn("needs_url", needs).withColumn("error", F.when(F.col("meta_url").isNull() & F.col("needs_url").isNull(), how.error))
-        columns = ["request_id", "url", "format", F.when(F.col("meta_url").isNotNull(), resolve_relative(F.col("meta_url"), url)).alias("meta_url"), "needs_url", "error"]
-        part = done.select(*columns).unionByName(rest.select(*columns))
-        out = part if out is None else out.unionByName(part)
-    return out
+    rows = requests.select("request_id", "url", "format", "page_number").withColumn("direct", chosen("direct"))
+    rows = rows.withColumn("asks", F.when(F.col("direct").isNull() & F.col("format").isin(*rules), url))
+    rows = met(rows, "asks", "raw").withColumn("page", decode_entities(F.col("raw"))).drop("raw").withColumn("hop", F.when(F.col("direct").isNull(), chosen("hop")))
+    rows = met(rows, "hop", "hop_body").withColumn("meta_url", F.coalesce("direct", chosen("found")))
+    none, no_rule = F.col("meta_url").isNull(), ~F.coalesce(F.col("format").isin(*rules), F.lit(False))
+    needs = F.when(none & ~no_rule & F.col("hop").isNotNull() & F.col("hop_body").isNull(), F.col("hop")).when(none & ~no_rule & F.col("hop").isNull() & F.col("page").isNull(), url)
+    errors = F.when(no_rule, "No such format.")
+    for name, how in rules.items():
+        errors = errors.when(F.col("format") == name, how.error)
+    rows = rows.withColumn("needs_url", needs).withColumn("error", F.when(none & F.col("needs_url").isNull(), errors))
+    return rows.select("request_id", "url", "format", F.when(~none, _resolved(F.col("meta_url"), url)).alias("meta_url"), "needs_url", "error")

@@ -366,6 +366,62 @@ def mosaic_checksum(spark, sf_dir):
     return mosaic(tiles.select("image_id", F.col("width").cast("int"), F.col("height").cast("int"), "px", "py", "tile_w", "tile_h", "data"), digest=True)
 
 
+# --- from pages to tiles
+
+SITE = "http://h.example.org/"
+
+
+def _numbered(parts, k: str = "image_id"):
+    """A text with the image's number between the parts."""
+    return F.concat(*[c for i, p in enumerate(parts) for c in ([F.col(k).cast("string")] if i else []) + [p if not isinstance(p, str) else F.lit(p)]])
+
+
+@query(f"""WITH {IMG}, f AS (SELECT *, image_id % 9 AS k FROM img)
+  SELECT image_id, CASE k WHEN 0 THEN 'Zoomify' WHEN 1 THEN 'Seadragon' WHEN 2 THEN 'IIIF' WHEN 3 THEN 'IIPImage' WHEN 4 THEN 'XLimage' WHEN 5 THEN 'FSI' WHEN 6 THEN 'Mnesys' WHEN 7 THEN 'Generic' END AS format,
+    CASE WHEN k < 7 THEN width END AS width, CASE WHEN k < 7 THEN height END AS height, CASE WHEN k = 5 THEN 512 WHEN k < 7 THEN 240 END AS tile_size, k >= 7 AS failed FROM f""")
+def parse_descriptors(spark, sf_dir):
+    """Metadata documents of seven formats, one that needs probes and one of no format, made from the images' sizes."""
+    from tessera.operators.parse import parse
+
+    w, h = F.col("width").cast("string"), F.col("height").cast("string")
+    bodies = {
+        "Zoomify": F.concat(F.lit('<IMAGE_PROPERTIES WIDTH="'), w, F.lit('" HEIGHT="'), h, F.lit('" NUMTILES="9" TILESIZE="240"/>')), "Seadragon": F.concat(F.lit('<Image TileSize="240" Overlap="1" Format="png"><Size Width="'), w, F.lit('" Height="'), h, F.lit('"/></Image>')),
+        "IIIF": F.concat(F.lit('{"@id": "http://i.example.org/x", "width": '), w, F.lit(', "height": '), h, F.lit(', "tiles": [{"width": 240, "scaleFactors": [1, 2]}]}')), "IIPImage": F.concat(F.lit("Max-size:"), w, F.lit(" "), h, F.lit("\nTile-size:240 240\nResolution-number:3\n")),
+        "XLimage": F.concat(F.lit("<image><width>"), w, F.lit("</width><height>"), h, F.lit("</height><tileside>240</tileside></image>")), "FSI": F.concat(F.lit('<i><width value="'), w, F.lit('"/><height value="'), h, F.lit('"/></i>')),
+        "Mnesys": F.concat(F.lit('<p><layer z="1" w="9" h="9" t="240"/><layer z="7" w="'), w, F.lit('" h="'), h, F.lit('" t="240"/></p>')), "Generic": F.lit(""),
+    }
+    k, name, body = F.col("image_id") % 9, F.lit(None).cast("string"), F.lit(None).cast("string")
+    for i, (n, b) in enumerate(bodies.items()):
+        name, body = F.when(k == i, n).otherwise(name), F.when(k == i, b).otherwise(body)
+    docs = images(spark, sf_dir).select(F.col("image_id").alias("request_id"), _numbered((SITE, "/server?source=a&FIF=b/info.json")).alias("url"), name.alias("format"), body.alias("body"))
+    out = parse(docs, [n for n in bodies if n != "Generic"])
+    return out.select(F.col("request_id").alias("image_id"), "format", "width", "height", F.col("tile_size").cast("int"), F.col("error").isNotNull().alias("failed"))
+
+
+@query(f"""WITH f AS (SELECT page_id, page_id % 9 AS k, '{SITE}' || page_id AS site FROM pages)
+  SELECT page_id, CASE k WHEN 0 THEN site || '/ImageProperties.xml' WHEN 1 THEN site || '.dzi' WHEN 2 THEN '{SITE}zoom/' || page_id WHEN 3 THEN '{SITE}i/' || page_id || '/ImageProperties.xml' WHEN 4 THEN site || 'e.dzi' WHEN 5 THEN '{SITE}digital/iiif/' || page_id || '/info.json' WHEN 6 THEN 'http://i.example.org/' || page_id || '/info.json' END AS meta_url,
+    CASE k WHEN 7 THEN site || '/gone' END AS needs_url, k = 8 AS failed FROM f""")
+def discover_urls(spark, sf_dir):
+    """Rewritten URLs, pages that name their document, a record to read first, a page that is not there, and no format."""
+    from tessera.operators.discover import discover
+
+    kinds = [
+        ("Zoomify", "/TileGroup0/2-1-0.jpg", None), ("Seadragon", "_files/9/1_1.jpg", None), ("VLS", None, None), ("Zoomify", "/z", ('zoomifyImagePath=/i/', '&amp;x')), ("Seadragon", "/s", (f"Seadragon.embed('9', '{SITE}", "e.dzi')")),
+        ("IIIF", None, None), ("IIIF", "/i", ('<a href="http://i.example.org/', '/full/full/0/default.jpg">')), ("krpano", "/gone", None), (None, "/none", None),
+    ]
+    k = F.col("page_id") % len(kinds)
+    name, at, body = (F.lit(None).cast("string") for _ in range(3))
+    for i, (n, end, marks) in enumerate(kinds):
+        url = _numbered((SITE, end), "page_id") if end else _numbered((f"{SITE}pageview/", ""), "page_id") if n == "VLS" else _numbered((f"{SITE}digital/collection/c/id/", ""), "page_id")
+        name, at = F.when(k == i, F.lit(n)).otherwise(name), F.when(k == i, url).otherwise(at)
+        body = F.when(k == i, _numbered(marks, "page_id")).otherwise(body) if marks else body
+    rows = read(spark, sf_dir, "pages").select("page_id", F.col("page_id").alias("request_id"), at.alias("url"), name.alias("format"), body.alias("body"))
+    records = rows.filter(k == 5).select(_numbered((f"{SITE}digital/api/singleitem/collection/c/id/", ""), "page_id").alias("url"), _numbered(('{"iiifInfoUri": "/iiif/', '/info.json"}'), "page_id").alias("body"))
+    documents = rows.filter("body is not null").select("url", "body").unionByName(records)
+    found = discover(rows.select("request_id", "url", "format"), documents, ["Zoomify", "Seadragon", "VLS", "IIIF", "krpano"])
+    return found.select(F.col("request_id").alias("page_id"), "meta_url", "needs_url", F.col("error").isNotNull().alias("failed"))
+
+
 def queries() -> dict:
     return dict(QUERIES)
 

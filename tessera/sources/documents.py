@@ -20,14 +20,20 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
 
 
 def http_get(url: str) -> tuple[int, str, bytes]:
+    """Status, content type and body; an answer of any status is data, as pages behind errors may still hold an image."""
+    import urllib.error
     import urllib.request
 
     opener = urllib.request.build_opener()
     for handler in opener.handlers:
         if isinstance(handler, urllib.request.HTTPRedirectHandler):
             handler.max_redirections = REDIRECTS
-    with opener.open(urllib.request.Request(url, headers={"User-Agent": "Mozilla/5.0", "Accept": "*/*"}), timeout=30) as r:
-        return r.status, r.headers.get("Content-Type", ""), r.read()
+    request = urllib.request.Request(url, headers={"User-Agent": "Mozilla/5.0", "Accept": "*/*", "Referer": url})
+    try:
+        with opener.open(request, timeout=30) as r:
+            return r.status, r.headers.get("Content-Type", ""), r.read()
+    except urllib.error.HTTPError as e:
+        return e.code, e.headers.get("Content-Type", ""), e.read()
 
 
 def fetch(requests: DataFrame, get: Callable[[str], tuple[int, str, bytes]] | None = None, per_second: float = PER_SECOND, attempts: int = ATTEMPTS, enabled: bool = False) -> DataFrame:
