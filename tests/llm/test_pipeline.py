@@ -26,3 +26,18 @@ def test_stages(spark):
 
 def test_every_query_with_sql_is_registered():
     assert set(oracle_sql()) <= set(queries()) and len(queries()) == 10
+
+
+def test_stages_of_no_and_bare_rows(spark):
+    """No rows, and rows without a text or a doc_id; a column of no concern, named as one of the stages' own, is not read."""
+    import corpus_pipeline as p
+
+    schema = "doc_id long, text string, lang string, source string, n_chars long, id long"
+    none = spark.createDataFrame([], schema)
+    for name, stage in p.STAGES:
+        out = stage(spark, none, "")
+        assert out.collect() == [] and (name == "packed" or out.columns == list(p.COLUMNS))
+    bare = spark.createDataFrame([(1, None, None, None, None, 5), (None, "a b c d e f", "en", "s", 11, 5), (2, "", "en", "s", 0, 6), (2, "", "en", "s", 0, 6)], schema)
+    assert sorted((r.doc_id or -1, r.text or "") for r in p.near_duplicates(spark, bare, "").collect()) == sorted((r.doc_id or -1, r.text or "") for r in bare.dropDuplicates(["doc_id", "text"]).collect())
+    assert sorted((r.doc_id or -1, r.text or "") for r in p.without_secrets(spark, bare, "").collect()) == sorted((r.doc_id or -1, r.text or "") for r in bare.collect())
+    assert [(r.doc_id, r.length) for r in p.packed(spark, bare.filter("doc_id is not null"), "").orderBy("doc_id").collect()] == [(1, 1), (2, 1), (2, 1)]
