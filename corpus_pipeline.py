@@ -19,7 +19,12 @@ ORACLE_SQL = None
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language that the labelled documents among them teach; those without letters or language go."""
+    """Documents in a language that the labelled documents among them teach; those without letters or language go.
+
+    Each row is judged by its whole text alone, so repeated rows stay or go together; null and empty texts go. Of
+    languages with equal scores the first by name is taken, which doesn't change who stays. No rows give no rows; columns
+    beside those of documents are not read.
+    """
     model = langid.learn(docs)
     return langid.reject(langid.identify(docs.select(*COLUMNS), model), model.limits).select(*COLUMNS)
 
@@ -46,7 +51,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with each secret replaced by a mark; texts without one stay as they are."""
+    """All documents, with each secret replaced by a mark; texts without one stay as they are.
+
+    Whole texts of any length are scanned; null and empty texts stay so, repeated rows are treated alike, overlapping spans
+    are replaced once. No rows give no rows; columns beside those of documents are not read.
+    """
     found = secrets.scan(docs.select(*COLUMNS))
     clean = F.when(F.col("text").isNotNull(), secrets.redact(text_or_empty(), F.col("all_spans")))
     marked = F.size("all_spans") > 0
@@ -54,7 +63,11 @@ def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents' tokens and their places in sequences of 4096."""
+    """Pieces of the documents' tokens and their places in sequences of 4096.
+
+    A null or empty text is the final id alone; longer texts are cut into whole pieces, none is dropped. Pieces of equal
+    length may take each other's places. Rows that repeat a doc_id are packed each. No rows give no rows.
+    """
     import public_tokenizers
 
     docs = docs.select(F.col("doc_id").cast("long").alias("id"), "text")
