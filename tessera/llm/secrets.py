@@ -75,7 +75,8 @@ def ordinary_strings(docs: DataFrame, limit: int) -> DataFrame:
     that hold digits are left out, and pairs of neighbours give compound identifiers, with and without a number. Lines of
     one sign are ordinary too.
     """
-    plain = docs.sparkSession.createDataFrame([(c * SIGNS,) for c in ALPHABET], "word string")
+    sign = F.substring(F.lit(ALPHABET), F.col("id").cast("int") + 1, F.lit(1))
+    plain = docs.sparkSession.range(len(ALPHABET)).select(F.repeat(sign, SIGNS).alias("word"))
     chosen = sampled_texts(docs, limit, "secrets")
     clear = F.regexp_replace(F.regexp_replace(F.col("text"), ASSIGN, " "), f"{ACCESS}|[0-9a-f]{{32,}}", " ")
     words = F.filter(F.split(clear, r"[^A-Za-z_-]+"), lambda w: F.length(w).between(2, 40))
