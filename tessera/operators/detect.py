@@ -85,7 +85,9 @@ def detect(requests: DataFrame, documents: DataFrame, depth: int = 4, rules=RULE
     open_ = requests.filter("format is null and url like 'http%'").select("request_id", F.col("url").alias("page"), F.array(F.lit(0)).alias("place"), F.array("url").alias("seen"))
     hits = []
     for level in range(depth + 1):
-        read = open_.join(documents, "page", "left").withColumn("format", by_content(decode_entities(F.col("body")), rules))
+        # In a higher-order function, as the compiled code of all rules on several levels grows too large.
+        matched = F.transform(F.array(decode_entities(F.col("body"))), lambda page: by_content(page, rules))[0]
+        read = open_.join(documents, "page", "left").withColumn("format", matched)
         hits.append(read.filter("format is not null").select("request_id", F.lit(level).alias("level"), "place", "format", "page"))
         if level < depth:
             rest = read.filter("format is null and body is not null").select("request_id", "seen", "place", F.posexplode(frames_of(F.col("body"), F.col("page"))).alias("k", "next"))

@@ -422,6 +422,48 @@ def discover_urls(spark, sf_dir):
     return found.select(F.col("request_id").alias("page_id"), "meta_url", "needs_url", F.col("error").isNotNull().alias("failed"))
 
 
+@query(f"""WITH p AS (SELECT page_id, page_id % 7 AS k, '{SITE}' || page_id AS site, 64 + (page_id * 7919) % 1500 AS width, 64 + (page_id * 104729) % 1200 AS height FROM pages),
+  g AS (SELECT *, CAST(ceil(width / 256.0) AS INTEGER) AS nx, CAST(ceil(height / 256.0) AS INTEGER) AS ny FROM p WHERE k < 4),
+  gy AS (SELECT *, CAST(unnest(range(0, ny)) AS INTEGER) AS y FROM g), t AS (SELECT *, CAST(unnest(range(0, nx)) AS INTEGER) AS x FROM gy)
+  SELECT page_id, CASE k WHEN 0 THEN 'Seadragon' WHEN 2 THEN 'IIIF' ELSE 'Zoomify' END AS format, x, y, x * 256 - CASE WHEN k = 0 AND x > 0 THEN 1 ELSE 0 END AS px, y * 256 - CASE WHEN k = 0 AND y > 0 THEN 1 ELSE 0 END AS py,
+    CASE k WHEN 0 THEN site || '_files/' || CAST(ceil(log2(greatest(width, height))) AS INTEGER) || '/' || x || '_' || y || '.png'
+      WHEN 2 THEN '{SITE}iiif/' || page_id || '/' || x * 256 || ',' || y * 256 || ',' || least(256, width - x * 256) || ',' || least(256, height - y * 256) || '/' || least(256, width - x * 256) || ',' || least(256, height - y * 256) || '/0/default.jpg'
+      ELSE site || CASE k WHEN 3 THEN '/inner' ELSE '' END || '/TileGroup0/' || CAST(ceil(ln(greatest(width, height) / CAST(256 AS DOUBLE)) / ln(CAST(2 AS DOUBLE))) AS INTEGER) || '-' || x || '-' || y || '.jpg' END AS url, NULL AS failed_at FROM t
+  UNION ALL SELECT page_id, CASE k WHEN 4 THEN NULL ELSE 'Seadragon' END, NULL, NULL, NULL, NULL, NULL, CASE k WHEN 4 THEN 'detect' WHEN 5 THEN 'fetch' ELSE 'parse' END FROM p WHERE k >= 4""")
+def crawl_to_tiles(spark, sf_dir):
+    """All steps from requested URLs to tiles: by the URL, by the page and by its frame, and pages that fail at each step."""
+    from tessera.plans import crawl
+
+    k = F.col("page_id") % 7
+    own = read(spark, sf_dir, "pages").select("page_id", k.alias("k"), (64 + (F.col("page_id") * 7919) % 1500).alias("width"), (64 + (F.col("page_id") * 104729) % 1200).alias("height"))
+    at = lambda *parts: _numbered(parts, "page_id")
+    w, h = F.col("width").cast("string"), F.col("height").cast("string")
+    count = (F.ceil(F.col("width") / 256.0) * F.ceil(F.col("height") / 256.0)).cast("string")
+    dzi = F.concat(F.lit('<Image TileSize="256" Overlap="1" Format="png"><Size Width="'), w, F.lit('" Height="'), h, F.lit('"/></Image>'))
+    zoomify = F.concat(F.lit('<IMAGE_PROPERTIES WIDTH="'), w, F.lit('" HEIGHT="'), h, F.lit('" NUMTILES="'), count, F.lit('" TILESIZE="256"/>'))
+    info = F.concat(F.lit('{"@context": "http://iiif.io/api/image/2/context.json", "@id": "'), at(f"{SITE}iiif/", ""), F.lit('", "width": '), w, F.lit(', "height": '), h, F.lit(', "tiles": [{"width": 256, "scaleFactors": [1]}]}'))
+    embed = at(f"<script>Seadragon.embed('9', '{SITE}", ".dzi')</script>")
+    # Of each kind of page: the URL that is asked for, and the documents of the crawl.
+    kinds = [
+        (at(SITE, "/view"), [(at(SITE, "/view"), embed), (at(SITE, ".dzi"), dzi)]),
+        (at(SITE, "/TileGroup0/2-1-0.jpg"), [(at(SITE, "/ImageProperties.xml"), zoomify)]),
+        (at(f"{SITE}iiif/", "/info.json"), [(at(f"{SITE}iiif/", "/info.json"), info)]),
+        (at(SITE, "/outer"), [(at(SITE, "/outer"), at('<iframe src="/', '/frame"></iframe>')), (at(SITE, "/frame"), at("zoomifyImagePath=/", "/inner&amp;x")), (at(SITE, "/inner/ImageProperties.xml"), zoomify)]),
+        (at(SITE, "/none"), [(at(SITE, "/none"), F.lit("<p>No image</p>"))]),
+        (at(SITE, "/lost"), [(at(SITE, "/lost"), embed)]),
+        (at(SITE, "/bad"), [(at(SITE, "/bad"), embed), (at(SITE, ".dzi"), F.lit("<Image/>"))]),
+    ]
+    asked, held = F.lit(None).cast("string"), F.array().cast("array<struct<url:string,body:string>>")
+    for i, (url, docs) in enumerate(kinds):
+        asked = F.when(k == i, url).otherwise(asked)
+        held = F.when(k == i, F.array(*(F.struct(u.alias("url"), b.alias("body")) for u, b in docs))).otherwise(held)
+    formats = ["Zoomify", "Seadragon", "IIIF"]
+    described = crawl.describe(own.select(F.col("page_id").alias("request_id"), asked.alias("url")), own.select(F.inline(held)), formats)
+    planned = crawl.tiles(described, formats).select(F.col("request_id").alias("page_id"), "format", "x", "y", "px", "py", "url", "failed_at")
+    failed = described.filter("failed_at is not null").select(F.col("request_id").alias("page_id"), "format", "failed_at")
+    return planned.unionByName(failed, allowMissingColumns=True)
+
+
 def queries() -> dict:
     return dict(QUERIES)
 

@@ -236,3 +236,17 @@ def test_discovery(spark):
 def test_manifest_version_3(spark):
     body = '{"items": [{"items": [{"items": [{"body": {"service": [{"type": "Other"}, {"id": "http://k/j/", "type": "ImageService2"}]}}]}]}]}'
     assert spark.range(1).select(manifest_service(F.lit(body)).alias("u")).first().u == "http://k/j/info.json"
+
+
+def test_crawl_fails_by_step(spark):
+    from tessera.plans import crawl
+
+    site = "http://maps.example.org"
+    asked = [(1, f"{site}/a"), (2, f"{site}/a"), (3, f"{site}/none"), (4, f"{site}/lost"), (5, f"{site}/bad"), (6, "ftp://x/y")]
+    held = [(f"{site}/a", f"Seadragon.embed('1', '{site}/a.dzi')"), (f"{site}/a.dzi", '<Image TileSize="300" Overlap="2" Format="jpg"><Size Width="310" Height="20"/></Image>'), (f"{site}/none", "<p>nothing</p>")]
+    held += [(f"{site}/lost", f"Seadragon.embed('1', '{site}/gone.dzi')"), (f"{site}/bad", f"Seadragon.embed('1', '{site}/b.dzi')"), (f"{site}/b.dzi", "<Image/>"), (f"{site}/a", f"Seadragon.embed('1', '{site}/a.dzi')")]
+    rows = crawl.describe(spark.createDataFrame(asked, "request_id long, url string"), spark.createDataFrame(held, "url string, body string"), ["Seadragon"])
+    assert {r.request_id: r.failed_at for r in rows.collect()} == {1: None, 2: None, 3: "detect", 4: "fetch", 5: "parse", 6: "detect"}
+    assert [r.needs_url for r in rows.filter("failed_at = 'fetch'").collect()] == [f"{site}/gone.dzi"]
+    got = sorted((r.request_id, r.px, r.py, r.url) for r in crawl.tiles(rows, ["Seadragon"]).collect())
+    assert got == [(i, px, 0, f"{site}/a_files/9/{x}_0.jpg") for i in (1, 2) for x, px in ((0, 0), (1, 298))]
