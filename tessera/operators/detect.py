@@ -79,13 +79,13 @@ def detect(requests: DataFrame, documents: DataFrame, depth: int = 4, rules=RULE
     frames are followed, breadth first, up to `depth` and never twice; that bound also ends cycles. Of several pages
     of a level the earlier one wins.
     """
-    requests = requests.select("request_id", "url").withColumn("format", by_url(F.col("url"), rules))
+    # Rules stand in higher-order functions, as the compiled code of all of them in several branches grows too large.
+    requests = requests.select("request_id", "url").withColumn("format", F.transform(F.array("url"), lambda u: by_url(u, rules))[0])
     documents = documents.select(F.col("url").alias("page"), "body")
     done = requests.filter("format is not null").select("request_id", "url", "format", F.col("url").alias("found_url"))
     open_ = requests.filter("format is null and url like 'http%'").select("request_id", F.col("url").alias("page"), F.array(F.lit(0)).alias("place"), F.array("url").alias("seen"))
     hits = []
     for level in range(depth + 1):
-        # In a higher-order function, as the compiled code of all rules on several levels grows too large.
         matched = F.transform(F.array(decode_entities(F.col("body"))), lambda page: by_content(page, rules))[0]
         read = open_.join(documents, "page", "left").withColumn("format", matched)
         hits.append(read.filter("format is not null").select("request_id", F.lit(level).alias("level"), "place", "format", "page"))
