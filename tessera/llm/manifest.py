@@ -236,7 +236,7 @@ def merkle_manifest(leaves: DataFrame, part_rows: int = PART_ROWS, fan: int = FA
     spans = scratch.put(spans.withColumn("own", F.sum("begins").over(Window.partitionBy("part").orderBy("group"))), "stretches")
     begun = spans.groupBy("part").agg(F.sum("begins").alias("begun"))
     before = begun.select("part", F.coalesce(F.sum("begun").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    groups = spans.agg(F.sum("begins")).first()[0] or 0
+    groups, last_part = spans.agg(F.coalesce(F.sum("begins"), F.lit(0)), F.coalesce(F.max("part"), F.lit(0))).first()
     spans = spans.join(before, "part").withColumn("tree", F.col("before") + F.col("own") - 1)
     span = spans.select("part", F.lit("span").alias("kind"), "group", "tree", "a", (F.col("a") + F.col("n")).alias("b"), "size", F.lit(None).cast("string").alias("digest"))
     null = F.lit(None).cast("long")
@@ -245,7 +245,7 @@ def merkle_manifest(leaves: DataFrame, part_rows: int = PART_ROWS, fan: int = FA
     by_part = lambda df: df.groupBy("part")
     nodes = by_part(rows).cogroup(by_part(context)).applyInArrow(_leaves_to_forest, f"forest long, {NODE}")
     # Rounds; `met` are the tables of nodes that some round has met.
-    forest, met, left = scratch.put(nodes, "forests"), [], parts
+    forest, met, left = scratch.put(nodes, "forests"), [], last_part + 1
     while True:
         left = -(-left // fan)
         grouped = forest.withColumn("forest", F.floor(F.col("forest") / fan).cast("long")).withColumn("groups", F.lit(groups).cast("long")).groupBy("forest")
