@@ -1,6 +1,6 @@
 """The queries and SQL of this subpackage; __spark_entry__.py adds them where the subpackage can be imported."""
 
-from tessera.llm import bytebpe, embeddings, langid, manifest, minhash, neighbours, packing, secrets, sharding, urlfilter, warc, webp
+from tessera.llm import bytebpe, collocations, embeddings, langid, manifest, minhash, neighbours, packing, secrets, sharding, urlfilter, warc, webp
 
 
 def queries() -> dict:
@@ -15,6 +15,7 @@ def queries() -> dict:
         "op8_packing": packing.op8_packing,
         "op9_sharding": sharding.op9_sharding,
         "op10_url_filter": urlfilter.op10_url_filter,
+        "op11_collocations": collocations.op11_collocations,
         "op12_neighbours": neighbours.op12_neighbours,
         "op13_manifest": manifest.op13_manifest,
     }
@@ -25,5 +26,6 @@ def oracle_sql() -> dict[str, str]:
         "op1_embedding_dedup": embeddings.oracle(),
         "op6_warc": warc.oracle(),
         "op10_url_filter": urlfilter.oracle(),
+        "op11_collocations": collocations.oracle(),
         "op13_manifest": manifest.oracle(),
     }
