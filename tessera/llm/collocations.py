@@ -124,8 +124,8 @@ class Shard:
             good = (self.left[places] >= k) & (counts > 0)
             yield k, places[good], counts[good]
 
-    def hashes(self, seeds: np.ndarray) -> np.ndarray:
-        """A hash of each word; seeds are hashes of the languages."""
+    def hashes(self, seeds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """A hash of each word and of its language; seeds are hashes of the languages."""
         own = np.fromiter((zlib.crc32(w) for w in self.words.to_pylist()), np.uint64, len(self.words))
         return own[self.index] * np.uint64(0x9E3779B97F4A7C15), seeds[self.lang]
 
@@ -256,10 +256,14 @@ def collocations(texts: DataFrame, least: int = LEAST, longest: int = LONGEST, t
     whole: long ones are cut into parts that overlap by the words that a phrase over the cut needs. Quotients are of
     38-digit decimals, exact while 1000 a n is below 10**38. No words give no rows; other columns are left out.
     """
-    spark = texts.sparkSession
-    scratch = Scratch(spark, "collocations")
+    scratch = Scratch(texts.sparkSession, "collocations")
     texts = texts.select(F.coalesce("lang", F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
     counts = scratch.put(phrase_counts(texts, least, longest, shard_bytes, bits), "counts")
+    return ranked(counts, scratch, top, absorbed)
+
+
+def ranked(counts: DataFrame, scratch: Scratch, top: int = TOP, absorbed: int = 100) -> DataFrame:
+    """The result of collocations() from phrase_counts()."""
     totals = counts.filter("size = 0").select("lang", F.col("n").alias("total"))
     every = counts.filter("size > 1").select("lang", "phrase", "size", F.col("n").alias("a"))
     words = F.split("phrase", " ")
@@ -280,8 +284,8 @@ def collocations(texts: DataFrame, least: int = LEAST, longest: int = LONGEST, t
     order = [F.desc("score"), F.desc("a"), F.col("phrase")]
     salted = scored.withColumn("salt", F.pmod(F.xxhash64("phrase"), F.lit(64)))
     few = salted.withColumn("rank", F.row_number().over(Window.partitionBy("lang", "salt").orderBy(*order))).filter(F.col("rank") <= top).drop("salt")
-    ranked = few.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order)).cast("long")).filter(F.col("rank") <= top)
-    return ranked.select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+    placed = few.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order)).cast("long")).filter(F.col("rank") <= top)
+    return placed.select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
 
 
 def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -124,13 +124,12 @@ def fold(leaf: str, steps: list[tuple[str, str, bool]]) -> tuple[str, str]:
     return subroot, leaf
 
 
-def _spans(rows: pa.Table, context: pa.Table):
-    """(sizes, {tree: (first index, rows)}, nodes from elsewhere) of a part, and its rows in order with trees and indexes."""
-    sizes, by_group, spans, given = {}, {}, {}, {}
+def _placed(rows: pa.Table, context: pa.Table):
+    """(sizes of trees, nodes from elsewhere) of a part, and its rows in order with their trees and indexes."""
+    sizes, by_group, given = {}, {}, {}
     for kind, group, tree, a, b, size, text in zip(*(context.column(k).to_pylist() for k in ("kind", "group", "tree", "a", "b", "size", "digest")), strict=True):
         if kind == "span":
             by_group[group], sizes[tree] = (tree, a), size
-            spans[tree] = a, b
         elif kind == "top":
             sizes[TOP] = size
         else:
@@ -142,7 +141,7 @@ def _spans(rows: pa.Table, context: pa.Table):
         tree, first = by_group[group]
         places.append((tree, first + seen.get(tree, 0)))
         seen[tree] = seen.get(tree, 0) + 1
-    return sizes, spans, given, rows, places
+    return sizes, given, rows, places
 
 
 def _grown(sizes: dict[int, int], rows: pa.Table, places: list[tuple[int, int]]) -> Forest:
@@ -156,7 +155,7 @@ def _nodes(found: dict[tuple[int, int, int], str], sizes: dict[int, int], **more
 
 
 def _leaves_to_forest(key: tuple, rows: pa.Table, context: pa.Table) -> pa.Table:
-    sizes, _, _, rows, places = _spans(rows, context)
+    sizes, _, rows, places = _placed(rows, context)
     forest = _grown(sizes, rows, places)
     return _nodes(forest.nodes, sizes, forest=key[0].as_py())
 
@@ -196,7 +195,7 @@ def _wanted(key: tuple, context: pa.Table) -> pa.Table:
 
 
 def _prove(key: tuple, rows: pa.Table, context: pa.Table) -> pa.Table:
-    sizes, _, given, rows, places = _spans(rows, context)
+    sizes, given, rows, places = _placed(rows, context)
     known = _grown(sizes, rows, places).made | given
     path = Path(lambda t, level, i: known[t, level, i], sizes)
     subroots, proofs, folded = [], [], []
