@@ -29,7 +29,9 @@ BLANKS, ENDS = b" \t", b".,;:!?\n\x0b\x0c\r"
 #: Words of the longest phrase, least count of a phrase, phrases reported a language.
 LONGEST, LEAST, TOP = 5, 100, 2000
 #: Bytes of text in a shard, about; longer texts are cut between words and their parts overlap.
-SHARD_BYTES = 8 << 20
+SHARD_BYTES = 4 << 20
+#: Bytes of text of a task for each sum of the sieve, so that what tasks send is in proportion to the text.
+TEXT_PER_SUM = 4
 #: Sums of the sieve as a power of two: at least, and at most, which is a broadcast of 4 MB of bits.
 SIEVE_BITS = (16, 25)
 #: Sums of the sieve that are sent as one row, as a power of two.
@@ -207,9 +209,10 @@ def phrase_counts(texts: DataFrame, least: int = LEAST, longest: int = LONGEST,
     Rows of size 0 and an empty phrase have the number of all words of a language. bits is the size of the sieve, which by
     default has two sums for every `least` k-grams, within SIEVE_BITS.
     """
+    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     if bits is None:
-        size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
         bits = int(np.clip(np.ceil(np.log2(max(1, 2 * longest * size / 6 / least))), *SIEVE_BITS))
+    texts = texts.coalesce(max(1, int(size / (TEXT_PER_SUM << bits))))
     passing = texts.sparkSession.sparkContext.broadcast(sieve(texts, least, longest, shard_bytes, bits))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
