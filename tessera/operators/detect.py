@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.text import decode_entities, resolve_relative
+from tessera.operators.closure import closure
+from tessera.operators.ruleindex import Rule, RuleIndex, guard
+from tessera.sources.shared import meet
 
 #: Fixed values, in order of priority: (format, patterns of URLs, patterns of pages).
 IMAGE_API = (
@@ -52,9 +55,20 @@ RULES: tuple[tuple[str, tuple[str, ...], tuple[str, ...]], ...] = (
 FRAME = r"(?i)<i?frame[^>]*\bsrc=[\"']([^\"']+)"
 
 
+def as_rules(part: int, rules=RULES) -> list[Rule]:
+    """The URL patterns (part 0) or page patterns (part 1) as rows, numbered by priority."""
+    every = [(name, p) for name, *patterns in rules for p in patterns[part]]
+    return [Rule(k, name, p) for k, (name, p) in enumerate(every)]
+
+
 def _first(text: Column, part: int, rules=RULES) -> Column:
-    found = [F.when(text.rlike(p), name) for name, *patterns in rules for p in patterns[part]]
-    return F.coalesce(*found) if found else F.lit(None).cast("string")
+    """Each pattern is tried only on texts that hold the literals it needs, as looking for those is far cheaper."""
+
+    def of(x: Column) -> Column:
+        return F.coalesce(F.lit(None).cast("string"), *(F.when(guard(x["text"], x["low"], r.pattern), r.format) for r in as_rules(part, rules)))
+
+    # In a higher-order function, as the compiled code of all patterns in several branches grows too large.
+    return F.transform(F.array(F.struct(text.alias("text"), F.lower(text).alias("low"))), of)[0]
 
 
 def by_url(url: Column, rules=RULES) -> Column:
@@ -67,36 +81,48 @@ def by_content(body: Column, rules=RULES) -> Column:
     return _first(body, 1, rules)
 
 
+def by_index(pages: DataFrame, index: RuleIndex, text: str = "body") -> DataFrame:
+    """Adds format and rule, of the first rule of an index whose pattern is found in the column `text`, to any pages.
+
+    The same answers as trying all patterns in order, at a cost that hardly depends on how many there are: one pass names
+    the candidates, and their patterns run until one matches. Null texts match nothing.
+    """
+    named = pages.withColumn("__candidates", index.candidates(F.col(text)))
+    hit = named.withColumn("__hit", index.first(F.col(text), F.col("__candidates")))
+    return hit.withColumns({"format": index.format(F.col("__hit")), "rule": index.number(F.col("__hit"))}).drop("__candidates", "__hit")
+
+
 def frames_of(body: Column, url: Column) -> Column:
     """The URLs of a page's frames, in their order."""
-    return F.transform(F.regexp_extract_all(decode_entities(body), F.lit(FRAME), F.lit(1)), lambda src: resolve_relative(src, url))
+    return F.transform(frame_links(decode_entities(body)), lambda src: resolve_relative(src, url))
+
+
+def frame_links(page: Column) -> Column:
+    """The links of a decoded page's frames, in their order."""
+    return F.when(F.lower(page).contains("frame"), F.regexp_extract_all(page, F.lit(FRAME), F.lit(1))).otherwise(F.when(page.isNotNull(), F.array().cast("array<string>")))
 
 
-def detect(requests: DataFrame, documents: DataFrame, depth: int = 4, rules=RULES) -> DataFrame:
+def detect(requests: DataFrame, documents: DataFrame, depth: int | None = None, rules=RULES) -> DataFrame:
     """Adds format, found_url (the URL to open: the request's or a frame's) and error to requests (request_id, url).
 
-    URLs decide without any page. The rest is joined with documents (url, body): a page that matches decides, else its
-    frames are followed, breadth first, up to `depth` and never twice; that bound also ends cycles. Of several pages
-    of a level the earlier one wins.
+    URLs decide without any page. The others are walks over documents (url, body), each distinct URL one: a page that
+    matches decides, else its frames are followed, breadth first and never twice, so cycles end; of several pages of a level
+    the earlier one wins. `depth` bounds the steps. A level is written before the next one starts, and levels end with the
+    deepest frames that there are. Of documents that repeat a URL the least body counts. Rows that repeat a request are
+    kept each; null URLs are errors.
     """
-    # Rules stand in higher-order functions, as the compiled code of all of them in several branches grows too large.
-    requests = requests.select("request_id", "url").withColumn("format", F.transform(F.array("url"), lambda u: by_url(u, rules))[0])
-    documents = documents.select(F.col("url").alias("page"), "body")
+    requests = requests.select("request_id", "url").withColumn("format", by_url(F.col("url"), rules))
     done = requests.filter("format is not null").select("request_id", "url", "format", F.col("url").alias("found_url"))
-    open_ = requests.filter("format is null and url like 'http%'").select("request_id", F.col("url").alias("page"), F.array(F.lit(0)).alias("place"), F.array("url").alias("seen"))
-    hits = []
-    for level in range(depth + 1):
-        matched = F.transform(F.array(decode_entities(F.col("body"))), lambda page: by_content(page, rules))[0]
-        read = open_.join(documents, "page", "left").withColumn("format", matched)
-        hits.append(read.filter("format is not null").select("request_id", F.lit(level).alias("level"), "place", "format", "page"))
-        if level < depth:
-            rest = read.filter("format is null and body is not null").select("request_id", "seen", "place", F.posexplode(frames_of(F.col("body"), F.col("page"))).alias("k", "next"))
-            rest = rest.filter(~F.array_contains("seen", F.col("next")))
-            open_ = rest.select("request_id", F.col("next").alias("page"), F.concat("place", F.array("k")).alias("place"), F.concat("seen", F.array("next")).alias("seen"))
-    every = hits[0]
-    for h in hits[1:]:
-        every = every.unionByName(h)
-    best = every.groupBy("request_id").agg(F.min(F.struct("level", "place", "format", "page")).alias("b"))
-    by_page = requests.filter("format is null").select("request_id", "url").join(best, "request_id", "left").select("request_id", "url", F.col("b.format").alias("format"), F.col("b.page").alias("found_url"))
-    error = F.when(~F.col("url").startswith("http"), "The URL must begin with http.").when(F.col("format").isNull(), "No format was found.")
+    rest = requests.filter("format is null").select("request_id", "url")
+
+    decoded, named, links = decode_entities(F.col("body")), by_content(F.col("page"), rules), frame_links(F.col("page"))
+
+    def read(pages: DataFrame) -> DataFrame:
+        told = pages.withColumn("page", decoded).drop("body").withColumn("value", named)
+        return told.select("kind", "url", F.col("value").isNotNull().alias("done"), "value", F.when(F.col("value").isNull(), links).alias("next"))
+
+    walks = closure(rest.filter("url like 'http%'").select(F.lit("page").alias("kind"), F.col("url").alias("start")), documents, read, depth)
+    found = walks.select(F.col("start").alias("url"), F.try_element_at("trail", F.lit(-1)).alias("format"), "found_url").filter("found_url is not null")
+    by_page = meet(rest, found, ["url"], ["request_id"]).select("request_id", "url", "format", "found_url")
+    error = F.when(F.coalesce(F.col("url").startswith("http"), F.lit(False)), F.when(F.col("format").isNull(), "No format was found.")).otherwise("The URL must begin with http.")
     return done.unionByName(by_page).withColumn("error", error)

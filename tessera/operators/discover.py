@@ -1,4 +1,6 @@
-"""From a page to the URL of its metadata document: rewrites of the URL, what the page says, and one further document.
+"""From a page to the URL of its metadata document: rewrites of the URL, what the page says, and further documents.
+
+The patterns here, as in detect.RULES, are fixed values: what pages and URLs of each format say.
 
 Each format gives three columns: direct (from the URL alone), hop (a document to read first) and found (from the page or
 that document). A document that isn't in the crawl leaves needs_url for the next one.
@@ -13,16 +15,27 @@ from pyspark.sql import functions as F
 
 from tessera.functions.text import decode_entities, encode_uri_component, first_match, parse_int, resolve_relative
 from tessera.operators import detect as d
+from tessera.operators.closure import bodies, closure
+from tessera.sources.shared import Written, meet
+
+
+#: A name of a document from the start of a text on, as long as it gets.
+NAMED = r"(?is)^(.+\.(?:xml|dzi))"
 
 
 @dataclass
 class Discovery:
-    """direct: the metadata URL, if the URL tells it. hop: another document's URL. found: by page or hop_body. error: if none."""
+    """direct: the metadata URL, if the URL tells it. hop: another document's URL. found: by page or hop_body. error: if none.
+
+    other: what takes the place of direct where only that is in the crawl. follow: a page to look at instead of this one.
+    """
 
     direct: Column | None = None
     hop: Column | None = None
     found: Column | None = None
     error: str = "No metadata URL was found."
+    other: Column | None = None
+    follow: Column | None = None
 
 
 def _let(value: Column, f) -> Column:
@@ -53,18 +66,19 @@ def zoomify() -> Discovery:
     layers = first_match(page, r"<[^>]*class=\"ete-openlayers-src\"[^>]*>(.*?)</.*>")
     gallery = F.when(url.contains("ngv.vic.gov.au"), first_match(page, r"var url = '(.*?)'"))
     near = F.coalesce(library, layers, gallery)
-    of_hop = F.coalesce(F.nullif(F.xpath_string(F.when(first.isNull() & access.isNotNull(), hop_body), F.lit("(//imagefile[@format='zoomify'])[1]")), F.lit("")), F.when(access.isNull(), _resolved(first_match(hop_body, r"zoomifyImagePath=([^'\"&]*)['\"&]"), frame)))
+    of_hop = F.nullif(F.xpath_string(F.when(first.isNull() & access.isNotNull(), hop_body), F.lit("(//imagefile[@format='zoomify'])[1]")), F.lit(""))
     fallback = F.when(page.isNotNull(), F.coalesce(first_match(page, r"<url>(.*)</url>"), url))
     tile = first_match(url, r"^(.*)/TileGroup\d+/\d+-\d+-\d+.jpg\z")
     return Discovery(
         direct=F.when(url.rlike(r"ImageProperties\.xml(\?.*)?\z"), url).otherwise(_properties(tile)),
-        hop=F.when(first.isNull(), F.coalesce(broker, F.when(near.isNull(), frame))),
-        found=_properties(F.coalesce(first, of_hop, near, F.when(broker.isNull() & frame.isNull(), fallback))),
+        hop=F.when(first.isNull(), broker),
+        found=_properties(F.coalesce(first, of_hop, F.when(broker.isNull(), F.coalesce(near, F.when(frame.isNull(), fallback))))),
+        follow=F.when(first.isNull() & broker.isNull() & near.isNull(), frame),
     )
 
 
 def seadragon() -> Discovery:
-    """Of a tile's two possible documents the .dzi comes first; the race of the two is not repeated."""
+    """Of a tile's two possible documents the .dzi comes first, the .xml where only that is in the crawl."""
     url, page, hop_body = F.col("url"), F.col("page"), F.col("hop_body")
     paris = r"bibliotheques-specialisees.paris.fr/ark:((?:/\w+){3})(.*)"
     reader = F.when(url.rlike(paris), F.concat(F.lit("https://bibliotheques-specialisees.paris.fr/in/imageReader.xhtml?id=ark:"), F.regexp_extract(url, paris, 1), F.lit("&updateUrl=updateUrl1653&ark="), F.regexp_extract(url, paris, 1), F.regexp_extract(url, paris, 2), F.lit("&selectedTab=otherdocs")))
@@ -72,17 +86,27 @@ def seadragon() -> Discovery:
     item = F.when(url.rlike(polona), F.concat(F.lit("http://polona.pl/resources/item/"), F.regexp_extract(url, polona, 1), F.lit("/?format=json")))
     pages = F.from_json(F.when(url.rlike(polona), hop_body), "pages array<struct<dzi_url:string>>")["pages"]
     template = F.when(url.rlike(r"view/\d+/\d+") & page.contains("dziUrlTemplate"), first_match(page, r"(?i)\"([^\"]+\.dzi)\""))
-    by_number = F.replace(F.replace(template, F.lit("{group}"), F.regexp_extract(url, r"view/(\d+)/(\d+)", 1)), F.lit("{index}"), F.regexp_extract(url, r"view/(\d+)/(\d+)", 2))
+    number = lambda k: F.regexp_extract(url, r"view/0*(\d+)/0*(\d+)", k)
+    by_number = F.replace(F.replace(template, F.lit("{group}"), number(1)), F.lit("{index}"), number(2))
     text = F.when(page.isNotNull() & item.isNull(), F.coalesce(F.when(reader.isNotNull(), hop_body), page))
-    tag = F.when(text.rlike(r"(?is)<img\b(?=[^>]*\bimg_cache\b)(?=[^>]*\bdata-pyr=)(?=[^>]*\bdata-width=)(?=[^>]*\bdata-height=)[^>]*>"), url)
-    embed = first_match(text, r"(?i)Seadragon\.embed\([^)]*[\"']([^\"']+\.(?:xml|dzi)(?:\?[^\"']*)?)[\"'][^)]*\)")
-    anything = first_match(text, r"(?i)([^\"'()<>]+\.(?:xml|dzi))")
-    link = first_match(text, r"(?i)[^a-z]dzi[\"'<>\s:=]+([^<\"']*)")
+    low = F.lower(text)
+    tag = F.when(low.contains("img_cache") & text.rlike(r"(?is)<img\b(?=[^>]*\bimg_cache\b)(?=[^>]*\bdata-pyr=)(?=[^>]*\bdata-width=)(?=[^>]*\bdata-height=)[^>]*>"), url)
+    # What stands in the call's brackets, and its last quoted document; then the first run without quotes or brackets that
+    # names one. Both are found by cutting first, as one pattern for the whole takes time with the square of a page.
+    closed = F.when(low.contains("seadragon.embed("), F.split(text, r"\)"))
+    calls = F.transform(F.filter(F.slice(closed, 1, F.size(closed) - 1), lambda c: F.lower(c).contains("seadragon.embed(")), lambda c: F.regexp_extract(c, r"(?is)Seadragon\.embed\((.*)\z", 1))
+    quoted = r"(?is)^.*[\"']([^\"']+\.(?:xml|dzi)(?:\?[^\"']*)?)[\"']"
+    embed = _let(F.get(F.filter(calls, lambda c: c.rlike(quoted)), 0), lambda c: first_match(c, quoted))
+    runs = F.when(low.contains(".xml") | low.contains(".dzi"), F.split(text, r"[\"'()<>]"))
+    anything = _let(F.get(F.filter(runs, lambda r: r.rlike(NAMED)), 0), lambda r: first_match(r, NAMED))
+    link = F.when(low.contains("dzi"), first_match(text, r"(?i)[^a-z]dzi[\"'<>\s:=]+([^<\"']*)"))
+    tile = first_match(url, r"^(.*)_files/\d+/\d+_\d+.jpg\z")
     return Discovery(
+        other=F.when(~url.rlike(r"(?i)\.xml|\.dzi"), F.concat(tile, F.lit(".xml"))),
         direct=F.when(url.rlike(r"(?i)\.xml|\.dzi"), url)
         .when(url.contains("bl.uk/manuscripts/Viewer.aspx"), F.regexp_replace(F.replace(url, F.lit("Viewer.aspx"), F.lit("Proxy.ashx")), "ref=([^&]*)", "view=$1.xml"))
         .when(url.rlike(r"nla\.gov\.au/nla\.obj.*/view\z"), F.regexp_replace(url, r"view/?\z", "dzi"))
-        .otherwise(F.concat(first_match(url, r"^(.*)_files/\d+/\d+_\d+.jpg\z"), F.lit(".dzi"))),
+        .otherwise(F.concat(tile, F.lit(".dzi"))),
         hop=F.coalesce(reader, item),
         found=F.coalesce(F.get(pages, F.regexp_extract(url, polona, 2).try_cast("int"))["dzi_url"], by_number, tag, embed, anything, link, F.when(text.isNotNull(), url)),
     )
@@ -124,7 +148,9 @@ def krpano() -> Discovery:
 
 def info_url(text: Column, base: Column | None = None) -> Column:
     """The info.json of the first image API URL in a text: absolute, then relative, then a bare root, then a custom element."""
-    api = F.coalesce(first_match(text, d.ABSOLUTE_API), first_match(text, d.RELATIVE_API), first_match(text, d.LONDON))
+    # The patterns begin at any slash, of which coded images have many, so what they must end in is looked for first.
+    ends = text.rlike(r"/info\.json|/(?:color|gray|bitonal|default|native)\.")
+    api = F.coalesce(F.when(ends, F.coalesce(first_match(text, d.ABSOLUTE_API), first_match(text, d.RELATIVE_API))), F.when(text.contains(".ptif"), first_match(text, d.LONDON)))
     out = F.coalesce(F.concat(api, F.lit("/info.json")), F.concat(F.lit("https://i.micr.io/"), first_match(text, d.MICRIO_TAG), F.lit("/info.json")))
     out = out if base is None else _resolved(out, base)
     return F.regexp_replace(out, r"micrio\.vangoghmuseum\.nl/iiif", "micrio-cdn.vangoghmuseum.nl")
@@ -261,12 +287,58 @@ DISCOVERIES = {
 def discover(requests: DataFrame, documents: DataFrame, formats: list[str] | None = None) -> DataFrame:
     """Adds meta_url, needs_url and error to requests (request_id, url, format[, page_number]), by documents (url, body).
 
-    Each row is in the result once, whatever its format: rows of a format that has no rules, or of none, are errors. Rows
-    whose URL tells the metadata URL are joined with nothing; the others meet their page, and those that need a second
-    document meet that: two equi-joins for all formats together. Of documents that repeat a URL the least body counts.
+    Each row is in the result once, whatever its format: rows of a format that has no rules, or of none, are errors. Equal
+    requests are looked at once. Those whose URL tells the metadata URL are joined with nothing; the others meet their page,
+    and those that need a second document meet that: two equi-joins for all formats together. Pages that only lead to
+    another page, by a frame, start a walk to the one that doesn't, which is then looked at in their place. Of documents that repeat a URL the least body counts. formats are those with rules; by default all of those
+    that the requests name, as each costs time in planning.
     """
+    tables = Written(requests.sparkSession, "discover")
+    if "page_number" not in requests.columns:
+        requests = requests.withColumn("page_number", F.lit(None).cast("int"))
+    requests = requests.select("request_id", "url", "format", "page_number")
+    asked = tables.put(requests.select("url", "format", "page_number").distinct(), "asked")
+    if formats is None:
+        formats = [r.format for r in asked.select("format").distinct().collect() if r.format in DISCOVERIES]
+    ask = ["start", "format", "page_number"]
+    rows = asked.select(F.col("url").alias("start"), "url", "format", "page_number")
+    told = tables.put(_step(rows, documents, formats), "step")
+    facts, again = told.filter("follow is null"), told.filter("follow is not null")
+    if not again.isEmpty():
+        # Walks over pages that lead on end at one that doesn't, or at one that isn't in the crawl; that one is looked at.
+        again = again.select(*ask, "follow")
+        walks = closure(again.select(F.col("format").alias("kind"), F.col("follow").alias("start")), documents, _follows(formats))
+        ends = walks.select(F.col("kind").alias("format"), F.col("start").alias("follow"), F.coalesce("found_url", "needs_url").alias("url"))
+        ended = tables.put(again.join(ends, ["format", "follow"]).select("start", "url", "format", "page_number"), "ended")
+        last = tables.put(_step(ended.filter("url is not null"), documents, formats), "last")
+        round_ = ended.filter("url is null").select(*ask, F.lit("Frames lead back to a page that was seen.").alias("error"))
+        facts = facts.unionByName(last).unionByName(round_, allowMissingColumns=True)
+    facts = facts.select(*ask, "meta_url", "needs_url", "error")
+    # Nulls are equal here: the key is a text of all three.
+    key = lambda url: F.to_json(F.struct(F.col(url).alias("u"), F.col("format").alias("f"), F.col("page_number").alias("p")))
+    facts = facts.withColumn("ask", key("start")).drop(*ask)
+    return meet(requests.withColumn("ask", key("url")), facts, ["ask"], ["request_id"]).select("request_id", "url", "format", "meta_url", "needs_url", "error")
+
+
+def _follows(formats: list[str]):
+    """read() of closure() for pages of formats that lead on: done is a page that doesn't."""
+    next_ = F.lit(None).cast("string")
+    for name in formats:
+        if (follow := DISCOVERIES[name]().follow) is not None:
+            next_ = F.when(F.col("kind") == name, follow).otherwise(next_)
+
+    def read(pages: DataFrame) -> DataFrame:
+        told = pages.withColumn("page", decode_entities(F.col("body"))).withColumn("link", next_)
+        return told.select("kind", "url", F.col("link").isNull().alias("done"), F.lit(None).cast("string").alias("value"), F.array("link").alias("next"))
+
+    return read
+
+
+def _step(rows: DataFrame, documents: DataFrame, formats: list[str]) -> DataFrame:
+    """One look at the pages of rows (start, url, format, page_number); follow is the page to look at instead."""
     url, null = F.col("url"), F.lit(None).cast("string")
-    rules = {name: DISCOVERIES[name]() for name in formats or DISCOVERIES}
+    rules = {name: DISCOVERIES[name]() for name in formats}
+    ruled = F.coalesce(F.col("format").isin(*rules), F.lit(False)) if rules else F.lit(False)
 
     def chosen(part: str) -> Column:
         out = null
@@ -278,20 +350,26 @@ def discover(requests: DataFrame, documents: DataFrame, formats: list[str] | Non
         return F.transform(F.array(F.lit(0)), lambda _: out)[0]
 
     def met(rows: DataFrame, key: str, name: str) -> DataFrame:
-        asked = rows.select(F.col(key).alias("url")).filter("url is not null").distinct()
-        own = documents.select("url", "body").join(asked, "url", "left_semi").groupBy("url").agg(F.min("body").alias(name))
-        return rows.join(own.withColumnRenamed("url", key), key, "left")
-
-    if "page_number" not in requests.columns:
-        requests = requests.withColumn("page_number", F.lit(None).cast("int"))
-    rows = requests.select("request_id", "url", "format", "page_number").withColumn("direct", chosen("direct"))
-    rows = rows.withColumn("asks", F.when(F.col("direct").isNull() & F.col("format").isin(*rules), url))
+        own = bodies(documents, rows.select(F.col(key).alias("url")))
+        return rows.join(own.select(F.col("url").alias(key), F.col("body").alias(name)), key, "left")
+
+    rows = rows.withColumn("direct", chosen("direct"))
+    if any(how.other is not None for how in rules.values()):
+        rows = rows.withColumn("other", chosen("other"))
+        pairs = rows.filter("other is not null")
+        wanted = pairs.select(F.col("direct").alias("url")).unionByName(pairs.select(F.col("other").alias("url"))).distinct()
+        held = documents.select("url").join(wanted, "url", "left_semi").distinct()
+        for name in ("direct", "other"):
+            rows = rows.join(held.select(F.col("url").alias(name), F.lit(True).alias(f"{name}_held")), name, "left")
+        rows = rows.withColumn("direct", F.when(F.col("direct_held").isNull() & F.col("other_held"), F.col("other")).otherwise(F.col("direct"))).drop("direct_held", "other_held", "other")
+    rows = rows.withColumn("asks", F.when(F.col("direct").isNull() & ruled, url))
     rows = met(rows, "asks", "raw").withColumn("page", decode_entities(F.col("raw"))).drop("raw").withColumn("hop", F.when(F.col("direct").isNull(), chosen("hop")))
+    rows = rows.withColumn("follow", F.when(F.col("direct").isNull(), chosen("follow")))
     rows = met(rows, "hop", "hop_body").withColumn("meta_url", F.coalesce("direct", chosen("found")))
-    none, no_rule = F.col("meta_url").isNull(), ~F.coalesce(F.col("format").isin(*rules), F.lit(False))
+    none, no_rule = F.col("meta_url").isNull(), ~ruled
     needs = F.when(none & ~no_rule & F.col("hop").isNotNull() & F.col("hop_body").isNull(), F.col("hop")).when(none & ~no_rule & F.col("hop").isNull() & F.col("page").isNull(), url)
     errors = F.when(no_rule, "No such format.")
     for name, how in rules.items():
         errors = errors.when(F.col("format") == name, how.error)
     rows = rows.withColumn("needs_url", needs).withColumn("error", F.when(none & F.col("needs_url").isNull(), errors))
-    return rows.select("request_id", "url", "format", F.when(~none, _resolved(F.col("meta_url"), url)).alias("meta_url"), "needs_url", "error")
+    return rows.select("start", "format", "page_number", F.when(~none, _resolved(F.col("meta_url"), F.col("start"))).alias("meta_url"), "needs_url", "error", F.when(none, F.col("follow")).alias("follow"))

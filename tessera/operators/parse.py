@@ -82,13 +82,23 @@ def iipimage(docs: DataFrame) -> DataFrame:
     return _described(docs, "IIPImage", columns, "Invalid IIPImage information file")
 
 
+def _pff_number(body: Column, name: str) -> Column:
+    return F.regexp_extract(body, rf"(?i){name}=.(\d+)", 1).try_cast("bigint")
+
+
+def pff_index(body: Column) -> tuple[Column, Column]:
+    """Where the index of a single-file pyramid lies, by its header: after 0x424 bytes and the header, 8 bytes a tile."""
+    begin = F.lit(0x424) + _pff_number(body, "headerSize")
+    return begin, begin + 8 * _pff_number(body, "numTiles")
+
+
 def zoomify_pff(docs: DataFrame) -> DataFrame:
-    """body holds both replies, the header and the index, one after the other."""
+    """body holds both replies, the header and the index, one after the other, as plans.crawl fetches them."""
     body, url = F.col("body"), F.col("url")
-    number = lambda k: F.regexp_extract(body, rf"(?i){k}=.(\d+)", 1).try_cast("bigint")
+    number = lambda k: _pff_number(body, k)
     base = F.regexp_extract(body, r"reply_data=(\d+)", 1).try_cast("bigint")
     fields = F.regexp_extract_all(F.regexp_extract(body, r"reply_data=\d+,([^,]*)", 1), F.lit(r"([ \d]{9})"), F.lit(1))
-    columns = {"origin": url, "width": number("width"), "height": number("height"), "tile_size": number("tileSize"), "num_tiles": number("numTiles"), "header_size": number("headerSize"), "index_end": F.lit(0x424) + F.col("header_size") + 8 * F.col("num_tiles"), "offsets": F.transform(fields, lambda f: F.trim(f).try_cast("bigint") + base)}
+    columns = {"origin": url, "width": number("width"), "height": number("height"), "tile_size": number("tileSize"), "num_tiles": number("numTiles"), "header_size": number("headerSize"), "index_end": pff_index(body)[1], "offsets": F.transform(fields, lambda f: F.trim(f).try_cast("bigint") + base)}
     return _described(docs, "Zoomify PFF", columns, "Invalid PFF header or index")
 
 
@@ -109,13 +119,17 @@ def topviewer(docs: DataFrame) -> DataFrame:
     return _described(docs, "TopViewer", columns, "Invalid TopViewer file")
 
 
-def krpano(docs: DataFrame) -> DataFrame:
-    """Levels from multires lists or level tags; the widest wins, the last of equals. Tile counts are rounded.
+#: What is read of a scene's document.
+SCENE = "image array<struct<_tilesize:string,_baseindex:string,level:array<struct<_tiledimagewidth:string,_tiledimageheight:string,front:struct<_url:string>,left:struct<_url:string>,cube:struct<_url:string>,flat:struct<_url:string>>>,cube:array<struct<_url:string,_multires:string>>,flat:array<struct<_url:string,_multires:string>>,cylinder:array<struct<_url:string,_multires:string>>,sphere:array<struct<_url:string,_multires:string>>>>, include array<struct<_url:string>>"
 
-    Documents that name no level but include others give an error and the included URL in `needs_url`.
-    """
-    body, url = F.col("body"), F.col("url")
-    image = "image array<struct<_tilesize:string,_baseindex:string,level:array<struct<_tiledimagewidth:string,_tiledimageheight:string,front:struct<_url:string>,left:struct<_url:string>,cube:struct<_url:string>,flat:struct<_url:string>>>,cube:array<struct<_url:string,_multires:string>>,flat:array<struct<_url:string,_multires:string>>,cylinder:array<struct<_url:string,_multires:string>>,sphere:array<struct<_url:string,_multires:string>>>>, include array<struct<_url:string>>"
+
+def scene_includes(body: Column) -> Column:
+    """The URLs of the documents that a scene includes, in order."""
+    return F.transform(F.from_xml(body, SCENE)["include"], lambda x: x["_url"])
+
+
+def scene_levels(body: Column) -> Column:
+    """The levels of a scene's images, from multires lists or level tags, in order."""
     none = F.array().cast("array<struct<width:int,height:int,tile_size:int,url:string,base_index:int,level_index:int>>")
 
     def of_image(im: Column) -> Column:
@@ -139,11 +153,21 @@ def krpano(docs: DataFrame) -> DataFrame:
         kinds = [F.flatten(F.transform(F.coalesce(im[k], F.array().cast("array<struct<_url:string,_multires:string>>")), of_multires)) for k in ("cube", "flat", "cylinder", "sphere")]
         return F.concat(*kinds, F.coalesce(F.transform(im["level"], of_level), none))
 
+    return F.flatten(F.transform(F.coalesce(F.from_xml(body, SCENE)["image"], F.array()), of_image))
+
+
+def krpano(docs: DataFrame) -> DataFrame:
+    """Levels from multires lists or level tags; the widest wins, the last of equals. Tile counts are rounded.
+
+    Documents that name no level but include others give an error and the first included URL in `needs_url`; plans.crawl
+    follows them.
+    """
+    body, url = F.col("body"), F.col("url")
     best = arg_max(F.col("_levels"), lambda x: x["width"], last=True)
-    columns = {"_xml": F.from_xml(body, image), "_levels": F.flatten(F.transform(F.coalesce(F.col("_xml.image"), F.array()), of_image)), "_best": best, "origin": url}
+    columns = {"_levels": scene_levels(body), "_best": best, "origin": url}
     columns |= {"width": F.col("_best.width").cast("bigint"), "height": F.col("_best.height").cast("bigint"), "tile_size": F.col("_best.tile_size"), "url_template": F.col("_best.url"), "base_index": F.col("_best.base_index"), "level_index": F.col("_best.level_index")}
     columns |= {f"nbr_tiles_{k}": F.floor(F.col(side) / F.col("tile_size").cast("double") + 0.5).cast("int") for k, side in (("x", "width"), ("y", "height"))}
-    columns |= {"needs_url": F.when(F.size("_levels") == 0, F.get(F.col("_xml.include"), 0)["_url"])}
+    columns |= {"needs_url": F.when(F.size("_levels") == 0, F.get(scene_includes(body), 0))}
     return _described(docs, "krpano", columns, "Unable to find level information")
 
 

@@ -465,8 +465,11 @@ def crawl_to_tiles(spark, sf_dir):
 
 
 def queries() -> dict:
+    from tessera.plans import walks  # noqa: F401  it registers its own
+
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    queries()
     return dict(SQL)
