@@ -428,7 +428,7 @@ def discover_urls(spark, sf_dir):
   SELECT page_id, CASE k WHEN 0 THEN 'Seadragon' WHEN 2 THEN 'IIIF' ELSE 'Zoomify' END AS format, x, y, x * 256 - CASE WHEN k = 0 AND x > 0 THEN 1 ELSE 0 END AS px, y * 256 - CASE WHEN k = 0 AND y > 0 THEN 1 ELSE 0 END AS py,
     CASE k WHEN 0 THEN site || '_files/' || CAST(ceil(log2(greatest(width, height))) AS INTEGER) || '/' || x || '_' || y || '.png'
       WHEN 2 THEN '{SITE}iiif/' || page_id || '/' || x * 256 || ',' || y * 256 || ',' || least(256, width - x * 256) || ',' || least(256, height - y * 256) || '/' || least(256, width - x * 256) || ',' || least(256, height - y * 256) || '/0/default.jpg'
-      ELSE site || CASE k WHEN 3 THEN '/inner' ELSE '' END || '/TileGroup0/' || CAST(ceil(ln(greatest(width, height) / CAST(256 AS DOUBLE)) / ln(CAST(2 AS DOUBLE))) AS INTEGER) || '-' || x || '-' || y || '.jpg' END AS url, NULL AS failed_at FROM t
+      ELSE site || CASE k WHEN 3 THEN '/inner' ELSE '' END || '/TileGroup0/' || CAST(ceil(ln(greatest(width, height) / CAST(CASE WHEN greatest(width, height) > 256 THEN 257 ELSE 256 END AS DOUBLE)) / ln(CAST(2 AS DOUBLE))) AS INTEGER) || '-' || x || '-' || y || '.jpg' END AS url, NULL AS failed_at FROM t
   UNION ALL SELECT page_id, CASE k WHEN 4 THEN NULL ELSE 'Seadragon' END, NULL, NULL, NULL, NULL, NULL, CASE k WHEN 4 THEN 'detect' WHEN 5 THEN 'fetch' ELSE 'parse' END FROM p WHERE k >= 4""")
 def crawl_to_tiles(spark, sf_dir):
     """All steps from requested URLs to tiles: by the URL, by the page and by its frame, and pages that fail at each step."""
