@@ -1,11 +1,14 @@
-"""Tiles painted on one raster for each image, in reading order, and how far a run has come."""
+"""Tiles painted on one raster for each image, in reading order, scaled to fit a canvas, and how far a run has come."""
 
 from __future__ import annotations
 
 import hashlib
+import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,30 +18,100 @@ from tessera.operators.grid import canvas_ratio
 PIXELS = 1 << 24
 
 
-def mosaic(tiles: DataFrame, strip: int | None = None, digest: bool = False) -> DataFrame:
+def pixels_of(data: bytes, width: int, height: int) -> np.ndarray | None:
+    """The 8-bit RGB pixels of a tile: JPEG, raw rows, or one pixel for all; None for what can't be read."""
+    from tessera.sources import jpeg
+
+    if jpeg.is_jpeg(data):
+        try:
+            return jpeg.decode(data)
+        except ValueError:
+            return None
+    pixels = np.frombuffer(data, np.uint8)
+    if len(pixels) == 3:
+        return np.broadcast_to(pixels, (height, width, 3))
+    return pixels.reshape(height, width, 3) if len(pixels) == 3 * width * height else None
+
+
+def shares(size: int, to: int) -> np.ndarray:
+    """(to, size): how much of each of `size` samples is in each of `to` as long as all of them; rows sum up to 1."""
+    edges = np.arange(to + 1) * size / to
+    low, high = edges[:-1, None], edges[1:, None]
+    cell = np.arange(size)[None, :]
+    return np.clip(np.minimum(high, cell + 1) - np.maximum(low, cell), 0, None) * to / size
+
+
+def scaled(pixels: np.ndarray, width: int, height: int) -> np.ndarray:
+    """Pixels drawn in another size: each is the mean, by area, of what it covers."""
+    if pixels.shape[:2] == (height, width):
+        return pixels
+    rows, columns = shares(pixels.shape[0], height), shares(pixels.shape[1], width)
+    across = np.einsum("xw,hwc->hxc", columns, pixels.astype(np.float64))
+    return np.floor(np.einsum("yh,hxc->yxc", rows, across) + 0.5 + 1e-9).astype(np.uint8)
+
+
+def with_sizes(tiles: DataFrame) -> DataFrame:
+    """Fills tile_w and tile_h of JPEG tiles (data) from their own headers, as servers cut tiles as they like.
+
+    Other tiles, and those whose header can't be read, keep what they have, if there are such columns.
+    """
+
+    def sizes(data: pd.Series) -> pd.DataFrame:
+        from tessera.sources import jpeg
+
+        out = []
+        for x in data:
+            try:
+                out.append(jpeg.size_of(x) if x is not None and jpeg.is_jpeg(x) else (None, None))
+            except ValueError:
+                out.append((None, None))
+        return pd.DataFrame(out, columns=["w", "h"], dtype="Int32")
+
+    known = lambda name: F.col(name) if name in tiles.columns else F.lit(None).cast("int")
+    found = tiles.withColumn("__size", F.pandas_udf(sizes, "w int, h int")("data"))
+    return found.withColumns({"tile_w": F.coalesce("__size.w", known("tile_w")), "tile_h": F.coalesce("__size.h", known("tile_h"))}).drop("__size")
+
+
+def mosaic(tiles: DataFrame, strip: int | None = None, digest: bool = False, area: int | None = None) -> DataFrame:
     """(image_id, strip, width, height, data) from tiles (image_id, width, height, px, py, tile_w, tile_h, data).
 
-    data are 8-bit RGB rows, of tiles and of the result; a tile of one colour may be its one pixel. With `digest` there is
-    checksum, the SHA-256 of the result's data in hex, instead of data. Later tiles, by (py, px), cover earlier ones. An image is cut into
-    strips of `strip` rows, or of PIXELS pixels; a task paints one at a time, so no image has to fit a task whole. Tiles over a cut go to both.
+    data are 8-bit RGB rows, of tiles and of the result; a tile may be a JPEG too, with its size from with_sizes(), and a
+    tile of one colour its one pixel. What can't be read is left out, and places that no tile covers are black. With `digest`
+    there is checksum, the SHA-256 of the result's data in hex, instead of data. Later tiles, by (py, px), cover earlier
+    ones. An image is cut into strips of `strip` rows, or of PIXELS pixels at most; a task paints one at a time, so no image
+    has to fit a task whole. Tiles over a cut go to both.
+
+    With `area`, images of more pixels are painted smaller, on a canvas of that area at most: a tile is drawn where
+    scaled_places() has it, each pixel the mean of what it covers. A tile is scaled as a whole, so that strips fit together.
     """
-    rows = F.lit(strip) if strip else F.greatest(F.lit(1), F.floor(F.lit(PIXELS) / F.greatest(F.col("width"), F.lit(1)).cast("double"))).cast("int")
-    tiles = tiles.withColumn("rows", rows)
-    ends = F.floor((F.col("py") + F.greatest(F.col("tile_h"), F.lit(1)) - 1) / F.col("rows").cast("double")).cast("int")
-    cut = tiles.withColumn("strip", F.explode(F.sequence(F.floor(F.col("py") / F.col("rows").cast("double")).cast("int"), ends)))
+    if area is not None:
+        tiles = scaled_places(tiles, area)
+    else:
+        tiles = tiles.withColumns({"ratio": F.lit(1.0), "cw": F.col("width"), "ch": F.col("height"), "dx": F.col("px"), "dy": F.col("py"), "dw": F.col("tile_w"), "dh": F.col("tile_h")})
+    # A strip has whole rows of 8 pixels, which images are coded in.
+    rows = F.lit(strip) if strip else F.greatest(F.lit(8), F.floor(F.lit(PIXELS) / F.greatest(F.col("cw"), F.lit(1)).cast("double") / 8) * 8)
+    tiles = tiles.withColumn("rows", rows.cast("int"))
+    ends = F.floor((F.col("dy") + F.greatest(F.col("dh"), F.lit(1)) - 1) / F.col("rows").cast("double")).cast("int")
+    most = F.floor((F.greatest(F.col("ch"), F.lit(1)) - 1) / F.col("rows").cast("double")).cast("int")
+    cut = tiles.withColumn("strip", F.explode(F.sequence(F.floor(F.col("dy") / F.col("rows").cast("double")).cast("int"), ends))).filter(F.col("strip") <= F.greatest(most, F.floor(F.col("dy") / F.col("rows").cast("double")).cast("int")))
+    cut = cut.select("image_id", "strip", "rows", "cw", "ch", "ratio", "px", "py", "dx", "dy", "tile_w", "tile_h", "data")
 
     def paint(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["py", "px"], kind="stable")
         first = group.iloc[0]
         top = int(first.strip) * int(first.rows)
-        width, height = int(first.width), min(int(first.rows), int(first.height) - top)
+        width, height = int(first.cw), min(int(first.rows), int(first.ch) - top)
         canvas = np.zeros((max(height, 0), width, 3), np.uint8)
         for t in group.itertuples():
-            pixels = np.frombuffer(t.data, np.uint8)
-            pixels = np.broadcast_to(pixels, (t.tile_h, t.tile_w, 3)) if len(pixels) == 3 else pixels.reshape(t.tile_h, t.tile_w, 3)
-            y0, y1, x1 = max(t.py, top), min(t.py + t.tile_h, top + height), min(t.px + t.tile_w, width)
-            if y1 > y0 and x1 > t.px:
-                canvas[y0 - top : y1 - top, t.px : x1] = pixels[y0 - t.py : y1 - t.py, : x1 - t.px]
+            pixels = None if t.data is None else pixels_of(t.data, *(0 if v is None or v != v else int(v) for v in (t.tile_w, t.tile_h)))
+            if pixels is None:
+                continue
+            if area is not None:
+                pixels = scaled(pixels, *(math.ceil(side * t.ratio) for side in pixels.shape[1::-1]))
+            x, y, (h, w) = int(t.dx), int(t.dy), pixels.shape[:2]
+            y0, y1, x1 = max(y, top), min(y + h, top + height), min(x + w, width)
+            if y1 > y0 and x1 > x:
+                canvas[y0 - top : y1 - top, x:x1] = pixels[y0 - y : y1 - y, : x1 - x]
         result = hashlib.sha256(canvas).hexdigest() if digest else canvas.tobytes()
         return pd.DataFrame([(first.image_id, int(first.strip), width, canvas.shape[0], result)], columns=["image_id", "strip", "width", "height", last])
 
@@ -46,11 +119,38 @@ def mosaic(tiles: DataFrame, strip: int | None = None, digest: bool = False) ->
     return cut.groupBy("image_id", "strip").applyInPandas(paint, f"image_id long, strip int, width int, height int, {last} {kind}")
 
 
-def scaled_places(tiles: DataFrame) -> DataFrame:
-    """Adds ratio, dx, dy, dw and dh: where a tile of tile_w x tile_h pixels is drawn on a canvas of limited area."""
+def scaled_places(tiles: DataFrame, area: int | None = None) -> DataFrame:
+    """Adds ratio, the canvas cw x ch, and dx, dy, dw and dh: where a tile of tile_w x tile_h pixels is drawn on it."""
     r = F.col("ratio")
-    out = tiles.withColumn("ratio", canvas_ratio(F.col("width"), F.col("height")))
-    return out.withColumns({"dx": F.floor(F.col("px") * r), "dy": F.floor(F.col("py") * r), "dw": F.ceil(F.col("tile_w") * r), "dh": F.ceil(F.col("tile_h") * r)})
+    out = tiles.withColumn("ratio", canvas_ratio(F.col("width"), F.col("height"), *([] if area is None else [area])))
+    out = out.withColumns({c: F.greatest(F.lit(1), F.floor(F.col(s) * r)).cast("int") for c, s in (("cw", "width"), ("ch", "height"))})
+    return out.withColumns({"dx": F.floor(F.col("px") * r).cast("int"), "dy": F.floor(F.col("py") * r).cast("int"), "dw": F.ceil(F.col("tile_w") * r).cast("int"), "dh": F.ceil(F.col("tile_h") * r).cast("int")})
+
+
+def coded_strips(strips: DataFrame, quality: int = 95) -> DataFrame:
+    """(image_id, strip, data) from mosaic()'s strips: the rows of blocks of a JPEG, coded apart; strip -1 is the file's
+    beginning and the last one ends it.
+
+    An image's height is that of its strips together, all of which but the last have whole rows of 8 pixels, so images
+    need a tile in every strip. Nothing but a strip is in a task at once.
+    """
+    sizes = strips.groupBy("image_id").agg(F.max("width").alias("full_width"), F.sum("height").alias("full_height"), F.max("strip").alias("last"), F.max("height").alias("rows"))
+
+    def code(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from tessera.sources import jpeg
+
+        for batch in frames:
+            for r in batch.to_pylist():
+                out = []
+                if r["strip"] == 0:
+                    out.append((-1, jpeg.header(r["full_width"], r["full_height"], quality)))
+                pixels = np.frombuffer(r["data"], np.uint8).reshape(r["height"], r["width"], 3)
+                ends = r["strip"] == r["last"]
+                out.append((r["strip"], jpeg.encode_rows(pixels, r["strip"] * r["rows"] // 8, ends, quality) + (jpeg.END if ends else b"")))
+                yield pa.RecordBatch.from_arrays([pa.array([r["image_id"]] * len(out), pa.int64()), pa.array([k for k, _ in out], pa.int32()), pa.array([d for _, d in out], pa.binary())], ["image_id", "strip", "data"])
+
+    rows = strips.join(sizes, "image_id").select("image_id", "strip", "width", "height", "full_width", "full_height", "last", "rows", "data")
+    return rows.mapInArrow(code, "image_id long, strip int, data binary")
 
 
 def progress(images: DataFrame, results: DataFrame) -> DataFrame:

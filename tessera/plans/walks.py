@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from tessera.plans.queries import SITE, query, read
@@ -92,3 +94,67 @@ def rule_index(spark, sf_dir):
     tail = F.when(k == 0, _text(" shipped from ", at(nations, 25), ".")).when(k == 1, _text(" to ", at(regions, 5), "N")).otherwise(F.lit(" x"))
     pages = read(spark, sf_dir, "pages").select("page_id", F.concat("html", tail).alias("text"))
     return by_index(pages, RuleIndex(rules), "text").select("page_id", "format", "rule")
+
+
+#: Images of pages, in tiles of 32 pixels of one grey each.
+GREYS = """img AS (SELECT page_id, 24 + (page_id * 7919) % 120 AS width, 24 + (page_id * 104729) % 90 AS height FROM pages),
+  g AS (SELECT *, CAST(ceil(width / 32.0) AS INTEGER) AS nx, CAST(ceil(height / 32.0) AS INTEGER) AS ny FROM img),
+  gy AS (SELECT *, CAST(unnest(range(0, ny)) AS INTEGER) AS y FROM g), tiles AS (SELECT *, CAST(unnest(range(0, nx)) AS INTEGER) AS x FROM gy),
+  t AS (SELECT *, least(32, width - 32 * x) AS tw, least(32, height - 32 * y) AS th, (page_id * 31 + (y * nx + x) * 7) % 256 AS grey FROM tiles)"""
+
+
+def _grey_tiles(spark, sf_dir):
+    from tessera.operators import grid
+
+    k = F.col("page_id")
+    images = read(spark, sf_dir, "pages").select(k.alias("image_id"), (24 + (k * 7919) % 120).cast("int").alias("width"), (24 + (k * 104729) % 90).cast("int").alias("height"), F.lit(32).alias("tile_size"))
+    tiles = grid.plan_tiles(images)
+    sides = [F.least(F.col("tile_size"), F.col(s) - F.col(p)).cast("int").alias(n) for s, p, n in (("width", "px", "tile_w"), ("height", "py", "tile_h"))]
+    return tiles.select("image_id", "width", "height", "px", "py", *sides, ((F.col("image_id") * 31 + F.col("tile_index") * 7) % 256).cast("int").alias("grey"))
+
+
+def _brightness():
+    """The sum of all bytes."""
+
+    def of(data: pd.Series) -> pd.Series:
+        return pd.Series([int(np.frombuffer(x, np.uint8).sum(dtype=np.int64)) for x in data])
+
+    return F.pandas_udf(of, "long")
+
+
+@query(f"""WITH {GREYS}, r AS (SELECT *, least(sqrt(3000 / (CAST(width AS DOUBLE) * height)), 1.0) AS r FROM t),
+  c AS (SELECT *, floor(width * r) AS cw, floor(height * r) AS ch, floor(32 * x * r) AS dx, floor(32 * y * r) AS dy FROM r),
+  v AS (SELECT *, CASE WHEN x + 1 < nx THEN floor(32 * (x + 1) * r) ELSE cw END - dx AS vw, CASE WHEN y + 1 < ny THEN floor(32 * (y + 1) * r) ELSE ch END - dy AS vh FROM c)
+  SELECT page_id, CAST(any_value(cw) AS INTEGER) AS width, CAST(any_value(ch) AS BIGINT) AS height, CAST(sum(3 * grey * vw * vh) AS BIGINT) AS brightness FROM v GROUP BY page_id""")
+def scaled_mosaic(spark, sf_dir):
+    """Images painted smaller, to fit a canvas of 3,000 pixels, in strips; later tiles cover earlier ones by a pixel."""
+    from tessera.operators.mosaic import mosaic
+
+    grey = F.lpad(F.hex("grey"), 2, "0")
+    tiles = _grey_tiles(spark, sf_dir).withColumn("data", F.unhex(F.concat(grey, grey, grey)))
+    strips = mosaic(tiles, strip=32, area=3_000)
+    return strips.withColumn("sum", _brightness()("data")).groupBy(F.col("image_id").alias("page_id")).agg(F.max("width").alias("width"), F.sum("height").alias("height"), F.sum("sum").alias("brightness"))
+
+
+@query(f"WITH {GREYS} SELECT page_id, any_value(width) AS width, any_value(height) AS height, CAST(sum(3 * grey * tw * th) AS BIGINT) AS brightness FROM t GROUP BY page_id")
+def jpeg_mosaic(spark, sf_dir):
+    """JPEG tiles painted in strips and written as a JPEG file for each image, which is read back.
+
+    Tiles of one grey lose nothing: they begin at multiples of 8, and a brightness alone is a multiple of its quantiser.
+    """
+    from tessera.operators.mosaic import mosaic, with_sizes
+    from tessera.sources import documents, jpeg
+    from tessera.sources.shared import Written
+
+    def coded(grey: pd.Series, width: pd.Series, height: pd.Series) -> pd.Series:
+        return pd.Series([jpeg.encode(np.full((h, w, 3), g, np.uint8)) for g, w, h in zip(grey, width, height, strict=True)])
+
+    def decoded(data: pd.Series) -> pd.Series:
+        return pd.Series([jpeg.decode(x).tobytes() for x in data])
+
+    tiles = _grey_tiles(spark, sf_dir).withColumn("data", F.pandas_udf(coded, "binary")("grey", "tile_w", "tile_h")).drop("tile_w", "tile_h", "grey")
+    tables = Written(spark, "jpeg")
+    tables.put(documents.write_jpegs(mosaic(with_sizes(tiles), strip=32), f"{tables.root}/files"), "written")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.jpg").load(f"{tables.root}/files")
+    sized = with_sizes(files.select(F.regexp_extract("path", r"(\d+)\.jpg$", 1).cast("long").alias("page_id"), F.col("content").alias("data")))
+    return sized.select("page_id", F.col("tile_w").cast("long").alias("width"), F.col("tile_h").cast("long").alias("height"), _brightness()(F.pandas_udf(decoded, "binary")("data")).alias("brightness"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -75,18 +76,51 @@ def fetch(requests: DataFrame, get: Callable[[str], tuple[int, str, bytes]] | No
 
 def write_files(images: DataFrame, folder: str) -> DataFrame:
     """Writes (name, data) as files of a folder that all executors share, given by a URI; returns (path, bytes)."""
+    return write_parts(images.select("name", F.lit(0).alias("part"), "data"), folder)
+
+
+def write_parts(parts: DataFrame, folder: str) -> DataFrame:
+    """Writes (name, part, data) as files, a name's parts one after the other; returns (path, bytes), a row for each file.
+
+    The folder is given by a URI and shared by all executors. A task holds a batch of parts, never a file, and writes to
+    a name of its own that becomes the file's at the end, so a task that is lost or runs twice leaves no half file.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import uuid
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyarrow import fs
 
         store, root = fs.FileSystem.from_uri(folder)
         store.create_dir(root, recursive=True)
-        for frame in frames:
-            rows = []
-            for name, data in zip(frame["name"], frame["data"], strict=True):
-                with store.open_output_stream(f"{root}/{name}", compression=None) as out:
-                    out.write(data)
-                rows.append((f"{root}/{name}", len(data)))
-            yield pd.DataFrame(rows, columns=["path", "bytes"])
+        own, name, out, size = None, None, None, 0
+
+        def done():
+            out.close()
+            store.move(own, f"{root}/{name}")
+            return pa.RecordBatch.from_arrays([pa.array([f"{root}/{name}"]), pa.array([size], pa.int64())], ["path", "bytes"])
+
+        for batch in batches:
+            for this, data in zip(batch.column(0).to_pylist(), batch.column(2), strict=True):
+                if this != name:
+                    if out is not None:
+                        yield done()
+                    own, name, size = f"{root}/.{uuid.uuid4().hex}", this, 0
+                    out = store.open_output_stream(own, compression=None)
+                size += out.write(data.as_py())
+        if out is not None:
+            yield done()
+
+    dealt = parts.select("name", "part", "data").repartition("name").sortWithinPartitions("name", "part")
+    return dealt.mapInArrow(run, "path string, bytes long")
+
+
+def write_jpegs(strips: DataFrame, folder: str, quality: int = 95) -> DataFrame:
+    """Writes mosaic()'s strips as one JPEG for each image, <image_id>.jpg; returns (path, bytes).
+
+    Strips are coded where they are, and only coded bytes travel to the task that writes a file.
+    """
+    from tessera.operators.mosaic import coded_strips
 
-    return images.select("name", "data").mapInPandas(run, "path string, bytes long")
+    coded = coded_strips(strips, quality)
+    return write_parts(coded.select(F.concat(F.col("image_id").cast("string"), F.lit(".jpg")).alias("name"), F.col("strip").alias("part"), "data"), folder)
