@@ -28,6 +28,7 @@ class Discovery:
     """direct: the metadata URL, if the URL tells it. hop: another document's URL. found: by page or hop_body. error: if none.
 
     other: what takes the place of direct where only that is in the crawl. follow: a page to look at instead of this one.
+    token: what the page has for signing tile URLs.
     """
 
     direct: Column | None = None
@@ -36,6 +37,7 @@ class Discovery:
     error: str = "No metadata URL was found."
     other: Column | None = None
     follow: Column | None = None
+    token: Column | None = None
 
 
 def _let(value: Column, f) -> Column:
@@ -246,7 +248,9 @@ def micrio() -> Discovery:
 
 def arts_culture() -> Discovery:
     page = F.col("page")
-    return Discovery(found=F.concat(F.lit("https:"), first_match(page, r"]\n?,\"(//[a-zA-Z0-9./_\-]+)\",(?:\"([^\"]+)\"|null)"), F.lit("=g")), error="No metadata URL of the image was found.")
+    named = r"]\n?,\"(//[a-zA-Z0-9./_\-]+)\",(?:\"([^\"]+)\"|null)"
+    found = F.concat(F.lit("https:"), first_match(page, named), F.lit("=g"))
+    return Discovery(found=found, token=F.nullif(F.regexp_extract(page, named, 2), F.lit("")), error="No metadata URL of the image was found.")
 
 
 def hungaricana() -> Discovery:
@@ -285,7 +289,7 @@ DISCOVERIES = {
 
 
 def discover(requests: DataFrame, documents: DataFrame, formats: list[str] | None = None) -> DataFrame:
-    """Adds meta_url, needs_url and error to requests (request_id, url, format[, page_number]), by documents (url, body).
+    """Adds meta_url, token, needs_url and error to requests (request_id, url, format[, page_number]), by documents (url, body).
 
     Each row is in the result once, whatever its format: rows of a format that has no rules, or of none, are errors. Equal
     requests are looked at once. Those whose URL tells the metadata URL are joined with nothing; the others meet their page,
@@ -313,11 +317,11 @@ def discover(requests: DataFrame, documents: DataFrame, formats: list[str] | Non
         last = tables.put(_step(ended.filter("url is not null"), documents, formats), "last")
         round_ = ended.filter("url is null").select(*ask, F.lit("Frames lead back to a page that was seen.").alias("error"))
         facts = facts.unionByName(last).unionByName(round_, allowMissingColumns=True)
-    facts = facts.select(*ask, "meta_url", "needs_url", "error")
+    facts = facts.select(*ask, "meta_url", "token", "needs_url", "error")
     # Nulls are equal here: the key is a text of all three.
     key = lambda url: F.to_json(F.struct(F.col(url).alias("u"), F.col("format").alias("f"), F.col("page_number").alias("p")))
     facts = facts.withColumn("ask", key("start")).drop(*ask)
-    return meet(requests.withColumn("ask", key("url")), facts, ["ask"], ["request_id"]).select("request_id", "url", "format", "meta_url", "needs_url", "error")
+    return meet(requests.withColumn("ask", key("url")), facts, ["ask"], ["request_id"]).select("request_id", "url", "format", "meta_url", "token", "needs_url", "error")
 
 
 def _follows(formats: list[str]):
@@ -372,4 +376,4 @@ def _step(rows: DataFrame, documents: DataFrame, formats: list[str]) -> DataFram
     for name, how in rules.items():
         errors = errors.when(F.col("format") == name, how.error)
     rows = rows.withColumn("needs_url", needs).withColumn("error", F.when(none & F.col("needs_url").isNull(), errors))
-    return rows.select("start", "format", "page_number", F.when(~none, _resolved(F.col("meta_url"), F.col("start"))).alias("meta_url"), "needs_url", "error", F.when(none, F.col("follow")).alias("follow"))
+    return rows.select("start", "format", "page_number", F.when(~none, _resolved(F.col("meta_url"), F.col("start"))).alias("meta_url"), F.when(~none, chosen("token")).alias("token"), "needs_url", "error", F.when(none, F.col("follow")).alias("follow"))

@@ -7,10 +7,8 @@ format adds. register_format() adds formats of one's own; with_tile_urls() picks
 from __future__ import annotations
 
 import hashlib
-import hmac
 from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -201,23 +199,31 @@ def hungaricana(key: str) -> Column:
     return F.concat(F.col("origin"), F.lower(F.hex(F.substring(coded, 17, 16))))
 
 
-def signed_path(key: bytes):
-    """A pandas UDF (path, token, x, y, zoom) -> path signed by HMAC-SHA1; Spark has no HMAC. The caller supplies the key."""
+def hmac_sha1(key: bytes, message: Column) -> Column:
+    """The HMAC-SHA1 of a text or binary column, as 20 bytes: two hashes over blocks that the key pads."""
+    block = (hashlib.sha1(key).digest() if len(key) > 64 else key).ljust(64, b"\0")
+    inner, outer = (F.lit(bytes(c ^ pad for c in block)) for pad in (0x36, 0x5C))
+    return F.unhex(F.sha1(F.concat(outer, F.unhex(F.sha1(F.concat(inner, message.cast("binary")))))))
+
 
-    @F.pandas_udf("string")
-    def sign(path: pd.Series, token: pd.Series, col: pd.Series, row: pd.Series, zoom: pd.Series) -> pd.Series:
-        import base64
+def signed_path(key: bytes):
+    """(path, token, x, y, zoom) -> the path of a tile signed by HMAC-SHA1. The caller supplies the key."""
 
-        out = []
-        for p, t, i, j, z in zip(path, token, col, row, zoom, strict=True):
-            plain = f"{p}=x{i}-y{j}-z{z}-t{t or ''}"
-            mac = base64.b64encode(hmac.new(key, plain.encode(), hashlib.sha1).digest()).decode()
-            out.append(f"{p}=x{i}-y{j}-z{z}-t" + mac.translate(str.maketrans("+/", "__")).replace("=", "", 1))
-        return pd.Series(out)
+    def sign(path: Column, token: Column, x: Column | str, y: Column | str, zoom: Column | str) -> Column:
+        places = [text(F.col(c) if isinstance(c, str) else c) for c in (x, y, zoom)]
+        head = F.concat(path, F.lit("=x"), places[0], F.lit("-y"), places[1], F.lit("-z"), places[2], F.lit("-t"))
+        mac = F.base64(hmac_sha1(key, F.concat(head, F.coalesce(token, F.lit("")))))
+        return F.concat(head, F.regexp_replace(F.translate(mac, "+/", "__"), "=", ""))
 
     return sign
 
 
+def arts_culture(key: bytes) -> Column:
+    """The signed path of a tile on the metadata's host; token is what the page names, and may be null."""
+    path = F.regexp_extract(F.col("origin"), r"^https?://[^/]+/(.*?)(?:=g)?\z", 1)
+    return F.concat(F.lit("/"), signed_path(key)(path, F.col("token"), "x", "y", "zoom"))
+
+
 def decrypted_tile(raw: Column, key: Column, iv: Column) -> Column:
     """The body of a tile whose AES-CBC part lies between a clear head and tail, where the marker 0A0A0A0A leads it.
 
@@ -238,19 +244,29 @@ BUILDERS: dict[str, Callable[[], Column]] = {
 }
 
 
+#: Formats whose tile URLs take a key, which the caller supplies.
+KEYED: dict[str, Callable[..., Column]] = {"Arts & Culture": arts_culture, "Hungaricana": hungaricana}
+
+
 def register_format(name: str, builder: Callable[[], Column]) -> None:
-    """Adds a format, or replaces one; the builder reads the columns of a planned tile."""
+    """Adds a format's tile URLs, or replaces them; the builder reads the columns of a planned tile. See operators.formats for whole formats."""
     BUILDERS[name] = builder
 
 
-def with_tile_urls(tiles: DataFrame, formats: list[str] | None = None, resolve: bool = True) -> DataFrame:
+def with_tile_urls(tiles: DataFrame, formats: list[str] | None = None, resolve: bool = True, keys: dict | None = None, builders: dict[str, Callable[[], Column]] | None = None) -> DataFrame:
     """Adds `url` to planned tiles by their `format`, resolved against `origin` where that is set.
 
     formats limits the expression to those whose columns the tiles have. with_template_parts() before the tiles are
-    planned saves work for formats with templates.
+    planned saves work for formats with templates. keys has the keys of KEYED formats by name; without one their URLs are
+    null. builders may add to BUILDERS, or replace some.
     """
-    url = F.lit(None).cast("string")
-    for name in formats or BUILDERS:
-        own = BUILDERS[name](F.col("template_parts")) if name in TEMPLATES and "template_parts" in tiles.columns else BUILDERS[name]()
+    url, builders, keys = F.lit(None).cast("string"), BUILDERS | (builders or {}), keys or {}
+    for name in formats or builders:
+        if name in KEYED and name not in builders:
+            if name not in keys:
+                continue
+            own = KEYED[name](keys[name])
+        else:
+            own = builders[name](F.col("template_parts")) if name in TEMPLATES and "template_parts" in tiles.columns else builders[name]()
         url = F.when(F.col("format") == name, own).otherwise(url)
     return tiles.withColumn("url", F.when(F.col("origin").isNotNull(), resolve_relative(url, F.col("origin"))).otherwise(url) if resolve else url)

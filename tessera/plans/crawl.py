@@ -84,6 +84,6 @@ def describe(requests: DataFrame, documents: DataFrame, formats: list[str]) -> D
     return out.withColumn("needs_url", F.col("__missing")).drop("__missing", "undetected", "undiscovered", "unread", "parsed", "lost", "empty", "meta_url")
 
 
-def tiles(descriptors: DataFrame, formats: list[str]) -> DataFrame:
-    """Places and URLs of the tiles of describe()'s descriptors; nothing is shuffled."""
-    return tileurl.with_tile_urls(grid.plan_tiles(descriptors.filter("failed_at is null")), formats)
+def tiles(descriptors: DataFrame, formats: list[str], keys: dict | None = None) -> DataFrame:
+    """Places and URLs of the tiles of describe()'s descriptors; nothing is shuffled. keys are those of formats that sign their URLs."""
+    return tileurl.with_tile_urls(grid.plan_tiles(descriptors.filter("failed_at is null")), formats, keys=keys)

@@ -158,3 +158,62 @@ def jpeg_mosaic(spark, sf_dir):
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.jpg").load(f"{tables.root}/files")
     sized = with_sizes(files.select(F.regexp_extract("path", r"(\d+)\.jpg$", 1).cast("long").alias("page_id"), F.col("content").alias("data")))
     return sized.select("page_id", F.col("tile_w").cast("long").alias("width"), F.col("tile_h").cast("long").alias("height"), _brightness()(F.pandas_udf(decoded, "binary")("data")).alias("brightness"))
+
+
+#: A key of no site, for tests of signing.
+KEY = b"a key of no site at all, for signing the paths of a table's images and of nothing else"
+
+
+def _pads() -> tuple[str, str]:
+    import hashlib
+
+    block = hashlib.sha1(KEY).digest().ljust(64, b"\0")
+    return tuple("from_hex('" + bytes(c ^ p for c in block).hex() + "')" for p in (0x36, 0x5C))
+
+
+@query(f"""WITH {GREYS}, m AS (SELECT page_id, x, y, 'maps/' || page_id || '=x' || x || '-y' || y || '-z' || greatest(0, CAST(ceil(ln(greatest(width, height) / CAST(32 AS DOUBLE)) / ln(CAST(2 AS DOUBLE))) AS INTEGER)) || '-t' AS head, CASE WHEN page_id % 3 = 0 THEN '' ELSE 'tok' || page_id END AS token FROM t)
+  SELECT page_id, x, y, 'https://s.example.org/' || head || replace(translate(base64(from_hex(sha1({_pads()[1]} || from_hex(sha1({_pads()[0]} || encode(head || token)))))), '+/', '__'), '=', '') AS url FROM m""")
+def signed_urls(spark, sf_dir):
+    """Tile URLs signed by HMAC-SHA1, in the row."""
+    from tessera.operators import grid, tileurl
+
+    k = F.col("page_id")
+    images = read(spark, sf_dir, "pages").select(k, (24 + (k * 7919) % 120).alias("width"), (24 + (k * 104729) % 90).alias("height"), F.lit(32).alias("tile_size"))
+    images = images.withColumns({"format": F.lit("Arts & Culture"), "origin": _text("https://s.example.org/maps/", k, "=g"), "token": F.when(k % 3 > 0, _text("tok", k))})
+    tiles = grid.plan_tiles(images).withColumn("zoom", F.greatest(F.lit(0), F.col("zoom")))
+    return tileurl.with_tile_urls(tiles, ["Arts & Culture"], keys={"Arts & Culture": KEY}).select("page_id", "x", "y", "url")
+
+
+@query("""WITH u AS (SELECT DISTINCT url FROM pages WHERE url IS NOT NULL), h AS (SELECT regexp_extract(url, '://([^/?#]*)', 1) AS host, count(*) AS n FROM u GROUP BY 1)
+  SELECT host, n AS requests, (n - 1) / 5.0::DOUBLE AS last_due, CAST(least(n, 16) AS INTEGER) AS lanes, CAST(ceil(n / 16.0) AS BIGINT) AS longest_lane, n AS places, CASE WHEN n > 16 THEN 3.2::DOUBLE END AS spacing FROM h""")
+def fetch_schedule(spark, sf_dir):
+    """When the URLs of pages are due: how many lanes a host has, how long the longest is, and how far its requests are apart."""
+    from pyspark.sql.window import Window
+
+    from tessera.sources.pacing import schedule
+
+    due = schedule(read(spark, sf_dir, "pages").select("url"))
+    gap = F.round(F.col("due") - F.lag("due").over(Window.partitionBy("host", "lane").orderBy("place")), 6)
+    lanes = due.withColumn("gap", gap).groupBy("host", "lane", "lanes").agg(F.count(F.lit(1)).alias("own"), F.count_distinct("place").alias("places"), F.max("due").alias("last"), F.min("gap").alias("least"), F.max("gap").alias("most"))
+    spacing = F.when(F.min("least") == F.max("most"), F.min("least"))
+    return lanes.groupBy("host").agg(F.sum("own").alias("requests"), F.max("last").alias("last_due"), F.max("lanes").alias("lanes"), F.max("own").alias("longest_lane"), F.sum("places").alias("places"), spacing.alias("spacing"))
+
+
+@query("""SELECT p_partkey AS image_id, CAST((1 + (p_partkey * 37) % 1000) * tile AS BIGINT) AS width, CAST((1 + (p_partkey * 101) % 700) * tile AS BIGINT) AS height, tile AS tile_size
+  FROM (SELECT *, CASE WHEN p_partkey % 4 = 0 AND 1 + (p_partkey * 37) % 1000 > 600 THEN 512 ELSE 256 END AS tile FROM part)""")
+def grid_search(spark, sf_dir):
+    """Sizes of images whose tiles follow a template, found by ten rounds of probes for all images at once.
+
+    A tile exists if its place is within the image that its number stands for; some images have larger tiles.
+    """
+    from tessera.operators.search import search_grids
+
+    def probe(urls):
+        number = lambda k: F.regexp_extract("url", r"/(\d+)/(\d+)-(\d+)\.jpg$", k).cast("long")
+        k, x, y = number(1), number(2), number(3)
+        wide, high = 1 + (k * 37) % 1000, 1 + (k * 101) % 700
+        side = F.when((k % 4 == 0) & (wide > 600), 512).otherwise(256)
+        return urls.select("url", ((x < wide) & (y < high)).alias("ok"), side.alias("width"), side.alias("height"))
+
+    images = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("request_id"), _text("http://h.example.org/", F.col("p_partkey"), "/{{x}}-{{Y}}.jpg").alias("url"))
+    return search_grids(images, probe).select(F.col("request_id").alias("image_id"), "width", "height", "tile_size")

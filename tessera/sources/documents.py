@@ -9,9 +9,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.functions.text import request_url
+from tessera.sources.pacing import BROWSER, LANES, PER_SECOND, Policy, schedule
 
-PER_SECOND, ATTEMPTS, REDIRECTS = 5, 6, 3
+REDIRECTS = 3
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
@@ -37,27 +37,31 @@ def http_get(url: str) -> tuple[int, str, bytes]:
         return e.code, e.headers.get("Content-Type", ""), e.read()
 
 
-def fetch(requests: DataFrame, get: Callable[[str], tuple[int, str, bytes]] | None = None, per_second: float = PER_SECOND, attempts: int = ATTEMPTS, enabled: bool = False) -> DataFrame:
-    """(url, attempts, status, content_type, data, error) for requests (url).
+def fetch(requests: DataFrame, get: Callable[[str], tuple[int, str, bytes]] | None = None, per_second: float = PER_SECOND, attempts: int | None = None, enabled: bool = False, policy: Policy = BROWSER, lanes: int = LANES) -> DataFrame:
+    """(url, attempts, status, content_type, data, error) for the distinct URLs of requests (url).
 
-    Needs enabled=True. All URLs of a host go to one task, which keeps to `per_second` and tries a URL up to `attempts`
-    times, waiting longer each time. get is http_get unless given, as in tests; a repeated task fetches anew.
+    Needs enabled=True. URLs go by their schedule(): a lane of a host is in one task, which asks every lanes / per_second
+    seconds of its own time, so a task that starts late never hurries, and a host's lanes together keep its rate; tries
+    after a failure take a turn each, and wait as the policy says, or longer. `attempts` may cut the policy's. get is
+    http_get unless given, as in tests. A repeated task fetches anew.
     """
     if not enabled:
         raise RuntimeError("fetching is off; pass enabled=True")
     get = get or http_get
+    most = attempts or policy.attempts
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import random
         import time
 
-        due: dict[str, float] = {}
+        start, due = time.monotonic(), {}
         for frame in frames:
             rows = []
-            for host, url in zip(frame["host"], frame["url"], strict=True):
-                status, kind, data, error, tried = None, None, None, None, 0
-                for tried in range(1, attempts + 1):
-                    time.sleep(max(0.0, due.get(host, 0.0) - time.monotonic()))
-                    due[host] = time.monotonic() + 1 / per_second
+            for host, lane, of, url in zip(frame["host"], frame["lane"], frame["lanes"], frame["url"], strict=True):
+                status, kind, data, error, tried, wait = None, None, None, None, 0, 0.0
+                for tried in range(1, most + 1):
+                    time.sleep(max(0.0, due.get((host, lane), start + lane / per_second) - time.monotonic(), wait))
+                    due[host, lane] = time.monotonic() + of / per_second
                     try:
                         status, kind, data = get(url)
                         error = f"HTTP {status}" if status in (500, 429) else None
@@ -65,13 +69,14 @@ def fetch(requests: DataFrame, get: Callable[[str], tuple[int, str, bytes]] | No
                         error = str(e)
                     if error is None:
                         break
-                    if tried < attempts:
-                        time.sleep(min(2.0**tried / 1000, 1.0))
+                    wait = policy.wait(tried, random.random()) / 1000
                 rows.append((url, tried, status, kind, data, error))
             yield pd.DataFrame(rows, columns=["url", "attempts", "status", "content_type", "data", "error"])
 
-    hosts = requests.select(request_url(F.col("url")).alias("url")).withColumn("host", F.coalesce(F.try_parse_url(F.col("url"), F.lit("AUTHORITY")), F.lit("")))
-    return hosts.repartition("host").mapInPandas(run, "url string, attempts int, status int, content_type string, data binary, error string")
+    # A number of its own, as tasks of few bytes would be put together, though it is their time that counts.
+    tasks = int(requests.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = schedule(requests, per_second, lanes).repartition(tasks, "host", "lane").sortWithinPartitions("place", "host")
+    return dealt.select("host", "lane", "lanes", "url").mapInPandas(run, "url string, attempts int, status int, content_type string, data binary, error string")
 
 
 def write_files(images: DataFrame, folder: str) -> DataFrame:
