@@ -37,33 +37,29 @@ def closure(starts: DataFrame, documents: DataFrame, read: Callable[[DataFrame],
     tables = Written(starts.sparkSession, "closure")
     starts = tables.put(starts.select("kind", "start").distinct(), "starts")
     none = F.array().cast("array<string>")
-    frontier = starts.filter("start is not null").select("kind", "start", F.col("start").alias("url"), F.array().cast("array<int>").alias("place"), none.alias("trail"))
-    answers, missing, visited, level = [], [], [], 0
-    best = lambda df, *more: df.groupBy("kind", "start").agg(F.min(F.struct("place", "url", *more)).alias("best"))
+    first = starts.filter("start is not null").select("kind", "start", F.col("start").alias("url"), F.array().cast("array<int>").alias("place"), none.alias("trail"))
+    frontiers, mets, level = [tables.put(first, "frontier")], [], 0
     while True:
-        visited.append(frontier.select("kind", "start", "url"))
+        frontier = frontiers[-1]
         asked = frontier.select("kind", "url").distinct()
         facts = read(asked.join(bodies(documents, asked), "url").select("kind", "url", "body")).select("kind", "url", F.coalesce("done", F.lit(False)).alias("done"), "value", F.coalesce("next", none).alias("next"))
-        met = tables.put(meet(frontier, facts, ["kind", "url"], ["start"]), "met")
         trail = F.concat("trail", F.when(F.col("value").isNull(), none).otherwise(F.array("value")))
-        done = best(met.filter("done").withColumn("trail", trail), "trail")
-        answers.append(done.select("kind", "start", F.col("best.url").alias("found_url"), F.lit(level).alias("level"), F.col("best.trail").alias("trail")))
-        missing.append(best(met.filter("done is null")).select("kind", "start", F.struct(F.lit(level).alias("level"), F.col("best.place").alias("place"), F.col("best.url").alias("url")).alias("lost")))
+        met = meet(frontier, facts, ["kind", "url"], ["start"]).withColumn("trail", trail).drop("value").withColumn("level", F.lit(level))
+        mets.append(met := tables.put(met, "met"))
         if limit is not None and level == limit:
             break
-        going = met.filter("not done").withColumn("trail", trail).join(done.select("kind", "start"), ["kind", "start"], "left_anti")
+        ended = met.filter("done").select("kind", "start").distinct()
+        going = met.filter("not done").join(ended, ["kind", "start"], "left_anti")
         links = going.select("kind", "start", "place", "trail", F.col("start" if from_start else "url").alias("base"), F.posexplode("next").alias("k", "link")).filter("link is not null")
         links = links.select("kind", "start", resolve_relative(F.col("link"), F.col("base")).alias("url"), F.concat("place", F.array("k")).alias("place"), "trail")
         fresh = links.groupBy("kind", "start", "url").agg(F.min(F.struct("place", "trail")).alias("first"))
-        for seen in visited:
-            fresh = fresh.join(seen, ["kind", "start", "url"], "left_anti")
-        frontier = tables.put(fresh.select("kind", "start", "url", "first.place", "first.trail"), "frontier")
-        if frontier.isEmpty():
+        fresh = fresh.join(tables.all(frontiers).select("kind", "start", "url"), ["kind", "start", "url"], "left_anti")
+        frontiers.append(tables.put(fresh.select("kind", "start", "url", "first.place", "first.trail"), "frontier"))
+        if frontiers[-1].isEmpty():
             break
         level += 1
-    found, lost = answers[0], missing[0]
-    for a, m in zip(answers[1:], missing[1:], strict=True):
-        found, lost = found.unionByName(a), lost.unionByName(m)
-    lost = lost.groupBy("kind", "start").agg(F.min("lost").alias("lost"))
-    out = starts.join(found, ["kind", "start"], "left").join(lost, ["kind", "start"], "left")
-    return out.select("kind", "start", "found_url", "level", "trail", F.when(F.col("found_url").isNull(), F.col("lost.url")).alias("needs_url"))
+    here = F.struct("level", "place", "url", "trail")
+    ends = tables.all(mets).groupBy("kind", "start").agg(F.min(F.when(F.col("done"), here)).alias("found"), F.min(F.when(F.col("done").isNull(), here)).alias("lost"))
+    out = starts.join(ends, ["kind", "start"], "left")
+    lost = F.when(F.col("found").isNull(), F.col("lost.url"))
+    return out.select("kind", "start", F.col("found.url").alias("found_url"), F.col("found.level").alias("level"), F.col("found.trail").alias("trail"), lost.alias("needs_url"))

@@ -36,6 +36,10 @@ class Written:
         self.paths[id(out)] = out, path
         return out
 
+    def all(self, tables: list[DataFrame]) -> DataFrame:
+        """The rows of several tables of one schema, in one scan."""
+        return self.spark.read.schema(tables[0].schema).parquet(*(self.paths[id(t)][1] for t in tables))
+
     def drop(self, *tables: DataFrame) -> None:
         """Removes tables that nothing reads any more."""
         for table in tables:
