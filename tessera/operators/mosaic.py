@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import math
 from collections.abc import Iterator
@@ -33,6 +34,7 @@ def pixels_of(data: bytes, width: int, height: int) -> np.ndarray | None:
     return pixels.reshape(height, width, 3) if len(pixels) == 3 * width * height else None
 
 
+@functools.lru_cache(256)
 def shares(size: int, to: int) -> np.ndarray:
     """(to, size): how much of each of `size` samples is in each of `to` as long as all of them; rows sum up to 1."""
     edges = np.arange(to + 1) * size / to
@@ -43,11 +45,13 @@ def shares(size: int, to: int) -> np.ndarray:
 
 def scaled(pixels: np.ndarray, width: int, height: int) -> np.ndarray:
     """Pixels drawn in another size: each is the mean, by area, of what it covers."""
-    if pixels.shape[:2] == (height, width):
+    h, w = pixels.shape[:2]
+    if (h, w) == (height, width):
         return pixels
-    rows, columns = shares(pixels.shape[0], height), shares(pixels.shape[1], width)
-    across = np.einsum("xw,hwc->hxc", columns, pixels.astype(np.float64))
-    return np.floor(np.einsum("yh,hxc->yxc", rows, across) + 0.5 + 1e-9).astype(np.uint8)
+    if pixels.strides[:2] == (0, 0):  # one pixel for all
+        return np.broadcast_to(pixels[0, 0], (height, width, 3))
+    down = (shares(h, height) @ pixels.reshape(h, w * 3).astype(np.float64)).reshape(height, w, 3)
+    return np.floor(shares(w, width) @ down + 0.5 + 1e-9).astype(np.uint8)
 
 
 def with_sizes(tiles: DataFrame) -> DataFrame:
@@ -73,13 +77,13 @@ def with_sizes(tiles: DataFrame) -> DataFrame:
 
 
 def mosaic(tiles: DataFrame, strip: int | None = None, digest: bool = False, area: int | None = None) -> DataFrame:
-    """(image_id, strip, width, height, data) from tiles (image_id, width, height, px, py, tile_w, tile_h, data).
+    """(image_id, strip, width, height, top, full_height, data) from tiles (image_id, width, height, px, py, tile_w, tile_h, data).
 
-    data are 8-bit RGB rows, of tiles and of the result; a tile may be a JPEG too, with its size from with_sizes(), and a
+    top is a strip's first row, full_height that of the image. data are 8-bit RGB rows, of tiles and of the result; a tile may be a JPEG too, with its size from with_sizes(), and a
     tile of one colour its one pixel. What can't be read is left out, and places that no tile covers are black. With `digest`
     there is checksum, the SHA-256 of the result's data in hex, instead of data. Later tiles, by (py, px), cover earlier
     ones. An image is cut into strips of `strip` rows, or of PIXELS pixels at most; a task paints one at a time, so no image
-    has to fit a task whole. Tiles over a cut go to both.
+    has to fit a task whole, and tiles pass by one after the other. Tiles over a cut go to both.
 
     With `area`, images of more pixels are painted smaller, on a canvas of that area at most: a tile is drawn where
     scaled_places() has it, each pixel the mean of what it covers. A tile is scaled as a whole, so that strips fit together.
@@ -96,27 +100,43 @@ def mosaic(tiles: DataFrame, strip: int | None = None, digest: bool = False, are
     cut = tiles.withColumn("strip", F.explode(F.sequence(F.floor(F.col("dy") / F.col("rows").cast("double")).cast("int"), ends))).filter(F.col("strip") <= F.greatest(most, F.floor(F.col("dy") / F.col("rows").cast("double")).cast("int")))
     cut = cut.select("image_id", "strip", "rows", "cw", "ch", "ratio", "px", "py", "dx", "dy", "tile_w", "tile_h", "data")
 
-    def paint(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["py", "px"], kind="stable")
-        first = group.iloc[0]
-        top = int(first.strip) * int(first.rows)
-        width, height = int(first.cw), min(int(first.rows), int(first.ch) - top)
-        canvas = np.zeros((max(height, 0), width, 3), np.uint8)
-        for t in group.itertuples():
-            pixels = None if t.data is None else pixels_of(t.data, *(0 if v is None or v != v else int(v) for v in (t.tile_w, t.tile_h)))
-            if pixels is None:
-                continue
-            if area is not None:
-                pixels = scaled(pixels, *(math.ceil(side * t.ratio) for side in pixels.shape[1::-1]))
-            x, y, (h, w) = int(t.dx), int(t.dy), pixels.shape[:2]
-            y0, y1, x1 = max(y, top), min(y + h, top + height), min(x + w, width)
-            if y1 > y0 and x1 > x:
-                canvas[y0 - top : y1 - top, x:x1] = pixels[y0 - y : y1 - y, : x1 - x]
-        result = hashlib.sha256(canvas).hexdigest() if digest else canvas.tobytes()
-        return pd.DataFrame([(first.image_id, int(first.strip), width, canvas.shape[0], result)], columns=["image_id", "strip", "width", "height", last])
+    whole = lambda v: 0 if v is None else v
+
+    def draw(canvas: np.ndarray, top: int, t: dict) -> None:
+        pixels = None if t["data"] is None else pixels_of(t["data"], whole(t["tile_w"]), whole(t["tile_h"]))
+        if pixels is None:
+            return
+        if area is not None:
+            pixels = scaled(pixels, *(math.ceil(side * t["ratio"]) for side in pixels.shape[1::-1]))
+        x, y, (h, w) = t["dx"], t["dy"], pixels.shape[:2]
+        y0, y1, x1 = max(y, top), min(y + h, top + len(canvas)), min(x + w, canvas.shape[1])
+        if y1 > y0 and x1 > x:
+            canvas[y0 - top : y1 - top, x:x1] = pixels[y0 - y : y1 - y, : x1 - x]
+
+    def paint(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, canvas, top, full = None, None, 0, 0
+
+        def done() -> pa.RecordBatch:
+            result = hashlib.sha256(canvas).hexdigest() if digest else canvas.tobytes()
+            columns = [pa.array([v], k) for v, k in zip((*key, canvas.shape[1], len(canvas), top, full), (pa.int64(), *[pa.int32()] * 5), strict=True)]
+            return pa.RecordBatch.from_arrays([*columns, pa.array([result], pa.string() if digest else pa.binary())], ["image_id", "strip", "width", "height", "top", "full_height", last])
+
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                for t in batch.slice(at, 256).to_pylist():
+                    if key != (t["image_id"], t["strip"]):
+                        if key is not None:
+                            yield done()
+                        key, top, full = (t["image_id"], t["strip"]), t["strip"] * t["rows"], t["ch"]
+                        canvas = np.zeros((max(min(t["rows"], full - top), 0), t["cw"], 3), np.uint8)
+                    draw(canvas, top, t)
+        if key is not None:
+            yield done()
 
     last, kind = ("checksum", "string") if digest else ("data", "binary")
-    return cut.groupBy("image_id", "strip").applyInPandas(paint, f"image_id long, strip int, width int, height int, {last} {kind}")
+    cut = cut.withColumns({c: F.col(c).cast("int") for c in ("cw", "ch", "dx", "dy", "tile_w", "tile_h")}).withColumn("image_id", F.col("image_id").cast("long"))
+    dealt = cut.repartition("image_id", "strip").sortWithinPartitions("image_id", "strip", "py", "px")
+    return dealt.mapInArrow(paint, f"image_id long, strip int, width int, height int, top int, full_height int, {last} {kind}")
 
 
 def scaled_places(tiles: DataFrame, area: int | None = None) -> DataFrame:
@@ -128,29 +148,24 @@ def scaled_places(tiles: DataFrame, area: int | None = None) -> DataFrame:
 
 
 def coded_strips(strips: DataFrame, quality: int = 95) -> DataFrame:
-    """(image_id, strip, data) from mosaic()'s strips: the rows of blocks of a JPEG, coded apart; strip -1 is the file's
-    beginning and the last one ends it.
+    """(image_id, strip, data) from mosaic()'s strips: the rows of blocks of a JPEG, each strip coded apart.
 
-    An image's height is that of its strips together, all of which but the last have whole rows of 8 pixels, so images
-    need a tile in every strip. Nothing but a strip is in a task at once.
+    The first strip of an image brings the file's beginning and the last one its end; all but the last have whole rows of
+    8 pixels. An image needs a tile in each strip to be whole. Strips are coded as they are painted, in the same task.
     """
-    sizes = strips.groupBy("image_id").agg(F.max("width").alias("full_width"), F.sum("height").alias("full_height"), F.max("strip").alias("last"), F.max("height").alias("rows"))
 
-    def code(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from tessera.sources import jpeg
 
-        for batch in frames:
-            for r in batch.to_pylist():
-                out = []
-                if r["strip"] == 0:
-                    out.append((-1, jpeg.header(r["full_width"], r["full_height"], quality)))
-                pixels = np.frombuffer(r["data"], np.uint8).reshape(r["height"], r["width"], 3)
-                ends = r["strip"] == r["last"]
-                out.append((r["strip"], jpeg.encode_rows(pixels, r["strip"] * r["rows"] // 8, ends, quality) + (jpeg.END if ends else b"")))
-                yield pa.RecordBatch.from_arrays([pa.array([r["image_id"]] * len(out), pa.int64()), pa.array([k for k, _ in out], pa.int32()), pa.array([d for _, d in out], pa.binary())], ["image_id", "strip", "data"])
-
-    rows = strips.join(sizes, "image_id").select("image_id", "strip", "width", "height", "full_width", "full_height", "last", "rows", "data")
-    return rows.mapInArrow(code, "image_id long, strip int, data binary")
+        for batch in batches:
+            out = []
+            for width, height, top, full, data in zip(*(batch.column(k).to_pylist() for k in range(2, 6)), batch.column(6), strict=True):
+                pixels = np.frombuffer(data.as_buffer(), np.uint8).reshape(height, width, 3)
+                ends = top + height == full
+                out.append((b"" if top else jpeg.header(width, full, quality)) + jpeg.encode_rows(pixels, top // 8, ends, quality) + (jpeg.END if ends else b""))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], ["image_id", "strip", "data"])
+
+    return strips.select("image_id", "strip", "width", "height", "top", "full_height", "data").mapInArrow(code, "image_id long, strip int, data binary")
 
 
 def progress(images: DataFrame, results: DataFrame) -> DataFrame:
