@@ -2,8 +2,8 @@
 
 Frames of pages, includes of scenes and second requests for an index are all the same walk: read the documents of a round,
 and what they name and nobody has asked for yet is the next round's frontier. A round reads each URL once however many
-walks meet there, joins the crawl as distinct URLs only, and is written; an empty frontier ends the loop, so rounds are as
-many as the longest walk is deep.
+walks meet there, joins the crawl as distinct URLs only, and is written once; a round that finds nothing to read ends the
+loop, so rounds are as many as the longest walk is deep, and that one.
 """
 
 from __future__ import annotations
@@ -37,28 +37,24 @@ def closure(starts: DataFrame, documents: DataFrame, read: Callable[[DataFrame],
     tables = Written(starts.sparkSession, "closure")
     starts = tables.put(starts.select("kind", "start").distinct(), "starts")
     none = F.array().cast("array<string>")
-    first = starts.filter("start is not null").select("kind", "start", F.col("start").alias("url"), F.array().cast("array<int>").alias("place"), none.alias("trail"))
-    frontiers, mets, level = [tables.put(first, "frontier")], [], 0
+    frontier = starts.filter("start is not null").select("kind", "start", F.col("start").alias("url"), F.array().cast("array<int>").alias("place"), none.alias("trail"))
+    mets = []
     while True:
-        frontier = frontiers[-1]
         asked = frontier.select("kind", "url").distinct()
         facts = read(asked.join(bodies(documents, asked), "url").select("kind", "url", "body")).select("kind", "url", F.coalesce("done", F.lit(False)).alias("done"), "value", F.coalesce("next", none).alias("next"))
         trail = F.concat("trail", F.when(F.col("value").isNull(), none).otherwise(F.array("value")))
-        met = meet(frontier, facts, ["kind", "url"], ["start"]).withColumn("trail", trail).drop("value").withColumn("level", F.lit(level))
-        mets.append(met := tables.put(met, "met"))
-        if limit is not None and level == limit:
+        mets.append(met := tables.put(meet(frontier, facts, ["kind", "url"], ["start"]).withColumn("trail", trail).drop("value"), "met"))
+        if limit is not None and len(mets) > limit or met.isEmpty():
             break
         ended = met.filter("done").select("kind", "start").distinct()
         going = met.filter("not done").join(ended, ["kind", "start"], "left_anti")
         links = going.select("kind", "start", "place", "trail", F.col("start" if from_start else "url").alias("base"), F.posexplode("next").alias("k", "link")).filter("link is not null")
         links = links.select("kind", "start", resolve_relative(F.col("link"), F.col("base")).alias("url"), F.concat("place", F.array("k")).alias("place"), "trail")
         fresh = links.groupBy("kind", "start", "url").agg(F.min(F.struct("place", "trail")).alias("first"))
-        fresh = fresh.join(tables.all(frontiers).select("kind", "start", "url"), ["kind", "start", "url"], "left_anti")
-        frontiers.append(tables.put(fresh.select("kind", "start", "url", "first.place", "first.trail"), "frontier"))
-        if frontiers[-1].isEmpty():
-            break
-        level += 1
-    here = F.struct("level", "place", "url", "trail")
+        fresh = fresh.join(tables.all(mets).select("kind", "start", "url"), ["kind", "start", "url"], "left_anti")
+        frontier = fresh.select("kind", "start", "url", "first.place", "first.trail")
+    # A place has a number for each step. (A round's own number in the plan would have Spark compile each round anew.)
+    here = F.struct(F.size("place").alias("level"), "place", "url", "trail")
     ends = tables.all(mets).groupBy("kind", "start").agg(F.min(F.when(F.col("done"), here)).alias("found"), F.min(F.when(F.col("done").isNull(), here)).alias("lost"))
     out = starts.join(ends, ["kind", "start"], "left")
     lost = F.when(F.col("found").isNull(), F.col("lost.url"))
