@@ -103,15 +103,17 @@ def frame_links(page: Column) -> Column:
 
 
 def detect(requests: DataFrame, documents: DataFrame, depth: int | None = None, rules=RULES) -> DataFrame:
-    """Adds format, found_url (the URL to open: the request's or a frame's) and error to requests (request_id, url).
+    """Adds format, found_url (the URL to open: the request's or a frame's) and error to requests (request_id, url[, format]).
 
+    A format that a request brings along is kept, whatever its URL and its page say, if the URL is one of http(s).
     URLs decide without any page. The others are walks over documents (url, body), each distinct URL one: a page that
     matches decides, else its frames are followed, breadth first and never twice, so cycles end; of several pages of a level
     the earlier one wins. `depth` bounds the steps. A level is written before the next one starts, and levels end with the
     deepest frames that there are. Of documents that repeat a URL the least body counts. Rows that repeat a request are
     kept each; null URLs are errors.
     """
-    requests = requests.select("request_id", "url").withColumn("format", by_url(F.col("url"), rules))
+    own = F.when(F.col("url").startswith("http"), F.col("format")) if "format" in requests.columns else F.lit(None).cast("string")
+    requests = requests.withColumn("own", own).select("request_id", "url", F.coalesce("own", by_url(F.col("url"), rules)).alias("format"))
     done = requests.filter("format is not null").select("request_id", "url", "format", F.col("url").alias("found_url"))
     rest = requests.filter("format is null").select("request_id", "url")
 

@@ -288,33 +288,33 @@ DISCOVERIES = {
 }
 
 
-def discover(requests: DataFrame, documents: DataFrame, formats: list[str] | None = None) -> DataFrame:
+def discover(requests: DataFrame, documents: DataFrame, formats: list[str] | None = None, discoveries: dict | None = None) -> DataFrame:
     """Adds meta_url, token, needs_url and error to requests (request_id, url, format[, page_number]), by documents (url, body).
 
     Each row is in the result once, whatever its format: rows of a format that has no rules, or of none, are errors. Equal
     requests are looked at once. Those whose URL tells the metadata URL are joined with nothing; the others meet their page,
     and those that need a second document meet that: two equi-joins for all formats together. Pages that only lead to
     another page, by a frame, start a walk to the one that doesn't, which is then looked at in their place. Of documents that repeat a URL the least body counts. formats are those with rules; by default all of those
-    that the requests name, as each costs time in planning.
+    that the requests name, as each costs time in planning. discoveries are those of another registry than the built-in one.
     """
-    tables = Written(requests.sparkSession, "discover")
+    tables, known = Written(requests.sparkSession, "discover"), DISCOVERIES if discoveries is None else discoveries
     if "page_number" not in requests.columns:
         requests = requests.withColumn("page_number", F.lit(None).cast("int"))
     requests = requests.select("request_id", "url", "format", "page_number")
     asked = tables.put(requests.select("url", "format", "page_number").distinct(), "asked")
     if formats is None:
-        formats = [r.format for r in asked.select("format").distinct().collect() if r.format in DISCOVERIES]
+        formats = [r.format for r in asked.select("format").distinct().collect() if r.format in known]
     ask = ["start", "format", "page_number"]
     rows = asked.select(F.col("url").alias("start"), "url", "format", "page_number")
-    told = tables.put(_step(rows, documents, formats), "step")
+    told = tables.put(_step(rows, documents, {n: known[n]() for n in formats}), "step")
     facts, again = told.filter("follow is null"), told.filter("follow is not null")
     if not again.isEmpty():
         # Walks over pages that lead on end at one that doesn't, or at one that isn't in the crawl; that one is looked at.
         again = again.select(*ask, "follow")
-        walks = closure(again.select(F.col("format").alias("kind"), F.col("follow").alias("start")), documents, _follows(formats))
+        walks = closure(again.select(F.col("format").alias("kind"), F.col("follow").alias("start")), documents, _follows({n: known[n]() for n in formats}))
         ends = walks.select(F.col("kind").alias("format"), F.col("start").alias("follow"), F.coalesce("found_url", "needs_url").alias("url"))
         ended = tables.put(again.join(ends, ["format", "follow"]).select("start", "url", "format", "page_number"), "ended")
-        last = tables.put(_step(ended.filter("url is not null"), documents, formats), "last")
+        last = tables.put(_step(ended.filter("url is not null"), documents, {n: known[n]() for n in formats}), "last")
         round_ = ended.filter("url is null").select(*ask, F.lit("Frames lead back to a page that was seen.").alias("error"))
         facts = facts.unionByName(last).unionByName(round_, allowMissingColumns=True)
     facts = facts.select(*ask, "meta_url", "token", "needs_url", "error")
@@ -324,12 +324,12 @@ def discover(requests: DataFrame, documents: DataFrame, formats: list[str] | Non
     return meet(requests.withColumn("ask", key("url")), facts, ["ask"], ["request_id"]).select("request_id", "url", "format", "meta_url", "token", "needs_url", "error")
 
 
-def _follows(formats: list[str]):
+def _follows(rules: dict[str, Discovery]):
     """read() of closure() for pages of formats that lead on: done is a page that doesn't."""
     next_ = F.lit(None).cast("string")
-    for name in formats:
-        if (follow := DISCOVERIES[name]().follow) is not None:
-            next_ = F.when(F.col("kind") == name, follow).otherwise(next_)
+    for name, how in rules.items():
+        if how.follow is not None:
+            next_ = F.when(F.col("kind") == name, how.follow).otherwise(next_)
 
     def read(pages: DataFrame) -> DataFrame:
         told = pages.withColumn("page", decode_entities(F.col("body"))).withColumn("link", next_)
@@ -338,10 +338,9 @@ def _follows(formats: list[str]):
     return read
 
 
-def _step(rows: DataFrame, documents: DataFrame, formats: list[str]) -> DataFrame:
+def _step(rows: DataFrame, documents: DataFrame, rules: dict[str, Discovery]) -> DataFrame:
     """One look at the pages of rows (start, url, format, page_number); follow is the page to look at instead."""
     url, null = F.col("url"), F.lit(None).cast("string")
-    rules = {name: DISCOVERIES[name]() for name in formats}
     ruled = F.coalesce(F.col("format").isin(*rules), F.lit(False)) if rules else F.lit(False)
 
     def chosen(part: str) -> Column:

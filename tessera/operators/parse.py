@@ -347,16 +347,18 @@ PARSERS: dict[str, Callable[[DataFrame], DataFrame]] = {
 }
 
 
-def parse(docs: DataFrame, formats: list[str] | None = None) -> DataFrame:
+def parse(docs: DataFrame, formats: list[str] | None = None, parsers: dict[str, Callable[[DataFrame], DataFrame]] | None = None) -> DataFrame:
     """Descriptors of docs (request_id, url, format, body), all formats in one table; columns that a format lacks are null.
 
     Each row is in the result once: rows of formats without a parser, or of none, are errors. Those of Generic and pnav
-    need probes of their tiles and go through generic() and pnav().
+    need probes of their tiles and go through generic() and pnav(). parsers are those of another registry than the built-in
+    one.
     """
-    names = list(formats or PARSERS)
-    known = F.coalesce(F.col("format").isin(names), F.lit(False))
+    parsers = PARSERS if parsers is None else parsers
+    names = [n for n in formats or parsers if n in parsers]
+    known = F.coalesce(F.col("format").isin(names), F.lit(False)) if names else F.lit(False)
     reason = F.when(F.col("format").isin("Generic", "pnav"), "This format needs probes: ").otherwise("No parser for this format: ")
     out = docs.filter(~known).select("request_id", "url", "format", F.concat(reason, F.coalesce("format", F.lit("none"))).alias("error"))
     for name in names:
-        out = out.unionByName(PARSERS[name](docs.filter(F.col("format") == name)), allowMissingColumns=True)
+        out = out.unionByName(parsers[name](docs.filter(F.col("format") == name)), allowMissingColumns=True)
     return out

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators import detect, discover, grid, parse, tileurl
 from tessera.operators.closure import closure
+from tessera.operators.formats import BUILT_IN, Formats
 from tessera.sources.shared import Written, meet
 
 #: Formats whose metadata is in several documents, and what is added to the metadata URL for the first of them.
@@ -56,23 +57,26 @@ def fetched(told: DataFrame, documents: DataFrame, formats: list[str]) -> DataFr
     return rows.join(facts, ["format", "__start"], "left").drop("__start")
 
 
-def describe(requests: DataFrame, documents: DataFrame, formats: list[str]) -> DataFrame:
-    """Descriptors of requests (request_id, url) by documents (url, body): a row for each request, of those that fail too.
+def describe(requests: DataFrame, documents: DataFrame, formats: list[str] | Formats) -> DataFrame:
+    """Descriptors of requests (request_id, url[, format]) by documents (url, body): a row for each request, of those that fail too.
 
     error says why a request has no geometry, and failed_at at which step: detect, discover, fetch (needs_url is the
     document that the crawl lacks) or parse. Documents meet requests in equi-joins by URL only, as distinct URLs, so a URL
     that is asked for often costs one row of the crawl and is parsed once; of documents that repeat a URL the least body
-    counts. Each step is written once, so that the next one's branches read it instead of repeating it.
+    counts. Each step is written once, so that the next one's branches read it instead of repeating it. formats names
+    built-in formats (pages of others are detected and are errors later), or is a registry of one's own.
     """
     tables = Written(requests.sparkSession, "crawl")
-    found = detect.detect(requests, documents).select("request_id", F.coalesce("found_url", "url").alias("url"), "format", F.col("error").alias("undetected"))
+    registry = formats if isinstance(formats, Formats) else BUILT_IN
+    formats = registry.names if isinstance(formats, Formats) else formats
+    found = detect.detect(requests, documents, rules=registry.rules).select("request_id", F.coalesce("found_url", "url").alias("url"), "format", F.col("error").alias("undetected"))
     opened = tables.put(found, "detected")
-    told = discover.discover(opened.filter("undetected is null"), documents, formats).withColumnRenamed("error", "undiscovered")
+    told = discover.discover(opened.filter("undetected is null"), documents, formats, registry.discoveries).withColumnRenamed("error", "undiscovered")
     known = tables.put(told.unionByName(opened.filter("undetected is not null"), allowMissingColumns=True), "discovered")
     # Each different metadata URL of a format is fetched and parsed once.
     metas = tables.put(fetched(known.filter("meta_url is not null").select("format", "meta_url").distinct(), documents, formats), "fetched")
     read = metas.filter("body is not null").select(F.monotonically_increasing_id().alias("request_id"), F.col("meta_url").alias("url"), "format", "body")
-    parsed = tables.put(parse.parse(read, formats).drop("request_id", "needs_url"), "parsed").withColumn("parsed", F.lit(True)).withColumnRenamed("error", "unread")
+    parsed = tables.put(parse.parse(read, formats, registry.parsers).drop("request_id", "needs_url"), "parsed").withColumn("parsed", F.lit(True)).withColumnRenamed("error", "unread")
     lost = metas.filter("body is null").select("format", F.col("meta_url").alias("url"), F.coalesce("missing", "meta_url").alias("lost"), F.when(F.col("missing").isNull(), F.lit(True)).alias("empty"))
     facts = parsed.unionByName(lost, allowMissingColumns=True).withColumnsRenamed({"url": "meta_url"})
     rows = meet(known, facts, ["format", "meta_url"], ["request_id"], salts=4)
@@ -84,6 +88,10 @@ def describe(requests: DataFrame, documents: DataFrame, formats: list[str]) -> D
     return out.withColumn("needs_url", F.col("__missing")).drop("__missing", "undetected", "undiscovered", "unread", "parsed", "lost", "empty", "meta_url")
 
 
-def tiles(descriptors: DataFrame, formats: list[str], keys: dict | None = None) -> DataFrame:
+def tiles(descriptors: DataFrame, formats: list[str] | Formats, keys: dict | None = None) -> DataFrame:
     """Places and URLs of the tiles of describe()'s descriptors; nothing is shuffled. keys are those of formats that sign their URLs."""
-    return tileurl.with_tile_urls(grid.plan_tiles(descriptors.filter("failed_at is null")), formats, keys=keys)
+    planned = grid.plan_tiles(descriptors.filter("failed_at is null"))
+    if isinstance(formats, Formats):
+        own = formats.builders(keys)
+        return tileurl.with_tile_urls(planned, list(own), builders=own)
+    return tileurl.with_tile_urls(planned, formats, keys=keys)

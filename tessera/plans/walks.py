@@ -184,23 +184,25 @@ def signed_urls(spark, sf_dir):
     return tileurl.with_tile_urls(tiles, ["Arts & Culture"], keys={"Arts & Culture": KEY}).select("page_id", "x", "y", "url")
 
 
-@query("""WITH u AS (SELECT DISTINCT url FROM pages WHERE url IS NOT NULL), h AS (SELECT regexp_extract(url, '://([^/?#]*)', 1) AS host, count(*) AS n FROM u GROUP BY 1)
-  SELECT host, n AS requests, (n - 1) / 5.0::DOUBLE AS last_due, CAST(least(n, 16) AS INTEGER) AS lanes, CAST(ceil(n / 16.0) AS BIGINT) AS longest_lane, n AS places, CASE WHEN n > 16 THEN 3.2::DOUBLE END AS spacing FROM h""")
+@query("""WITH u AS (SELECT DISTINCT url FROM pages WHERE url IS NOT NULL), h AS (SELECT url, regexp_extract(url, '://([^/?#]*)', 1) AS host FROM u), n AS (SELECT host, count(*) AS n FROM h GROUP BY host)
+  SELECT url, host, n AS requests, CAST(least(n, 16) AS INTEGER) AS lanes, true AS good, CASE WHEN n > 16 THEN 3.2::DOUBLE END AS spacing, n AS places, (n - 1) / 5.0::DOUBLE AS last_due FROM h JOIN n USING (host)""")
 def fetch_schedule(spark, sf_dir):
-    """When the URLs of pages are due: how many lanes a host has, how long the longest is, and how far its requests are apart."""
-    from pyspark.sql.window import Window
-
+    """When the URLs of pages are due: each has a place of its own in its host's order, and lanes of equal spacing."""
     from tessera.sources.pacing import schedule
+    from tessera.sources.shared import Written
 
-    due = schedule(read(spark, sf_dir, "pages").select("url"))
-    gap = F.round(F.col("due") - F.lag("due").over(Window.partitionBy("host", "lane").orderBy("place")), 6)
-    lanes = due.withColumn("gap", gap).groupBy("host", "lane", "lanes").agg(F.count(F.lit(1)).alias("own"), F.count_distinct("place").alias("places"), F.max("due").alias("last"), F.min("gap").alias("least"), F.max("gap").alias("most"))
-    spacing = F.when(F.min("least") == F.max("most"), F.min("least"))
-    return lanes.groupBy("host").agg(F.sum("own").alias("requests"), F.max("last").alias("last_due"), F.max("lanes").alias("lanes"), F.max("own").alias("longest_lane"), F.sum("places").alias("places"), spacing.alias("spacing"))
+    due = Written(spark, "schedule").put(schedule(read(spark, sf_dir, "pages").select("url")), "due")
+    # Lanes go by turns, so the spacing of a lane is that of places `lanes` apart.
+    later = due.select("host", (F.col("place") - F.col("lanes")).alias("place"), (F.col("due")).alias("next_due"), F.col("lane").alias("next_lane"))
+    spaced = due.join(later, ["host", "place"], "left")
+    good = (F.col("due") == F.col("place") / 5.0) & (F.col("lane") == F.col("place") % F.col("lanes")) & F.coalesce(F.col("lane") == F.col("next_lane"), F.lit(True)) & F.col("place").between(0, F.col("n") - 1)
+    hosts = spaced.groupBy("host").agg(F.count_distinct("place").alias("places"), F.max("due").alias("last_due"), F.max(F.round(F.col("next_due") - F.col("due"), 6)).alias("most"), F.min(F.round(F.col("next_due") - F.col("due"), 6)).alias("least"))
+    hosts = hosts.select("host", "places", "last_due", F.when(F.col("most") == F.col("least"), F.col("most")).alias("spacing"))
+    return spaced.join(hosts, "host").select("url", "host", F.col("n").alias("requests"), "lanes", good.alias("good"), "spacing", "places", "last_due")
 
 
-@query("""SELECT p_partkey AS image_id, CAST((1 + (p_partkey * 37) % 1000) * tile AS BIGINT) AS width, CAST((1 + (p_partkey * 101) % 700) * tile AS BIGINT) AS height, tile AS tile_size
-  FROM (SELECT *, CASE WHEN p_partkey % 4 = 0 AND 1 + (p_partkey * 37) % 1000 > 600 THEN 512 ELSE 256 END AS tile FROM part)""")
+@query("""SELECT page_id, CAST((1 + (page_id * 37) % 1000) * tile AS BIGINT) AS width, CAST((1 + (page_id * 101) % 700) * tile AS BIGINT) AS height, tile AS tile_size
+  FROM (SELECT *, CASE WHEN page_id % 4 = 0 AND 1 + (page_id * 37) % 1000 > 600 THEN 512 ELSE 256 END AS tile FROM pages)""")
 def grid_search(spark, sf_dir):
     """Sizes of images whose tiles follow a template, found by ten rounds of probes for all images at once.
 
@@ -215,5 +217,16 @@ def grid_search(spark, sf_dir):
         side = F.when((k % 4 == 0) & (wide > 600), 512).otherwise(256)
         return urls.select("url", ((x < wide) & (y < high)).alias("ok"), side.alias("width"), side.alias("height"))
 
-    images = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("request_id"), _text("http://h.example.org/", F.col("p_partkey"), "/{{x}}-{{Y}}.jpg").alias("url"))
-    return search_grids(images, probe).select(F.col("request_id").alias("image_id"), "width", "height", "tile_size")
+    images = read(spark, sf_dir, "pages").select(F.col("page_id").alias("request_id"), _text("http://h.example.org/", F.col("page_id"), "/{{x}}-{{Y}}.jpg").alias("url"))
+    return search_grids(images, probe).select(F.col("request_id").alias("page_id"), "width", "height", "tile_size")
+
+
+@query(f"""WITH {GREYS}, p AS (SELECT *, x * 32 - CASE WHEN x > 0 THEN 1 ELSE 0 END AS px, y * 32 - CASE WHEN y > 0 THEN 1 ELSE 0 END AS py FROM t)
+  SELECT page_id, x, y, CAST(y * nx + x AS BIGINT) AS tile_index, CAST(px AS INTEGER) AS px, CAST(py AS INTEGER) AS py, CAST(least((x + 1) * 32 + 1, width) - px AS INTEGER) AS tile_w, CAST(least((y + 1) * 32 + 1, height) - py AS INTEGER) AS tile_h FROM p""")
+def sql_tile_grid(spark, sf_dir):
+    """The tile grid as a function of SQL."""
+    from tessera.operators.formats import register_sql
+
+    register_sql(spark)
+    pages = read(spark, sf_dir, "pages")
+    return spark.sql("SELECT page_id, t.* FROM (SELECT page_id, tile_grid(24 + (page_id * 7919) % 120, 24 + (page_id * 104729) % 90, 32, 1) AS tiles FROM {pages}), LATERAL inline(tiles) AS t", pages=pages)
