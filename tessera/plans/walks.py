@@ -230,3 +230,96 @@ def sql_tile_grid(spark, sf_dir):
     register_sql(spark)
     pages = read(spark, sf_dir, "pages")
     return spark.sql("SELECT page_id, t.* FROM (SELECT page_id, tile_grid(24 + (page_id * 7919) % 120, 24 + (page_id * 104729) % 90, 32, 1) AS tiles FROM {pages}), LATERAL inline(tiles) AS t", pages=pages)
+
+
+@query("""WITH p AS (SELECT page_id, page_id % 9 AS k, CAST(64 + (page_id * 7919) % 1500 AS BIGINT) AS w, CAST(64 + (page_id * 104729) % 1200 AS BIGINT) AS h FROM pages)
+  SELECT page_id, CASE k WHEN 0 THEN 'TopViewer' WHEN 1 THEN 'krpano' WHEN 2 THEN 'Zoomify PFF' WHEN 3 THEN 'LizardTech' WHEN 4 THEN 'VLS' WHEN 5 THEN 'Micrio' WHEN 6 THEN 'Arts & Culture' WHEN 7 THEN 'Hungaricana' ELSE 'WMTS' END AS format,
+    CASE k WHEN 8 THEN ((503 + 10 * w) // 1000 + 1) * 128 ELSE w END AS width, CASE k WHEN 4 THEN ((h - 1) // 400 + 1) * 400 WHEN 8 THEN ((503 + 10 * h) // 1000 + 1) * 128 ELSE h END AS height,
+    CASE k WHEN 0 THEN 240 WHEN 1 THEN 80 WHEN 2 THEN 100 WHEN 4 THEN 1024 WHEN 6 THEN 100 WHEN 8 THEN 128 ELSE 512 END AS tile_size,
+    CASE k WHEN 0 THEN '/tv/f' || page_id || '/{tile}.jpg' WHEN 1 THEN 'b_%v.jpg' WHEN 2 THEN (9000 + page_id % 90) || ',' || (1060 + 8 * (1 + page_id % 5)) WHEN 3 THEN 'c' || page_id || ',d/n' WHEN 4 THEN '/image/tiler/square/o' || page_id || '/0' WHEN 5 THEN 'u' || page_id WHEN 6 THEN '1' WHEN 7 THEN 'm' || page_id || '.ecw' ELSE '0,' || ((503 + 10 * w) // 1000) END AS detail, false AS failed FROM p""")
+def parse_more_descriptors(spark, sf_dir):
+    """Metadata documents of the nine formats that parse_descriptors() leaves, and of each something that its URLs need."""
+    from tessera.operators.parse import parse
+
+    pages = read(spark, sf_dir, "pages").select(F.col("page_id").alias("id"))
+    n, k = F.col("id"), F.col("id") % 9
+    w, h = WIDE(n), HIGH(n)
+    sides = [F.ceil(s / F.lit(100.0)).cast("long") for s in (w, h)]
+    matrix = "<TileMatrix><ows:Identifier>{0}</ows:Identifier><ScaleDenominator>{1!r}</ScaleDenominator><TopLeftCorner>0 1000000</TopLeftCorner><TileWidth>128</TileWidth><TileHeight>128</TileHeight></TileMatrix>"
+    matrices = matrix.format("far", 4000 / (128 * 0.00028)) + matrix.format("near", 1000 / (128 * 0.00028))
+    bodies = {
+        "TopViewer": _text('{"config": {"tileurl_v2": "/tv/{file}/{tile}.{extension}"}, "topviews": [{"filepath": "f', n, '", "width": ', w, ', "height": ', h, ', "tileWidth": 240, "layers": [{"no": 0, "width": 9, "starttile": 5, "cols": 1}, {"no": 1, "width": ', w, ', "starttile": 20, "cols": 2}]}]}'),
+        "krpano": _text('<krpano><image baseindex="0"><flat url="a_%v.jpg" multires="80,20x20"/><cube url="b_%v.jpg" multires="60,30x30,', w, "x", h, 'x80"/></image></krpano>'),
+        "Zoomify PFF": _text('reply_data=<PFF WIDTH="', w, '" HEIGHT="', h, '" TILESIZE="100" NUMTILES="', 1 + n % 5, '" HEADERSIZE="0"/>\nreply_data=9000,       40', F.lpad((n % 90).cast("string"), 9, " ")),
+        "LizardTech": _text('<ImageServer><Catalog name="c', n, '"/><Image width="', w, '" height="', h, '" name="n" parent="d"/></ImageServer>'),
+        "VLS": _text('<html xmlns:vls="urn:v"><div id="map" vls:height="', h, '" vls:width="', w, '" vls:ot_id="o', n, '"/><var id="zoomTileSize" value="400"/></html>'),
+        "Micrio": _text('{"levels": [{"width": 9, "height": 9, "tiles": []}, {"width": ', w, ', "height": ', h, ', "tiles": [{"x": 0, "y": 0, "url": "old"}, {"x": 0, "y": 0, "url": "u', n, '"}]}]}'),
+        "Arts & Culture": _text('<TileInfo tile_width="100" tile_height="100"><pyramid_level num_tiles_x="1" num_tiles_y="1" empty_pels_x="0" empty_pels_y="0"/><pyramid_level num_tiles_x="', sides[0], '" num_tiles_y="', sides[1], '" empty_pels_x="', sides[0] * 100 - w, '" empty_pels_y="', sides[1] * 100 - h, '"/><pyramid_level num_tiles_x="900" num_tiles_y="900" empty_pels_x="0" empty_pels_y="0"/></TileInfo>'),
+        "Hungaricana": _text('{"width": ', w, ', "height": ', h, "}"),
+        "WMTS": _text('<Capabilities xmlns:ows="http://www.opengis.net/ows/1.1"><Contents><Layer><ows:BoundingBox crs="urn:ogc:def:crs:EPSG::3857"><ows:LowerCorner>500 ', 1000000 - 503 - 10 * h, "</ows:LowerCorner><ows:UpperCorner>", 503 + 10 * w, ' 999500</ows:UpperCorner></ows:BoundingBox><ResourceURL template="t"/></Layer><TileMatrixSet><ows:Identifier>web</ows:Identifier><ows:SupportedCRS>urn:ogc:def:crs:EPSG::3857</ows:SupportedCRS>' + matrices + "</TileMatrixSet></Contents></Capabilities>"),
+    }
+    name, body = F.lit(None).cast("string"), F.lit(None).cast("string")
+    for i, (format_, text) in enumerate(bodies.items()):
+        name, body = F.when(k == i, format_).otherwise(name), F.when(k == i, text).otherwise(body)
+    docs = pages.select(n.alias("request_id"), _text(SITE, "imagesize/m", n, ".ecw").alias("url"), name.alias("format"), body.alias("body"))
+    out = parse(docs, list(bodies))
+    detail = {
+        "TopViewer": F.col("url_template"), "krpano": F.col("url_template"), "Zoomify PFF": F.concat_ws(",", F.element_at("offsets", -1), F.col("index_end")), "LizardTech": F.concat_ws(",", "catalog", "item"), "VLS": F.col("path"),
+        "Micrio": F.element_at("tile_map", F.lit("0,0")), "Arts & Culture": F.col("max_zoom_level").cast("string"), "Hungaricana": F.col("path"), "WMTS": F.concat_ws(",", "tile_min_col", "tile_max_col"),
+    }
+    told = F.lit(None).cast("string")
+    for format_, c in detail.items():
+        told = F.when(F.col("format") == format_, c).otherwise(told)
+    return out.select(F.col("request_id").alias("page_id"), "format", "width", "height", F.col("tile_size").cast("int"), told.alias("detail"), F.col("error").isNotNull().alias("failed"))
+
+
+#: Of each kind of page: format, URL, page, further document (URL, body), and the metadata URL, with {} for the page's number.
+KINDS = (
+    ("IIPImage", "q/{}", "<img src='view?FIF=/r/{}.tif&amp;cvt=jpeg'>", None, "{s}q/view?FIF=/r/{}.tif&cvt=jpeg"),
+    ("Zoomify PFF", "one?file=/{}.pff&requestType=2&begin=4&end=9", None, None, "{s}one?file=/{}.pff"),
+    ("Zoomify PFF", "page/{}", "zoomifyServerIP=z.example&zoomifyTileHandlerPath=/srv&zoomifyImagePath=/{}.pff'", None, "http://z.example/srv?file=/{}.pff"),
+    ("TopViewer", "thumb/{}", "<img src='https://images.memorix.nl/abc/thumb/100x100/d-{}.jpg'>", None, "http://images.memorix.nl/abc/topviewjson/memorix/d-{}"),
+    ("TopViewer", "server/{}", '{{"server": "https:\\/\\/tv.example\\/{}"}}', None, "https://tv.example/{}"),
+    ("krpano", "pano/{}", 'embedpano({{swf: "a.swf", xml: "one{}.xml"}})', None, "{s}pano/one{}.xml"),
+    ("FSI", "fsi/{}", "src='/fsi/server?type=image&source=plates/{}&width=9'", None, "{s}fsi/server?type=info&source=plates/{}"),
+    ("Micrio", "set/{}#/K-2,30", 'dataSourcePath: "/api/{}", dataSourceQuery: "?offset=0&n=9"', ("{s}api/{}?offset=30&n=9", '{{"setItems": [{{"ObjectNumber": "K-1", "TilingUrl": "/t/1"}}, {{"ObjectNumber": "K-2", "TilingUrl": "/t/{}"}}]}}'), "{s}t/{}"),
+    ("Arts & Culture", "ac/{}", '["a"],"//lh.example/abc-{}","tok"', None, "https://lh.example/abc-{}=g"),
+    ("Hungaricana", "hu/{}?pg=1", "layer_url: '/imagesize/' images: [\"k.ecw\",\"l{}.ecw\"]", None, "{s}imagesize/l{}.ecw"),
+    ("Mnesys", "roll/{}", 'flashVars = "playlist=p{}.xml&cur_item=1"', ("{s}roll/p{}.xml", '<playlist basepath="/img/" host="https://roll.example"><a>one.jpg</a><a>leaf.{}.jpg</a></playlist>'), "https://roll.example/img/leaf_{}.jpg_/p.xml"),
+    ("LizardTech", "lizardtech/iserv/calcrgn?item={}", None, None, "{s}lizardtech/iserv/calcrgn?item={}"),
+    ("WMTS", "wmts?{}", None, None, "{s}wmts?{}"),
+    ("pnav", "entity/OBJECT/{}", None, None, "{s}entity/OBJECT/{}"),
+    ("Seadragon", "old/{}_files/9/0_1.jpg", None, ("{s}old/{}.xml", "<Image/>"), "{s}old/{}.xml"),
+    ("Micrio", "own/{}", '<i data-role="micrio" data-id="{}" data-base-path="https://m.example/t?id=">', None, "https://m.example/t?id={}"),
+    ("IIIF", "look/{}?manifest=http%3A%2F%2Fh.example.org%2Fm{}.json", None, ("{s}m{}.json", '{{"sequences": [{{"canvases": [{{"images": [{{"resource": {{"service": [{{"id": "none"}}, {{"@id": "http://i.example/{}/", "profile": "http://iiif.io/api/image/2/level0.json"}}]}}}}]}}]}}]}}'), "http://i.example/{}/info.json"),
+)
+
+
+def _parts(text: str) -> list:
+    """A text of KINDS with the page's number in it, as parts."""
+    pieces = text.replace("{s}", SITE).replace("{{", "\0").replace("}}", "\1").split("{}")
+    plain = [p.replace("\0", "{").replace("\1", "}") for p in pieces]
+    return [x for i, p in enumerate(plain) for x in ([None] if i else []) + [p]]
+
+
+def _sql(text: str) -> str:
+    return " || ".join("CAST(page_id AS VARCHAR)" if p is None else "'" + p.replace("'", "''") + "'" for p in _parts(text))
+
+
+@query(f"SELECT page_id, CASE page_id % {len(KINDS)} {' '.join(f'WHEN {i} THEN {_sql(kind[4])}' for i, kind in enumerate(KINDS))} END AS meta_url, CASE WHEN page_id % {len(KINDS)} = 8 THEN 'tok' END AS token FROM pages")
+def discover_more_urls(spark, sf_dir):
+    """Pages of the formats that discover_urls() leaves: what a page says, what its URL says, and what a second document says."""
+    from tessera.operators.discover import discover
+
+    pages = read(spark, sf_dir, "pages").select(F.col("page_id").alias("id"))
+    n, k = F.col("id"), F.col("id") % len(KINDS)
+    filled = lambda text: _text(*(n if p is None else p for p in _parts(text)))
+    name, url, held = F.lit(None).cast("string"), F.lit(None).cast("string"), []
+    for i, (format_, at, page, more, _) in enumerate(KINDS):
+        name, url = F.when(k == i, format_).otherwise(name), F.when(k == i, filled("{s}" + at)).otherwise(url)
+        if page:
+            held.append((k == i, filled("{s}" + at), filled(page)))
+        if more:
+            held.append((k == i, filled(more[0]), filled(more[1])))
+    found = discover(pages.select(n.alias("request_id"), url.alias("url"), name.alias("format")), _documents(pages, held))
+    return found.select(F.col("request_id").alias("page_id"), "meta_url", "token")
