@@ -311,10 +311,11 @@ def discover(requests: DataFrame, documents: DataFrame, formats: list[str] | Non
     if not again.isEmpty():
         # Walks over pages that lead on end at one that doesn't, or at one that isn't in the crawl; that one is looked at.
         again = again.select(*ask, "follow")
-        walks = closure(again.select(F.col("format").alias("kind"), F.col("follow").alias("start")), documents, _follows({n: known[n]() for n in formats}))
+        leading = {n: how for n in formats if (how := known[n]()).follow is not None}
+        walks = closure(again.select(F.col("format").alias("kind"), F.col("follow").alias("start")), documents, _follows(leading))
         ends = walks.select(F.col("kind").alias("format"), F.col("start").alias("follow"), F.coalesce("found_url", "needs_url").alias("url"))
         ended = tables.put(again.join(ends, ["format", "follow"]).select("start", "url", "format", "page_number"), "ended")
-        last = tables.put(_step(ended.filter("url is not null"), documents, {n: known[n]() for n in formats}), "last")
+        last = tables.put(_step(ended.filter("url is not null"), documents, leading), "last")
         round_ = ended.filter("url is null").select(*ask, F.lit("Frames lead back to a page that was seen.").alias("error"))
         facts = facts.unionByName(last).unionByName(round_, allowMissingColumns=True)
     facts = facts.select(*ask, "meta_url", "token", "needs_url", "error")

@@ -323,3 +323,21 @@ def discover_more_urls(spark, sf_dir):
             held.append((k == i, filled(more[0]), filled(more[1])))
     found = discover(pages.select(n.alias("request_id"), url.alias("url"), name.alias("format")), _documents(pages, held))
     return found.select(F.col("request_id").alias("page_id"), "meta_url", "token")
+
+
+@query("""WITH i AS (SELECT page_id AS image_id, page_id * 50 AS x0, (page_id * 104729) % 4000 AS y0, CASE WHEN page_id % 100 = 0 THEN 20000 ELSE 64 + (page_id * 7919) % 1500 END AS w, 64 + (page_id * 37) % 900 AS h FROM pages),
+  b AS (SELECT page_id AS box_id, page_id * 50 + (page_id * 31337) % 1000 AS x0, (page_id * 7) % 4000 AS y0, CASE WHEN page_id % 64 = 0 THEN 5000 ELSE 10 + (page_id * 13) % 700 END AS w, 10 + (page_id * 17) % 500 AS h FROM pages),
+  o AS (SELECT box_id, image_id, greatest(i.x0, b.x0) - i.x0 AS ax, greatest(i.y0, b.y0) - i.y0 AS ay, least(i.x0 + i.w, b.x0 + b.w) - i.x0 AS ex, least(i.y0 + i.h, b.y0 + b.h) - i.y0 AS ey FROM i JOIN b ON i.x0 < b.x0 + b.w AND b.x0 < i.x0 + i.w AND i.y0 < b.y0 + b.h AND b.y0 < i.y0 + i.h)
+  SELECT box_id, image_id, CAST(ax // 256 AS INTEGER) AS first_x, CAST((ex - 1) // 256 AS INTEGER) AS last_x, CAST(ay // 256 AS INTEGER) AS first_y, CAST((ey - 1) // 256 AS INTEGER) AS last_y, CAST(((ex - 1) // 256 - ax // 256 + 1) * ((ey - 1) // 256 - ay // 256 + 1) AS BIGINT) AS tiles FROM o""")
+def boxes_on_images(spark, sf_dir):
+    """The tiles that many boxes need of many images, joined on cells of a quadtree."""
+    from tessera.operators.boxes import tiles_in_boxes
+
+    k = F.col("page_id")
+    pages = read(spark, sf_dir, "pages").select("page_id")
+    placed = lambda x, y, w, h: {"x0": x, "y0": y, "x1": x + w, "y1": y + h}
+    wide, high = F.when(k % 100 == 0, 20000).otherwise(64 + (k * 7919) % 1500), 64 + (k * 37) % 900
+    images = pages.select(k.alias("image_id"), *(c.alias(n) for n, c in placed(k * 50, (k * 104729) % 4000, wide, high).items()), wide.alias("width"), high.alias("height"), F.lit(256).alias("tile_size"))
+    boxes = pages.select(k.alias("box_id"), *(c.alias(n) for n, c in placed(k * 50 + (k * 31337) % 1000, (k * 7) % 4000, F.when(k % 64 == 0, 5000).otherwise(10 + (k * 13) % 700), 10 + (k * 17) % 500).items()))
+    ends = [f(c).alias(f"{name}_{c}") for c in ("x", "y") for f, name in ((F.min, "first"), (F.max, "last"))]
+    return tiles_in_boxes(boxes, images).groupBy("box_id", "image_id").agg(*ends, F.count(F.lit(1)).alias("tiles"))
