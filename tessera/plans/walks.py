@@ -341,3 +341,18 @@ def boxes_on_images(spark, sf_dir):
     boxes = pages.select(k.alias("box_id"), *(c.alias(n) for n, c in placed(k * 50 + (k * 31337) % 1000, (k * 7) % 4000, F.when(k % 64 == 0, 5000).otherwise(10 + (k * 13) % 700), 10 + (k * 17) % 500).items()))
     ends = [f(c).alias(f"{name}_{c}") for c in ("x", "y") for f, name in ((F.min, "first"), (F.max, "last"))]
     return tiles_in_boxes(boxes, images).groupBy("box_id", "image_id").agg(*ends, F.count(F.lit(1)).alias("tiles"))
+
+
+@query(f"""WITH RECURSIVE p AS (SELECT page_id AS id, (SELECT count(*) FROM pages) AS total FROM pages),
+  d AS (SELECT id, CASE WHEN id % 4 > 0 THEN (id * 3 + 1) % total END AS next FROM p WHERE id % 11 <> 7),
+  c AS (SELECT id AS root, id, next, 0 AS hops FROM d UNION ALL SELECT c.root, d.id, d.next, hops + 1 FROM c JOIN d ON d.id = c.next WHERE hops < 3),
+  e AS (SELECT root, arg_max(id, hops) AS id, arg_max(coalesce(next, -1), hops) AS next, max(hops) AS hops FROM c GROUP BY root)
+  SELECT root AS page_id, '{SITE}d/' || id AS final_url, CAST(hops AS INTEGER) AS hops, CASE WHEN next >= 0 AND next % 11 <> 7 OR next < 0 OR hops = 3 THEN 'body ' || id END AS body, CASE WHEN hops = 3 AND next >= 0 THEN '{SITE}d/' || next END AS disabled_location, CASE WHEN hops < 3 AND next >= 0 THEN '{SITE}d/' || next END AS needs_url FROM e""")
+def redirect_chains(spark, sf_dir):
+    """Documents that lead on to others: three redirects are followed, some go round, some lead out of the crawl."""
+    from tessera.sources.archives import followed
+
+    pages = read(spark, sf_dir, "pages").select(F.col("page_id").alias("id"))
+    total, k = pages.count(), F.col("id")
+    docs = pages.filter(k % 11 != 7).select(_text(SITE, "d/", k).alias("url"), F.when(k % 4 > 0, _text((k * 3 + 1) % total)).alias("location"), _text("body ", k).alias("body"))
+    return followed(docs).select(F.regexp_extract("url", r"(\d+)$", 1).cast("long").alias("page_id"), "final_url", "hops", "body", "disabled_location", "needs_url")
