@@ -19,13 +19,23 @@ from tessera.operators.grid import canvas_ratio
 PIXELS = 1 << 24
 
 
+@functools.lru_cache(64)
+def _decoded(data: bytes) -> np.ndarray:
+    """A small tile's pixels; blank tiles come again and again."""
+    from tessera.sources import jpeg
+
+    out = jpeg.decode(data)
+    out.flags.writeable = False
+    return out
+
+
 def pixels_of(data: bytes, width: int, height: int) -> np.ndarray | None:
     """The 8-bit RGB pixels of a tile: JPEG, raw rows, or one pixel for all; None for what can't be read."""
     from tessera.sources import jpeg
 
     if jpeg.is_jpeg(data):
         try:
-            return jpeg.decode(data)
+            return _decoded(data) if len(data) < 8192 else jpeg.decode(data)
         except ValueError:
             return None
     pixels = np.frombuffer(data, np.uint8)

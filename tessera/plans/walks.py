@@ -147,30 +147,25 @@ def jpeg_mosaic(spark, sf_dir):
     from tessera.sources.shared import Written
 
     def coded(grey: pd.Series, width: pd.Series, height: pd.Series) -> pd.Series:
-        return pd.Series([jpeg.encode(np.full((h, w, 3), g, np.uint8)) for g, w, h in zip(grey, width, height, strict=True)])
+        known: dict = {}  # a task's tiles are few different ones
+        keys = list(zip(grey, width, height, strict=True))
+        for g, w, h in keys:
+            if (g, w, h) not in known:
+                known[g, w, h] = jpeg.encode(np.full((h, w, 3), g, np.uint8))
+        return pd.Series([known[k] for k in keys])
 
     def decoded(data: pd.Series) -> pd.Series:
         return pd.Series([jpeg.decode(x).tobytes() for x in data])
 
     tiles = _grey_tiles(spark, sf_dir).withColumn("data", F.pandas_udf(coded, "binary")("grey", "tile_w", "tile_h")).drop("tile_w", "tile_h", "grey")
     tables = Written(spark, "jpeg")
-    tables.put(documents.write_jpegs(mosaic(with_sizes(tiles), strip=32), f"{tables.root}/files"), "written")
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.jpg").load(f"{tables.root}/files")
-    sized = with_sizes(files.select(F.regexp_extract("path", r"(\d+)\.jpg$", 1).cast("long").alias("page_id"), F.col("content").alias("data")))
+    folder = f"{tables.root}/files"
+    written = tables.put(documents.write_jpegs(mosaic(with_sizes(tiles), strip=64), folder), "written")
+    files = documents.read_files(written, folder)
+    sized = with_sizes(files.select(F.regexp_extract("path", r"(\d+)\.jpg$", 1).cast("long").alias("page_id"), "data"))
     return sized.select("page_id", F.col("tile_w").cast("long").alias("width"), F.col("tile_h").cast("long").alias("height"), _brightness()(F.pandas_udf(decoded, "binary")("data")).alias("brightness"))
 
 
-#: A key of no site, for tests of signing.
-KEY = b"a key of no site at all, for signing the paths of a table's images and of nothing else"
-
-
-def _pads() -> tuple[str, str]:
-    import hashlib
-
-    block = hashlib.sha1(KEY).digest().ljust(64, b"\0")
-    return tuple("from_hex('" + bytes(c ^ p for c in block).hex() + "')" for p in (0x36, 0x5C))
-
-
 @query(f"""WITH {GREYS}, m AS (SELECT page_id, x, y, 'maps/' || page_id || '=x' || x || '-y' || y || '-z' || greatest(0, CAST(ceil(ln(greatest(width, height) / CAST(32 AS DOUBLE)) / ln(CAST(2 AS DOUBLE))) AS INTEGER)) || '-t' AS head, CASE WHEN page_id % 3 = 0 THEN '' ELSE 'tok' || page_id END AS token FROM t)
   SELECT page_id, x, y, 'https://s.example.org/' || head || replace(translate(base64(from_hex(sha1({_pads()[1]} || from_hex(sha1({_pads()[0]} || encode(head || token)))))), '+/', '__'), '=', '') AS url FROM m""")
 def signed_urls(spark, sf_dir):

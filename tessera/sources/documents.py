@@ -120,6 +120,27 @@ def write_parts(parts: DataFrame, folder: str) -> DataFrame:
     return dealt.mapInArrow(run, "path string, bytes long")
 
 
+def read_files(paths: DataFrame, folder: str) -> DataFrame:
+    """(path, data) of files (path) that write_parts() has written to a folder, a batch of paths at a time.
+
+    A task opens as many files as its rows name, so small files cost no tasks of their own.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        store, _ = fs.FileSystem.from_uri(folder)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 64):
+                own, data = batch.column(0).slice(at, 64), []
+                for path in own.to_pylist():
+                    with store.open_input_stream(path, compression=None) as file:
+                        data.append(file.read())
+                yield pa.RecordBatch.from_arrays([own, pa.array(data, pa.binary())], ["path", "data"])
+
+    return paths.select("path").mapInArrow(run, "path string, data binary")
+
+
 def write_jpegs(strips: DataFrame, folder: str, quality: int = 95) -> DataFrame:
     """Writes mosaic()'s strips as one JPEG for each image, <image_id>.jpg; returns (path, bytes).
 
