@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.operators import detect, discover, grid, parse, tileurl
-from tessera.operators.closure import closure
+from tessera.operators.closure import bodies, closure
 from tessera.operators.formats import BUILT_IN, Formats
 from tessera.sources.shared import Written, meet
 
@@ -35,7 +35,7 @@ def _reads(formats: list[str]):
         done, links = F.when(scene, F.size(levels) > 0).otherwise(done), F.when(scene, includes).otherwise(links)
 
     def read(docs: DataFrame) -> DataFrame:
-        return docs.select("kind", "url", done.alias("done"), F.col("body").alias("value"), links.alias("next"))
+        return docs.select("kind", "url", done.alias("done"), F.lit(None).cast("string").alias("value"), links.alias("next"))
 
     return read
 
@@ -50,10 +50,16 @@ def fetched(told: DataFrame, documents: DataFrame, formats: list[str]) -> DataFr
     for name, end in SEVERAL.items():
         start = F.when(F.col("format") == name, F.concat("meta_url", F.lit(end))).otherwise(start)
     rows = told.withColumn("__start", start)
-    walks = closure(rows.filter("meta_url is not null").select(F.col("format").alias("kind"), F.col("__start").alias("start")), documents, _reads(formats), from_start=True)
-    trail = F.col("trail")
-    body = F.when(F.col("kind") == "Zoomify PFF", F.array_join(trail, "\n")).otherwise(F.try_element_at(trail, F.lit(-1)))
-    facts = walks.select(F.col("kind").alias("format"), F.col("start").alias("__start"), F.when(F.col("found_url").isNotNull(), body).alias("body"), F.col("needs_url").alias("missing"), F.lit(True).alias("walked"))
+    starts = rows.filter("meta_url is not null").select(F.col("format").alias("kind"), F.col("__start").alias("start"))
+    walks = Written(told.sparkSession, "walks")
+    walks = walks.put(closure(starts, documents, _reads(formats), from_start=True).select("kind", "start", "found_url", "needs_url"), "walks")
+    # Walks carry URLs alone; the bodies that they end at, and headers, are joined once.
+    header = F.when((F.col("kind") == "Zoomify PFF") & (F.col("found_url") != F.col("start")), F.col("start"))
+    held = bodies(documents, walks.select(F.col("found_url").alias("url")).unionByName(walks.select(header.alias("url"))))
+    read = walks.join(held.withColumnsRenamed({"url": "found_url"}), "found_url", "left")
+    if "Zoomify PFF" in formats:
+        read = read.withColumn("header", header).join(held.select(F.col("url").alias("header"), F.col("body").alias("head")), "header", "left").withColumn("body", F.concat_ws("\n", "head", "body"))
+    facts = read.select(F.col("kind").alias("format"), F.col("start").alias("__start"), F.when(F.col("found_url").isNotNull(), F.col("body")).alias("body"), F.col("needs_url").alias("missing"))
     return rows.join(facts, ["format", "__start"], "left").drop("__start")
 
 
