@@ -325,6 +325,15 @@ def discover(requests: DataFrame, documents: DataFrame, formats: list[str] | Non
     return meet(requests.withColumn("ask", key("url")), facts, ["ask"], ["request_id"]).select("request_id", "url", "format", "meta_url", "token", "needs_url", "error")
 
 
+def _left(rows: DataFrame, facts: DataFrame, key: str) -> DataFrame:
+    """rows (start, ...) with what facts (url, ...) have for the URL in the column `key`.
+
+    Most rows may have none: each then has a key of its own, that no URL is, as rows of a null key would all go to one task.
+    """
+    own = F.coalesce(F.col(key), F.concat(F.lit("\0"), F.col("start"), F.lit("\0"), F.coalesce("page_number", F.lit(0)).cast("string")))
+    return rows.withColumn("__key", own).join(facts.withColumnRenamed("url", "__key"), "__key", "left").drop("__key")
+
+
 def _follows(rules: dict[str, Discovery]):
     """read() of closure() for pages of formats that lead on: done is a page that doesn't."""
     next_ = F.lit(None).cast("string")
@@ -355,7 +364,7 @@ def _step(rows: DataFrame, documents: DataFrame, rules: dict[str, Discovery]) ->
 
     def met(rows: DataFrame, key: str, name: str) -> DataFrame:
         own = bodies(documents, rows.select(F.col(key).alias("url")))
-        return rows.join(own.select(F.col("url").alias(key), F.col("body").alias(name)), key, "left")
+        return _left(rows, own.select("url", F.col("body").alias(name)), key)
 
     rows = rows.withColumn("direct", chosen("direct"))
     if any(how.other is not None for how in rules.values()):
@@ -364,7 +373,7 @@ def _step(rows: DataFrame, documents: DataFrame, rules: dict[str, Discovery]) ->
         wanted = pairs.select(F.col("direct").alias("url")).unionByName(pairs.select(F.col("other").alias("url"))).distinct()
         held = documents.select("url").join(wanted, "url", "left_semi").distinct()
         for name in ("direct", "other"):
-            rows = rows.join(held.select(F.col("url").alias(name), F.lit(True).alias(f"{name}_held")), name, "left")
+            rows = _left(rows, held.select("url", F.lit(True).alias(f"{name}_held")), name)
         rows = rows.withColumn("direct", F.when(F.col("direct_held").isNull() & F.col("other_held"), F.col("other")).otherwise(F.col("direct"))).drop("direct_held", "other_held", "other")
     rows = rows.withColumn("asks", F.when(F.col("direct").isNull() & ruled, url))
     rows = met(rows, "asks", "raw").withColumn("page", decode_entities(F.col("raw"))).drop("raw").withColumn("hop", F.when(F.col("direct").isNull(), chosen("hop")))
