@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions.text import MAX_CANVAS_AREA, first_match, is_private_ipv4, mercator, parse_float, parse_int, to_int32
+from tessera.functions.text import MAX_CANVAS_AREA, is_private_ipv4, mercator, parse_float, parse_int, to_int32
 from tessera.operators.grid import arg_max, halved_levels, on_canvas
 
 def attribute(path: str, name: str) -> Column:
