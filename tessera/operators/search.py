@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.operators.tileurl import TEMPLATES, generic, template_parts
+from tessera.operators.tileurl import generic, template_parts
 from tessera.sources.shared import Written
 
 #: Tiles along a side, at most; the least side of a tile.
@@ -28,7 +28,7 @@ def search_grids(requests: DataFrame, probe: Callable[[DataFrame], DataFrame], m
     """
     tables = Written(requests.sparkSession, "search")
     requests = requests.select("request_id", "url")
-    state = requests.select("url").filter("url is not null").distinct().withColumn("template_parts", template_parts("url", TEMPLATES["Generic"][1]))
+    state = requests.select("url").filter("url is not null").distinct().withColumn("template_parts", template_parts("url", "Generic"))
     for side in "xy":
         state = state.withColumns({f"low_{side}": F.lit(0), f"high_{side}": F.lit(most)})
     state = tables.put(state.withColumns({"tile": F.lit(TILE), "rounds": F.lit(0)}), "state")
