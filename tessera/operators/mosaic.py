@@ -120,11 +120,21 @@ def mosaic(tiles: DataFrame, strip: int | None = None, digest: bool = False, are
             pixels = scaled(pixels, *(math.ceil(side * t["ratio"]) for side in pixels.shape[1::-1]))
         x, y, (h, w) = t["dx"], t["dy"], pixels.shape[:2]
         y0, y1, x1 = max(y, top), min(y + h, top + len(canvas)), min(x + w, canvas.shape[1])
-        if y1 > y0 and x1 > x:
+        if y1 > y0 and x1 > x and pixels.strides[:2] == (0, 0):  # one pixel for all: a row of it, copied as whole rows
+            canvas.reshape(len(canvas), -1)[y0 - top : y1 - top, 3 * x : 3 * x1] = np.tile(pixels[0, 0], x1 - x)
+        elif y1 > y0 and x1 > x:
             canvas[y0 - top : y1 - top, x:x1] = pixels[y0 - y : y1 - y, : x1 - x]
 
     def paint(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, canvas, top, full = None, None, 0, 0
+        key, canvas, top, full, room = None, None, 0, 0, np.empty(0, np.uint8)
+
+        def black(height: int, width: int) -> np.ndarray:
+            nonlocal room  # a task's strips share their memory, which would be mapped anew for each
+            size = 3 * height * width
+            if len(room) < size:
+                room = np.empty(size, np.uint8)
+            room[:size] = 0
+            return room[:size].reshape(height, width, 3)
 
         def done() -> pa.RecordBatch:
             result = hashlib.sha256(canvas).hexdigest() if digest else canvas.tobytes()
@@ -138,14 +148,17 @@ def mosaic(tiles: DataFrame, strip: int | None = None, digest: bool = False, are
                         if key is not None:
                             yield done()
                         key, top, full = (t["image_id"], t["strip"]), t["strip"] * t["rows"], t["ch"]
-                        canvas = np.zeros((max(min(t["rows"], full - top), 0), t["cw"], 3), np.uint8)
+                        canvas = black(max(min(t["rows"], full - top), 0), t["cw"])
                     draw(canvas, top, t)
         if key is not None:
             yield done()
 
     last, kind = ("checksum", "string") if digest else ("data", "binary")
     cut = cut.withColumns({c: F.col(c).cast("int") for c in ("cw", "ch", "dx", "dy", "tile_w", "tile_h")}).withColumn("image_id", F.col("image_id").cast("long"))
-    dealt = cut.repartition("image_id", "strip").sortWithinPartitions("image_id", "strip", "py", "px")
+    # Few bytes of tiles are many pixels, so the number of tasks is told instead of left to the size of the rows.
+    spark = tiles.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
+    dealt = cut.repartition(tasks, "image_id", "strip").sortWithinPartitions("image_id", "strip", "py", "px")
     return dealt.mapInArrow(paint, f"image_id long, strip int, width int, height int, top int, full_height int, {last} {kind}")
 
 

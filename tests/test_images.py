@@ -1,5 +1,7 @@
 """JPEG against the platform's own coder, strips against whole images, painted mosaics against plain painting."""
 
+import hashlib
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -183,3 +185,19 @@ def test_no_tiles(spark, tmp_path):
     none = spark.createDataFrame([], TILES)
     assert mosaic(none, area=100).count() == 0 and coded_strips(mosaic(none)).count() == 0
     assert documents.write_jpegs(mosaic(none), f"file://{tmp_path}/none").count() == 0
+
+
+def test_painting_is_dealt_over_tasks_by_pixels_not_by_bytes(spark):
+    """A few kilobytes of one-coloured tiles are gigabytes of pixels; by their size in bytes they made one task, which painted alone."""
+    from tessera.operators.mosaic import mosaic
+
+    rows = [(k, 96, 96, 48 * x, 48 * y, 48, 48, bytes([k, x, y])) for k in range(64) for x in range(2) for y in range(2)]
+    tiles = spark.createDataFrame(rows, "image_id long, width int, height int, px int, py int, tile_w int, tile_h int, data binary")
+    out = mosaic(tiles, digest=True).withColumn("task", F.spark_partition_id()).collect()
+    assert len({r.task for r in out}) > 4
+    for r in out:
+        want = np.zeros((96, 96, 3), np.uint8)
+        for x in range(2):
+            for y in range(2):
+                want[48 * y : 48 * y + 48, 48 * x : 48 * x + 48] = (r.image_id, x, y)
+        assert r.checksum == hashlib.sha256(want.tobytes()).hexdigest()
