@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.operators.tileurl import generic, template_parts
-from tessera.sources.shared import Written
+from tessera.sources.shared import Written, shuffled
 
 #: Tiles along a side, at most; the least side of a tile.
 MOST, TILE = 1000, 256
@@ -43,7 +43,7 @@ def search_grids(requests: DataFrame, probe: Callable[[DataFrame], DataFrame], m
         seen = tables.put(probe(urls).filter("ok").select("url", F.least("width", "height").alias("side")).groupBy("url").agg(F.max("side").alias("side")), "seen")
         next_ = asked
         for side in "xy":
-            next_ = next_.join(seen.select(F.col("url").alias(f"ask_{side}"), F.coalesce("side", F.lit(0)).alias(f"side_{side}")), f"ask_{side}", "left")
+            next_ = next_.join(shuffled(seen.select(F.col("url").alias(f"ask_{side}"), F.coalesce("side", F.lit(0)).alias(f"side_{side}"))), f"ask_{side}", "left")
         last = open_("y") & (F.col("high_y") - F.col("low_y") <= 2)
         tile = F.greatest("tile", F.coalesce("side_x", F.lit(0)), F.when(last, 0).otherwise(F.coalesce("side_y", F.lit(0))))
         columns = {"tile": tile, "rounds": F.col("rounds") + (open_("x") | open_("y")).cast("int")}
@@ -54,5 +54,5 @@ def search_grids(requests: DataFrame, probe: Callable[[DataFrame], DataFrame], m
         tables.drop(state, asked, seen)
         state = after
     found = state.select("url", *((F.col(f"high_{s}").cast("bigint") * F.col("tile")).alias(n) for s, n in (("x", "width"), ("y", "height"))), F.col("tile").alias("tile_size"), "rounds")
-    out = requests.join(found, "url", "left").withColumn("error", F.when(F.col("url").isNull(), "There is no template."))
+    out = requests.join(shuffled(found), "url", "left").withColumn("error", F.when(F.col("url").isNull(), "There is no template."))
     return out.select("request_id", "url", F.lit("Generic").alias("format"), F.col("url").alias("origin"), "width", "height", "tile_size", "error", "rounds")

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, EqualTo, Filter, In, InputPartition, StringStartsWith
 
 from tessera.functions.text import resolve_relative
-from tessera.sources.shared import Written, meet
+from tessera.sources.shared import Written, meet, shuffled
 
 SCHEMA = "url string, status int, content_type string, location string, headers map<string,string>, body string, error string"
 #: Redirects that are followed; bytes that are read of a file at once.
@@ -208,5 +208,5 @@ def followed(documents: DataFrame, redirects: int = REDIRECTS) -> DataFrame:
         step = meet(chain, links, ["to"], ["url"])
         known, moved = F.coalesce("known", F.lit(False)), F.col("to").isNotNull()
         chain = step.select("url", F.when(known, F.col("to")).otherwise(F.col("at")).alias("at"), F.when(known, F.col("next")).alias("to"), (F.col("hops") + known.cast("int")).alias("hops"), F.coalesce("lost", F.when(moved & ~known, F.col("to"))).alias("lost"))
-    found = chain.join(one.select(F.col("url").alias("at"), "body"), "at")
+    found = chain.join(shuffled(one.select(F.col("url").alias("at"), "body")), "at")
     return found.select("url", F.col("at").alias("final_url"), "hops", F.when(F.col("lost").isNull(), F.col("body")).alias("body"), F.col("to").alias("disabled_location"), F.col("lost").alias("needs_url"))
