@@ -45,3 +45,12 @@ def test_known_bases_resolve_alike(spark):
     assert all(r.a == r.b for r in got)
     of = {(p, b): r.a for (p, b), r in zip(rows, got)}
     assert of["../c", "http://h/p/q/r.html"] == "http://h/p/c" and of["..//c", "http://h/p/q/r.html"] == "http://h/c" and of["a/b.jpg", "h"] == "h/a/b.jpg" and of["/a.jpg", "http://h"] == "http:/a.jpg"
+
+
+def test_a_zoom_of_nothing_counts_as_unset(spark):
+    """At 257 pixels the rule for unlike tile counts gives 0, which viewers take as unset: the level is 1."""
+    from tessera.operators import grid, parse
+
+    row = spark.range(1).select(F.lit(257).alias("width"), F.lit(64).alias("height"), F.lit(256).alias("tile_size"), F.lit(2).alias("num_tiles"))
+    row = row.withColumn("max_zoom_level", parse.zoomify_zoom())
+    assert row.first().max_zoom_level == 0 and grid.with_defaults(row).first().zoom == 1
