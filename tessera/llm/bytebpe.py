@@ -3,6 +3,7 @@
 A task finds the different words of a batch of documents, so each is folded once there. The fold takes the bytes of a
 word and merges, step by step, the pair of lowest rank, leftmost first. Ranks come from a literal map that is laid out as
 an array of buckets, as a look-up in a map literal would compare keys one by one. Decoding concatenates a word's pieces.
+The most frequent words of a bounded sample are folded once beforehand and sent to all tasks, by number.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -18,19 +19,22 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Scratch, ship, table, text_or_empty
+from tessera.llm.common import Scratch, sampled_texts, ship, table, text_or_empty
 
 ship(__name__)
 
 #: Java's form of the pattern that parts words: its \s knows ASCII only.
 SPACES = r"\p{IsWhite_Space}"
-#: Words of one batch, and the documents whose words are folded beforehand and sent to all tasks; others are folded in place.
-BATCH_WORDS, KNOWN_DOCS = 1_500_000, 2_000
-#: Ids have 16 bits, places of a word 29 and ranks, at least OFFSET to be no ids, what is above.
+#: Words of one batch; and the most texts and words that are folded beforehand and sent to all tasks. Other words are folded
+#: once a batch, in place.
+BATCH_WORDS, KNOWN_DOCS, KNOWN_WORDS = 6_000_000, 20_000, 200_000
+#: Ids have 16 bits, places of a word 29 and ranks, at least OFFSET to be no ids, what is above. EDGE is no id.
 PLACE, OFFSET = 45, 1 << 16
 IDS, PLACES, NONE = (1 << 16) - 1, ((1 << 29) - 1) << 16, 2 * OFFSET << PLACE
+EDGE = IDS
 FACTOR, BUCKETS = 40_503, 1 << 17
 
+
 def read_ranks(path: str) -> dict[bytes, int]:
     with open(path, "rb") as f:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
@@ -40,60 +44,67 @@ def word_pattern(pattern: str) -> str:
     return pattern.replace(r"[^\s", f"[^{SPACES}").replace(r"\s", SPACES).replace(r"\S", SPACES.replace("p", "P", 1))
 
 
+def let(x: Column, f: Callable[[Column], Column]) -> Column:
+    """f(x) with x evaluated once."""
+    return F.transform(F.array(x), f)[0]
+
+
 class Merges:
     """Plan literals for one vocabulary: ranks of pairs in buckets, ranks of single bytes, pieces of ids."""
 
     def __init__(self, ranks: dict[bytes, int]):
-        if len(ranks) >= 1 << 16:
+        if max(ranks.values(), default=0) >= EDGE:
             raise ValueError("ids must fit 16 bits")
-        buckets: list[list[int]] = [[NONE] for _ in range(BUCKETS)]
+        buckets: list[list[int]] = [[] for _ in range(BUCKETS)]
         for token, rank in ranks.items():
             for k in range(1, len(token)):
                 left, right = ranks.get(token[:k]), ranks.get(token[k:])
                 if left is not None and right is not None:
-                    buckets[(left * FACTOR ^ right) % BUCKETS] += [left, (rank + OFFSET) << PLACE]
+                    buckets[(left * FACTOR ^ right) % BUCKETS].append(left << 17 | rank + OFFSET)
         literal = lambda x, kind: F.from_json(F.lit(json.dumps(x)), kind)  # noqa: E731  folded to a literal once
         self.buckets = literal(buckets, "array<array<bigint>>")
-        self.bytes = literal([ranks[bytes([b])] for b in range(256)], "array<bigint>")
+        single = [ranks[bytes([b])] for b in range(256)]
+        self.bytes = literal(single, "array<bigint>")
+        self.pairs = literal([ranks.get(bytes([a, b]), OFFSET) + OFFSET for a in range(256) for b in range(256)], "array<bigint>")
         pieces = {rank: base64.b64encode(token).decode() for token, rank in ranks.items()}
         self.pieces = literal([pieces.get(k) for k in range(max(pieces) + 1)], "array<binary>")
 
     @staticmethod
     def rank(buckets: Column, left: Column, right: Column) -> Column:
-        """(rank + OFFSET) << PLACE of the merge, or NONE. As right < 2**16, bucket and left tell right; ranks are no lefts."""
+        """(rank + OFFSET) << PLACE of the merge, or NONE. As right < 2**16, bucket and left tell right. The filter stands where
+        a position is asked for elsewhere: Spark ends array_position() by an exception, which costs more than all else."""
         bucket = F.get(buckets, (left * FACTOR).bitwiseXOR(right).bitwiseAND(F.lit(BUCKETS - 1)).cast("int"))
-        return F.get(bucket, F.array_position(bucket, left))
+        found = F.get(F.filter(bucket, lambda x: F.shiftright(x, 17) == left), F.lit(0))
+        return F.coalesce(F.shiftleft(found.bitwiseAND(F.lit((1 << 17) - 1)), PLACE), F.lit(NONE))
 
     def folded(self, words: Column) -> Column:
-        """The ids of words, each an array of its bytes as integers. The literal of the ranks stands once in the plan: every
-        place of it would be one more copy on the driver and in each task's binary."""
-        return F.transform(F.array(self.buckets), lambda buckets: F.transform(words, lambda word: self._fold(word, buckets)))[0]
-
-    def _fold(self, word: Column, buckets: Column) -> Column:
-        """The word is an array of numbers, one for each piece: the rank of its merge with the next piece, where it began,
-        and its id, from the highest bits to the lowest. So the least number is the leftmost merge of the lowest rank; a
-        step replaces it and what follows it, and ranks its neighbours anew."""
-        let = lambda x, f: F.transform(F.array(x), f)[0]
+        """The ids of words, each an array of its bytes as integers. The literals of the ranks stand once in the plan: every
+        place of one would be one more copy on the driver and in each task's binary."""
+        return let(self.pairs, lambda pairs: let(self.bytes, lambda single: let(self.buckets, lambda buckets: F.transform(words, lambda word: self._fold(word, pairs, single, buckets)))))
+
+    @staticmethod
+    def _fold(word: Column, pairs: Column, single: Column, buckets: Column) -> Column:
+        """The word is an array of numbers, one for each piece, between two edges that merge with nothing: the rank of its
+        merge with the next piece, where it began, and its id, from the highest bits to the lowest. So the least number is
+        the leftmost merge of the lowest rank; a step replaces it and what follows it, and ranks its neighbours anew."""
         id_of = lambda piece: piece.bitwiseAND(F.lit(IDS))
-        ranked = lambda left, right: F.when(right.isNull(), F.lit(NONE)).otherwise(self.rank(buckets, id_of(left), id_of(right)))
+        first, last = F.array(F.lit(NONE + EDGE)), F.array(F.lit(NONE + PLACES + EDGE))
 
-        def start(ids: Column) -> Column:
-            rank = F.when(F.size(ids) > 1, F.concat(F.zip_with(F.slice(ids, 1, F.size(ids) - 1), F.slice(ids, 2, F.size(ids)), lambda x, y: self.rank(buckets, x, y)), F.array(F.lit(NONE)))).otherwise(F.array(F.lit(NONE)))
-            return F.transform(F.arrays_zip(rank.alias("rank"), ids.alias("id")), lambda x, i: x["rank"] + F.shiftleft(i.cast("bigint"), 16) + x["id"])
+        def start(b: Column, i: Column) -> Column:
+            return F.shiftleft(F.coalesce(F.get(pairs, b * 256 + F.get(word, i + 1)), F.lit(2 * OFFSET)), PLACE) + F.shiftleft(i.cast("bigint"), 16) + F.get(single, b)
 
         def step(pieces: Column, _: Column) -> Column:
-            def merged(at: Column) -> Column:
-                here = F.get(pieces, at - 1)
-                own = here.bitwiseAND(F.lit(PLACES)) + F.shiftright(here, PLACE) - OFFSET
-                new = F.array(own + ranked(own, F.get(pieces, at + 1)))
-                before = F.get(pieces, at - 2)
-                left = F.array(before.bitwiseAND(F.lit(PLACES + IDS)) + ranked(before, own))
-                return F.when(at > 1, F.concat(F.slice(pieces, 1, at - 2), left, new, F.slice(pieces, at + 2, F.size(pieces)))).otherwise(F.concat(new, F.slice(pieces, 3, F.size(pieces))))
+            def merged(least: Column, own: Column, at: Column) -> Column:
+                new = let(F.get(pieces, at + 1), lambda after: (least.bitwiseAND(F.lit(PLACES)) + own) + Merges.rank(buckets, own, id_of(after)))
+                left = let(F.get(pieces, at - 2), lambda before: before.bitwiseAND(F.lit(PLACES + IDS)) + Merges.rank(buckets, id_of(before), own))
+                return F.concat(F.slice(pieces, F.lit(1), at - 2), F.array(left, new), F.slice(pieces, at + 2, F.size(pieces)))
 
-            return let(F.array_min(pieces), lambda least: F.when(least < NONE, let(F.array_position(pieces, least).cast("int"), merged)).otherwise(pieces))
+            found = lambda least: let(F.shiftright(least, PLACE) - OFFSET, lambda own: let(F.size(F.filter(pieces, lambda x: x.bitwiseAND(F.lit(PLACES)) <= least.bitwiseAND(F.lit(PLACES)))), lambda at: merged(least, own, at)))
+            return let(F.array_min(pieces), lambda least: F.when(least < NONE, found(least)).otherwise(pieces))
 
-        whole = F.aggregate(F.sequence(F.lit(1), F.size(word) - 1), start(F.transform(word, lambda b: F.get(self.bytes, b))), step)
-        return F.when(F.size(word) < 2, F.transform(word, lambda b: F.get(self.bytes, b).cast("int"))).otherwise(F.transform(whole, lambda x: id_of(x).cast("int")))
+        whole = F.aggregate(F.sequence(F.lit(1), F.size(word) - 1), F.concat(first, F.transform(word, start), last), step)
+        short = F.transform(word, lambda b: F.get(single, b).cast("int"))
+        return F.when(F.size(word) < 2, short).otherwise(F.filter(F.transform(whole, lambda x: id_of(x).cast("int")), lambda k: k != EDGE))
 
     def decode(self, ids: Column) -> Column:
         return F.aggregate(ids, F.lit(b""), lambda acc, k: F.concat(acc, F.get(self.pieces, k)))
@@ -103,20 +114,25 @@ class Merges:
         return F.transform(self.folded(words), lambda x: F.struct(x.alias("ids"), self.decode(x).alias("raw")))
 
 
+def bytes_of(word: Column) -> Column:
+    """The bytes of a string as integers: each byte is a character of ISO-8859-1."""
+    characters = F.split(F.decode(F.encode(word, "UTF-8"), "ISO-8859-1"), "")
+    return F.transform(F.filter(characters, lambda c: F.length(c) > 0), F.ascii)
+
+
 def _bytes_of(words: pa.StringArray) -> pa.ListArray:
     flat = np.frombuffer(words.buffers()[2] or b"", np.uint8)
     offsets = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words) + 1]
     return pa.ListArray.from_arrays(pa.array(offsets - offsets[0], pa.int32()), pa.array(flat[offsets[0] : offsets[-1]].astype(np.int32)))
 
 
-def known_words(docs: DataFrame, merges: Merges, pattern: str, limit: int, scratch: Scratch) -> dict[str, tuple[str, int, bytes]]:
-    """The words of about `limit` documents at most, chosen by a hash of their text, with ids, number of ids and bytes."""
-    share = min(1.0, limit / max(1, docs.count()))
-    chosen = docs.filter(F.pmod(F.xxhash64(text_or_empty(), F.lit("bytebpe")), F.lit(1 << 30)) < int(share * (1 << 30)) + 1)
-    words = scratch.put(chosen.select(F.explode(F.regexp_extract_all(text_or_empty(), F.lit(pattern), F.lit(0))).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "words")
-    raw = F.transform(F.split(F.hex(F.encode("word", "utf-8")), "(?<=\\G..)"), lambda h: F.conv(h, 16, 10).cast("int"))
-    found = words.select("word", merges.folded(F.array(F.filter(raw, lambda b: b.isNotNull())))[0].alias("ids"))
-    return {r.word: (" ".join(map(str, r.ids)), len(r.ids), bytes(r.raw)) for r in found.select("word", "ids", merges.decode(F.col("ids")).alias("raw")).collect()}
+def known_words(docs: DataFrame, merges: Merges, pattern: str, limit: int, scratch: Scratch) -> pa.Table:
+    """(word, ids, raw) of the most frequent words, KNOWN_WORDS at most, of at most `limit` different texts: ids joined by a space."""
+    chosen = sampled_texts(docs, limit, "bytebpe").select(F.explode(F.regexp_extract_all("text", F.lit(pattern), F.lit(0))).alias("word"))
+    often = chosen.groupBy("word").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").orderBy(F.desc("n"), "word").limit(KNOWN_WORDS)
+    words = scratch.put(often.select("word").repartition(12), "words")
+    found = scratch.put(words.select("word", merges.folded(F.array(bytes_of(F.col("word"))))[0].alias("ids")), "known")
+    return found.select("word", F.array_join(F.col("ids").cast("array<string>"), " ").alias("ids"), merges.decode(F.col("ids")).alias("raw")).toArrow()
 
 
 def encode_decode(docs: DataFrame, path: str, pattern: str, known_docs: int = KNOWN_DOCS, keep: bool = True) -> DataFrame:
@@ -124,12 +140,16 @@ def encode_decode(docs: DataFrame, path: str, pattern: str, known_docs: int = KN
 
     Each match of `pattern` is encoded by the ranks in `path`, without special tokens; the ids are joined, hashed and
     decoded. A null text is as an empty one, without tokens; equal texts have equal values; rows that repeat an id are
-    encoded each; no rows give no rows. A word of n bytes takes n - 1 steps of two look-ups.
+    encoded each; no rows give no rows. A word of n bytes takes n - 1 steps of two look-ups, each of which passes over the
+    pieces that are left.
     """
     merges, spark = Merges(read_ranks(path)), docs.sparkSession
     pattern = word_pattern(pattern)
     docs = docs.select("id", "text")
-    sent = spark.sparkContext.broadcast(known_words(docs, merges, pattern, known_docs, Scratch(spark, "bytebpe")))
+    known = known_words(docs, merges, pattern, known_docs, Scratch(spark, "bytebpe")).combine_chunks()
+    column = lambda name, kind: pa.concat_arrays([pa.array([], kind), *(c.cast(kind) for c in known.column(name).chunks)])
+    sent = spark.sparkContext.broadcast(column("word", pa.string()))
+    coded = spark.sparkContext.broadcast((column("ids", pa.string()), column("raw", pa.binary())))
 
     def words_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = sent.value
@@ -139,50 +159,41 @@ def encode_decode(docs: DataFrame, path: str, pattern: str, known_docs: int = KN
             while at < batch.num_rows:
                 n = max(1, int(np.searchsorted(np.cumsum(sizes[at:]), BATCH_WORDS, side="right")))
                 part = batch.slice(at, n)
-                coded = part.column(1).flatten().dictionary_encode()
-                each = coded.dictionary
-                new = np.fromiter((w not in known for w in each.to_pylist()), bool, len(each))
-                ids = part.column(0)
-                names = ["ids", "counts", "places", "words", "new", "raw"]
-                binary = [pa.array([x.tobytes()], pa.binary()) for x in (np.array(ids, np.int64), sizes[at : at + n], np.array(coded.indices, np.int32), new)]
-                one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
-                yield pa.RecordBatch.from_arrays([*binary[:3], one(each), binary[3], one(_bytes_of(each.filter(pa.array(new))))], names)
+                words = part.column(1).flatten().dictionary_encode()
+                number = np.array(pc.fill_null(pc.index_in(words.dictionary, known), -1), np.int32)
+                new = number < 0
+                number[new] = len(known) + np.arange(new.sum())
+                binary = [pa.array([x.tobytes()], pa.binary()) for x in (np.array(part.column(0), np.int64), sizes[at : at + n], number[np.array(words.indices)])]
+                raw = _bytes_of(words.dictionary.filter(pa.array(new)))
+                yield pa.RecordBatch.from_arrays([*binary, pa.ListArray.from_arrays(pa.array([0, len(raw)], pa.int32()), raw)], ["ids", "counts", "places", "raw"])
                 at += n
 
     def texts_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = sent.value
         for batch in batches:
             for k in range(batch.num_rows):
-                ids, counts, places, new = (np.frombuffer(batch.column(c)[k].as_py(), kind) for c, kind in ((0, np.int64), (1, np.int64), (2, np.int32), (4, bool)))
-                found = batch.column(5)[k].values
-                lists, raw = found.field("ids"), iter(found.field("raw").to_pylist())
-                sizes = np.array(lists.value_lengths(), np.int64).tolist()
-                flat, at, rows = list(map(str, lists.flatten().to_pylist())), 0, []
-                fresh = iter(sizes)
-                for word, is_new in zip(batch.column(3)[k].as_py(), new.tolist(), strict=True):
-                    if is_new:
-                        n = next(fresh)
-                        rows.append((" ".join(flat[at : at + n]), n, next(raw)))
-                        at += n
-                    else:
-                        rows.append(known[word])
-                text, number, binary = (pa.array([r[c] for r in rows], kind) for c, kind in ((0, pa.string()), (1, pa.int64()), (2, pa.binary())))
+                ids, counts, places = (np.frombuffer(batch.column(c)[k].as_buffer(), kind) for c, kind in ((0, np.int64), (1, np.int64), (2, np.int32)))
+                found = batch.column(3)[k].values
+                lists = found.field("ids")
+                joined = pc.binary_join(lists.cast(pa.list_(pa.string())), " ")
+                text, binary = (pa.concat_arrays([a, b]) for a, b in zip(coded.value, (joined, found.field("raw")), strict=True))
+                number = np.array(pc.add(pc.count_substring(text, " "), 1), np.int64)
                 offsets = np.concatenate([[0], np.cumsum(counts)])
-                totals = np.concatenate([[0], np.cumsum(np.array(number)[places])])[offsets]
                 for a in range(0, len(ids), 256):
                     b = min(len(ids), a + 256)
-                    index = pa.array(places[offsets[a] : offsets[b]])
-                    cuts = pa.array(offsets[a : b + 1] - offsets[a], pa.int32())
+                    own = places[offsets[a] : offsets[b]]
+                    cuts = offsets[a : b + 1] - offsets[a]
+                    totals = np.diff(np.concatenate([[0], np.cumsum(number[own])])[cuts])
+                    index, cuts = pa.array(own), pa.array(cuts, pa.int32())
                     joined = pc.binary_join(pa.ListArray.from_arrays(cuts, text.take(index)), " ")
                     decoded = pc.binary_join(pa.ListArray.from_arrays(cuts, binary.take(index)), b"")
-                    out = [pa.array(ids[a:b]), pa.array(np.diff(totals[a : b + 1])), *(pa.array([hashlib.sha256(x.as_buffer() or b"").hexdigest() for x in col], pa.string()) for col in (joined, decoded))]
+                    out = [pa.array(ids[a:b]), pa.array(totals), *(pa.array([hashlib.sha256(x.as_buffer() or b"").hexdigest() for x in col], pa.string()) for col in (joined, decoded))]
                     yield pa.RecordBatch.from_arrays([*out, *([joined, decoded] if keep else [])], names)
 
     schema = "id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids string, decoded binary" * keep
     names = [x.split()[0] for x in schema.split(", ")]
     words = docs.select("id", F.regexp_extract_all(text_or_empty(), F.lit(pattern), F.lit(0)).alias("words"))
-    batches = words.mapInArrow(words_of, "ids binary, counts binary, places binary, words array<string>, new binary, raw array<array<int>>")
-    folded = batches.select("ids", "counts", "places", "words", "new", merges.found(F.col("raw")).alias("found"))
+    batches = words.mapInArrow(words_of, "ids binary, counts binary, places binary, raw array<array<int>>")
+    folded = batches.select("ids", "counts", "places", merges.found(F.col("raw")).alias("found"))
     return folded.mapInArrow(texts_of, schema)
 
 

@@ -192,6 +192,24 @@ def test_byte_bpe_as_the_library(spark):
     assert bytebpe.encode_decode(spark.createDataFrame([], "id long, text string"), path, public_tokenizers.PATTERN).count() == 0
 
 
+def test_byte_bpe_known_words_are_bounded(spark, monkeypatch):
+    """Copies of a text don't make its words frequent, words sent to all tasks are bounded, and the rest comes out the same."""
+    public_tokenizers = pytest.importorskip("public_tokenizers")
+    import tiktoken
+
+    path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    enc = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=bytebpe.read_ranks(path), special_tokens={})
+    monkeypatch.setattr(bytebpe, "KNOWN_WORDS", 7)
+    monkeypatch.setattr(bytebpe, "BATCH_WORDS", 90)
+    texts = ["aaaa only here"] * 50 + [text(k, 60) for k in range(20)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    known = bytebpe.known_words(docs, bytebpe.Merges(bytebpe.read_ranks(path)), bytebpe.word_pattern(pattern), 1000, Scratch(spark, "bytebpe"))
+    assert known.num_rows == 7 and "aaaa" not in known.column("word").to_pylist()
+    for r in bytebpe.encode_decode(docs, path, pattern).collect():
+        ids = enc.encode_ordinary(texts[r.id])
+        assert r.ids == " ".join(map(str, ids)) and r.n_tokens == len(ids) and bytes(r.decoded).decode() == texts[r.id]
+
+
 # 5
 
 
