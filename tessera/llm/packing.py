@@ -29,14 +29,10 @@ LENGTH, END = 4096, 1
 ROUNDS, STEP, RATE = 60, 0.5, 6.0
 #: Parts of the program's solution that are tried in rounding.
 SCALES = (1.0, 0.75, 0.5, 0.25, 0.0)
-#: Words that a task looks up at once, characters that it splits itself, and words whose ids a worker keeps.
-WORDS_AT_ONCE, AT_ONCE, KEPT_WORDS = 500_000, 1_500_000, 250_000
+#: Bytes of text that a task splits at once, and words whose ids a worker keeps for sure.
+AT_ONCE, KEPT_WORDS = 6_000_000, 200_000
 #: New words that go through the tokenizer in one call.
 LINE = 500
-#: The words of a text before it is normalised; the tokenizer normalises each.
-WORD = r"'[sStTmMdD]|'(?:[rR][eE]|[vV][eE]|[lL][lL])|\p{L}+|\p{N}|[^\p{IsWhite_Space}\p{L}\p{N}]+"
-#: Texts that normalisation may join or split across such words: those with combining marks, or a dotted capital I.
-UNSURE = r"[\p{M}\u0130]"
 SPACE, LETTER, NUMBER, OTHER = range(4)
 SHORT, LONG = "stmd", ("re", "ve", "ll")
 
@@ -58,6 +54,67 @@ def kinds() -> np.ndarray:
     return out
 
 
+def unsure() -> np.ndarray:
+    """Of each code point: 1 where normalisation may join or split a text across its words (marks, and what has
+    one in NFC or in lower case), 2 where its kind isn't known here, as the tokenizer knows a later Unicode; else 0."""
+    out = np.zeros(0x110000, np.uint8)
+    for c in range(0x110000):
+        k = unicodedata.category(chr(c))
+        if k == "Cn":
+            out[c] = 2
+        elif k[0] in "LMNPS" and any(unicodedata.category(x)[0] == "M" for x in unicodedata.normalize("NFC", chr(c)).lower()):
+            out[c] = 1
+    return out
+
+
+def _kinds_of(raw: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of UTF-8: the kind of each byte's character, the places of characters beyond ASCII, and their code points."""
+    own = kind[:256].astype(np.uint8)[raw]
+    lead = np.flatnonzero(raw >= 0xC0)
+    b = [raw[np.minimum(lead + k, len(raw) - 1)].astype(np.int64) & 0x3F for k in range(4)]
+    first = raw[lead]
+    three, four = first >= 0xE0, first >= 0xF0
+    point = (first.astype(np.int64) & 0x1F) << 6 | b[1]
+    point[three] = ((first[three].astype(np.int64) & 0x0F) << 12) | b[1][three] << 6 | b[2][three]
+    point[four] = ((first[four].astype(np.int64) & 0x07) << 18) | b[1][four] << 12 | b[2][four] << 6 | b[3][four]
+    found = kind[point]
+    for k, part in ((0, slice(None)), (1, slice(None)), (2, three), (3, four)):
+        own[lead[part] + k] = found[part]
+    return own, lead, point
+
+
+def split_bytes(texts: pa.StringArray, kind: np.ndarray, doubtful: np.ndarray) -> tuple[pa.StringArray, np.ndarray, np.ndarray]:
+    """The words of texts end to end as they stand before normalisation, the number of words of each text, and the most
+    doubtful code point of each: at 1 its words must come from split_words(), at 2 from the tokenizer.
+
+    Works on the UTF-8 of all texts at once, as split_words() does on characters; words are the same, as the tokenizer
+    normalises each.
+    """
+    joined = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(texts)], pa.int32()), texts), "\n")
+    raw = np.concatenate([np.frombuffer(joined[0].as_buffer(), np.uint8), np.full(4, 10, np.uint8)])
+    ends = np.cumsum(np.array(pc.binary_length(texts), np.int64) + 1)
+    own, lead, point = _kinds_of(raw, kind)
+    doubts = np.zeros(len(texts), np.uint8)
+    found = np.flatnonzero(doubtful[point])
+    np.maximum.at(doubts, np.searchsorted(ends, lead[found], side="right"), doubtful[point[found]])
+    begins = np.ones(len(raw), bool)
+    np.not_equal(own[1:], own[:-1], out=begins[1:])
+    begins |= (own == NUMBER) & ((raw & 0xC0) != 0x80)
+    quotes = np.flatnonzero(raw[:-4] == 39)
+    quotes = quotes[begins[quotes]]
+    after, then = raw[quotes + 1] | 0x20, raw[quotes + 2] | 0x20
+    short = np.isin(after, [ord(c) for c in SHORT])
+    long = np.logical_or.reduce([(after == ord(x)) & (then == ord(y)) for x, y in LONG])
+    begins[quotes[short | long] + 1] = False
+    begins[quotes[short] + 2] = True
+    begins[quotes[long] + 3] = True
+    inside = own != SPACE
+    starts = np.flatnonzero(begins & inside)
+    upto = np.cumsum(inside, dtype=np.int32)
+    offsets = np.append(upto[starts] - 1, upto[-1]).astype(np.int32)
+    return pa.StringArray.from_buffers(len(starts), pa.py_buffer(offsets), pa.py_buffer(raw[inside])), np.diff(np.searchsorted(starts, ends), prepend=0), doubts
+
+
 def split_words(texts: Sequence[str], kind: np.ndarray) -> tuple[pa.StringArray, np.ndarray]:
     """The words of normalised texts end to end, and the number of words of each text.
 
@@ -112,7 +169,7 @@ def learn_words(words: list[str], tokenizer, ends: np.ndarray, known: dict[str,
     plain = [w for w in words if w.isalpha()]
     for at in range(0, len(plain), LINE):
         part = plain[at : at + LINE]
-        ids = np.array(tokenizer.encode(" ".join(part), add_special_tokens=False).ids, np.uint32)
+        ids = np.array(tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, np.uint32)
         cuts = np.flatnonzero(ends[ids]) + 1
         if len(cuts) != len(part) or cuts[-1] != len(ids):
             alone += part
@@ -123,18 +180,25 @@ def learn_words(words: list[str], tokenizer, ends: np.ndarray, known: dict[str,
             begin = end
     for at in range(0, len(alone), LINE):
         part = alone[at : at + LINE]
-        for w, e in zip(part, tokenizer.encode_batch(part, add_special_tokens=False), strict=True):
+        for w, e in zip(part, tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
             known[w] = np.array(e.ids, np.uint32).tobytes()
 
 
-def encode_words(words: pa.StringArray, tokenizer, ends: np.ndarray, known: dict[str, bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """All ids of the words end to end, and the number of ids of each word. Each different word is encoded once."""
+def encode_words(words: pa.StringArray, tokenizer, ends: np.ndarray, known: dict[str, bytes], before: dict[str, bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """All ids of the words end to end, and the number of ids of each word. Each different word is encoded once.
+
+    Where `known` gets too large it becomes `before`, from which words come back when they are met again, so frequent
+    words stay.
+    """
     coded = words.dictionary_encode()
-    each = coded.dictionary.to_pylist()
+    each = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
     if len(known) > KEPT_WORDS:
+        before.clear()
+        before.update(known)
         known.clear()
     new = [w for w in each if w not in known]
-    learn_words(new, tokenizer, ends, known)
+    known.update((w, before[w]) for w in new if w in before)
+    learn_words([w for w in new if w not in before], tokenizer, ends, known)
     ids = [known[w] for w in each]
     sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
     flat = np.frombuffer(b"".join(ids), np.uint32)
@@ -165,12 +229,10 @@ def pieces(docs: DataFrame, tokenizer_path: str, length: int = LENGTH, end: int
         cache = worker_cache()
         if cache.get("tokenizer_path") != tokenizer_path:
             tokenizer = Tokenizer.from_str(sent.value)
-            cache.update(tokenizer_path=tokenizer_path, tokenizer=tokenizer, ends=word_ends(tokenizer), known={})
+            cache.update(tokenizer_path=tokenizer_path, tokenizer=tokenizer, ends=word_ends(tokenizer), known={}, before={})
 
-        def kinds_table() -> np.ndarray:
-            if "kinds" not in cache:
-                cache["kinds"] = kinds()
-            return cache["kinds"]
+        if "kinds" not in cache:
+            cache.update(kinds=kinds(), unsure=unsure())
 
         def rows_of(docs: list, found: np.ndarray, upto: list[int]) -> pa.RecordBatch:
             """The pieces of documents whose ids are found[upto[k] : upto[k + 1]]."""
@@ -184,30 +246,35 @@ def pieces(docs: DataFrame, tokenizer_path: str, length: int = LENGTH, end: int
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types.values(), strict=True)], [*types])
 
         def by_words(docs: list, words: pa.StringArray, counts: np.ndarray) -> pa.RecordBatch:
-            found, per_word = encode_words(words, cache["tokenizer"], cache["ends"], cache["known"])
+            found, per_word = encode_words(words, cache["tokenizer"], cache["ends"], cache["known"], cache["before"])
             return rows_of(docs, found, np.concatenate([[0], np.cumsum(per_word)])[np.concatenate([[0], np.cumsum(counts)])].tolist())
 
+        def by_tokenizer(docs: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+            for doc, text in zip(docs.column(0).to_pylist(), docs.column(1), strict=True):
+                ids = np.array(cache["tokenizer"].encode(text.as_py(), add_special_tokens=False).ids, np.uint32)
+                yield rows_of([doc], ids, [0, len(ids)])
+
         for batch in batches:
-            whole = pc.equal(batch.column(3), True)
-            split = batch.filter(pc.is_valid(batch.column(1)))
-            for part in _parts(split, np.array(split.column(1).value_lengths(), np.int64), WORDS_AT_ONCE):
-                yield by_words(part.column(0).to_pylist(), part.column(1).flatten(), np.array(part.column(1).value_lengths(), np.int64))
-            odd = batch.filter(pc.and_(pc.is_null(batch.column(1)), pc.invert(whole)))
-            for part in _parts(odd, np.array(pc.binary_length(odd.column(2)), np.int64), AT_ONCE):
-                yield by_words(part.column(0).to_pylist(), *split_words(part.column(2).to_pylist(), kinds_table()))
-            marked = batch.filter(whole)
-            for k in range(marked.num_rows):
-                ids = np.array(cache["tokenizer"].encode(marked.column(2)[k].as_py(), add_special_tokens=False).ids, np.uint32)
-                yield rows_of([marked.column(0)[k].as_py()], ids, [0, len(ids)])
+            whole = batch.column(2)
+            yield from by_tokenizer(batch.filter(whole))
+            plain = batch.filter(pc.invert(whole))
+            for part in _parts(plain, np.array(pc.binary_length(plain.column(1)), np.int64), AT_ONCE):
+                words, counts, doubts = split_bytes(part.column(1), cache["kinds"], cache["unsure"])
+                if doubts.any():
+                    yield from by_tokenizer(part.filter(pa.array(doubts == 2)))
+                    odd = part.filter(pa.array(doubts == 1))
+                    if odd.num_rows:
+                        yield by_words(odd.column(0).to_pylist(), *split_words(odd.column(1).to_pylist(), cache["kinds"]))
+                    part = part.filter(pa.array(doubts == 0))
+                    words, counts, _ = split_bytes(part.column(1), cache["kinds"], cache["unsure"])
+                if part.num_rows:
+                    yield by_words(part.column(0).to_pylist(), words, counts)
 
     text = text_or_empty()
     whole = F.lit(False)
     for token in added:
         whole = whole | text.contains(token)
-    odd = text.rlike(UNSURE) | whole
-    words = F.when(~odd, F.regexp_extract_all(text, F.lit(WORD), F.lit(0)))
-    ready = docs.select("id", words.alias("words"), F.when(odd, text).alias("text"), whole.alias("whole"))
-    return ready.mapInArrow(run, "id long, piece int, start long, length long, ids_crc32 long")
+    return docs.select("id", text.alias("text"), whole.alias("whole")).mapInArrow(run, "id long, piece int, start long, length long, ids_crc32 long")
 
 
 def _parts(batch: pa.RecordBatch, sizes: np.ndarray, most: int) -> Iterator[pa.RecordBatch]:

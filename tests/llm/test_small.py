@@ -392,6 +392,23 @@ def test_packing_of_documents(spark):
     assert packing.pack_documents(spark.createDataFrame([], "id long, text string"), path).count() == 0
 
 
+def test_packing_of_letters_of_a_later_unicode(spark, monkeypatch):
+    """Words are those of the tokenizer for letters that neither Java nor Python knows; words that a worker forgot come back."""
+    public_tokenizers = pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(packing, "KEPT_WORDS", 20)
+    monkeypatch.setattr(packing, "AT_ONCE", 400)
+    path = public_tokenizers.path("word_bpe_49k.json")
+    tokenizer = Tokenizer.from_file(path)
+    texts = ["a\U000105c0b it's", "x\u0301y 'S", "a\u0958b \u0130c", "'", "don'", "''ll 'llé", "é'S't 1\u06612²", *(text(k, 90) for k in range(30))]
+    rows = packing.pieces(spark.createDataFrame(list(enumerate(texts)), "id long, text string").coalesce(1), path).collect()
+    got = {r.id: (r.length, r.ids_crc32) for r in rows}
+    for k, t in enumerate(texts):
+        ids = tokenizer.encode(t, add_special_tokens=False).ids + [1]
+        assert got[k] == (len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())), t
+
+
 # 9
 
 
