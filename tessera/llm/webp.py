@@ -7,6 +7,7 @@ transforms are inverted. Streams with meta codes are decoded alone, pixel by pix
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import heapq
 import struct
@@ -42,6 +43,7 @@ NEAR = (
     (4, 6), (-4, 6), (6, 4), (-6, 4), (2, 7), (-2, 7), (7, 2), (-7, 2), (3, 7), (-3, 7), (7, 3), (-7, 3), (5, 6), (-5, 6), (6, 5), (-6, 5), (8, 0), (4, 7), (-4, 7), (7, 4),
     (-7, 4), (8, 1), (8, 2), (6, 6), (-6, 6), (8, 3), (5, 7), (-5, 7), (7, 5), (-7, 5), (8, 4), (6, 7), (-6, 7), (7, 6), (-7, 6), (8, 5), (7, 7), (-7, 7), (8, 6), (8, 7),
 )
+NEAR_PAIRS = np.array(NEAR)
 BLACK = 0xFF000000
 CACHE_FACTOR = 0x1E35A7BD
 
@@ -84,8 +86,11 @@ class Writer:
         return self.value.to_bytes(-(-self.size // 8), "little")
 
 
+_REVERSED = [int(f"{k:08b}"[::-1], 2) for k in range(256)]
+
+
 def reversed_bits(code: int, n: int) -> int:
-    return int(f"{code:0{n}b}"[::-1], 2) if n else 0
+    return (_REVERSED[code & 255] << 8 | _REVERSED[code >> 8]) >> (16 - n)
 
 
 def canonical(lengths: Sequence[int]) -> dict[int, tuple[int, int]]:
@@ -126,6 +131,15 @@ class Code:
         raise ValueError("no such code")
 
 
+@functools.lru_cache(64)
+def _length_code(lengths: tuple[int, ...]) -> list[tuple[int, int]]:
+    """(symbol, bits) of a code of code lengths, for each seven bits that may come."""
+    out = [(0, 0)] * 128
+    for s, (c, n) in canonical(lengths).items():
+        out[c :: 1 << n] = [(s, n)] * (128 >> n)
+    return out
+
+
 def read_code(bits: Bits, alphabet: int) -> list[int]:
     """Code lengths of the symbols of an alphabet."""
     lengths = [0] * max(alphabet, 256)
@@ -138,22 +152,29 @@ def read_code(bits: Bits, alphabet: int) -> list[int]:
     first = [0] * 19
     for k in range(4 + bits.read(4)):
         first[CODE_ORDER[k]] = bits.read(3)
-    code = Code(first)
+    code = _length_code(tuple(first))
     most = 2 + bits.read(2 + 2 * bits.read(3)) if bits.read(1) else alphabet
-    last, at = 8, 0
+    last, at, begin = 8, 0, bits.at >> 3
+    ahead, k = int.from_bytes(bits.data[begin : begin + 2 * alphabet], "little"), bits.at & 7  # 14 bits a symbol at most
     while at < alphabet and most:
         most -= 1
-        s = code.read(bits)
+        s, n = code[ahead >> k & 127]
+        k += n
         if s < 16:
             lengths[at] = s
             last = s or last
             at += 1
         else:
-            n = bits.read((2, 3, 7)[s - 16]) + (3, 3, 11)[s - 16]
+            more, n = ((2, 3), (3, 3), (7, 11))[s - 16]
+            n += ahead >> k & (1 << more) - 1
+            k += more
             if at + n > alphabet:
                 raise ValueError("code lengths beyond the alphabet")
             lengths[at : at + n] = [last if s == 16 else 0] * n
             at += n
+    bits.at = 8 * begin + k
+    if bits.at > 8 * bits.size:
+        raise ValueError("the stream ends early")
     return lengths
 
 
@@ -182,8 +203,13 @@ def huffman(counts: dict[int, int], longest: int) -> dict[int, int]:
         floor *= 4
 
 
+#: Lengths are written with a fixed code of four bits for 0-12, 16-18: its symbols, and what goes before them (54 bits).
+_LENGTHS = {s: reversed_bits(k, 4) for k, s in enumerate((*range(13), 16, 17, 18))}
+_LENGTHS_HEAD = 12 << 1 | sum(4 << 5 + 3 * k for k in range(16))
+
+
 def write_code(out: Writer, lengths: dict[int, int], alphabet: int) -> dict[int, tuple[int, int]]:
-    """Writes a code and returns its symbols' codes. Lengths are written with a fixed code of four bits for 0-12, 16-18."""
+    """Writes a code and returns its symbols' codes."""
     used = sorted(lengths)
     if not used or (len(used) <= 2 and used[-1] < 256):
         used = used or [0]
@@ -193,31 +219,29 @@ def write_code(out: Writer, lengths: dict[int, int], alphabet: int) -> dict[int,
         out.put(used[0], 8 if used[0] > 1 else 1)
         if len(used) == 2:
             out.put(used[1], 8)
-        return canonical([int(s in used) for s in range(max(alphabet, 256))])
-    out.put(0, 1)
-    out.put(12, 4)
-    for _ in range(16):
-        out.put(4, 3)
-    symbol = {s: reversed_bits(k, 4) for k, s in enumerate((*range(13), 16, 17, 18))}
-    out.put(0, 1)
-    at = 0
+            return {used[0]: (0, 1), used[1]: (1, 1)}
+        return {used[0]: (0, 0)}
+    value, size, at = _LENGTHS_HEAD, 54, 0
     for s in [*used, alphabet]:
         gap = s - at
         while gap:
             n = min(gap, 138)
             if n < 3:
                 n = 1
-                out.put(symbol[0], 4)
+                value |= _LENGTHS[0] << size
+                size += 4
             elif n < 11:
-                out.put(symbol[17], 4)
-                out.put(n - 3, 3)
+                value |= (_LENGTHS[17] | n - 3 << 4) << size
+                size += 7
             else:
-                out.put(symbol[18], 4)
-                out.put(n - 11, 7)
+                value |= (_LENGTHS[18] | n - 11 << 4) << size
+                size += 11
             gap -= n
         if s < alphabet:
-            out.put(symbol[lengths[s]], 4)
+            value |= _LENGTHS[lengths[s]] << size
+            size += 4
         at = s + 1
+    out.put(value, size)
     return canonical([lengths.get(s, 0) for s in range(alphabet)])
 
 
@@ -633,13 +657,26 @@ def _prefixes(value: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.where(value <= 4, v, 2 * extra + 2 + (v >> extra & 1)), np.where(value <= 4, 0, v & (1 << extra) - 1), extra
 
 
+def _grouped(key: np.ndarray) -> np.ndarray:
+    """Places by key, equal keys in their order: a sort of hashes that carry their places, unless two keys share a hash."""
+    bits = len(key).bit_length()
+    if bits < 24:
+        place = np.uint64((1 << bits) - 1)
+        mixed = np.sort((key * np.uint64(0x9E3779B97F4A7C15)) & ~place | np.arange(len(key), dtype=np.uint64))
+        order = (mixed & place).astype(np.int64)
+        found = key[order]
+        if not ((found[1:] != found[:-1]) & ((mixed[1:] ^ mixed[:-1]) <= place)).any():
+            return order
+    return np.argsort(key, kind="stable")
+
+
 def _copies(flat: np.ndarray, frame: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(place, length, distance) of the copies of a greedy parse: the last earlier place in the frame with the same eight samples."""
     n = len(flat) - 7
     if n < 2:
         return (np.zeros(0, np.int64),) * 3
     key = np.lib.stride_tricks.as_strided(flat, (n, 8), (1, 1)).copy().view(np.uint64).ravel()
-    order = np.argsort(key, kind="stable")
+    order = _grouped(key)
     same = key[order[1:]] == key[order[:-1]]
     at, before = order[1:][same], order[:-1][same]
     inside = (frame[at] == frame[before]) & (at + 8 <= ends[frame[at]])
@@ -751,10 +788,18 @@ def _encode(payloads: Sequence[bytes]) -> list[bytes]:
     return [write_file(f) for f in files]
 
 
+@functools.lru_cache(256)
+def _lone_table(symbol: int) -> np.ndarray:
+    return np.full(1 << LONGEST, symbol << 4, np.uint16)
+
+
 def _table(lengths: Sequence[int]) -> np.ndarray:
     """symbol << 4 | bits for each LONGEST bits that may come."""
+    codes = canonical(lengths)
+    if len(codes) == 1:
+        return _lone_table(*codes)
     out = np.zeros(1 << LONGEST, np.uint16)
-    for s, (c, n) in canonical(lengths).items():
+    for s, (c, n) in codes.items():
         out[c :: 1 << n] = s << 4 | n
     return out
 
@@ -864,7 +909,7 @@ def _side_by_side(streams: list[bytes], known: list[tuple]) -> list[np.ndarray]:
                     bits[new] += extra
                 steps, d = value
                 near = d <= 120
-                pair = np.array(NEAR)[d[near] - 1]
+                pair = NEAR_PAIRS[d[near] - 1]
                 d = d - 120
                 d[near] = np.maximum(1, pair[:, 0] + pair[:, 1] * width[new][near])
                 if (d > t).any() or (steps > count[new] - t).any():

@@ -174,6 +174,15 @@ def test_webp_streams_side_by_side():
     assert all(g == (x >> 8 & 255).astype(np.uint8).tobytes() for g, (_, x) in zip(got, images, strict=True))
 
 
+def test_webp_places_by_key():
+    """The fast order of equal samples is the stable one, also where hashes are shared."""
+    key = np.array([ord(c) for c in text(9, 4000)], np.uint64) << np.uint64(3)
+    for own in (key, key << np.uint64(60), np.arange(5, dtype=np.uint64)):
+        order, want = webp._grouped(own), np.argsort(own, kind="stable")
+        runs = lambda o: sorted(map(tuple, np.split(o, np.flatnonzero(np.diff(own[o].astype(np.int64))) + 1)))
+        assert runs(order) == runs(want)
+
+
 # 4
 
 
