@@ -372,6 +372,26 @@ def predicted(pixels: list[int], width: int, modes: list[int], size_bits: int, i
     return out
 
 
+def predicted_alike(pixels: np.ndarray, width: int, mode: int, inverse: bool) -> np.ndarray:
+    """predicted() where all blocks have mode 1 (left) or 2 (top), by sums or differences over rows and columns."""
+    c = (pixels.reshape(-1, width, 1) >> np.array([24, 16, 8, 0]) & 255).astype(np.uint8)
+    out, own = c.copy(), 1 if mode == 1 else 0
+    if inverse:
+        out[0, 0, :1] += 255
+        edge = np.cumsum(out[:, 0] if own else out[0], axis=0, dtype=np.uint8)
+        out[(slice(None), 0) if own else 0] = edge
+        out = np.cumsum(out, axis=own, dtype=np.uint8)
+    else:
+        if own:
+            out[:, 1:] -= c[:, :-1]
+            out[1:, 0] -= c[:-1, 0]
+        else:
+            out[1:] -= c[:-1]
+            out[0, 1:] -= c[0, :-1]
+        out[0, 0, :1] -= 255
+    return (out.astype(np.int64) << np.array([24, 16, 8, 0])).sum(axis=2).ravel()
+
+
 def cross_coloured(pixels: np.ndarray, width: int, factors: np.ndarray, size_bits: int, inverse: bool) -> np.ndarray:
     at = np.arange(len(pixels))
     across = -(-width >> size_bits)
@@ -421,7 +441,9 @@ def read_head(bits: Bits) -> tuple[int, int, int, list[tuple]]:
 def inverted(pixels: np.ndarray, todo: list[tuple], height: int) -> np.ndarray:
     """The image (flat) after all transforms, the last one first."""
     for kind, size, extra, own in reversed(todo):
-        if kind == 0:
+        if kind == 0 and len(modes := {m >> 8 & 15 for m in extra}) == 1 and modes <= {1, 2}:
+            pixels = predicted_alike(pixels, own, modes.pop(), True)
+        elif kind == 0:
             pixels = np.array(predicted(pixels.tolist(), own, extra, size, True), np.int64)
         elif kind == 1:
             pixels = cross_coloured(pixels, own, np.array(extra, np.int64), size, True)
@@ -623,19 +645,62 @@ def encode_payloads(payloads: Sequence[bytes]) -> list[bytes]:
     """A file for each payload (a multiple of 64 bytes): green samples, the other channels constant.
 
     What stood before in a frame is copied where that is shorter; a payload of few different values has a palette whose
-    indexes share a sample. Its frames share their codes. A colour cache, a predictor and the colour transforms can't
-    shorten samples of one channel that stand in no order, and aren't written.
+    indexes share a sample; one whose samples change little from left to right or from row to row has a predictor. The
+    shortest file stays. Its frames share their codes. A colour cache isn't tried; the colour transforms can only lengthen
+    samples of one channel, as the other channels take no bits.
     """
     out: list[bytes] = []
     held: list[bytes] = []
     room = CACHED
     for p in payloads:
         if held and room < len(p):
-            out += _encode(held)
+            out += _shortest(held)
             held, room = [], CACHED
         held.append(p)
         room -= len(p)
-    return out + (_encode(held) if held else [])
+    return out + (_shortest(held) if held else [])
+
+
+def _modes(payloads: Sequence[bytes]) -> np.ndarray:
+    """The predictor that may pay for each payload: 1 (left) or 2 (top), where the steps have a tenth less entropy than the samples, else 0."""
+    flat = np.frombuffer(b"".join(payloads), np.uint8)
+    size = np.fromiter(map(len, payloads), np.int64, len(payloads))
+    base = np.repeat(np.arange(len(payloads), dtype=np.int64) << 8, size)
+    cost = []
+    for back in (0, 1, WIDTH):
+        step = flat.copy()
+        if back:
+            step[back:] -= flat[:-back]
+        seen = np.bincount(base + step, minlength=len(payloads) << 8).reshape(-1, 256)
+        cost.append(size * np.log2(size) - (seen * np.log2(np.maximum(seen, 1))).sum(axis=1))
+    best = np.where(cost[2] < cost[1], 2, 1)
+    return np.where(np.minimum(cost[1], cost[2]) < 0.9 * cost[0], best, 0)
+
+
+def _shortest(payloads: Sequence[bytes]) -> list[bytes]:
+    """_encode(), and with the predictor where that may pay; the shorter file stays."""
+    out, modes = _encode(payloads), _modes(payloads)
+    for mode in (1, 2):
+        own = np.flatnonzero(modes == mode).tolist()
+        for k, other in zip(own, _encode([payloads[k] for k in own], mode) if own else [], strict=True):
+            out[k] = min(out[k], other, key=len)
+    return out
+
+
+def _steps(raw: np.ndarray, mode: int) -> np.ndarray:
+    """The green residuals of a payload's frames."""
+    parts = []
+    for at in range(0, len(raw), WIDTH * ROWS):
+        own = raw[at : at + WIDTH * ROWS].reshape(-1, WIDTH)
+        out = own.copy()
+        if mode == 1:
+            out[:, 1:] -= own[:, :-1]
+            out[1:, 0] -= own[:-1, 0]
+        else:
+            out[1:] -= own[:-1]
+            out[0, 1:] -= own[0, :-1]
+        parts.append(out.ravel())
+    return np.concatenate(parts)
 
 
 def _near_codes(width: int) -> np.ndarray:
@@ -694,15 +759,16 @@ def _copies(flat: np.ndarray, frame: np.ndarray, ends: np.ndarray) -> tuple[np.n
     return tuple(np.array(rows, np.int64).reshape(-1, 3).T)
 
 
-def _encode(payloads: Sequence[bytes]) -> list[bytes]:
+def _encode(payloads: Sequence[bytes], mode: int = 0) -> list[bytes]:
+    """Files of payloads, all with the predictor `mode` and no palette, or with palettes where values are few."""
     shift, palettes, samples = [], [], []
     for p in payloads:
         raw = np.frombuffer(p, np.uint8)
         used = np.flatnonzero(np.bincount(raw, minlength=256))
-        k = 0 if len(p) < PALETTE_BYTES or len(used) > 16 else 3 if len(used) <= 2 else 2 if len(used) <= 4 else 1
+        k = 0 if mode or len(p) < PALETTE_BYTES or len(used) > 16 else 3 if len(used) <= 2 else 2 if len(used) <= 4 else 1
         shift.append(k)
         palettes.append(used.tolist() if k else None)
-        samples.append(raw if not k else (np.searchsorted(used, raw).astype(np.uint8).reshape(-1, 1 << k) << (np.arange(1 << k) * (8 >> k)).astype(np.uint8)).sum(axis=1, dtype=np.uint8))
+        samples.append(_steps(raw, mode) if mode else raw if not k else (np.searchsorted(used, raw).astype(np.uint8).reshape(-1, 1 << k) << (np.arange(1 << k) * (8 >> k)).astype(np.uint8)).sum(axis=1, dtype=np.uint8))
     shift = np.array(shift)
     size = np.fromiter(map(len, samples), np.int64, len(samples))
     most = WIDTH * ROWS >> shift  # samples of a frame
@@ -747,11 +813,15 @@ def _encode(payloads: Sequence[bytes]) -> list[bytes]:
             w.put(7, 3)
             w.put(len(palette) - 1, 8)
             write_image(w, [BLACK if not j else (b - a) << 8 for j, (a, b) in enumerate(zip([0, *palette], palette))] if palette[0] == 0 else [BLACK | palette[0] << 8, *((b - a) << 8 for a, b in zip(palette, palette[1:]))], len(palette), False)
+        if mode:  # one block of 512 pixels
+            w.put(1, 3)
+            w.put(7, 3)
+            write_image(w, [BLACK | mode << 8], 1, False)
         for _ in range(3):  # no more transforms, no cache, no meta codes
             w.put(0, 1)
         used = np.flatnonzero(seen[k, :280])
         green = write_code(w, huffman(dict(zip(used.tolist(), seen[k, used].tolist(), strict=True)), LONGEST), 280)
-        for constant in (0, 0, 255):
+        for constant in (0, 0, 0 if mode else 255):
             write_code(w, {constant: 1}, 256)
         used = np.flatnonzero(seen[k, 280:])
         far = write_code(w, huffman(dict(zip(used.tolist(), seen[k, 280 + used].tolist(), strict=True)), LONGEST), 40)
@@ -827,7 +897,7 @@ def decode_payloads(files: Sequence[bytes]) -> list[bytes]:
         last = None  # frames of a file mostly share all but their height and pixels
         for f, stream in enumerate(read_file(data)):
             height = (int.from_bytes(stream[1:5], "little") >> 14 & 0x3FFF) + 1
-            if last is not None and stream[:3] == last[0][:3] and len(stream) > last[1] and stream[5 : last[1]] == last[0][5 : last[1]] and (stream[last[1]] ^ last[0][last[1]]) & last[2] == 0 and not any(t[0] < 2 for t in last[3][3]):
+            if last is not None and stream[:3] == last[0][:3] and len(stream) > last[1] and stream[5 : last[1]] == last[0][5 : last[1]] and (stream[last[1]] ^ last[0][last[1]]) & last[2] == 0 and not any(t[0] == 1 or t[0] == 0 and (len(t[2]) > 1 or height > 1 << t[1]) for t in last[3][3]):
                 found = (*last[3][:2], height, *last[3][3:])
             else:
                 found = _main_image(stream)

@@ -174,6 +174,24 @@ def test_webp_streams_side_by_side():
     assert all(g == (x >> 8 & 255).astype(np.uint8).tobytes() for g, (_, x) in zip(got, images, strict=True))
 
 
+def test_webp_predictors():
+    """Samples that change in steps are stored by a predictor, which the decoders of one and of many streams invert."""
+    rng = np.random.default_rng(1)
+    left = np.cumsum(rng.integers(-1, 2, 9024)).astype(np.uint8).tobytes()
+    top = np.cumsum(np.concatenate([rng.integers(0, 256, (1, 64)), rng.integers(-1, 2, (99, 64))]), axis=0).astype(np.uint8).tobytes()
+    noise = rng.integers(0, 256, 6400).astype(np.uint8).tobytes()
+    files = webp.encode_payloads([left, noise, top])
+    kinds = [{t[0] for f in webp.read_file(x) for t in webp.read_head(webp.Bits(f))[3]} for x in files]
+    assert kinds == [{0}, set(), {0}] and len(files[0]) < 3000 and len(files[2]) < 2400
+    assert webp.decode_payloads(files) == [left, noise, top]
+    for x, p in zip(files, [left, noise, top]):
+        assert b"".join((webp.decode_stream(f) >> 8 & 255).astype(np.uint8).tobytes() for f in webp.read_file(x)) == p
+    pixels = rng.integers(0, 1 << 32, 64 * 9)
+    for mode in (1, 2):
+        plain = np.array(webp.predicted(pixels.tolist(), 64, [mode << 8], 9, False))
+        assert (webp.predicted_alike(pixels, 64, mode, False) == plain).all() and (webp.predicted_alike(plain, 64, mode, True) == pixels).all()
+
+
 def test_webp_places_by_key():
     """The fast order of equal samples is the stable one, also where hashes are shared."""
     key = np.array([ord(c) for c in text(9, 4000)], np.uint64) << np.uint64(3)
