@@ -28,10 +28,9 @@ SPACES = r"\p{IsWhite_Space}"
 #: Words of one batch; and the most texts and words that are folded beforehand and sent to all tasks. Other words are folded
 #: once a batch, in place.
 BATCH_WORDS, KNOWN_DOCS, KNOWN_WORDS = 6_000_000, 20_000, 200_000
-#: Ids have 16 bits, places of a word 29 and ranks, at least OFFSET to be no ids, what is above. EDGE is no id.
+#: Ids have 16 bits, places of a word 29 and ranks, at least OFFSET to be no ids, what is above.
 PLACE, OFFSET = 45, 1 << 16
 IDS, PLACES, NONE = (1 << 16) - 1, ((1 << 29) - 1) << 16, 2 * OFFSET << PLACE
-EDGE = IDS
 FACTOR, BUCKETS = 40_503, 1 << 17
 
 
@@ -44,16 +43,22 @@ def word_pattern(pattern: str) -> str:
     return pattern.replace(r"[^\s", f"[^{SPACES}").replace(r"\s", SPACES).replace(r"\S", SPACES.replace("p", "P", 1))
 
 
-def let(x: Column, f: Callable[[Column], Column]) -> Column:
-    """f(x) with x evaluated once."""
-    return F.transform(F.array(x), f)[0]
+def within(pieces: Column, x: Column, f: Callable[[Column, Column], Column]) -> Column:
+    """f(pieces, x), an array like pieces, with x evaluated once. An element of transform(array(x), f) would be a copy of that
+    array, and Spark would ask for the type of all that is inside at each evaluation."""
+    return F.aggregate(F.array(x), pieces, f)
+
+
+def either(condition: Column, yes: Column, no: Column) -> Column:
+    """if() instead of when(), whose branches are a list that each evaluation counts through."""
+    return F.call_function("if", condition, yes, no)
 
 
 class Merges:
     """Plan literals for one vocabulary: ranks of pairs in buckets, ranks of single bytes, pieces of ids."""
 
     def __init__(self, ranks: dict[bytes, int]):
-        if max(ranks.values(), default=0) >= EDGE:
+        if max(ranks.values(), default=0) >= IDS:
             raise ValueError("ids must fit 16 bits")
         buckets: list[list[int]] = [[] for _ in range(BUCKETS)]
         for token, rank in ranks.items():
@@ -71,40 +76,45 @@ class Merges:
 
     @staticmethod
     def rank(buckets: Column, left: Column, right: Column) -> Column:
-        """(rank + OFFSET) << PLACE of the merge, or NONE. As right < 2**16, bucket and left tell right. The filter stands where
-        a position is asked for elsewhere: Spark ends array_position() by an exception, which costs more than all else."""
+        """(rank + OFFSET) << PLACE of the merge, or NONE. As right < 2**16, bucket and left tell right. aggregate() stands where a
+        position is asked for elsewhere: Spark ends array_position() by an exception, which costs more than all else."""
         bucket = F.get(buckets, (left * FACTOR).bitwiseXOR(right).bitwiseAND(F.lit(BUCKETS - 1)).cast("int"))
-        found = F.get(F.filter(bucket, lambda x: F.shiftright(x, 17) == left), F.lit(0))
-        return F.coalesce(F.shiftleft(found.bitwiseAND(F.lit((1 << 17) - 1)), PLACE), F.lit(NONE))
+        found = lambda x: F.shiftleft(x.bitwiseAND(F.lit((1 << 17) - 1)), PLACE)
+        return F.coalesce(F.aggregate(bucket, F.lit(NONE), lambda known, x: either(F.shiftright(x, 17) == left, found(x), known)), F.lit(NONE))
 
     def folded(self, words: Column) -> Column:
         """The ids of words, each an array of its bytes as integers. The literals of the ranks stand once in the plan: every
         place of one would be one more copy on the driver and in each task's binary."""
-        return let(self.pairs, lambda pairs: let(self.bytes, lambda single: let(self.buckets, lambda buckets: F.transform(words, lambda word: self._fold(word, pairs, single, buckets)))))
+        none = F.array().cast("array<array<int>>")
+        return within(none, self.pairs, lambda none, pairs: within(none, self.bytes, lambda none, single: within(none, self.buckets, lambda _, buckets: F.transform(words, lambda word: self._fold(word, pairs, single, buckets)))))
 
     @staticmethod
     def _fold(word: Column, pairs: Column, single: Column, buckets: Column) -> Column:
-        """The word is an array of numbers, one for each piece, between two edges that merge with nothing: the rank of its
-        merge with the next piece, where it began, and its id, from the highest bits to the lowest. So the least number is
-        the leftmost merge of the lowest rank; a step replaces it and what follows it, and ranks its neighbours anew."""
+        """The word is an array of numbers, one for each piece: the rank of its merge with the next piece, its place in the
+        array, and its id, from the highest bits to the lowest. So the least number is the leftmost merge of the lowest rank,
+        and tells where that is; a step replaces it, ranks its left neighbour anew and moves all that follows down by one
+        place, so that nulls gather at the end. Past the ends are nulls too, which merge with nothing. Slices, concatenations
+        and when() would take several times as long."""
         id_of = lambda piece: piece.bitwiseAND(F.lit(IDS))
-        first, last = F.array(F.lit(NONE + EDGE)), F.array(F.lit(NONE + PLACES + EDGE))
 
         def start(b: Column, i: Column) -> Column:
             return F.shiftleft(F.coalesce(F.get(pairs, b * 256 + F.get(word, i + 1)), F.lit(2 * OFFSET)), PLACE) + F.shiftleft(i.cast("bigint"), 16) + F.get(single, b)
 
-        def step(pieces: Column, _: Column) -> Column:
-            def merged(least: Column, own: Column, at: Column) -> Column:
-                new = let(F.get(pieces, at + 1), lambda after: (least.bitwiseAND(F.lit(PLACES)) + own) + Merges.rank(buckets, own, id_of(after)))
-                left = let(F.get(pieces, at - 2), lambda before: before.bitwiseAND(F.lit(PLACES + IDS)) + Merges.rank(buckets, id_of(before), own))
-                return F.concat(F.slice(pieces, F.lit(1), at - 2), F.array(left, new), F.slice(pieces, at + 2, F.size(pieces)))
+        def merged(pieces: Column, least: Column, at: Column) -> Column:
+            own, before, after = F.shiftright(least, PLACE) - OFFSET, F.get(pieces, at - 1), F.get(pieces, at + 2)
+            new = (least.bitwiseAND(F.lit(PLACES)) + own) + Merges.rank(buckets, own, id_of(after))
+            left = before.bitwiseAND(F.lit(PLACES + IDS)) + Merges.rank(buckets, id_of(before), own)
+            early = lambda x, i: either(i < at - 1, x, left)
+            late = lambda i: either(i == at, new, F.get(pieces, i + 1) - F.lit(1 << 16))
+            return F.transform(pieces, lambda x, i: either(i < at, early(x, i), late(i)))
 
-            found = lambda least: let(F.shiftright(least, PLACE) - OFFSET, lambda own: let(F.size(F.filter(pieces, lambda x: x.bitwiseAND(F.lit(PLACES)) <= least.bitwiseAND(F.lit(PLACES)))), lambda at: merged(least, own, at)))
-            return let(F.array_min(pieces), lambda least: F.when(least < NONE, found(least)).otherwise(pieces))
+        def step(pieces: Column, _: Column) -> Column:
+            found = lambda own, least: within(own, F.shiftright(least.bitwiseAND(F.lit(PLACES)), 16).cast("int"), lambda own, at: merged(own, least, at))
+            return within(pieces, F.array_min(pieces), lambda own, least: either(least < NONE, found(own, least), own))
 
-        whole = F.aggregate(F.sequence(F.lit(1), F.size(word) - 1), F.concat(first, F.transform(word, start), last), step)
+        whole = F.aggregate(F.sequence(F.lit(1), F.size(word) - 1), F.transform(word, start), step)
         short = F.transform(word, lambda b: F.get(single, b).cast("int"))
-        return F.when(F.size(word) < 2, short).otherwise(F.filter(F.transform(whole, lambda x: id_of(x).cast("int")), lambda k: k != EDGE))
+        return either(F.size(word) < 2, short, F.filter(F.transform(whole, lambda x: id_of(x).cast("int")), lambda k: k.isNotNull()))
 
     def decode(self, ids: Column) -> Column:
         return F.aggregate(ids, F.lit(b""), lambda acc, k: F.concat(acc, F.get(self.pieces, k)))
@@ -126,6 +136,11 @@ def _bytes_of(words: pa.StringArray) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(offsets - offsets[0], pa.int32()), pa.array(flat[offsets[0] : offsets[-1]].astype(np.int32)))
 
 
+def _as_value(x: np.ndarray) -> pa.BinaryArray:
+    """One binary value, the bytes of x, which aren't copied."""
+    return pa.Array.from_buffers(pa.binary(), 1, [None, pa.py_buffer(np.array([0, x.nbytes], np.int32)), pa.py_buffer(x)])
+
+
 def known_words(docs: DataFrame, merges: Merges, pattern: str, limit: int, scratch: Scratch) -> pa.Table:
     """(word, ids, raw) of the most frequent words, KNOWN_WORDS at most, of at most `limit` different texts: ids joined by a space."""
     chosen = sampled_texts(docs, limit, "bytebpe").select(F.explode(F.regexp_extract_all("text", F.lit(pattern), F.lit(0))).alias("word"))
@@ -163,9 +178,12 @@ def encode_decode(docs: DataFrame, path: str, pattern: str, known_docs: int = KN
                 number = np.array(pc.fill_null(pc.index_in(words.dictionary, known), -1), np.int32)
                 new = number < 0
                 number[new] = len(known) + np.arange(new.sum())
-                binary = [pa.array([x.tobytes()], pa.binary()) for x in (np.array(part.column(0), np.int64), sizes[at : at + n], number[np.array(words.indices)])]
-                raw = _bytes_of(words.dictionary.filter(pa.array(new)))
-                yield pa.RecordBatch.from_arrays([*binary, pa.ListArray.from_arrays(pa.array([0, len(raw)], pa.int32()), raw)], ["ids", "counts", "places", "raw"])
+                places, raw = number[words.indices.to_numpy()], _bytes_of(words.dictionary.filter(pa.array(new)))
+                own = [_as_value(x) for x in (np.array(part.column(0), np.int64), sizes[at : at + n].copy(), places)]
+                del words, number, new, places, part
+                pa.default_memory_pool().release_unused()
+                yield pa.RecordBatch.from_arrays([*own, pa.ListArray.from_arrays(pa.array([0, len(raw)], pa.int32()), raw)], ["ids", "counts", "places", "raw"])
+                del own, raw
                 at += n
 
     def texts_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -188,6 +206,8 @@ def encode_decode(docs: DataFrame, path: str, pattern: str, known_docs: int = KN
                     decoded = pc.binary_join(pa.ListArray.from_arrays(cuts, binary.take(index)), b"")
                     out = [pa.array(ids[a:b]), pa.array(totals), *(pa.array([hashlib.sha256(x.as_buffer() or b"").hexdigest() for x in col], pa.string()) for col in (joined, decoded))]
                     yield pa.RecordBatch.from_arrays([*out, *([joined, decoded] if keep else [])], names)
+                del found, lists, text, binary, number, joined, decoded, out
+                pa.default_memory_pool().release_unused()
 
     schema = "id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids string, decoded binary" * keep
     names = [x.split()[0] for x in schema.split(", ")]

@@ -237,6 +237,23 @@ def test_byte_bpe_known_words_are_bounded(spark, monkeypatch):
         assert r.ids == " ".join(map(str, ids)) and r.n_tokens == len(ids) and bytes(r.decoded).decode() == texts[r.id]
 
 
+def test_byte_bpe_steps_are_light(spark):
+    """A step of the fold is one pass over the pieces: no slice, concatenation or CASE, which take most of the time where they stand; same ids."""
+    public_tokenizers = pytest.importorskip("public_tokenizers")
+    import tiktoken
+
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    enc = tiktoken.Encoding("own", pat_str=r"(?s).+", mergeable_ranks=bytebpe.read_ranks(path), special_tokens={})
+    merges = bytebpe.Merges(bytebpe.read_ranks(path))
+    words = ["", "a", "ab", "aaaaaaa", "é", "\U0001f600", " " * 7, "abcabc" * 40, *(text(k, 3).replace(" ", "") for k in range(60))]
+    found = spark.createDataFrame([(k, [list(w.encode())]) for k, w in enumerate(words)], "id int, raw array<array<int>>").select("id", merges.found(F.col("raw"))[0].alias("x"))
+    for r in found.collect():
+        assert list(r.x.ids) == enc.encode_ordinary(words[r.id]) and bytes(r.x.raw) == words[r.id].encode()
+    places = spark.createDataFrame([], "word array<int>, pairs array<bigint>, single array<bigint>, buckets array<array<bigint>>")
+    plan = places.select(bytebpe.Merges._fold(*(F.col(c) for c in places.columns)))._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert "aggregate(" in plan and not [x for x in ("slice(", "concat(", "case when") if x in plan]
+
+
 # 5
 
 
