@@ -95,7 +95,10 @@ def reversed_bits(code: int, n: int) -> int:
 
 def canonical(lengths: Sequence[int]) -> dict[int, tuple[int, int]]:
     """symbol: (code as it stands in the stream, bits). A lone symbol has no bits."""
-    used = sorted((n, s) for s, n in enumerate(lengths) if n)
+    return _canonical(sorted((n, s) for s, n in enumerate(lengths) if n))
+
+
+def _canonical(used: list[tuple[int, int]]) -> dict[int, tuple[int, int]]:
     if len(used) == 1:
         return {used[0][1]: (0, 0)}
     out, code, last = {}, 0, 0
@@ -242,7 +245,7 @@ def write_code(out: Writer, lengths: dict[int, int], alphabet: int) -> dict[int,
             size += 4
         at = s + 1
     out.put(value, size)
-    return canonical([lengths.get(s, 0) for s in range(alphabet)])
+    return _canonical(sorted((n, s) for s, n in lengths.items()))
 
 
 # --- decoding any stream
@@ -858,6 +861,10 @@ def _encode(payloads: Sequence[bytes], mode: int = 0) -> list[bytes]:
     return [write_file(f) for f in files]
 
 
+#: Each LONGEST bits from the last to the first.
+_REVERSED_PLACES = np.array([reversed_bits(k, LONGEST) for k in range(1 << LONGEST)])
+
+
 @functools.lru_cache(256)
 def _lone_table(symbol: int) -> np.ndarray:
     return np.full(1 << LONGEST, symbol << 4, np.uint16)
@@ -865,13 +872,19 @@ def _lone_table(symbol: int) -> np.ndarray:
 
 def _table(lengths: Sequence[int]) -> np.ndarray:
     """symbol << 4 | bits for each LONGEST bits that may come."""
-    codes = canonical(lengths)
-    if len(codes) == 1:
-        return _lone_table(*codes)
-    out = np.zeros(1 << LONGEST, np.uint16)
-    for s, (c, n) in codes.items():
-        out[c :: 1 << n] = s << 4 | n
-    return out
+    raw = bytes(lengths)
+    many = len(raw) - raw.count(0)
+    if many == 1:
+        return _lone_table(raw.index(max(raw)))
+    if not many:
+        return np.zeros(1 << LONGEST, np.uint16)
+    size = np.frombuffer(raw, np.uint8).astype(np.int64)
+    used = np.argsort(size, kind="stable")[-many:]
+    bits = size[used]
+    times = 1 << LONGEST - bits
+    if times.sum() != 1 << LONGEST:
+        raise ValueError("a prefix code is not complete")
+    return np.repeat((used << 4 | bits).astype(np.uint16), times)[_REVERSED_PLACES]
 
 
 def _main_image(data: bytes) -> tuple | None:
@@ -922,7 +935,7 @@ def _side_by_side(streams: list[bytes], known: list[tuple]) -> list[np.ndarray]:
     """The coded pixels (ARGB) of streams whose heads are known."""
     size = np.fromiter(map(len, streams), np.int64, len(streams))
     flat = np.frombuffer(b"".join(streams) + b"\0" * 16, np.uint8)
-    ahead = np.lib.stride_tricks.as_strided(flat, (len(flat) - 8, 8), (1, 1)).copy().view(np.uint64).ravel()  # eight bytes from each place
+    ahead = np.lib.stride_tricks.as_strided(flat, (len(flat) - 8, 8), (1, 1)).copy().view(np.int64).ravel()  # eight bytes from each place; the sign is never among the bits that are read
     count = np.array([x[1] * x[2] for x in known])
     order = np.argsort(-count, kind="stable")
     base = np.cumsum(size) - size
@@ -943,25 +956,25 @@ def _side_by_side(streams: list[bytes], known: list[tuple]) -> list[np.ndarray]:
     out = np.zeros((int(count[0]), len(streams)), np.uint32)
     left, back = np.zeros(len(streams), np.int64), np.zeros(len(streams), np.int64)
     live = np.searchsorted(-count, -np.arange(1, int(count[0]) + 1), side="right")
-    mask, copying = np.uint64((1 << LONGEST) - 1), 0
+    mask, copying = (1 << LONGEST) - 1, 0
     for t in range(int(count[0])):
         n = live[t]
         here = at[:n]
-        word = ahead[np.minimum(here >> 3, len(ahead) - 1)] >> (here & 7).astype(np.uint64)
-        got = green[row[:n] + (word & mask).astype(np.int64)]
-        bits, symbol = (got & 15).astype(np.int64), (got >> 4).astype(np.uint32)
+        word = ahead.take(here >> 3, mode="clip")
+        word >>= here & 7
+        got = green.take(row[:n] + (word & mask), mode="clip")
         if copying:
-            busy = left[:n] > 0
-            bits[busy], symbol[busy] = 0, 0
+            got[left[:n] > 0] = 0
+        bits, symbol = (got & 15).astype(np.int64), (got >> 4).astype(np.uint32)
         now = symbol << 8 | rest[:n]
         if not plain:
             lit = np.flatnonzero((symbol < 256) & (left[:n] == 0))
             now[lit] = symbol[lit] << 8
             for table, by in ((red, 16), (blue, 0), (alpha, 24)):
-                own = table[row[lit] + (word[lit] >> bits[lit].astype(np.uint64) & mask).astype(np.int64)]
+                own = table[row[lit] + (word[lit] >> bits[lit] & mask)]
                 now[lit] |= (own >> 4).astype(np.uint32) << np.uint32(by)
                 bits[lit] += own & 15
-        new = np.flatnonzero(symbol >= 256)
+        new = (got >= 256 << 4).nonzero()[0]
         if len(new):
             hit = new[symbol[new] >= 280]
             now[hit] = cache[cache_at[hit] + symbol[hit].astype(np.int64) - 280]
@@ -970,11 +983,11 @@ def _side_by_side(streams: list[bytes], known: list[tuple]) -> list[np.ndarray]:
                 value = []
                 for prefix in (symbol[new].astype(np.int64) - 256, None):
                     if prefix is None:
-                        own = far[row[new] + (word[new] >> bits[new].astype(np.uint64) & mask).astype(np.int64)]
+                        own = far[row[new] + (word[new] >> bits[new] & mask)]
                         prefix = (own >> 4).astype(np.int64)
                         bits[new] += own & 15
                     extra = np.maximum((prefix - 2) >> 1, 0)
-                    low = (word[new] >> bits[new].astype(np.uint64)).astype(np.int64) & (1 << extra) - 1
+                    low = word[new] >> bits[new] & (1 << extra) - 1
                     value.append(np.where(prefix < 4, prefix + 1, (2 + (prefix & 1) << extra) + low + 1))
                     bits[new] += extra
                 steps, d = value

@@ -192,6 +192,26 @@ def test_webp_predictors():
         assert (webp.predicted_alike(pixels, 64, mode, False) == plain).all() and (webp.predicted_alike(plain, 64, mode, True) == pixels).all()
 
 
+def test_webp_tables_are_laid_out_at_once(monkeypatch):
+    """Decoding tables come from runs of symbols, without one code after the other; the same as by codes."""
+    rng = np.random.default_rng(8)
+    all_lengths = [[0] * 280, [0] * 7 + [1] + [0] * 272, [1, 1], [2, 0, 1, 2]]
+    for k in range(30):
+        own = webp.huffman({int(x): int(n) for x, n in zip(rng.choice(280, 3 + 9 * k, replace=False), rng.integers(1, 9000, 3 + 9 * k))}, webp.LONGEST)
+        all_lengths.append([own.get(x, 0) for x in range(280)])
+    want = []
+    for lengths in all_lengths:
+        out = np.zeros(1 << webp.LONGEST, np.uint16)
+        for x, (c, n) in webp.canonical(lengths).items():
+            out[c :: 1 << n] = x << 4 | n
+        want.append(out)
+    monkeypatch.delattr(webp, "canonical")
+    for lengths, out in zip(all_lengths, want, strict=True):
+        assert (webp._table(lengths) == out).all()
+    with pytest.raises(ValueError):
+        webp._table([2, 2, 2])
+
+
 def test_webp_places_by_key():
     """The fast order of equal samples is the stable one, also where hashes are shared."""
     key = np.array([ord(c) for c in text(9, 4000)], np.uint64) << np.uint64(3)
