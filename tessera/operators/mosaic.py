@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import itertools
 import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.operators.grid import canvas_ratio
@@ -18,6 +19,9 @@ from tessera.operators.grid import canvas_ratio
 #: Pixels of a strip that a task paints at once.
 PIXELS = 1 << 24
 
+#: Tiles of one colour that a strip keeps before it is painted, and bytes of equal rows that are hashed at once, in a core's cache.
+KEPT, HASHED = 1 << 14, 1 << 17
+
 
 @functools.lru_cache(64)
 def _decoded(data: bytes) -> np.ndarray:
@@ -33,14 +37,14 @@ def pixels_of(data: bytes, width: int, height: int) -> np.ndarray | None:
     """The 8-bit RGB pixels of a tile: JPEG, raw rows, or one pixel for all; None for what can't be read."""
     from tessera.sources import jpeg
 
+    pixels = np.frombuffer(data, np.uint8)
+    if len(pixels) == 3:  # no JPEG is as short, though this colour may begin like one
+        return np.broadcast_to(pixels, (height, width, 3))
     if jpeg.is_jpeg(data):
         try:
             return _decoded(data) if len(data) < 8192 else jpeg.decode(data)
         except ValueError:
             return None
-    pixels = np.frombuffer(data, np.uint8)
-    if len(pixels) == 3:
-        return np.broadcast_to(pixels, (height, width, 3))
     return pixels.reshape(height, width, 3) if len(pixels) == 3 * width * height else None
 
 
@@ -64,6 +68,34 @@ def scaled(pixels: np.ndarray, width: int, height: int) -> np.ndarray:
     return np.floor(shares(w, width) @ down + 0.5 + 1e-9).astype(np.uint8)
 
 
+def runs(width: int, height: int, tiles: list[tuple]) -> Iterator[tuple[bytes, int]]:
+    """(row, count): runs of equal rows, from the top, under tiles of one colour (x0, x1, y0, y1, colour), black elsewhere.
+
+    Later tiles cover earlier ones; y0 never falls from tile to tile. Only one row of a run is painted.
+    """
+    above, at = [], 0
+    for low, high in itertools.pairwise(sorted({0, height, *(t[2] for t in tiles), *(t[3] for t in tiles)})):
+        above = [t for t in above if t[3] > low]
+        while at < len(tiles) and tiles[at][2] <= low:
+            above.append(tiles[at])
+            at += 1
+        row = bytearray(3 * width)
+        for x0, x1, _, _, colour in above:
+            row[3 * x0 : 3 * x1] = colour * (x1 - x0)
+        yield bytes(row), high - low
+
+
+def hashed(rows: Iterator[tuple[bytes, int]]) -> str:
+    """SHA-256 in hex of runs of equal rows, which are laid out a few at a time."""
+    out = hashlib.sha256()
+    for row, count in rows:
+        size = len(row) * count
+        some = memoryview(row * min(count, max(1, HASHED // max(len(row), 1))))
+        for at in range(0, size, len(some) or 1):
+            out.update(some[: size - at])
+    return out.hexdigest()
+
+
 def with_sizes(tiles: DataFrame) -> DataFrame:
     """Fills tile_w and tile_h of JPEG tiles (data) from their own headers, as servers cut tiles as they like.
 
@@ -86,6 +118,12 @@ def with_sizes(tiles: DataFrame) -> DataFrame:
     return found.withColumns({"tile_w": F.coalesce("__size.w", known("tile_w")), "tile_h": F.coalesce("__size.h", known("tile_h"))}).drop("__size")
 
 
+def tasks_of(spark: SparkSession) -> int:
+    """How many tasks paint: few bytes of tiles are many pixels, so it isn't left to the size of the rows. No core waits for a last few."""
+    cores = spark.sparkContext.defaultParallelism
+    return cores * max(2, math.ceil(int(spark.conf.get("spark.sql.shuffle.partitions")) / cores))
+
+
 def mosaic(tiles: DataFrame, strip: int | None = None, digest: bool = False, area: int | None = None) -> DataFrame:
     """(image_id, strip, width, height, top, full_height, data) from tiles (image_id, width, height, px, py, tile_w, tile_h, data).
 
@@ -93,7 +131,8 @@ def mosaic(tiles: DataFrame, strip: int | None = None, digest: bool = False, are
     tile of one colour its one pixel. What can't be read is left out, and places that no tile covers are black. With `digest`
     there is checksum, the SHA-256 of the result's data in hex, instead of data. Later tiles, by (py, px), cover earlier
     ones. An image is cut into strips of `strip` rows, or of PIXELS pixels at most; a task paints one at a time, so no image
-    has to fit a task whole, and tiles pass by one after the other. Tiles over a cut go to both.
+    has to fit a task whole, and tiles pass by one after the other. Tiles over a cut go to both. A strip under tiles of one
+    colour alone is kept as runs of equal rows, and hashed or laid out row by row without a canvas.
 
     With `area`, images of more pixels are painted smaller, on a canvas of that area at most: a tile is drawn where
     scaled_places() has it, each pixel the mean of what it covers. A tile is scaled as a whole, so that strips fit together.
@@ -110,15 +149,15 @@ def mosaic(tiles: DataFrame, strip: int | None = None, digest: bool = False, are
     cut = tiles.withColumn("strip", F.explode(F.sequence(F.floor(F.col("dy") / F.col("rows").cast("double")).cast("int"), ends))).filter(F.col("strip") <= F.greatest(most, F.floor(F.col("dy") / F.col("rows").cast("double")).cast("int")))
     cut = cut.select("image_id", "strip", "rows", "cw", "ch", "ratio", "px", "py", "dx", "dy", "tile_w", "tile_h", "data")
 
-    whole = lambda v: 0 if v is None else v
+    drawn = lambda side, ratio: side if area is None else math.ceil(side * ratio)
 
-    def draw(canvas: np.ndarray, top: int, t: dict) -> None:
-        pixels = None if t["data"] is None else pixels_of(t["data"], whole(t["tile_w"]), whole(t["tile_h"]))
+    def draw(canvas: np.ndarray, top: int, x: int, y: int, width: int, height: int, ratio: float, data: bytes) -> None:
+        pixels = pixels_of(data, width, height)
         if pixels is None:
             return
         if area is not None:
-            pixels = scaled(pixels, *(math.ceil(side * t["ratio"]) for side in pixels.shape[1::-1]))
-        x, y, (h, w) = t["dx"], t["dy"], pixels.shape[:2]
+            pixels = scaled(pixels, *(drawn(side, ratio) for side in pixels.shape[1::-1]))
+        h, w = pixels.shape[:2]
         y0, y1, x1 = max(y, top), min(y + h, top + len(canvas)), min(x + w, canvas.shape[1])
         if y1 > y0 and x1 > x and pixels.strides[:2] == (0, 0):  # one pixel for all: a row of it, copied as whole rows
             canvas.reshape(len(canvas), -1)[y0 - top : y1 - top, 3 * x : 3 * x1] = np.tile(pixels[0, 0], x1 - x)
@@ -127,38 +166,60 @@ def mosaic(tiles: DataFrame, strip: int | None = None, digest: bool = False, are
 
     def paint(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, canvas, top, full, room = None, None, 0, 0, np.empty(0, np.uint8)
+        wide, high, flat = 0, 0, []  # tiles of one colour, as long as a strip has no others
 
-        def black(height: int, width: int) -> np.ndarray:
+        def painted() -> np.ndarray:
             nonlocal room  # a task's strips share their memory, which would be mapped anew for each
-            size = 3 * height * width
+            size = 3 * high * wide
             if len(room) < size:
                 room = np.empty(size, np.uint8)
             room[:size] = 0
-            return room[:size].reshape(height, width, 3)
-
-        def done() -> pa.RecordBatch:
-            result = hashlib.sha256(canvas).hexdigest() if digest else canvas.tobytes()
-            columns = [pa.array([v], k) for v, k in zip((*key, canvas.shape[1], len(canvas), top, full), (pa.int64(), *[pa.int32()] * 5), strict=True)]
-            return pa.RecordBatch.from_arrays([*columns, pa.array([result], pa.string() if digest else pa.binary())], ["image_id", "strip", "width", "height", "top", "full_height", last])
-
+            for x0, x1, y0, y1, colour in flat:
+                room[:size].reshape(high, -1)[y0:y1, 3 * x0 : 3 * x1] = np.frombuffer(colour * (x1 - x0), np.uint8)
+            return room[:size].reshape(high, wide, 3)
+
+        def done() -> tuple:
+            if canvas is None:
+                rows = runs(wide, high, flat)
+                result = hashed(rows) if digest else b"".join(row * count for row, count in rows)
+            else:
+                result = hashlib.sha256(canvas).hexdigest() if digest else canvas.tobytes()
+            return (*key, wide, high, top, full, result)
+
+        def batch_of(strips: list[tuple]) -> pa.RecordBatch:
+            kinds = (pa.int64(), *[pa.int32()] * 5, pa.string() if digest else pa.binary())
+            columns = [pa.array(v, k) for v, k in zip(zip(*strips, strict=True), kinds, strict=True)]
+            return pa.RecordBatch.from_arrays(columns, ["image_id", "strip", "width", "height", "top", "full_height", last])
+
+        made = []  # one strip of data, or several checksums
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
-                for t in batch.slice(at, 256).to_pylist():
-                    if key != (t["image_id"], t["strip"]):
+                # Lists by way of numpy: fifteen times as fast as Arrow's own.
+                for image, strip_, rows_, cw, ch, ratio, x, y, w, h, data in zip(*(c.to_numpy(zero_copy_only=False).tolist() for c in batch.slice(at, 256).columns), strict=True):
+                    if key != (image, strip_):
                         if key is not None:
-                            yield done()
-                        key, top, full = (t["image_id"], t["strip"]), t["strip"] * t["rows"], t["ch"]
-                        canvas = black(max(min(t["rows"], full - top), 0), t["cw"])
-                    draw(canvas, top, t)
+                            made.append(done())
+                        if len(made) >= (256 if digest else 1):
+                            yield batch_of(made)
+                            made = []
+                        key, top, full, canvas, flat = (image, strip_), strip_ * rows_, ch, None, []
+                        wide, high = cw, max(min(rows_, full - top), 0)
+                    if data is None:
+                        continue
+                    if canvas is None and len(data) == 3 and x >= 0 and len(flat) < KEPT:
+                        x1, y0, y1 = min(x + drawn(w, ratio), wide), max(y - top, 0), min(y - top + drawn(h, ratio), high)
+                        if x1 > x and y1 > y0:
+                            flat.append((x, x1, y0, y1, data))
+                        continue
+                    if canvas is None:
+                        canvas, flat = painted(), []
+                    draw(canvas, top, x, y, w, h, ratio, data)
         if key is not None:
-            yield done()
+            yield batch_of([*made, done()])
 
     last, kind = ("checksum", "string") if digest else ("data", "binary")
-    cut = cut.withColumns({c: F.col(c).cast("int") for c in ("cw", "ch", "dx", "dy", "tile_w", "tile_h")}).withColumn("image_id", F.col("image_id").cast("long"))
-    # Few bytes of tiles are many pixels, so the number of tasks is told instead of left to the size of the rows.
-    spark = tiles.sparkSession
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
-    dealt = cut.repartition(tasks, "image_id", "strip").sortWithinPartitions("image_id", "strip", "py", "px")
+    cut = cut.withColumns({c: F.col(c).cast("int") for c in ("cw", "ch", "dx", "dy")} | {c: F.coalesce(F.col(c).cast("int"), F.lit(0)) for c in ("tile_w", "tile_h")}).withColumn("image_id", F.col("image_id").cast("long"))
+    dealt = cut.repartition(tasks_of(tiles.sparkSession), "image_id", "strip").sortWithinPartitions("image_id", "strip", "py", "px").drop("px", "py")
     return dealt.mapInArrow(paint, f"image_id long, strip int, width int, height int, top int, full_height int, {last} {kind}")
 
 
